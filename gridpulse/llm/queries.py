@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridpulse.llm import bpe_codec, hilbert_ann, packing, secret_scan, segment_topk
+from gridpulse.llm import bpe_codec, hilbert_ann, licence_scan, packing, pii_scan, secret_scan, segment_topk
 from gridpulse.llm.common import table
 
 
@@ -16,6 +16,14 @@ def vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op2_pii_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii_scan.report(table(spark, sf_dir, "documents"))
+
+
+def op3_licence_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licence_scan.find_licences(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op4_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     coded = bpe_codec.encode_decode(docs, vocabulary())
@@ -46,9 +54,9 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 #: The same integers by brute force.
 OP8_SQL = """
 WITH used AS (
-  SELECT vec_id, list_transform(embedding, x -> CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
   FROM embeddings
-  WHERE embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR isnan(x) OR isinf(x))) = 0
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
 ), scored AS (
   SELECT q.vec_id AS query_id, c.vec_id,
          CAST(list_inner_product(CAST(q.v AS DOUBLE[]), CAST(c.v AS DOUBLE[])) AS BIGINT) AS score
@@ -62,6 +70,8 @@ WHERE rank <= 10
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_pii_anchors": op2_pii_anchors,
+        "op3_licence_rules": op3_licence_rules,
         "op4_bpe_codec": op4_bpe_codec,
         "op5_hilbert_ann": op5_hilbert_ann,
         "op8_segment_topk": op8_segment_topk,
@@ -71,4 +81,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_segment_topk": OP8_SQL}
+    return {"op3_licence_rules": licence_scan.oracle(), "op8_segment_topk": OP8_SQL}
