@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridpulse.llm import bpe_codec, hilbert_ann, licence_scan, packing, pii_scan, quality_mil, secret_scan, segment_topk
+from gridpulse.llm import bpe_codec, hilbert_ann, licence_scan, ngram_join, packing, pii_scan, quality_mil, secret_scan, segment_topk
 from gridpulse.llm.common import table
 
 
@@ -16,6 +16,10 @@ def vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join_components(table(spark, sf_dir, "documents"))
+
+
 def op2_pii_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii_scan.report(table(spark, sf_dir, "documents"))
 
@@ -74,6 +78,7 @@ WHERE rank <= 10
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_ngram_join": op1_ngram_join,
         "op2_pii_anchors": op2_pii_anchors,
         "op3_licence_rules": op3_licence_rules,
         "op4_bpe_codec": op4_bpe_codec,
