@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridpulse.llm import bpe_codec, hilbert_ann, licence_scan, ngram_join, packing, pii_scan, quality_mil, secret_scan, segment_topk
+from gridpulse.llm import bpe_codec, hilbert_ann, licence_scan, ngram_join, packing, pii_scan, quality_mil, secret_scan, segment_topk, substring_dedup
 from gridpulse.llm.common import table
 
 
@@ -47,6 +47,10 @@ def op6_attention_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_mil.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.report(table(spark, sf_dir, "documents"))
+
+
 def op8_segment_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return segment_topk.top_k(table(spark, sf_dir, "embeddings"))
 
@@ -84,6 +88,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_bpe_codec": op4_bpe_codec,
         "op5_hilbert_ann": op5_hilbert_ann,
         "op6_attention_quality": op6_attention_quality,
+        "op7_substring_dedup": op7_substring_dedup,
         "op8_segment_topk": op8_segment_topk,
         "op9_best_two_fit_packing": op9_best_two_fit_packing,
         "op10_secret_scan": op10_secret_scan,
