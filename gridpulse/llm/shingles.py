@@ -20,7 +20,7 @@ class Words:
         seen, hashed = self.seen, xxhash.xxh3_64_intdigest
         if len(seen) > _LIMIT:
             seen.clear()
-        for w in set(words) - seen.keys():
+        for w in set(words).difference(seen):
             seen[w] = hashed(w)
         return np.fromiter(map(seen.__getitem__, words), np.uint64, len(words))
 
