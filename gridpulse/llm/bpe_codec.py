@@ -27,7 +27,7 @@ from tokenizers import Tokenizer, models
 
 #: Pieces of more characters are encoded by tree concatenation, from leaves of LEAF characters.
 LONG, LEAF, WINDOW, MARGIN = 2048, 512, 8, 2
-CACHE = 1 << 18
+CACHE = 1 << 19
 #: Pieces of printable ASCII and precomposed Latin letters: for them lower() is all that normalising does.
 PLAIN = re.compile(r"[!-~À-ÖØ-öø-ÿ]+")
 PLAIN_RULE = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -78,7 +78,7 @@ class TreeEncoder:
 
 
 class Codec:
-    """A tokenizers file with a bounded cache from pieces of text to (little-endian ids, tokens joined by a space)."""
+    """A tokenizers file with bounded caches from pieces of text to their ids and to what these decode to."""
 
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
@@ -90,23 +90,25 @@ class Codec:
         self.added = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.tree = TreeEncoder(spec)
         self.names = {i: s for s, i in self.tokenizer.get_vocab(with_added_tokens=True).items()}
-        self.cache: dict[bytes, tuple[bytes, bytes]] = {}
-        self.words: dict[str, list[int]] = {}
+        self.cache: dict[bytes, bytes] = {}
+        self.decoded: dict[bytes, bytes] = {}
+        self.words: dict[str, bytes] = {}
+        self.large: list[bytes] = []
         kept = [*range(33, 127), *range(161, 173), *range(174, 256)]
         self.bytes = dict(zip([b for b in range(256) if b not in kept], range(256, 512)))
         rules = json.dumps([spec["normalizer"], spec["pre_tokenizer"]])
         self.plain = '"Lowercase"' in rules and json.dumps(PLAIN_RULE)[1:-1] in rules and self.tokenizer.model.end_of_word_suffix
 
-    def _plain(self, piece: str) -> list[int]:
+    def _plain(self, piece: str) -> bytes:
         """Ids of a PLAIN piece, word by word, through a cache of words."""
-        out: list[int] = []
+        out = []
         for word in PLAIN_WORDS.findall(piece.lower()):
             ids = self.words.get(word)
             if ids is None:
                 raw = word if word.isascii() else word.encode().decode("latin-1").translate(self.bytes)
-                ids = self.words[word] = [t.id for t in self.tokenizer.model.tokenize(raw)]
-            out += ids
-        return out
+                ids = self.words[word] = _packed([t.id for t in self.tokenizer.model.tokenize(raw)])
+            out.append(ids)
+        return out[0] if len(out) == 1 else b"".join(out)
 
     def _long(self, piece: str) -> list[int]:
         ids: list[int] = []
@@ -119,43 +121,53 @@ class Codec:
                     ids += self.tree.encode(word) if len(word) > LEAF else [t.id for t in self.tokenizer.model.tokenize(word)]
         return ids
 
-    def _entry(self, ids: list[int]) -> tuple[bytes, bytes]:
-        return struct.pack(f"<{len(ids)}i", *ids), " ".join(map(self.names.__getitem__, ids)).encode()
+    def _ids(self, piece: bytes) -> bytes:
+        text = piece.decode()
+        if len(piece) > LONG:
+            return _packed(self._long(text))
+        if self.plain and PLAIN.fullmatch(text) and "<|" not in text:
+            return self._plain(text)
+        return _packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
+
+    def _fill(self, parts: list[bytes]) -> dict[bytes, bytes]:
+        """The cache, which now holds every piece."""
+        for p in self.large:  # pieces of any length aren't kept
+            self.cache.pop(p, None)
+            self.decoded.pop(p, None)
+        self.large.clear()
+        if len(self.cache) > CACHE:
+            self.cache.clear()
+        if len(self.words) > CACHE:
+            self.words.clear()
+        for p in set(parts).difference(self.cache):
+            self.cache[p] = self._ids(p)
+            if len(p) > LONG:
+                self.large.append(p)
+        return self.cache
 
-    def pieces(self, texts: list[str | None]) -> Iterator[list[tuple[bytes, bytes]]]:
-        """For each text the entries of its pieces, in order."""
+    def ids(self, texts: list[str | None]) -> Iterator[bytes]:
+        """For each text its ids, as little-endian 32-bit numbers."""
         for text in texts:
             parts = text.encode().split() if text else []
-            cache = self.cache
-            if len(cache) > CACHE:
-                cache.clear()
-            if len(self.words) > CACHE:
-                self.words.clear()
-            own: dict[bytes, tuple[bytes, bytes]] = {}
-            entries = []
-            for p in parts:
-                e = cache.get(p)
-                if e is None:
-                    if len(p) > LONG:
-                        if (e := own.get(p)) is None:
-                            e = own[p] = self._entry(self._long(p.decode()))
-                    else:
-                        e = cache[p] = self._entry(self._short(p.decode()))
-                entries.append(e)
-            yield entries
-
-    def _short(self, piece: str) -> list[int]:
-        if self.plain and PLAIN.fullmatch(piece) and "<|" not in piece:
-            return self._plain(piece)
-        return self.tokenizer.encode(piece, add_special_tokens=False).ids
-
-    def ids(self, texts: list[str | None]) -> Iterator[bytes]:
-        for entries in self.pieces(texts):
-            yield b"".join([e[0] for e in entries])
+            yield b"".join(map(self._fill(parts).__getitem__, parts))
 
     def both(self, texts: list[str | None]) -> Iterator[tuple[bytes, bytes]]:
-        for entries in self.pieces(texts):
-            yield b"".join([e[0] for e in entries]), b" ".join([e[1] for e in entries if e[1]])
+        """ids(), and the tokens joined by spaces, which is how this vocabulary decodes."""
+        for text in texts:
+            parts = text.encode().split() if text else []
+            cache, names = self._fill(parts), self.decoded
+            if len(names) > CACHE:
+                names.clear()
+            for p in set(parts).difference(names):
+                names[p] = self._names(cache[p])
+            yield b"".join(map(cache.__getitem__, parts)), b" ".join(filter(None, map(names.__getitem__, parts)))
+
+    def _names(self, ids: bytes) -> bytes:
+        return " ".join(map(self.names.__getitem__, struct.unpack(f"<{len(ids) // 4}i", ids))).encode()
+
+
+def _packed(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}i", *ids)
 
 
 @lru_cache(maxsize=2)
