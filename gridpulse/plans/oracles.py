@@ -367,10 +367,10 @@ SELECT user_id, event_id, round(t0, 4) AS t0, round(t1, 4) AS t1, o AS ta_offset
   round(CASE WHEN t0 <> u AND (t1 - u) / (t0 - u) > 0 AND (t1 - u) / (t0 - u) < 1 THEN -d / ln((t1 - u) / (t0 - u)) END, 4) AS tau_minutes,
   CASE WHEN t0 - u <= 0 THEN 'start not above ambient' WHEN t1 - u <= 0 THEN 'end at or below ambient' WHEN (t1 - u) / (t0 - u) >= 1 THEN 'not decaying (end excess >= start excess)' ELSE 'valid' END AS domain_status FROM g""")
 _add("mass_sensitivity", [EV, STEP, BAND], f"""
-SELECT user_id, event_id, round(dt, 10) AS dt_minutes, round(t1 - t0, 10) AS rise, p AS power_kw, c AS c_kj_per_kg_k, round(p * dt * 60, 10) AS energy_kj, round(p * dt * 60 / (c * (t1 - t0)), 10) AS critical_mass_kg
+SELECT user_id, event_id, round(dt, 6) AS dt_minutes, round(t1 - t0, 6) AS rise, p AS power_kw, c AS c_kj_per_kg_k, round(p * dt * 60, 6) AS energy_kj, round(p * dt * 60 / (c * (t1 - t0)), 6) AS critical_mass_kg
 FROM ba, {_values((5, 20, 60, 120), 'p')}, {_values((1.67, 2.2), 'c')} WHERE t1 > t0""")
 _add("power_curves", [EV, STEP, BAND], f"""
-SELECT user_id, event_id, round(dt, 10) AS dt_minutes, round(t1 - t0, 10) AS rise, m AS mass_kg, round(m * 2.0 * (t1 - t0) / (dt * 60), 10) AS required_power_kw, round(50.0 * dt * 60 / (m * 2.0), 10) AS achievable_rise
+SELECT user_id, event_id, round(dt, 8) AS dt_minutes, round(t1 - t0, 8) AS rise, m AS mass_kg, round(m * 2.0 * (t1 - t0) / (dt * 60), 8) AS required_power_kw, round(40.0 * dt * 60 / (m * 2.0), 8) AS achievable_rise
 FROM ba, {_values((10, 100, 1000), 'm')} WHERE t1 > t0""")
 _add("cost_table", [], """SELECT approach, total_ops_per_sample::BIGINT AS total_ops_per_sample, a::BIGINT AS est_cycles_m0_fixedpoint, b::BIGINT AS est_cycles_m0_softfloat FROM (VALUES
   ('F1_rate', 10, 29, 271), ('F2_range', 1, 18, 37), ('F3_combined', 11, 30, 291), ('F4_jump', 9, 28, 221), ('B1_threshold', 1, 18, 37), ('MLP_28_16_8_1', 609, 3529, 61986), ('GBDT_100_trees', 600, 3000, NULL)) v(approach, total_ops_per_sample, a, b)""")

@@ -485,13 +485,13 @@ def tau_sensitivity(spark, d):
 @query
 def mass_sensitivity(spark, d):
     r = _decays(spark, d).where("t1 > t0").select("user_id", "event_id", "dt_minutes", (F.col("t1") - F.col("t0")).alias("rise"))
-    return rounded(physics.mass_sensitivity(r, (5, 20, 60, 120), (1.67, 2.2)), 10)
+    return rounded(physics.mass_sensitivity(r, (5, 20, 60, 120), (1.67, 2.2)))
 
 
 @query
 def power_curves(spark, d):
     r = _decays(spark, d).where("t1 > t0").select("user_id", "event_id", "dt_minutes", (F.col("t1") - F.col("t0")).alias("rise"))
-    return rounded(physics.power_curves(r, (10, 100, 1000), 50.0, 2.0), 10)
+    return rounded(physics.power_curves(r, (10, 100, 1000), 40.0, 2.0), 8)
 
 
 @query

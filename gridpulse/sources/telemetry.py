@@ -15,7 +15,7 @@ from gridpulse.schema import PARSED_TS, RAW_LINE, RAW_TS
 
 def text_lines(spark: SparkSession, path: str) -> DataFrame:
     """(path, _raw_line, line) of text files, byte for byte and numbered from 1; for audited files that fit a task each."""
-    whole = spark.read.option("wholetext", True).text(path).select(F.input_file_name().alias("path"), "value")
+    whole = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), "value")
     lines = F.split("value", "\r?\n")
     # a line end closes the last line and opens none
     n = F.size(lines) - (F.element_at(lines, -1) == "").cast("int")
