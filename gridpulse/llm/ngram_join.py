@@ -37,6 +37,8 @@ NUM, DEN = 80, 100
 SKETCH, CHUNK = 1 << 20, 1 << 14
 NEEDED_BITS = 1 << 26
 BLOCK, ROWS, MERGE_COST = 512, 2048, 0.01
+#: Lists of more classes are kept whole; pairs within shorter ones are tried.
+SHORT_LIST = 64
 
 
 def least_overlap(n: int) -> int:
@@ -94,21 +96,24 @@ def sketch_of(summary: DataFrame) -> np.ndarray:
 
 
 def rarest(s: np.ndarray, order: np.ndarray) -> np.ndarray:
-    """The shingles of which any linked set shares one, by the sketch's order."""
+    """The shingles of which any linked set shares one, in the sketch's order."""
     k = len(s) - least_overlap(len(s)) + 1
     rank = order[(s >> np.uint64(44)).astype(np.int64)]
     return s[np.lexsort((s, rank))[:k]]
 
 
 def postings(docs: DataFrame, order: np.ndarray, buckets: int) -> DataFrame:
-    """(bucket, keys, owners, classes): the rare shingles of a batch of documents, packed by bucket of shingle."""
+    """(bucket, keys, owners, places, classes): the rare shingles of a batch of documents, packed by bucket of shingle.
+
+    owners are places in classes, pairs of class and size; places are the shingles' places in their sets' order.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(order)  # SKETCH bytes
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, seen = Words(), set()
         for whole in batches:
             for at in range(0, whole.num_rows, ROWS):
-                keys, owners = [], []
+                keys, owners, places, held = [], [], [], []
                 for text in whole.slice(at, ROWS).column(0).to_pylist():
                     s = shingle_set(text, words)
                     if len(s) and (cls := class_of(s)) not in seen:
@@ -116,44 +121,67 @@ def postings(docs: DataFrame, order: np.ndarray, buckets: int) -> DataFrame:
                             seen.add(cls)
                         k = rarest(s, shared.value)
                         keys.append(k)
-                        owners.append(np.full(len(k), cls, np.int64))
+                        owners.append(np.full(len(k), len(held), np.int64))
+                        # a place beyond 16 bits is given too low, which only keeps more
+                        places.append(np.minimum(np.arange(len(k)), 65535).astype("<u2"))
+                        held.append((cls, len(s)))
                 if not keys:
                     continue
-                key, owner = np.concatenate(keys), np.concatenate(owners)
+                key, owner, place, classes = np.concatenate(keys), np.concatenate(owners), np.concatenate(places), np.array(held, "<i8")
                 bucket = (key % np.uint64(buckets)).astype(np.int64)
                 o = np.lexsort((key, bucket))
-                key, owner, bucket = key[o], owner[o], bucket[o]
-                classes, index = np.unique(owner, return_inverse=True)
+                key, owner, place, bucket = key[o], owner[o], place[o], bucket[o]
                 cuts = np.concatenate([[0], np.flatnonzero(np.diff(bucket)) + 1, [len(bucket)]])
                 rows = []
                 for a, b in zip(cuts[:-1], cuts[1:]):
-                    near, place = np.unique(index[a:b], return_inverse=True)
-                    rows.append((int(bucket[a]), key[a:b].tobytes(), place.astype("<u4").astype("<u2" if len(near) < 65536 else "<u4").tobytes(), classes[near].tobytes()))
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.binary(), pa.binary(), pa.binary()))], names=["bucket", "keys", "owners", "classes"])
+                    near, index = np.unique(owner[a:b], return_inverse=True)  # at most ROWS, so 16 bits hold a place
+                    rows.append((int(bucket[a]), key[a:b].tobytes(), index.astype("<u2").tobytes(), place[a:b].tobytes(), classes[near].tobytes()))
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), *[pa.binary()] * 4))], names=_PACKED)
+
+    return docs.select("text").mapInArrow(run, "bucket int, keys binary, owners binary, places binary, classes binary")
+
+
+_PACKED = ["bucket", "keys", "owners", "places", "classes"]
+
 
-    return docs.select("text").mapInArrow(run, "bucket int, keys binary, owners binary, classes binary")
+def may_link(n: np.ndarray, place: np.ndarray, m: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """Whether sets of n and m, whose first common shingle is at these places, can reach the overlap that links them."""
+    least = -(-NUM * (n + m) // (DEN + NUM))
+    return (NUM * np.maximum(n, m) <= DEN * np.minimum(n, m)) & (n - place >= least) & (m - other >= least)
 
 
 def shared_keys(packed: DataFrame, n: int) -> DataFrame:
-    """(key, cls) of shingles that more than one class has."""
+    """(key, cls) of shingles that classes share which might link, as far as sizes and places tell."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, owners = [], []
+        keys, owners, sizes, places = [], [], [], []
         for b in batches:
-            for k, o, c in zip(*(b.column(i).to_pylist() for i in (1, 2, 3))):
-                k, c = np.frombuffer(k, np.uint64), np.frombuffer(c, np.int64)
-                keys.append(k)
-                owners.append(c[np.frombuffer(o, "<u2" if len(o) == 2 * len(k) else "<u4")])
+            for k, o, p, c in zip(*(b.column(i).to_pylist() for i in (1, 2, 3, 4))):
+                pairs = np.frombuffer(c, "<i8").reshape(-1, 2)[np.frombuffer(o, "<u2")]
+                keys.append(np.frombuffer(k, np.uint64))
+                owners.append(pairs[:, 0])
+                sizes.append(pairs[:, 1])
+                places.append(np.frombuffer(p, "<u2"))
         if not keys:
             return
-        key, owner = np.concatenate(keys), np.concatenate(owners)
+        key, owner, size, place = (np.concatenate(x) for x in (keys, owners, sizes, places))
         o = np.lexsort((owner, key))
-        key, owner = key[o], owner[o]
+        key, owner, size, place = key[o], owner[o], size[o], place[o].astype(np.int64)
         new = np.concatenate([[True], (key[1:] != key[:-1]) | (owner[1:] != owner[:-1])])
-        key, owner = key[new], owner[new]
-        same = key[1:] == key[:-1]
-        many = np.concatenate([same, [False]]) | np.concatenate([[False], same])
-        key, owner = key[many].view(np.int64), owner[many]
+        key, owner, size, place = key[new], owner[new], size[new], place[new]
+        starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        length = np.diff(np.append(starts, len(key)))
+        keep = np.repeat(length > SHORT_LIST, length)
+        two = starts[length == 2]
+        ok = may_link(size[two], place[two], size[two + 1], place[two + 1])
+        keep[two[ok]] = keep[two[ok] + 1] = True
+        for a, k in zip(starts.tolist(), length.tolist()):
+            if 2 < k <= SHORT_LIST:
+                m, p = size[a : a + k], place[a : a + k]
+                ok = may_link(m[:, None], p[:, None], m, p)
+                np.fill_diagonal(ok, False)
+                keep[a : a + k] = ok.any(1)
+        key, owner = key[keep].view(np.int64), owner[keep]
         for i in range(0, len(key), 1 << 16):
             yield pa.RecordBatch.from_arrays([pa.array(key[i : i + (1 << 16)]), pa.array(owner[i : i + (1 << 16)])], names=["key", "cls"])
 
@@ -261,6 +289,8 @@ def sets_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
 def _searched(groups: DataFrame, by: list[str]) -> DataFrame:
     def run(t: pa.Table) -> pa.Table:
         t = t.combine_chunks()
+        # rows of documents that share an id come once
+        t = t.take(pa.array(np.unique(t.column("doc_id").to_numpy(), return_index=True)[1]))
         asks = t.column("asks").to_numpy()
         raw = [np.frombuffer(x.as_buffer(), np.uint64) for x in t.column("shingles")]
         ids = t.column("doc_id").to_numpy()
@@ -292,7 +322,7 @@ def join_components(docs: DataFrame) -> DataFrame:
     placed = durable(placed, "placed")
     # the centre joins every block of its group
     everywhere = F.when(F.col("is_centre"), F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).otherwise(F.array("block"))
-    sets = durable(sets_of(docs, placed.select("doc_id").distinct()).dropDuplicates(["doc_id"]), "sets")
+    sets = sets_of(docs, placed.select("doc_id").distinct())
     first = placed.withColumn("block", F.explode(everywhere)).join(sets, "doc_id").select(
         "centre", "block", "doc_id", "shingles", F.lit(True).alias("asks"), F.col("doc_id").alias("grp")
     )
@@ -319,6 +349,8 @@ def join_components(docs: DataFrame) -> DataFrame:
         met = askers.select(*names, F.lit(True).alias("asks")).unionByName(asked.select(*names, F.lit(False).alias("asks")))
         # an asker that is also asked counts once, as an asker
         met = met.groupBy(*names).agg(F.max("asks").alias("asks"))
+        met = durable(met, "met")
+        sets = sets_of(docs, met.select("doc_id").distinct())
         more = durable(_searched(met.join(sets, "doc_id"), ["centre", "lot", "block"]), "found")
         if not more.isEmpty():
             labels = components(links.unionByName(more))
