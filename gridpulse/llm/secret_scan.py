@@ -146,6 +146,11 @@ def _digest(spans: Column) -> Column:
     )
 
 
+def varied(token: Column, least: int = 8) -> Column:
+    """A random string of this length has many different characters; a short cycle, however odd, has few."""
+    return F.size(F.array_distinct(F.split(token, ""))) >= least
+
+
 def find_secrets(docs: DataFrame, model: list[float], threshold: float = 0.75, text: str = "text") -> DataFrame:
     """docs with base_spans and markov_spans: sorted arrays of structs (start, kind, end, found).
 
@@ -169,7 +174,7 @@ def find_secrets(docs: DataFrame, model: list[float], threshold: float = 0.75, t
         "markov_spans",
         F.when(
             F.size("_token") > 0,
-            F.filter("_token", lambda s: free(s) & (log_likelihood_ratio(s["found"], model) > threshold)),
+            F.filter("_token", lambda s: free(s) & varied(s["found"]) & (log_likelihood_ratio(s["found"], model) > threshold)),
         ).otherwise(F.array().cast(_SPANS)),
     ).drop("_assign", "_access", "_hex", "_token", "_body")
 
