@@ -22,17 +22,16 @@ class WaveletMatrix:
             self.levels.append((words, counts, zeros))
             s = np.concatenate([s[bit == 0], s[bit == 1]])
 
-    def rank(self, symbol: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Occurrences of each symbol before lo and before hi, less those before the symbol's own block."""
-        a, b, start = lo, hi, np.zeros_like(lo)
-        for k, (words, counts, zeros) in enumerate(self.levels):
-            one = (symbol >> (self.bits - 1 - k)) & 1
-            at = np.concatenate([a, b, start])
-            block = at >> 6
-            ones = counts[block] + np.bitwise_count(words[block] & ((np.uint64(1) << (at & 63).astype(np.uint64)) - np.uint64(1)))
-            to = np.where(np.tile(one, 3) == 1, zeros + ones, at - ones)
-            a, b, start = np.split(to, 3)
-        return a - start, b - start
+    def descend(self, symbol: np.ndarray, *at: np.ndarray) -> list[np.ndarray]:
+        """Where places lead that follow the symbol's bits; a place's rank is how far it ends behind where 0 does."""
+        k = len(at)
+        for level, (words, counts, zeros) in enumerate(self.levels):
+            place = np.concatenate(at)
+            block = place >> 6
+            ones = counts[block] + np.bitwise_count(words[block] & ((np.uint64(1) << (place & 63).astype(np.uint64)) - np.uint64(1)))
+            one = (symbol >> (self.bits - 1 - level)) & 1
+            at = np.split(np.where(np.concatenate([one] * k) == 1, zeros + ones, place - ones), k)
+        return list(at)
 
 
 def suffix_order(text: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -72,11 +71,15 @@ class FMIndex:
         bwt = self.text[order - 1]
         self.first = np.concatenate([[0], np.cumsum(np.bincount(self.text, minlength=len(alphabet) + 1))])
         self.wavelet = WaveletMatrix(bwt, max(1, int(len(alphabet)).bit_length()))
+        symbols = np.arange(len(alphabet) + 1)
+        # a symbol's first suffix, less where its place 0 leads: added to where a place leads, this is the backward step
+        self.shift = self.first[symbols] - self.wavelet.descend(symbols, np.zeros(len(symbols), np.int64))[0]
 
     def extend(self, symbol: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Backward step: the suffixes that begin with symbol and go on as those in [lo, hi) do."""
-        a, b = self.wavelet.rank(symbol, lo, hi)
-        return self.first[symbol] + a, self.first[symbol] + b
+        a, b = self.wavelet.descend(symbol, lo, hi)
+        shift = self.shift[symbol]
+        return shift + a, shift + b
 
     def repeated(self, asked: np.ndarray, size: int) -> list[np.ndarray]:
         """For each asked segment, which of its windows of so many words occur at least twice in the index.
