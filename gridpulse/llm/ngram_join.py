@@ -5,7 +5,8 @@ Documents are sets of word shingles; two link when 100 * |intersection| >= 80 *
 1. Documents with equal sets are one class, represented by its smallest doc_id. The same pass counts shingles in a
    sketch of fixed size, which only orders them: rare before frequent.
 2. A set of n must share one of its n - ceil(0.8 n) + 1 rarest shingles with any set it links to. Postings of these
-   meet by shingle; those that occur in one class alone are dropped; each list's smallest class is its centre.
+   meet by shingle. Pairs of classes in short lists are counted and dropped when what they share there is too little for
+   the overlap; a list that is long has its smallest class as centre, instead of pairs.
 3. The classes of a centre, in blocks of bounded size, are searched for links: each set asks the block's inverted
    lists for the sets that reach the overlap. The L longest lists are set aside, the short ones are merged by a
    heap, and what reaches T - L there is probed by binary search in the long ones (DivideSkip). Only links
@@ -31,14 +32,14 @@ from pyspark.sql import functions as F
 
 from gridpulse.llm.common import durable, partitions
 from gridpulse.llm.components import components
-from gridpulse.llm.shingles import Words, shingle_set
+from gridpulse.llm.shingles import shingle_set
 
 NUM, DEN = 80, 100
 SKETCH, CHUNK = 1 << 20, 1 << 14
 NEEDED_BITS = 1 << 26
 BLOCK, ROWS, MERGE_COST = 512, 2048, 0.01
-#: Lists of more classes are kept whole; pairs within shorter ones are tried.
-SHORT_LIST = 64
+#: Lists of more classes have a centre; pairs within shorter ones are counted.
+SHORT_LIST = 16
 
 
 def least_overlap(n: int) -> int:
@@ -58,18 +59,24 @@ def summarise(docs: DataFrame) -> DataFrame:
     names = ["doc_id", "n", "cls", "chunk", "counts"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, sketch = Words(), np.zeros(SKETCH, np.uint32)
+        sketch = np.zeros(SKETCH, np.int64)
         none = lambda k, kind: pa.nulls(k, kind)
         for b in batches:
-            n, cls = [], []
+            n, cls, cells, held = [], [], [], 0
             for text in b.column(1).to_pylist():
-                s = shingle_set(text, words)
-                np.add.at(sketch, (s >> np.uint64(44)).astype(np.int64), 1)
+                s = shingle_set(text)
+                cells.append((s >> np.uint64(44)).astype(np.int32))
+                held += len(s)
                 n.append(len(s))
                 cls.append(class_of(s))
+                if held > SKETCH:
+                    sketch += np.bincount(np.concatenate(cells), minlength=SKETCH)
+                    cells, held = [], 0
+            if cells:
+                sketch += np.bincount(np.concatenate(cells), minlength=SKETCH)
             k = len(n)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(cls, pa.int64()), none(k, pa.int32()), none(k, pa.binary())], names=names)
-        parts = [sketch[i : i + CHUNK].tobytes() for i in range(0, SKETCH, CHUNK)]
+        parts = [sketch[i : i + CHUNK].astype(np.uint32).tobytes() for i in range(0, SKETCH, CHUNK)]
         k = len(parts)
         yield pa.RecordBatch.from_arrays([none(k, pa.int64()), none(k, pa.int64()), none(k, pa.int64()), pa.array(range(k), pa.int32()), pa.array(parts, pa.binary())], names=names)
 
@@ -99,7 +106,7 @@ def rarest(s: np.ndarray, order: np.ndarray) -> np.ndarray:
     """The shingles of which any linked set shares one, in the sketch's order."""
     k = len(s) - least_overlap(len(s)) + 1
     rank = order[(s >> np.uint64(44)).astype(np.int64)]
-    return s[np.lexsort((s, rank))[:k]]
+    return s[np.argsort(rank, kind="stable")[:k]]  # s is sorted, so ties keep the order of their hashes
 
 
 def postings(docs: DataFrame, order: np.ndarray, buckets: int) -> DataFrame:
@@ -110,12 +117,12 @@ def postings(docs: DataFrame, order: np.ndarray, buckets: int) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(order)  # SKETCH bytes
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, seen = Words(), set()
+        seen = set()
         for whole in batches:
             for at in range(0, whole.num_rows, ROWS):
                 keys, owners, places, held = [], [], [], []
                 for text in whole.slice(at, ROWS).column(0).to_pylist():
-                    s = shingle_set(text, words)
+                    s = shingle_set(text)
                     if len(s) and (cls := class_of(s)) not in seen:
                         if len(seen) < 1 << 20:
                             seen.add(cls)
@@ -128,9 +135,9 @@ def postings(docs: DataFrame, order: np.ndarray, buckets: int) -> DataFrame:
                 if not keys:
                     continue
                 key, owner, place, classes = np.concatenate(keys), np.concatenate(owners), np.concatenate(places), np.array(held, "<i8")
-                bucket = (key % np.uint64(buckets)).astype(np.int64)
-                o = np.lexsort((key, bucket))
-                key, owner, place, bucket = key[o], owner[o], place[o], bucket[o]
+                o = np.argsort(key, kind="stable")
+                key, owner, place = key[o], owner[o], place[o]
+                bucket = ((key >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
                 cuts = np.concatenate([[0], np.flatnonzero(np.diff(bucket)) + 1, [len(bucket)]])
                 rows = []
                 for a, b in zip(cuts[:-1], cuts[1:]):
@@ -151,7 +158,11 @@ def may_link(n: np.ndarray, place: np.ndarray, m: np.ndarray, other: np.ndarray)
 
 
 def shared_keys(packed: DataFrame, n: int) -> DataFrame:
-    """(key, cls) of shingles that classes share which might link, as far as sizes and places tell."""
+    """Rows (key, cls) of long lists, and (cls, other, n, m, first) for each pair of a short list whose sizes allow a link.
+
+    first tells whether this shingle's places allow that it is the pair's first common one.
+    """
+    names = ["key", "cls", "other", "n", "m", "first"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, owners, sizes, places = [], [], [], []
@@ -171,21 +182,43 @@ def shared_keys(packed: DataFrame, n: int) -> DataFrame:
         key, owner, size, place = key[new], owner[new], size[new], place[new]
         starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
         length = np.diff(np.append(starts, len(key)))
-        keep = np.repeat(length > SHORT_LIST, length)
-        two = starts[length == 2]
-        ok = may_link(size[two], place[two], size[two + 1], place[two + 1])
-        keep[two[ok]] = keep[two[ok] + 1] = True
-        for a, k in zip(starts.tolist(), length.tolist()):
-            if 2 < k <= SHORT_LIST:
-                m, p = size[a : a + k], place[a : a + k]
-                ok = may_link(m[:, None], p[:, None], m, p)
-                np.fill_diagonal(ok, False)
-                keep[a : a + k] = ok.any(1)
-        key, owner = key[keep].view(np.int64), owner[keep]
-        for i in range(0, len(key), 1 << 16):
-            yield pa.RecordBatch.from_arrays([pa.array(key[i : i + (1 << 16)]), pa.array(owner[i : i + (1 << 16)])], names=["key", "cls"])
-
-    return packed.repartition(n, "bucket").mapInArrow(run, "key long, cls long")
+        long = np.repeat(length > SHORT_LIST, length)
+        for i in range(0, int(long.sum()), 1 << 16):
+            k, c = key[long][i : i + (1 << 16)].view(np.int64), owner[long][i : i + (1 << 16)]
+            none = pa.nulls(len(k), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(c), none, none, none, pa.nulls(len(k), pa.bool_())], names=names)
+        for k in range(2, SHORT_LIST + 1):
+            at = starts[length == k]
+            if not len(at):
+                continue
+            i, j = np.triu_indices(k, 1)
+            a, b = (at[:, None] + i).ravel(), (at[:, None] + j).ravel()
+            fits = NUM * np.maximum(size[a], size[b]) <= DEN * np.minimum(size[a], size[b])
+            a, b = a[fits], b[fits]
+            first = may_link(size[a], place[a], size[b], place[b])
+            for i in range(0, len(a), 1 << 16):
+                x, y = a[i : i + (1 << 16)], b[i : i + (1 << 16)]
+                data = [pa.nulls(len(x), pa.int64()), *map(pa.array, (owner[x], owner[y], size[x], size[y], first[i : i + (1 << 16)]))]
+                yield pa.RecordBatch.from_arrays(data, names=names)
+
+    return packed.repartition(n, "bucket").mapInArrow(run, "key long, cls long, other long, n long, m long, first boolean")
+
+
+def candidates(keys: DataFrame) -> DataFrame:
+    """(cls, centre): the classes of each centre; any two classes that link have a centre in common.
+
+    A pair of short lists shares, in the rare parts of both sets, what the lists tell; what it can share beyond is at most
+    the larger of the two rests. Pairs that cannot reach the overlap so are dropped (unless a long list joins them).
+    """
+    longer = keys.where("key IS NOT NULL").select("key", "cls")
+    centre = longer.groupBy("key").agg(F.min("cls").alias("centre"))
+    stars = longer.join(centre, "key").select("cls", "centre")
+    rest = lambda c: F.ceil(F.lit(NUM) * F.col(c) / DEN) - 1
+    least = F.ceil(F.lit(NUM) * (F.col("n") + F.col("m")) / (DEN + NUM))
+    pairs = keys.where("key IS NULL").groupBy("cls", "other", "n", "m").agg(F.count("*").alias("shared"), F.max("first").alias("first"))
+    pairs = pairs.where(F.col("first") & (F.col("shared") >= least - F.greatest(rest("n"), rest("m"))))
+    both = F.explode(F.array("cls", "other"))
+    return stars.unionByName(pairs.select(both.alias("cls"), F.col("cls").alias("centre"))).distinct()
 
 
 def divide_skip(lists: list[np.ndarray], t: int) -> Iterator[tuple[int, int, list[int]]]:
@@ -272,7 +305,6 @@ def sets_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(needed_bits(ids))  # NEEDED_BITS / 8 bytes
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = Words()
         for whole in batches:
             for start in range(0, whole.num_rows, ROWS):
                 b = whole.slice(start, ROWS)
@@ -280,7 +312,7 @@ def sets_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
                 at = _bit(doc)
                 want = np.flatnonzero((shared.value[at >> 3] >> (at & 7).astype(np.uint8)) & 1)
                 if len(want):
-                    raw = [shingle_set(b.column(1)[int(i)].as_py(), words).tobytes() for i in want]
+                    raw = [shingle_set(b.column(1)[int(i)].as_py()).tobytes() for i in want]
                     yield pa.RecordBatch.from_arrays([pa.array(doc[want]), pa.array(raw, pa.binary())], names=["doc_id", "shingles"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, shingles binary")
@@ -311,9 +343,8 @@ def join_components(docs: DataFrame) -> DataFrame:
     packed = postings(docs, sketch_of(summary), 4 * n)
     keys = durable(shared_keys(packed, n), "keys")
 
-    # every class with the centres of its lists; the centre is in its own group
-    centre = keys.groupBy("key").agg(F.min("cls").alias("centre"))
-    edges = durable(keys.join(centre, "key").select("cls", "centre").distinct(), "edges")
+    # every class with its centres; a centre is in its own group
+    edges = durable(candidates(keys), "edges")
     per = edges.groupBy("centre").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
     placed = edges.join(per, "centre").join(classes, "cls").select(
         "centre", "blocks", F.col("holder").alias("doc_id"), (F.col("cls") == F.col("centre")).alias("is_centre"),

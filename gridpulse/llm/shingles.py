@@ -3,26 +3,34 @@
 from __future__ import annotations
 
 import numpy as np
-import xxhash
 
-#: Odd multipliers of the polynomial and of the final mix.
-FACTOR, MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
-_LIMIT = 1 << 19
+#: Odd multipliers of the polynomials and of the final mix.
+FACTOR, BYTE_FACTOR, MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93), np.uint64(0xC2B2AE3D27D4EB4F)
+BYTES = np.random.default_rng(20).integers(1, 1 << 63, 256, np.uint64)
+SPACE = np.zeros(256, bool)
+SPACE[[9, 10, 11, 12, 13, 32]] = True
+PART = 1 << 20
 
 
-class Words:
-    """Hashes of words through a bounded cache."""
+class Powers:
+    """Powers of a factor modulo 2^64, grown as texts need them."""
 
-    def __init__(self):
-        self.seen: dict[bytes, int] = {}
+    def __init__(self, factor: np.uint64):
+        self.factor, self.held = factor, np.ones(1, np.uint64)
 
-    def __call__(self, words: list[bytes]) -> np.ndarray:
-        seen, hashed = self.seen, xxhash.xxh3_64_intdigest
-        if len(seen) > _LIMIT:
-            seen.clear()
-        for w in set(words).difference(seen):
-            seen[w] = hashed(w)
-        return np.fromiter(map(seen.__getitem__, words), np.uint64, len(words))
+    def __call__(self, n: int) -> np.ndarray:
+        if n > len(self.held):
+            grown = np.full(max(n, 2 * len(self.held)), self.factor, np.uint64)
+            grown[0] = 1
+            self.held = np.cumprod(grown)
+        return self.held[:n]
+
+
+def inverse(factor: np.uint64) -> np.uint64:
+    return np.uint64(pow(int(factor), -1, 1 << 64))
+
+
+UP, DOWN = Powers(BYTE_FACTOR), Powers(inverse(BYTE_FACTOR))
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
@@ -30,6 +38,36 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
+def word_hashes(raw: bytes) -> np.ndarray:
+    """A hash of each word, cut at space and \\x09-\\x0D: differences of one running sum over the text's bytes."""
+    if len(raw) > PART:
+        parts = _parts(raw)
+        if len(parts) > 1:
+            return np.concatenate([word_hashes(p) for p in parts])
+    b = np.frombuffer(raw, np.uint8)
+    if not len(b):
+        return np.zeros(0, np.uint64)
+    edge = np.flatnonzero(np.diff(np.concatenate([[True], SPACE[b], [True]]).view(np.int8)))
+    start, end = edge[::2], edge[1::2]
+    sums = np.zeros(len(b) + 1, np.uint64)
+    np.cumsum(BYTES[b] * UP(len(b)), out=sums[1:])
+    return mixed((sums[end] - sums[start]) * DOWN(len(b) + 1)[start]) ^ (end - start).astype(np.uint64)
+
+
+def _parts(raw: bytes) -> list[bytes]:
+    """The words in parts of about half of PART, or of one word that is longer."""
+    out: list[bytes] = []
+    held: list[bytes] = []
+    size = 0
+    for w in raw.split():
+        if held and size + len(w) > PART // 2:
+            out.append(b" ".join(held))
+            held, size = [], 0
+        held.append(w)
+        size += len(w) + 1
+    return [*out, b" ".join(held)]
+
+
 def runs(words: np.ndarray, size: int) -> np.ndarray:
     """A hash of each run of so many words, by its start."""
     n = max(0, len(words) - size + 1)
@@ -39,14 +77,15 @@ def runs(words: np.ndarray, size: int) -> np.ndarray:
     return mixed(h)
 
 
-def shingle_set(text: str | None, words: Words, size: int = 5) -> np.ndarray:
+def shingle_set(text: str | None, size: int = 5) -> np.ndarray:
     """Sorted distinct shingles; with fewer words the whole sequence is one; none without words.
 
-    bytes.lower() lowers A-Z alone and bytes.split() cuts at space and \\x09-\\x0D alone.
+    bytes.lower() lowers A-Z alone.
     """
-    found = words((text or "").encode().lower().split())
+    found = word_hashes((text or "").encode().lower())
     if not len(found):
         return found
     # a sequence of fewer words is told from others by its length
     own = runs(found, size) if len(found) >= size else runs(found, len(found)) + np.uint64(len(found))
-    return np.unique(own)
+    own.sort()
+    return own[np.concatenate([[True], own[1:] != own[:-1]])]

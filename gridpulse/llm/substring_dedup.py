@@ -30,25 +30,10 @@ from pyspark.sql import types as T
 from gridpulse.llm.common import durable, partitions
 from gridpulse.llm.fm_index import FMIndex
 from gridpulse.llm.ngram_join import _bit, needed_bits
-from gridpulse.llm.shingles import FACTOR, Words, mixed, runs
+from gridpulse.llm.shingles import FACTOR, Powers, inverse, mixed, runs, word_hashes
 
 SIZE, K, MOST = 35, 8, 64
-SHARD_WORDS, ROWS = 1 << 18, 1024
-INVERSE = np.uint64(pow(int(FACTOR), -1, 1 << 64))
-
-
-class Powers:
-    """Powers of a factor modulo 2^64, grown as texts need them."""
-
-    def __init__(self, factor: np.uint64):
-        self.factor, self.held = factor, np.ones(1, np.uint64)
-
-    def __call__(self, n: int) -> np.ndarray:
-        if n > len(self.held):
-            grown = np.full(max(n, 2 * len(self.held)), self.factor, np.uint64)
-            grown[0] = 1
-            self.held = np.cumprod(grown)
-        return self.held[:n]
+SHARD_WORDS, ROWS = 1 << 19, 1024
 
 
 def segments(words: np.ndarray, up: Powers, down: Powers) -> tuple[np.ndarray, ...]:
@@ -85,15 +70,15 @@ def all_segments(docs: DataFrame) -> DataFrame:
     names = ["least", "whole", "doc_id", "th", "start", "windows", "twice"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, up, down = Words(), Powers(FACTOR), Powers(INVERSE)
+        up, down = Powers(FACTOR), Powers(inverse(FACTOR))
         for whole in batches:
             for at in range(0, whole.num_rows, ROWS):
                 b, out = whole.slice(at, ROWS), []
                 ids, hashes = (b.column(k).fill_null(0).to_numpy() for k in (0, 1))
                 for i, text in enumerate(b.column(2).to_pylist()):
-                    w = (text or "").encode().split()
+                    w = word_hashes((text or "").encode())
                     if len(w) >= SIZE:
-                        least, seg, start, length, twice = segments(words(w), up, down)
+                        least, seg, start, length, twice = segments(w, up, down)
                         k = len(start)
                         out.append((least.view(np.int64), seg.view(np.int64), np.full(k, ids[i]), np.full(k, hashes[i]), start.astype(np.int32), length.astype(np.int32), twice))
                 if out:
@@ -118,8 +103,9 @@ def contents(texts: DataFrame) -> DataFrame:
 def search(contents_: DataFrame, n: int) -> DataFrame:
     """(least, whole, mask): the repeated windows of segments with one place, as packed bits."""
 
-    def shard(rows: list[tuple], words: Words) -> Iterator[pa.RecordBatch]:
-        index = FMIndex([words(r[3].split()) for r in rows])
+    def shard(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+        ends = np.cumsum([r[3].count(b" ") + 1 for r in rows])
+        index = FMIndex(np.split(word_hashes(b" ".join([r[3] for r in rows])), ends[:-1]))
         asked = np.array([i for i, r in enumerate(rows) if r[2] == 1], np.int64)
         if len(asked):
             found = [(rows[i][0], rows[i][1], np.packbits(m).tobytes()) for i, m in zip(asked, index.repeated(asked, SIZE)) if m.any()]
@@ -127,19 +113,19 @@ def search(contents_: DataFrame, n: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found), (pa.int64(), pa.int64(), pa.binary()))], names=["least", "whole", "mask"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, held, size, last = Words(), [], 0, None
+        held, size, last = [], 0, None
         for b in batches:
             for row in zip(*(b.column(k).to_pylist() for k in range(4))):
                 if row[:2] == last:
                     continue
                 if size >= SHARD_WORDS and row[0] != last[0]:
-                    yield from shard(held, words)
+                    yield from shard(held)
                     held, size = [], 0
                 held.append(row)
                 size += row[3].count(b" ") + 2
                 last = row[:2]
         if held:
-            yield from shard(held, words)
+            yield from shard(held)
 
     dealt = contents_.repartition(n, "least").sortWithinPartitions("least", "whole")
     return dealt.mapInArrow(run, "least long, whole long, mask binary")
@@ -166,7 +152,7 @@ def repeated_parts(docs: DataFrame) -> DataFrame:
     """(doc_id, th, parts): for documents with repeated windows, their segments; th is the text's hash."""
     n = partitions(docs.sparkSession)
     named = docs.select(F.coalesce("doc_id", F.lit(0)).cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), "text")
-    rows = all_segments(named)
+    rows = durable(all_segments(named), "rows")
     several = rows.groupBy("least").agg(F.sum(F.lit(1) + F.col("twice").cast("int")).alias("c")).where("c > 1").select("least")
     hits = durable(rows.join(several, "least"), "hits")
     distinct = hits.groupBy("least", "whole").agg(
