@@ -25,6 +25,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 from tokenizers import Tokenizer, models
 
+from gridpulse.llm.common import bounded_batches
+
 #: Pieces of more characters are encoded by tree concatenation, from leaves of LEAF characters.
 LONG, LEAF, WINDOW, MARGIN = 2048, 512, 8, 2
 CACHE = 1 << 19
@@ -223,4 +225,4 @@ def _mapped(df: DataFrame, path: str, source: str, rows: int, new: dict[str, T.D
                 made = work(c, batch.column(0).to_pylist())
                 yield pa.RecordBatch.from_arrays([*batch.columns[1:], *made], names=[*keep, *new])
 
-    return df.select(source, *keep).mapInArrow(run, schema)
+    return bounded_batches(df).select(source, *keep).mapInArrow(run, schema)

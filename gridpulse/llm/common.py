@@ -34,3 +34,12 @@ def durable(df: DataFrame, label: str) -> DataFrame:
 
 def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+def bounded_batches(df: DataFrame, rows: int = 1024) -> DataFrame:
+    """df, with so many rows at most in the batches that Python workers get: whole texts are long.
+
+    Spark has no setting for one plan alone, so this holds for the session.
+    """
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    return df

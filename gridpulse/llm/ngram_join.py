@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridpulse.llm.common import durable, partitions
+from gridpulse.llm.common import bounded_batches, durable, partitions
 from gridpulse.llm.components import components
 from gridpulse.llm.shingles import shingle_set
 
@@ -124,7 +124,7 @@ def postings(docs: DataFrame, order: np.ndarray, buckets: int) -> DataFrame:
                 for text in whole.slice(at, ROWS).column(0).to_pylist():
                     s = shingle_set(text)
                     if len(s) and (cls := class_of(s)) not in seen:
-                        if len(seen) < 1 << 20:
+                        if len(seen) < 1 << 16:
                             seen.add(cls)
                         k = rarest(s, shared.value)
                         keys.append(k)
@@ -335,8 +335,7 @@ def _searched(groups: DataFrame, by: list[str]) -> DataFrame:
 
 def join_components(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id for each row of docs."""
-    spark = docs.sparkSession
-    n = partitions(spark)
+    n = partitions(bounded_batches(docs).sparkSession)
     summary = durable(summarise(docs), "summary")
     sizes = summary.where("chunk IS NULL").select("doc_id", "n", "cls")
     classes = durable(sizes.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("holder")), "classes")

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridpulse.llm.bpe_codec import codec
-from gridpulse.llm.common import durable
+from gridpulse.llm.common import bounded_batches, durable
 
 CAPACITY = 2048
 
@@ -48,7 +48,7 @@ def cut(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = 0, r
                     [pa.array(col, kind) for col, kind in zip(zip(*out), _KINDS)], names=_NAMES
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(
+    return bounded_batches(docs).select("doc_id", "text").mapInArrow(
         run, "doc_id long, piece int, start long, length long, ids_crc32 long, part int, nth long"
     )
 

@@ -24,7 +24,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-PASSAGE, PER_CLASS = 256, 2500
+from gridpulse.llm.common import bounded_batches
+
+PASSAGE, PER_CLASS = 256, 1500
 HIDDEN, GATE, EPOCHS, BATCH, RATE, DECAY = 24, 12, 20, 64, 3e-3, 1e-4
 
 #: Classes of bytes; every byte outside ASCII is in one of two.
@@ -162,7 +164,7 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Att
         return None
     pick = lambda q: known.where(F.col("quality") == q).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class)
     sample = pick(0).unionByName(pick(1)).withColumnRenamed("doc_id", "_id")
-    rows = docs.select("doc_id", "text").join(F.broadcast(sample), F.col("doc_id") == F.col("_id")).select("doc_id", "quality", "text")
+    rows = bounded_batches(docs).select("doc_id", "text").join(F.broadcast(sample), F.col("doc_id") == F.col("_id")).select("doc_id", "quality", "text")
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -195,7 +197,7 @@ def score(docs: DataFrame, model: AttentionMIL | None, text: str = "text", out:
                 yield pa.RecordBatch.from_arrays([*b.columns, pa.array(y, pa.float64())], names=[*keep, out])
 
     fields = [*docs.select(*keep).schema, T.StructField(out, T.DoubleType())]
-    return docs.select(*keep).mapInArrow(run, T.StructType(fields))
+    return bounded_batches(docs).select(*keep).mapInArrow(run, T.StructType(fields))
 
 
 def report(docs: DataFrame, labels: DataFrame) -> DataFrame:

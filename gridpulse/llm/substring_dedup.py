@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gridpulse.llm.common import durable, partitions
+from gridpulse.llm.common import bounded_batches, durable, partitions
 from gridpulse.llm.fm_index import FMIndex
 from gridpulse.llm.ngram_join import _bit, needed_bits
 from gridpulse.llm.shingles import FACTOR, Powers, inverse, mixed, runs, word_hashes
@@ -150,7 +150,7 @@ PARTS = "array<struct<start:int,windows:int,mask:binary>>"
 
 def repeated_parts(docs: DataFrame) -> DataFrame:
     """(doc_id, th, parts): for documents with repeated windows, their segments; th is the text's hash."""
-    n = partitions(docs.sparkSession)
+    n = partitions(bounded_batches(docs).sparkSession)
     named = docs.select(F.coalesce("doc_id", F.lit(0)).cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), "text")
     rows = durable(all_segments(named), "rows")
     several = rows.groupBy("least").agg(F.sum(F.lit(1) + F.col("twice").cast("int")).alias("c")).where("c > 1").select("least")
