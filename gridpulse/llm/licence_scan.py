@@ -7,6 +7,10 @@ rule takes stays visible as known sentences without a licence.
 
 The tables are fixed in size, so the lookup travels with the plan; the scan is one narrow pass.
 
+Published notices are wrapped, commented and cut by blank lines: find_published() reads them. There, line ends,
+colons, semicolons and the edges of addresses may end a sentence and may also stand within one; stops before white space
+always end it. A sentence that follows other words on its line with no such sign between is not told from them.
+
 Defined results: null and empty texts have an empty sequence and no licence; repeated rows are scanned
 each for itself; sentences repeated in a text count each time.
 """
@@ -60,6 +64,41 @@ RULES = (
     ("Unlicense", (20,)),
     ("Proprietary", (21,)),
 )
+#: The sentences of published notices, with all their known forms by identifier; those above are among them.
+PUBLISHED = {k: (s,) for k, s in SENTENCES.items()} | {
+    1: (SENTENCES[1], "licensed under the apache license version 2 0 the license"),
+    3: (SENTENCES[3], "you may obtain a copy of the license at https www apache org licenses license 2 0"),
+    5: (
+        SENTENCES[5],
+        f"{SENTENCES[5]} including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions",
+    ),
+    7: (
+        SENTENCES[7],
+        f"{SENTENCES[7]} including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement",
+    ),
+    22: ("unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied",),
+    23: ("see the license for the specific language governing permissions and limitations under the license",),
+    24: ("in no event shall the authors or copyright holders be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software",),
+    25: ("you should have received a copy of the gnu general public license along with this program",),
+    26: ("this software is provided by the copyright holders and contributors as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed",),
+    27: tuple(
+        f"in no event shall the copyright {who} or contributors be liable for any direct indirect incidental special exemplary or consequential damages including but not limited to procurement of substitute goods or services loss of use data or profits or business interruption however caused and on any theory of liability whether in contract strict liability or tort including negligence or otherwise arising in any way out of the use of this software even if advised of the possibility of such damage"
+        for who in ("holder", "holders", "owner")
+    ),
+}
+#: Whole notices come first. "All rights reserved" before the permission belongs to the notice.
+PUBLISHED_RULES = tuple(
+    (name, sequence)
+    for name, own in (
+        ("GPL-3.0-or-later", (9, 10, 11, 25)),
+        ("BSD-3-Clause", (15, 16, 17, 18, 26, 27)),
+        ("BSD-2-Clause", (15, 16, 17, 26, 27)),
+        ("MIT", (5, 6, 7, 24)),
+        ("Apache-2.0", (1, 2, 3, 22, 23)),
+        *RULES,
+    )
+    for sequence in ([(21, *own)] if own[0] in (1, 5, 9, 15) else []) + [own]
+)
 #: Ends of sentences: line ends, and stops before white space.
 BREAK = r"[.!?]*[\n\r]+|[.!?]+[\t\f ]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -78,6 +117,11 @@ def find_licences(docs: DataFrame, text: str = "text", sentences: dict[int, str]
     ids = F.array_compact(
         F.transform(cut, lambda s: F.when(F.length(s) >= shortest, F.element_at(known, normalise(s))))
     )
+    return _with_licences(docs, text, ids, rules)
+
+
+def _with_licences(docs: DataFrame, text: str, ids: Column, rules) -> DataFrame:
+    """docs without text, with what the rules find in ids, an array of <id>s."""
     found = F.col("sentence_ids")
     for k, (_, sequence) in enumerate(rules):
         found = F.replace(found, F.lit("".join(f"<{i}>" for i in sequence)), F.lit(f"[{k}]"))
@@ -97,6 +141,35 @@ def find_licences(docs: DataFrame, text: str = "text", sentences: dict[int, str]
     )
 
 
+ADDRESS = r"https?://[^\t\f\n ]+"
+#: What a text's characters become before it is marked; what marks it is no character of its own.
+FROM, TO = UPPER + "()<>\r;", LOWER + "    \n:"
+
+
+def marked(text: Column) -> Column:
+    """The text's words with one space, )( or >< between them, and >< at both ends: )( may end a sentence, >< does."""
+    t = F.regexp_replace(F.translate(text, FROM, TO), f"({ADDRESS})", ":$1:")
+    t = F.translate(F.regexp_replace(t, r"[.!?][\t\f\n ]", ">"), "\n:", "))")
+    t = F.regexp_replace(F.concat(F.lit("> "), t, F.lit(" >")), "[^a-z0-9>)]+", " ")
+    # each pattern begins with one character at most, so runs of signs take linear time
+    t = F.regexp_replace(F.regexp_replace(t, r" ?\)[ )]*", ")"), "[ )]?>[ )>]*", ">")
+    return F.replace(F.replace(t, F.lit(">"), F.lit("><")), F.lit(")"), F.lit(")("))
+
+
+def _forms(sentences: dict[int, tuple[str, ...]]) -> str:
+    """A pattern of all known forms, longest first, within which any space may be a possible end."""
+    forms = sorted((form for own in sentences.values() for form in own), key=len, reverse=True)
+    return "[<(](" + "|".join(form.replace(" ", r"(?: |\)\()") for form in forms) + ")[>)]"
+
+
+def find_published(docs: DataFrame, text: str = "text", sentences: dict[int, tuple[str, ...]] = PUBLISHED, rules=PUBLISHED_RULES) -> DataFrame:
+    """As find_licences, for notices in their published form, wrapped or not."""
+    known = F.create_map(*[F.lit(x) for k, own in sentences.items() for form in own for x in (form, f"<{k}>")])
+    found = F.regexp_extract_all(marked(F.coalesce(F.col(text), F.lit(""))), F.lit(_forms(sentences)), F.lit(1))
+    ids = F.transform(found, lambda s: F.element_at(known, F.replace(s, F.lit(")("), F.lit(" "))))
+    return _with_licences(docs, text, ids, rules)
+
+
 def oracle() -> str:
     """The same in DuckDB's SQL, from the same tables."""
     quote = lambda s: "'" + s.replace("'", "''") + "'"
@@ -124,3 +197,34 @@ SELECT doc_id, ids AS sentence_ids, n_known,
        CAST(len(rules) AS BIGINT) AS n_licences
 FROM ruled
 """
+
+
+def published_oracle() -> str:
+    """find_published in DuckDB's SQL, from the same tables."""
+    quote = lambda s: "'" + s.replace("'", "''") + "'"
+    forms = ", ".join(quote(form) for own in PUBLISHED.values() for form in own)
+    names = ", ".join(f"'<{k}>'" for k, own in PUBLISHED.items() for _ in own)
+    found = "ids"
+    for k, (_, sequence) in enumerate(PUBLISHED_RULES):
+        found = f"replace({found}, '{''.join(f'<{i}>' for i in sequence)}', '[{k}]')"
+    licences = "[" + ", ".join(quote(n) for n, _ in PUBLISHED_RULES) + "]"
+    return f"""
+WITH addressed AS (
+  SELECT doc_id, regexp_replace(translate(coalesce(text, ''), {quote(FROM)}, {quote(TO)}), '({ADDRESS})', ':\\1:', 'g') AS t FROM documents
+), ends AS (
+  SELECT doc_id, '> ' || translate(regexp_replace(t, '[.!?][\\t\\f\\n ]', '>', 'g'), {quote(chr(10) + ':')}, '))') || ' >' AS t FROM addressed
+), words AS (
+  SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(t, '[^a-z0-9>)]+', ' ', 'g'), ' ?\\)[ )]*', ')', 'g'), '[ )]?>[ )>]*', '>', 'g') AS t FROM ends
+), hits AS (
+  SELECT doc_id, list_transform(regexp_extract_all(replace(replace(t, '>', '><'), ')', ')('), {quote(_forms(PUBLISHED))}, 1),
+    lambda s: [{names}][list_position([{forms}], replace(s, ')(', ' '))]) AS hit FROM words
+), sequences AS (
+  SELECT doc_id, array_to_string(hit, '') AS ids, CAST(len(hit) AS BIGINT) AS n_known FROM hits
+), ruled AS (
+  SELECT *, regexp_extract_all({found}, '\\[([0-9]+)\\]', 1) AS rules FROM sequences
+)
+SELECT doc_id, ids AS sentence_ids, n_known,
+       array_to_string(list_transform(rules, lambda k: {licences}[CAST(k AS INTEGER) + 1]), ',') AS licences,
+       CAST(len(rules) AS BIGINT) AS n_licences
+FROM ruled
+"""

@@ -28,6 +28,10 @@ def op3_licence_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licence_scan.find_licences(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op3_published_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licence_scan.find_published(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op4_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     coded = bpe_codec.encode_decode(docs, vocabulary())
@@ -85,6 +89,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_ngram_join": op1_ngram_join,
         "op2_pii_anchors": op2_pii_anchors,
         "op3_licence_rules": op3_licence_rules,
+        "op3_published_licences": op3_published_licences,
         "op4_bpe_codec": op4_bpe_codec,
         "op5_hilbert_ann": op5_hilbert_ann,
         "op6_attention_quality": op6_attention_quality,
@@ -96,4 +101,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_licence_rules": licence_scan.oracle(), "op8_segment_topk": OP8_SQL}
+    return {"op3_licence_rules": licence_scan.oracle(), "op3_published_licences": licence_scan.published_oracle(), "op8_segment_topk": OP8_SQL}
