@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridpulse.functions import exprs
+from gridpulse.operators import evaluate, timeseries
 from gridpulse.operators.timeseries import valid_pairs
 from gridpulse.schema import Channel, holds
 
@@ -91,6 +92,54 @@ def horizon_thresholds(features: DataFrame, names: Sequence[str], q: float = 0.9
     return features.agg(*[F.percentile(c, F.lit(q)).alias(c) for c in names])
 
 
+#: The study's features of a window, and its windows' lengths in minutes.
+FEATURES = ("last", "maximum", "mean", "slope_per_min", "variability", "max_gap_min", "missing_frac")
+HORIZONS = (60.0, 360.0, 1440.0)
+
+
+def horizon_study(samples: DataFrame, cutoff: float, keys: Sequence[str], horizons: Sequence[float] = HORIZONS, q: float = 0.99) -> DataFrame:
+    """By horizon and feature: the calibration windows' quantile, and how many event and normal windows exceed it.
+
+    samples: keys, idx, ts_min, value. Windows of the calibration lie before the cutoff, those of an event in [crossing - horizon,
+    crossing), normal ones on the rows from the cutoff on outside all zones of the events from then on. An event window
+    without samples exceeds nothing.
+    """
+    early, late = split_chronological(samples, cutoff)
+    early = guard_no_test_leakage(early, cutoff)
+    # zones are cut at the event before among those from the cutoff on, as in the reference
+    zones = evaluate.event_zones(evaluate.rising_crossings(samples, keys).where(F.col("crossing_ts") >= cutoff), keys)
+    normal = evaluate.zone_index(late, zones, keys).where(F.col("event_id").isNull()).select(*samples.columns)
+    n_events = zones.agg(F.count("*").alias("n_events"))
+    out = None
+    for h in horizons:
+
+        def features(rows: DataFrame, by: str) -> DataFrame:
+            found = timeseries.horizon_features(rows, "value", (*keys, by), "ts_min")
+            return found.unpivot([*keys, by], list(FEATURES), "feature", "x")
+
+        cal = features(timeseries.sliding_windows(early, h, ts_min="ts_min", keys=keys), "window_start")
+        limits = cal.groupBy("feature").agg(F.percentile("x", F.lit(q)).alias("threshold"))
+        before = _event_windows(samples, zones, keys, h)
+        hits = features(before, "event_id").join(F.broadcast(limits), "feature").groupBy("feature").agg(F.count_if(F.col("x") > F.col("threshold")).alias("hits"))
+        found = features(timeseries.sliding_windows(normal, h, ts_min="ts_min", keys=keys), "window_start").join(F.broadcast(limits), "feature")
+        found = found.groupBy("feature").agg(F.count_if(F.col("x") > F.col("threshold")).alias("over"), F.count("*").alias("windows"))
+        one = limits.join(hits, "feature", "left").join(found, "feature", "left").crossJoin(n_events).select(  # one row
+            F.lit(float(h)).alias("horizon_min"), "feature", F.round("threshold", 4).alias("calibration_q99_threshold"),
+            F.coalesce("hits", F.lit(0)).alias("event_windows_flagged"), "n_events", F.round(F.col("over") / F.col("windows"), 4).alias("normal_windows_flagged_frac"),
+            F.coalesce("windows", F.lit(0)).alias("n_normal_windows"),
+        )
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def _event_windows(samples: DataFrame, zones: DataFrame, keys: Sequence[str], length: float) -> DataFrame:
+    """The samples in [crossing - length, crossing) with event_id, by an equi-join on slots of that length."""
+    slot = lambda t: F.floor(t / length)
+    at = zones.select(*keys, "event_id", F.col("crossing_ts").alias("_c")).withColumn("_slot", F.explode(F.array(slot(F.col("_c")), slot(F.col("_c")) - 1)))
+    rows = samples.withColumn("_slot", slot(F.col("ts_min"))).join(at, [*keys, "_slot"])
+    return rows.where((F.col("ts_min") >= F.col("_c") - length) & (F.col("ts_min") < F.col("_c"))).drop("_slot", "_c")
+
+
 def binomial_cdf(k: int, n: int, p: float) -> float:
     if k < 0:
         return 0.0

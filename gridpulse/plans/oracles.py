@@ -360,6 +360,30 @@ WINDOWS = """sp AS (SELECT user_id, min(t) AS t0, max(t) AS t1 FROM ev GROUP BY
   greatest(0.0, 1 - count(*) / ((max(t) - min(t)) / 15.0 + 1)) AS missing_frac FROM wg GROUP BY 1, 2)"""
 _add("horizon_features", [EV, WINDOWS], "SELECT user_id, " + ", ".join(f"round({c}, 4) AS {c}" for c in ("window_start", "last", "maximum", "mean", "slope_per_min", "variability", "max_gap_min", "missing_frac")) + " FROM hf")
 _add("horizon_thresholds", [EV, WINDOWS], "SELECT " + ", ".join(f"{_q(c, 0.99, 4)} AS {c}" for c in ("last", "maximum", "mean", "variability")) + " FROM hf")
+_FEATURES = ("last", "maximum", "mean", "slope_per_min", "variability", "max_gap_min", "missing_frac")
+_long = lambda frm: " UNION ALL ".join(f"SELECT h, '{c}' AS feature, {c} AS x FROM {frm}" for c in _FEATURES)
+#: Windows of rows (user_id, h, w, ts_min, value), each with its features.
+_features = lambda rows, name: f"""{name}g AS (SELECT *, ts_min - lag(ts_min) OVER (PARTITION BY user_id, h, w ORDER BY ts_min) AS gap FROM {rows}
+), {name} AS (SELECT user_id, h, w, arg_max(value, ts_min) AS last, max(value) AS maximum, avg(value) AS mean,
+  CASE WHEN max(ts_min) > min(ts_min) THEN (arg_max(value, ts_min) - arg_min(value, ts_min)) / (max(ts_min) - min(ts_min)) ELSE 0.0 END AS slope_per_min,
+  stddev_pop(value) AS variability, coalesce(max(gap), 0.0) AS max_gap_min, greatest(0.0, 1 - count(*) / ((max(ts_min) - min(ts_min)) / 15.0 + 1)) AS missing_frac FROM {name}g GROUP BY 1, 2, 3
+), {name}x AS ({_long(name)})"""
+_sliding = lambda frm, name: f"""{name} AS (
+  SELECT s.user_id, h, p.t0 + k * 60.0 AS w, ts_min, value
+  FROM (SELECT user_id, min(ts_min) AS t0, max(ts_min) AS t1 FROM {frm} GROUP BY 1) p, hs, range(0, 3000) r(k), {frm} s
+  WHERE s.user_id = p.user_id AND p.t0 + k * 60.0 + h <= p.t1 AND ts_min >= p.t0 + k * 60.0 AND ts_min < p.t0 + k * 60.0 + h)"""
+_add("horizon_study", [EV, SAMPLES, CROSSINGS, f"""zo AS (
+  SELECT *, greatest(crossing_ts - 60.0, coalesce(lag(recovery_ts) OVER (PARTITION BY user_id ORDER BY event_id), -1e18)) AS zone_start FROM cr WHERE crossing_ts >= {CUTOFF})""",
+    "hs AS (SELECT unnest([60.0::DOUBLE, 360.0, 1440.0]) AS h)", f"ca AS (SELECT * FROM sa WHERE ts_min < {CUTOFF})",
+    f"""no AS (SELECT * FROM sa s WHERE ts_min >= {CUTOFF} AND NOT EXISTS (
+  SELECT 1 FROM zo z WHERE z.user_id = s.user_id AND s.ts_min > z.zone_start AND (z.recovery_ts IS NULL OR s.ts_min <= z.recovery_ts)))""",
+    _sliding("ca", "cw"), _features("cw", "cf"), _sliding("no", "nw"), _features("nw", "nf"),
+    "ew AS (SELECT s.user_id, h, z.event_id AS w, s.ts_min, s.value FROM zo z, hs, sa s WHERE s.user_id = z.user_id AND s.ts_min >= z.crossing_ts - h AND s.ts_min < z.crossing_ts)",
+    _features("ew", "ef"), "th AS (SELECT h, feature, quantile_cont(x, 0.99) AS q FROM cfx GROUP BY 1, 2)"], """
+SELECT h AS horizon_min, feature, round(q, 4) AS calibration_q99_threshold,
+  (SELECT count(*) FROM efx e WHERE e.h = th.h AND e.feature = th.feature AND x > q) AS event_windows_flagged, (SELECT count(*) FROM zo) AS n_events,
+  (SELECT round(count(*) FILTER (x > q) / count(*), 4) FROM nfx n WHERE n.h = th.h AND n.feature = th.feature) AS normal_windows_flagged_frac,
+  (SELECT count(*) FROM nfx n WHERE n.h = th.h AND n.feature = th.feature) AS n_normal_windows FROM th""")
 BAND = "ba AS (SELECT user_id, event_id, pv AS t0, value AS t1, 20.0::DOUBLE AS ta, dt FROM st WHERE dt > 0 AND ((pv < 100 AND value >= 100) OR (pv >= 100 AND value < 100)))"
 _values = lambda xs, n: "(VALUES " + ", ".join(f"({float(x)}::DOUBLE)" for x in xs) + f") {n}({n})"
 _add("tau_sensitivity", [EV, STEP, BAND, f"g AS (SELECT *, ta + o AS u, dt * m AS d FROM ba, {_values((-10, -5, 0, 5, 10), 'o')}, {_values((0.5, 1, 2), 'm')})"], """

@@ -471,6 +471,11 @@ def horizon_thresholds(spark, d):
     return rounded(replay.horizon_thresholds(f, ("last", "maximum", "mean", "variability")), 4)
 
 
+@query
+def horizon_study(spark, d):
+    return replay.horizon_study(_samples(spark, d), CUTOFF, KEYS)
+
+
 def _decays(spark, d):
     r = timeseries.band_transitions(_events(spark, d), "value", 100.0, CH)
     return r.select("user_id", "event_id", F.col("prev_value").alias("t0"), F.col("value").alias("t1"), F.lit(20.0).alias("ta"), "dt_minutes")
