@@ -2,7 +2,8 @@
 
 Documents are sets of word shingles; two link when 100 * |intersection| >= 80 * |union|.
 
-1. Documents with equal sets are one class, represented by its smallest doc_id. The same pass counts shingles in a
+1. A document is a doc_id, NULL too, with a text: both make its key. Documents with equal sets are one class, represented
+   by its smallest key. The same pass counts shingles in a
    sketch of fixed size, which only orders them: rare before frequent.
 2. A set of n must share one of its n - ceil(0.8 n) + 1 rarest shingles with any set it links to. Postings of these
    meet by shingle. Pairs of classes in short lists are counted and dropped when what they share there is too little for
@@ -15,7 +16,8 @@ Documents are sets of word shingles; two link when 100 * |intersection| >= 80 *
    other blocks in a second search, so no link between components is missed.
 
 Defined results: null and empty texts and texts without words have an empty set and link with nothing; repeated rows
-with one doc_id count as one document if their texts agree (else each row is reported with the id's smallest component);
+with one doc_id count as one document if their texts agree, else as several. A component is named by its smallest doc_id that
+isn't NULL, and NULL if it has none: components that share an id may share a name, but keep_one tells them apart;
 ties don't arise, as the measure is exact. Sets are compared by 64-bit hashes of their shingles.
 """
 
@@ -27,7 +29,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridpulse.llm.common import bounded_batches, durable, partitions
@@ -55,15 +57,15 @@ def class_of(s: np.ndarray) -> int:
 
 
 def summarise(docs: DataFrame) -> DataFrame:
-    """Rows (doc_id, n, cls) for documents, and (chunk, counts) for the parts of each task's sketch."""
-    names = ["doc_id", "n", "cls", "chunk", "counts"]
+    """Rows (doc_id, key, n, cls) for documents, and (chunk, counts) for the parts of each task's sketch."""
+    names = ["doc_id", "key", "n", "cls", "chunk", "counts"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketch = np.zeros(SKETCH, np.int64)
         none = lambda k, kind: pa.nulls(k, kind)
         for b in batches:
             n, cls, cells, held = [], [], [], 0
-            for text in b.column(1).to_pylist():
+            for text in b.column(2).to_pylist():
                 s = shingle_set(text)
                 cells.append((s >> np.uint64(44)).astype(np.int32))
                 held += len(s)
@@ -75,12 +77,12 @@ def summarise(docs: DataFrame) -> DataFrame:
             if cells:
                 sketch += np.bincount(np.concatenate(cells), minlength=SKETCH)
             k = len(n)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(cls, pa.int64()), none(k, pa.int32()), none(k, pa.binary())], names=names)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int64()), pa.array(cls, pa.int64()), none(k, pa.int32()), none(k, pa.binary())], names=names)
         parts = [sketch[i : i + CHUNK].astype(np.uint32).tobytes() for i in range(0, SKETCH, CHUNK)]
         k = len(parts)
-        yield pa.RecordBatch.from_arrays([none(k, pa.int64()), none(k, pa.int64()), none(k, pa.int64()), pa.array(range(k), pa.int32()), pa.array(parts, pa.binary())], names=names)
+        yield pa.RecordBatch.from_arrays([*[none(k, pa.int64())] * 4, pa.array(range(k), pa.int32()), pa.array(parts, pa.binary())], names=names)
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, cls long, chunk int, counts binary")
+    return docs.select("doc_id", "key", "text").mapInArrow(run, "doc_id long, key long, n long, cls long, chunk int, counts binary")
 
 
 def sketch_of(summary: DataFrame) -> np.ndarray:
@@ -308,7 +310,7 @@ def sets_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
         for whole in batches:
             for start in range(0, whole.num_rows, ROWS):
                 b = whole.slice(start, ROWS)
-                doc = b.column(0).fill_null(0).to_numpy()
+                doc = b.column(0).to_numpy()
                 at = _bit(doc)
                 want = np.flatnonzero((shared.value[at >> 3] >> (at & 7).astype(np.uint8)) & 1)
                 if len(want):
@@ -321,7 +323,7 @@ def sets_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
 def _searched(groups: DataFrame, by: list[str]) -> DataFrame:
     def run(t: pa.Table) -> pa.Table:
         t = t.combine_chunks()
-        # rows of documents that share an id come once
+        # repeated rows of a document come once
         t = t.take(pa.array(np.unique(t.column("doc_id").to_numpy(), return_index=True)[1]))
         asks = t.column("asks").to_numpy()
         raw = [np.frombuffer(x.as_buffer(), np.uint64) for x in t.column("shingles")]
@@ -333,12 +335,20 @@ def _searched(groups: DataFrame, by: list[str]) -> DataFrame:
     return groups.groupBy(*by).applyInArrow(run, "a long, b long")
 
 
-def join_components(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id for each row of docs."""
+def key_of() -> Column:
+    """What tells documents apart: the doc_id, NULL too, with the text."""
+    return F.xxhash64(F.col("doc_id").cast("long"), F.col("doc_id").isNull(), F.col("text"))
+
+
+def _classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, key, n, cls) for each row of docs; (cls, component, low) for each class, low being its smallest doc_id."""
     n = partitions(bounded_batches(docs).sparkSession)
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), key_of().alias("key"), "text")
     summary = durable(summarise(docs), "summary")
-    sizes = summary.where("chunk IS NULL").select("doc_id", "n", "cls")
-    classes = durable(sizes.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("holder")), "classes")
+    sizes = summary.where("chunk IS NULL").select("doc_id", "key", "n", "cls")
+    classes = durable(sizes.where("n > 0").groupBy("cls").agg(F.min("key").alias("holder"), F.min("doc_id").alias("low")), "classes")
+    # from here on doc_id is a key
+    docs = docs.select(F.col("key").alias("doc_id"), "text")
     packed = postings(docs, sketch_of(summary), 4 * n)
     keys = durable(shared_keys(packed, n), "keys")
 
@@ -385,14 +395,25 @@ def join_components(docs: DataFrame) -> DataFrame:
         if not more.isEmpty():
             labels = components(links.unionByName(more))
 
-    own = classes.join(labels, classes.holder == labels.node, "left").select("cls", F.coalesce("label", "holder").alias("component"))
-    out = sizes.join(own, "cls", "left").select(
-        "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id")
+    own = classes.join(labels, classes.holder == labels.node, "left").select("cls", F.coalesce("label", "holder").alias("component"), "low")
+    return sizes, own
+
+
+def join_components(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, component_id for each row of docs."""
+    sizes, own = _classes(docs)
+    own = durable(own, "own")
+    names = own.groupBy("component").agg(F.min("low").alias("name"))
+    return sizes.join(own.join(names, "component").select("cls", "name"), "cls", "left").select(
+        "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("name")).otherwise(F.col("doc_id")).alias("component_id")
     )
-    return out
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """One document of each component stays: the one whose doc_id names it; documents without words all stay."""
-    found = join_components(docs).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(found, "doc_id", "left_semi").select(*docs.columns)
+    """One document of each component stays: the one with the smallest doc_id, NULL last; documents without words all stay."""
+    sizes, own = _classes(docs)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key"))
+    best = sizes.where("n > 0").groupBy("cls").agg(first.alias("at")).join(own, "cls")
+    kept = best.groupBy("component").agg(F.min("at").alias("at")).select(F.col("at.key").alias("_key"))
+    kept = kept.unionByName(sizes.where("n = 0").select(F.col("key").alias("_key"))).distinct()
+    return docs.withColumn("_key", key_of()).join(kept, "_key", "left_semi").select(*docs.columns)

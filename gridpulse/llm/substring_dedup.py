@@ -189,9 +189,12 @@ def drop_repeats(docs: DataFrame) -> DataFrame:
     extra = {"kept_text": T.StringType(), "n_words": T.LongType(), "n_removed": T.LongType()}
     names = [c for c in docs.columns if c not in (*extra, "parts", "th")]
     base = docs.select(*names).withColumn("th", F.xxhash64("text"))
-    ids = parts.select("doc_id")
+    # NULL ids are 0 in parts, and texts tell them from a document 0
+    parts = parts.withColumnRenamed("doc_id", "_id")
+    ids = parts.select("_id")
     free = _filtered(base, ids, False).withColumn("parts", F.lit(None).cast(PARTS))
-    held = _filtered(base, ids, True).join(parts, ["doc_id", "th"], "left").select(*names, "th", "parts")
+    held = _filtered(base, ids, True).withColumn("_id", F.coalesce("doc_id", F.lit(0)).cast("long"))
+    held = held.join(parts, ["_id", "th"], "left").select(*names, "th", "parts")
     text_at, parts_at = names.index("text"), len(names) + 1
     schema = T.StructType([*docs.select(*names).schema, *(T.StructField(k, v) for k, v in extra.items())])
 
