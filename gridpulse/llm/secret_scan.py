@@ -23,7 +23,8 @@ ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']
 ACCESS = r"AKIA[A-Z0-9]{12,}"
 HEX = r"[0-9a-f]{32,}"
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
-TOKEN = r"[A-Za-z0-9+/_=-]{20,}"
+LEAST = 20
+TOKEN = rf"[A-Za-z0-9+/_=-]{{{LEAST},}}"
 #: Words from which ordinary identifiers are put together.
 WORDS = (
     "account action address after agent amount and answer area array available back batch before between block body "
@@ -154,7 +155,9 @@ def varied(token: Column, least: int = 8) -> Column:
 def find_secrets(docs: DataFrame, model: list[float], threshold: float = 0.75, text: str = "text") -> DataFrame:
     """docs with base_spans and markov_spans: sorted arrays of structs (start, kind, end, found).
 
-    A Markov token that overlaps a base span is left out, as the base span already tells of it.
+    Of a Markov token that overlaps base spans, which already tell of what they cover, the parts outside them are scored. A
+    part too short to be a token is reported if the whole token is random and the part's own mean exceeds the threshold too; a
+    single character has no transition and is no part.
     """
     keep = [c for c in docs.columns if c not in ("base_spans", "markov_spans")]
     body = F.coalesce(F.col(text), F.lit(""))
@@ -169,12 +172,30 @@ def find_secrets(docs: DataFrame, model: list[float], threshold: float = 0.75, t
     base = base.withColumn("_hex", _spans(F.col("_body"), HEX, 2))
     base = base.withColumn("_token", _spans(F.col("_body"), TOKEN, 3))
     base = base.withColumn("base_spans", F.array_sort(F.concat("_assign", "_access", "_hex")))
-    free = lambda s: ~F.exists("base_spans", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
+    meets = lambda s: lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])
+    likely = lambda s: log_likelihood_ratio(s["found"], model) > threshold
+    part = lambda s, a, b: F.struct(
+        a.alias("start"), F.lit(3).alias("kind"), b.alias("end"), F.substring(s["found"], a - s["start"] + 1, b - a).alias("found")
+    )
+    add = lambda s, out, a, b: F.when(b - a > 1, F.concat(out, F.array(part(s, a, b)))).otherwise(out)
+    parts = lambda s: F.aggregate(
+        F.filter("base_spans", meets(s)),
+        F.struct(s["start"].alias("at"), F.array().cast(_SPANS).alias("out")),
+        lambda acc, b: F.struct(
+            F.greatest(acc["at"], b["end"]).alias("at"), add(s, acc["out"], acc["at"], b["start"]).alias("out")
+        ),
+        lambda acc: add(s, acc["out"], acc["at"], s["end"]),
+    )
+    whole = lambda s: varied(s["found"]) & likely(s)
+    told = lambda s: F.when(
+        F.exists("base_spans", meets(s)),
+        F.filter(parts(s), lambda p: F.when(F.length(p["found"]) >= LEAST, whole(p)).otherwise(likely(p) & whole(s))),
+    ).otherwise(F.when(whole(s), F.array(s)).otherwise(F.array().cast(_SPANS)))
     return base.withColumn(
         "markov_spans",
         F.when(
             F.size("_token") > 0,
-            F.filter("_token", lambda s: free(s) & varied(s["found"]) & (log_likelihood_ratio(s["found"], model) > threshold)),
+            F.flatten(F.transform("_token", told)),
         ).otherwise(F.array().cast(_SPANS)),
     ).drop("_assign", "_access", "_hex", "_token", "_body")
 
