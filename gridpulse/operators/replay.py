@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from gridpulse.functions import exprs
 from gridpulse.operators import evaluate, timeseries
+from gridpulse.operators.islands import islands
 from gridpulse.operators.timeseries import valid_pairs
 from gridpulse.schema import Channel, holds
 
@@ -81,6 +82,15 @@ def pre_window_stats(flagged: DataFrame, zones: DataFrame, keys: Sequence[str])
     )
 
 
+def replay_episodes(flagged: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Runs of rows that are flagged and outside all zones, by their first row; every other row ends a run.
+
+    Unlike in evaluate.false_alarm_episodes, a flagged run that passes through a zone is two.
+    """
+    rows = islands(flagged, holds(F.col("flagged")) & F.col("event_id").isNull(), F.lit(False), Channel("ts_min", "idx", tuple(keys)))
+    return rows.groupBy(*keys, "island").agg(F.min("ts_min").alias("start")).drop("island")
+
+
 def episodes_by_day(episodes: DataFrame, flagged: DataFrame) -> DataFrame:
     """False-alarm episodes by day of their first row, with the days that have normal samples and none."""
     days = flagged.where(F.col("event_id").isNull()).select(exprs.epoch_day(F.col("ts_min")).alias("day")).distinct()

@@ -351,6 +351,13 @@ FROM zo z LEFT JOIN fl f ON f.user_id = z.user_id AND f.event_id = z.event_id AN
 _add("episodes_by_day", [*full("jump", {"jump": 60.0}), EPISODES], """
 SELECT day, coalesce(n, 0) AS n_episodes FROM (SELECT DISTINCT CAST(floor(ts_min / 1440) AS BIGINT) AS day FROM fl WHERE event_id IS NULL)
 LEFT JOIN (SELECT CAST(floor("start" / 1440) AS BIGINT) AS day, count(*) AS n FROM ep GROUP BY 1) USING (day)""")
+_add("replay_episodes_by_day", full("jump", {"jump": 60.0}), """
+SELECT day, coalesce(n, 0) AS n_episodes FROM (SELECT DISTINCT CAST(floor(ts_min / 1440) AS BIGINT) AS day FROM fl WHERE event_id IS NULL)
+LEFT JOIN (
+  SELECT CAST(floor(ts_min / 1440) AS BIGINT) AS day, count(*) AS n
+  FROM (SELECT ts_min, alarm, lag(alarm) OVER (PARTITION BY user_id ORDER BY idx) AS before
+    FROM (SELECT *, coalesce(flagged, false) AND event_id IS NULL AS alarm FROM fl))
+  WHERE alarm AND NOT coalesce(before, false) GROUP BY 1) USING (day)""")
 WINDOWS = """sp AS (SELECT user_id, min(t) AS t0, max(t) AS t1 FROM ev GROUP BY 1
 ), ws AS (SELECT user_id, t0, t0 + k * 1440.0 AS window_start FROM sp, range(0, 60) r(k) WHERE t0 + k * 1440.0 + 2880.0 <= t1
 ), wr AS (SELECT w.user_id, w.window_start, e.t, e.value FROM ws w JOIN ev e ON e.user_id = w.user_id AND e.t >= w.window_start AND e.t < w.window_start + 2880.0

@@ -458,6 +458,12 @@ def episodes_by_day(spark, d):
     return replay.episodes_by_day(evaluate.false_alarm_episodes(f, KEYS), f)
 
 
+@query
+def replay_episodes_by_day(spark, d):
+    f, s, z = _flagged(spark, d, rules.Rule("jump", {"jump": 60.0}))
+    return replay.episodes_by_day(replay.replay_episodes(f, KEYS), f)
+
+
 @query
 def horizon_features(spark, d):
     w = timeseries.sliding_windows(_events(spark, d).select("user_id", "t", "value"), 2880.0, 1440.0, "t", KEYS)

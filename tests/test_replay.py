@@ -50,3 +50,11 @@ def test_horizon_study_follows_the_definition(spark):
     got = replay.horizon_study(df, cutoff, ["user_id"], (60.0, 360.0)).collect()
     for h in (60.0, 360.0):
         assert {x["feature"]: tuple(x)[2:] for x in got if x["horizon_min"] == h} == reference_study(samples, cutoff, h, replay.FEATURES)
+
+
+def test_a_zone_ends_an_episode(spark):
+    day = 1440.0
+    rows = [(0, 0.0, True, None), (1, 10.0, True, 1), (2, day, True, None), (3, day + 1, True, None), (4, day + 2, False, None), (5, day + 3, None, None), (6, 2 * day, True, 2), (7, 3 * day, False, None)]
+    df = spark.createDataFrame([(1, *r) for r in rows], "user_id long, idx long, ts_min double, flagged boolean, event_id long")
+    got = replay.episodes_by_day(replay.replay_episodes(df, ["user_id"]), df).collect()
+    assert {r["day"]: r["n_episodes"] for r in got} == {0: 1, 1: 1, 3: 0}
