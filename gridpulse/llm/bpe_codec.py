@@ -1,11 +1,14 @@
-"""BPE encoding and decoding of whole texts, equal to the tokenizers library's result.
+"""BPE encoding and decoding of whole texts, equal to the tokenizers library's result, by tree concatenation.
 
-A text is cut at ASCII white space, which no token of these vocabularies crosses; each piece is
-encoded once per worker and kept in a bounded cache. A long piece without white space goes through
-tree concatenation: its halves (recursively, down to leaves that the library encodes as one
-parallel batch) are joined by encoding a growing window around each join, until the window's outer
-tokens equal those that both sides had there. A sequence in which every pair of neighbours is itself
-an encoding is the encoding of the whole, so agreement on both sides makes the join exact.
+A text is cut into spans of SPAN bytes, wherever that falls, and the spans are encoded each for itself; then
+neighbours are joined, pair by pair up a tree. A join re-encodes a window around the cut and lets it grow until its
+outermost pieces (text between ASCII white space, which no token of these vocabularies crosses) are those that both sides
+had there; what lies beyond is kept. A piece without white space that is longer than a span isn't cut there: its own
+tree works on tokens. Leaves of it that the library encodes as one parallel batch are joined by encoding a growing window
+around each join, until the window's outer tokens equal those of both sides. A sequence in which every pair of
+neighbours is itself an encoding is the encoding of the whole, so agreement on both sides makes the join exact.
+
+Within a span the ids of a piece come from caches of a worker, bounded by bytes. Ids are decoded one by one.
 
 Defined results: null and empty texts have no tokens and decode to the empty text; repeated rows are
 encoded each for itself; columns of the input other than the named ones are passed on.
@@ -16,8 +19,9 @@ from __future__ import annotations
 import json
 import re
 import struct
+import sys
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -27,9 +31,12 @@ from tokenizers import Tokenizer, models
 
 from gridpulse.llm.common import bounded_batches
 
-#: Pieces of more characters are encoded by tree concatenation, from leaves of LEAF characters.
-LONG, LEAF, WINDOW, MARGIN = 2048, 512, 8, 2
-CACHE = 1 << 19
+#: Bytes of a span; a join's first window has JOIN pieces of each side.
+SPAN, JOIN = 1024, 2
+#: Leaves of an unbroken piece have LEAF characters; its joins begin with WINDOW tokens, of which MARGIN must agree.
+LEAF, WINDOW, MARGIN = 512, 8, 2
+#: Bytes of a cache's younger half; pieces of more than KEPT bytes aren't kept in it.
+CACHE_BYTES, KEPT = 12 << 20, 64
 #: Pieces of printable ASCII and precomposed Latin letters: for them lower() is all that normalising does.
 PLAIN = re.compile(r"[!-~À-ÖØ-öø-ÿ]+")
 PLAIN_RULE = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -79,27 +86,56 @@ class TreeEncoder:
             n *= 2
 
 
+class Cache:
+    """A map from texts to packed ids in two generations, each bounded by bytes: what is used survives, the rest goes."""
+
+    def __init__(self, most: int = CACHE_BYTES):
+        self.most, self.young, self.old, self.size = most, {}, {}, 0
+
+    def get(self, key):
+        found = self.young.get(key)
+        if found is None and (found := self.old.get(key)) is not None:
+            self.put(key, found)
+        return found
+
+    def put(self, key, value: bytes) -> None:
+        self.young[key] = value
+        self.size += sys.getsizeof(key) + sys.getsizeof(value) + 100  # a place in a dict takes about 100
+
+    def turn(self) -> None:
+        if self.size > self.most:
+            self.old, self.young, self.size = self.young, {}, 0
+
+
 class Codec:
-    """A tokenizers file with bounded caches from pieces of text to their ids and to what these decode to."""
+    """A tokenizers file with bounded caches from pieces of text to their ids."""
 
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
-            spec = json.load(f)
+            self.spec = json.load(f)
+        spec = self.spec
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.special = [re.escape(t["content"]) for t in spec["added_tokens"]]
         self.added = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        self.tree = TreeEncoder(spec)
-        self.names = {i: s for s, i in self.tokenizer.get_vocab(with_added_tokens=True).items()}
-        self.cache: dict[bytes, bytes] = {}
-        self.decoded: dict[bytes, bytes] = {}
-        self.words: dict[str, bytes] = {}
-        self.large: list[bytes] = []
+        self.pieces, self.words = Cache(), Cache(CACHE_BYTES // 2)
         kept = [*range(33, 127), *range(161, 173), *range(174, 256)]
         self.bytes = dict(zip([b for b in range(256) if b not in kept], range(256, 512)))
         rules = json.dumps([spec["normalizer"], spec["pre_tokenizer"]])
-        self.plain = '"Lowercase"' in rules and json.dumps(PLAIN_RULE)[1:-1] in rules and self.tokenizer.model.end_of_word_suffix
+        #: Whether white space only separates, so that pieces between it are encoded each for itself.
+        self.cuts = json.dumps(PLAIN_RULE)[1:-1] in rules and '"Removed"' in rules and not any(re.search(r"\s", t) for t in self.added)
+        self.plain = self.cuts and '"Lowercase"' in rules and self.tokenizer.model.end_of_word_suffix
+
+    @cached_property
+    def tree(self) -> TreeEncoder:
+        return TreeEncoder(self.spec)
+
+    @cached_property
+    def names(self) -> list[bytes]:
+        """What each id decodes to."""
+        found = {i: s.encode() for s, i in self.tokenizer.get_vocab(with_added_tokens=True).items()}
+        return [found.get(i, b"") for i in range(max(found) + 1)]
 
     def _plain(self, piece: str) -> bytes:
         """Ids of a PLAIN piece, word by word, through a cache of words."""
@@ -108,7 +144,9 @@ class Codec:
             ids = self.words.get(word)
             if ids is None:
                 raw = word if word.isascii() else word.encode().decode("latin-1").translate(self.bytes)
-                ids = self.words[word] = _packed([t.id for t in self.tokenizer.model.tokenize(raw)])
+                ids = _packed([t.id for t in self.tokenizer.model.tokenize(raw)])
+                if len(word) <= KEPT:
+                    self.words.put(word, ids)
             out.append(ids)
         return out[0] if len(out) == 1 else b"".join(out)
 
@@ -125,47 +163,93 @@ class Codec:
 
     def _ids(self, piece: bytes) -> bytes:
         text = piece.decode()
-        if len(piece) > LONG:
+        if len(piece) > LEAF:
             return _packed(self._long(text))
         if self.plain and PLAIN.fullmatch(text) and "<|" not in text:
             return self._plain(text)
         return _packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
-    def _fill(self, parts: list[bytes]) -> dict[bytes, bytes]:
-        """The cache, which now holds every piece."""
-        for p in self.large:  # pieces of any length aren't kept
-            self.cache.pop(p, None)
-            self.decoded.pop(p, None)
-        self.large.clear()
-        if len(self.cache) > CACHE:
-            self.cache.clear()
-        if len(self.words) > CACHE:
-            self.words.clear()
-        for p in set(parts).difference(self.cache):
-            self.cache[p] = self._ids(p)
-            if len(p) > LONG:
-                self.large.append(p)
-        return self.cache
+    def _leaf(self, raw: bytes) -> tuple[list[bytes], list[bytes]]:
+        """The pieces of a span and their ids."""
+        pieces = raw.split()
+        young = self.pieces.young
+        try:
+            return pieces, [young[p] for p in pieces]
+        except KeyError:
+            pass
+        found = []
+        for p in pieces:
+            ids = self.pieces.get(p)
+            if ids is None:
+                ids = self._ids(p)
+                if len(p) <= KEPT:
+                    self.pieces.put(p, ids)
+            found.append(ids)
+        self.pieces.turn()
+        self.words.turn()
+        return pieces, found
+
+    def _join(self, left: tuple, right: tuple, apart: bool) -> tuple:
+        """One node of two; apart: white space is at the cut."""
+        n = JOIN
+        while True:
+            a, b = min(n, len(left[0])), min(n, len(right[0]))
+            ends = len(left[0]) - a
+            window = b" ".join(left[0][ends:]) + (b" " if apart else b"") + b" ".join(right[0][:b])
+            pieces, ids = self._leaf(window)
+            same_left = not ends or (pieces[0], ids[0]) == (left[0][ends], left[1][ends])
+            same_right = b == len(right[0]) or (pieces[-1], ids[-1]) == (right[0][b - 1], right[1][b - 1])
+            if same_left and same_right:
+                return left[0][:ends] + pieces + right[0][b:], left[1][:ends] + ids + right[1][b:]
+            n *= 2
+
+    def encode(self, text: str | None, span: int = SPAN) -> bytes:
+        """Ids of a whole text, as little-endian 32-bit numbers."""
+        raw = text.encode() if text else b""
+        if not self.cuts:
+            return _packed(self.tokenizer.encode(text or "", add_special_tokens=False).ids)
+        if len(raw) <= span:
+            return b"".join(self._leaf(raw)[1])
+        cuts = spans(raw, span)
+        nodes = [self._leaf(raw[a:b]) for a, b in zip(cuts[:-1], cuts[1:])]
+        apart = [raw[c - 1] in _SPACE or raw[c] in _SPACE for c in cuts[1:-1]]
+        while len(nodes) > 1:
+            last = len(nodes) - 1
+            nodes = [self._join(nodes[i], nodes[i + 1], apart[i]) if i < last else nodes[i] for i in range(0, len(nodes), 2)]
+            apart = apart[1::2]
+        return b"".join(nodes[0][1])
 
     def ids(self, texts: list[str | None]) -> Iterator[bytes]:
         """For each text its ids, as little-endian 32-bit numbers."""
-        for text in texts:
-            parts = text.encode().split() if text else []
-            yield b"".join(map(self._fill(parts).__getitem__, parts))
+        return map(self.encode, texts)
+
+    def decode(self, ids: bytes) -> bytes:
+        """The text of packed ids, special tokens included."""
+        numbers = struct.unpack(f"<{len(ids) // 4}i", ids)
+        if self.spec["decoder"] is None:  # then the library puts a space between tokens
+            return b" ".join(map(self.names.__getitem__, numbers))
+        return self.tokenizer.decode(numbers, skip_special_tokens=False).encode()
+
+
+_SPACE = b" \t\n\r\x0b\x0c"
+_NEXT = re.compile(rb"[ \t-\r]")
 
-    def both(self, texts: list[str | None]) -> Iterator[tuple[bytes, bytes]]:
-        """ids(), and the tokens joined by spaces, which is how this vocabulary decodes."""
-        for text in texts:
-            parts = text.encode().split() if text else []
-            cache, names = self._fill(parts), self.decoded
-            if len(names) > CACHE:
-                names.clear()
-            for p in set(parts).difference(names):
-                names[p] = self._names(cache[p])
-            yield b"".join(map(cache.__getitem__, parts)), b" ".join(filter(None, map(names.__getitem__, parts)))
 
-    def _names(self, ids: bytes) -> bytes:
-        return " ".join(map(self.names.__getitem__, struct.unpack(f"<{len(ids) // 4}i", ids))).encode()
+def spans(raw: bytes, span: int = SPAN) -> list[int]:
+    """Where raw is cut: every span bytes, before a character; not within a piece that goes on for longer than a span."""
+    cuts, at = [0], span
+    while at < len(raw):
+        while raw[at] & 0xC0 == 0x80:
+            at -= 1
+        gap = _NEXT.search(raw, at)
+        end = gap.start() if gap else len(raw)
+        if end - at > span:  # the whole rest of an unbroken piece, from the white space before it
+            if end >= len(raw):
+                break
+            at = end
+        cuts.append(at)
+        at += span
+    return [*cuts, len(raw)]
 
 
 def _packed(ids: list[int]) -> bytes:
@@ -198,8 +282,8 @@ def encode_decode(
     """encode(), and beside the ids what they decode to: decode() of the ids in the same pass."""
 
     def both(c: Codec, texts: list[str | None]) -> list[pa.Array]:
-        done = list(c.both(texts))
-        return [_lists([x[0] for x in done]), pa.array([x[1] for x in done], pa.binary()).cast(pa.string())]
+        done = list(c.ids(texts))
+        return [_lists(done), pa.array(map(c.decode, done), pa.binary()).cast(pa.string())]
 
     return _mapped(docs, path, text, rows, {ids: T.ArrayType(T.IntegerType()), decoded: T.StringType()}, both)
 
@@ -208,7 +292,7 @@ def decode(coded: DataFrame, path: str, ids: str = "ids", decoded: str = "decode
     """coded without ids, with the text that they decode to, special tokens included; null or no ids give the empty text."""
 
     def back(c: Codec, rows_: list[list[int] | None]) -> list[pa.Array]:
-        return [pa.array([c.tokenizer.decode(x or [], skip_special_tokens=False) for x in rows_], pa.string())]
+        return [pa.array([c.decode(_packed(x or [])) for x in rows_], pa.binary()).cast(pa.string())]
 
     return _mapped(coded, path, ids, rows, {decoded: T.StringType()}, back)
 

@@ -13,9 +13,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder all executors share; a temporary one only where the session names none."""
+    """The folder all executors share. Where the session names none, a temporary one will do on a single machine only."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="gridpulse-")
         spark.sparkContext.setCheckpointDir(root)
     return root.rstrip("/")
@@ -36,10 +38,18 @@ def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
-def bounded_batches(df: DataFrame, rows: int = 1024) -> DataFrame:
-    """df, with so many rows at most in the batches that Python workers get: whole texts are long.
+#: What a Python worker gets at once: so many rows, and bytes (a longer row comes alone).
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": 1024, "spark.sql.execution.arrow.maxBytesPerBatch": 4 << 20}
 
-    Spark has no setting for one plan alone, so this holds for the session.
+
+def bounded_batches(df: DataFrame) -> DataFrame:
+    """df, with batches for Python workers that are bounded by rows and by bytes: whole texts are long.
+
+    Spark has no setting for one plan alone, so this holds for the session; a bound that is lower already stays.
     """
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    conf = df.sparkSession.conf
+    for name, most in BATCH.items():
+        now = int(conf.get(name).rstrip("b"))
+        if not 0 < now <= most:
+            conf.set(name, str(most))
     return df
