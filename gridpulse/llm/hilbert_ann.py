@@ -2,18 +2,24 @@
 
 Each curve turns and projects the unit vectors by a random rotation of its own, shifts them within the
 cube and orders them along a Hilbert curve. Spark range-partitions the keys; a vector's place in its
-ordering gives its block. A query meets the blocks within w of its own on every curve; what it finds there
-is ranked by the exact cosine on the original vectors, and the curves' results are merged.
+ordering follows. An ordering is dealt in contiguous ranges, to which the w places before and after each are copied, so
+that a query meets all within w places of its own in one range and is answered once a curve. What the curves found is
+merged and ranked by the exact cosine on the original vectors.
+
+What travels 24 times is not the vectors but their directions in one byte a component; the exact rerank takes four times
+as many as asked for, which covers their rounding. A range is streamed against its queries, so memory doesn't grow with w.
 
 w is the least window that finds `target` of the true neighbours of a bounded sample of queries, whose
 true neighbours one pass over all rows gives. The rule is the same at every size; only the projection's
 scale and w are fitted on samples (SAMPLE rows, PROBES queries), and every row is indexed.
 
 Rows with equal vectors are one entry of the index, with their k + 1 smallest ids, which is all that a
-result of k rows can hold of them; so a vector however common fills one place.
+result of k rows can hold of them; so a vector however common fills one place. Vectors are told apart by two 64-bit
+hashes, and only these and the ids are shuffled to find equal ones.
 
 Defined results: vectors that are null, zero, or hold a null or non-finite component take no part; vectors of
-different lengths aren't compared; rows that share id and vector count once; ties go to the smaller id.
+different lengths aren't compared; rows that share id and vector count once; an id that has several vectors asks
+with each and is told the best of all; ties go to the smaller id.
 """
 
 from __future__ import annotations
@@ -22,13 +28,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridpulse.llm.common import durable, partitions
 from gridpulse.llm.segment_topk import usable
 
-CURVES, DIMS, BITS, BLOCK = 24, 8, 7, 256
+CURVES, DIMS, BITS = 24, 8, 7
+#: Places of a range at least, and how many times w.
+RANGE, SPREAD = 8192, 4
 SAMPLE, PROBES, TARGET = 4096, 512, 0.96
 
 
@@ -90,23 +99,28 @@ def _best(found: DataFrame, key: str, k: int, tie: str) -> DataFrame:
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+def _codes(unit: np.ndarray) -> np.ndarray:
+    """Directions as whole numbers up to 127, in bytes."""
+    return np.rint(unit * (127 / np.abs(unit).max(1, keepdims=True))).astype(np.int8)
+
+
 def neighbours(rows: DataFrame, every: int = 50, k: int = 5, id_col: str = "vec_id", vector: str = "embedding", target: float = TARGET) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found for each row whose id is divisible by every."""
     spark = rows.sparkSession
     used = rows.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector).alias("v")).where(
         F.col("vec_id").isNotNull() & usable(F.col("v")) & F.exists("v", lambda x: x != 0)
     )
-    few = Window.partitionBy("v").orderBy("vec_id")
-    first = used.distinct().withColumn("_n", F.row_number().over(few)).where(F.col("_n") <= k + 1)
-    classes = durable(
-        first.groupBy("v").agg(F.array_sort(F.collect_list("vec_id")).alias("ids")).select(
-            F.get("ids", F.lit(0)).alias("cid"), "v", "ids"
-        ),
-        "classes",
-    )
-    asked = durable(
-        used.where(F.col("vec_id") % every == 0).join(classes.select("v", "cid"), "v").select("vec_id", "cid").distinct(), "asked"
-    )
+    # cid names a vector, second makes sure
+    used = used.select("vec_id", F.xxhash64("v").alias("cid"), F.xxhash64(F.lit(1), "v").alias("second"), "v")
+    same = ["cid", "second"]
+    few = Window.partitionBy(*same).orderBy("vec_id")
+    first = used.select("vec_id", *same).distinct().withColumn("_n", F.row_number().over(few)).where(F.col("_n") <= k + 1)
+    ids = first.groupBy(*same).agg(F.array_sort(F.collect_list("vec_id")).alias("ids"))
+    ids = durable(ids.withColumn("vec_id", F.get("ids", F.lit(0))), "ids")
+    # of the rows that share id and vector any one will do
+    classes = used.join(ids, ["vec_id", *same]).dropDuplicates(["vec_id", *same])
+    classes = durable(classes.select("cid", "v", "ids"), "classes")
+    asked = durable(used.where(F.col("vec_id") % every == 0).select("vec_id", "cid").distinct(), "asked")
     vectors = classes.select("cid", "v")
 
     sample = vectors.orderBy(F.xxhash64("cid")).limit(SAMPLE).toArrow()
@@ -118,21 +132,23 @@ def neighbours(rows: DataFrame, every: int = 50, k: int = 5, id_col: str = "vec_
 
     def key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            cid = batch.column(0).to_numpy()
+            cid, asks = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 2))
             for dim, at, x in _groups(batch):
+                x = _unit(x)
                 centre, spread = fit.get(dim, (np.zeros(dim), dim**-0.5))
+                codes = pa.array(map(bytes, _codes(x)), pa.binary())
                 for c in range(CURVES):
-                    data = cid[at], np.full(len(at), dim * CURVES + c), curve_keys(_unit(x), c, centre, spread)
-                    yield pa.RecordBatch.from_arrays(list(map(pa.array, data)), names=["cid", "curve", "key"])
+                    data = cid[at], np.full(len(at), dim * CURVES + c), curve_keys(x, c, centre, spread), asks[at]
+                    yield pa.RecordBatch.from_arrays([*map(pa.array, data), codes], names=["cid", "curve", "key", "asks", "code"])
 
     n = partitions(spark)
-    keys = vectors.mapInArrow(key, "cid long, curve long, key long")
+    who = asked.select("cid").distinct().withColumn("asks", F.lit(True))
+    flagged = vectors.join(who, "cid", "left").select("cid", "v", F.coalesce("asks", F.lit(False)).alias("asks"))
+    keys = flagged.mapInArrow(key, "cid long, curve long, key long, asks boolean, code binary")
     order = ["curve", "key", "cid"]
     placed = keys.repartitionByRange(n, *order).sortWithinPartitions(*order)
 
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
         part, seen = TaskContext.get().partitionId(), {}
         for batch in batches:
             curve = batch.column(1).to_numpy()
@@ -142,52 +158,45 @@ def neighbours(rows: DataFrame, every: int = 50, k: int = 5, id_col: str = "vec_
                 nth[at] = np.arange(len(at)) + seen.get(c, 0)
                 seen[c] = seen.get(c, 0) + len(at)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(np.full(len(nth), part)), pa.array(nth)], names=["cid", "curve", "part", "nth"]
+                [batch.column(0), batch.column(1), *batch.columns[3:], pa.array(np.full(len(nth), part)), pa.array(nth)],
+                names=["cid", "curve", "asks", "code", "part", "nth"],
             )
 
-    placed = durable(placed.mapInArrow(number, "cid long, curve long, part long, nth long"), "placed")
+    placed = durable(placed.mapInArrow(number, "cid long, curve long, asks boolean, code binary, part long, nth long"), "placed")
     before = Window.partitionBy("curve").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     base = placed.groupBy("curve", "part").agg(F.count("*").alias("n"))
     base = base.select("curve", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    blocks = durable(
-        placed.join(base, ["curve", "part"]).select(
-            "cid", "curve", F.floor((F.col("base") + F.col("nth")) / BLOCK).cast("long").alias("block")
-        ),
-        "blocks",
-    )
-
-    w = window(vectors, asked.select("cid").distinct(), blocks, k, target)
-    queries = asked.select("cid").distinct().join(vectors, "cid")
-    there = queries.join(blocks, "cid").select(
-        "cid", "v", "curve", F.explode(F.sequence(F.col("block") - w, F.col("block") + w)).alias("block"), F.lit(True).alias("asks")
-    )
-    held = vectors.join(blocks, "cid").select("cid", "v", "curve", "block", F.lit(False).alias("asks"))
-
-    def search(t: pa.Table) -> pa.Table:
-        asks = t.column("asks").to_numpy()
-        out = []
-        if asks.any() and not asks.all():
-            table = t.select(["cid", "v"]).combine_chunks()
-            cid = table.column("cid").to_numpy()
-            x = np.stack(table.column("v").to_numpy()).astype(np.float64)
-            q, c = np.flatnonzero(asks), np.flatnonzero(~asks)
-            norm = np.linalg.norm(x, axis=1)
-            for at in range(0, len(q), 1024):
-                part = q[at : at + 1024]
-                score = (x[part] @ x[c].T) / norm[part, None] / norm[c]
-                take = min(k + 1, len(c))
-                near = np.argpartition(-score, take - 1, axis=1)[:, :take]
-                best = np.take_along_axis(score, near, 1)
-                out.append((np.repeat(cid[part], take), cid[c][near].ravel(), best.ravel()))
-        a, b, s = (np.concatenate([x[i] for x in out]) if out else np.zeros(0, kind) for i, kind in enumerate("qqd"))
-        return pa.table({"asker": a, "cid": b, "score": s})
-
-    met = held.unionByName(there).groupBy("curve", "block").applyInArrow(search, "asker long, cid long, score double")
-    # a few more than asked for, as sums in another order may differ in the last digit
-    met = _best(met.groupBy("asker", "cid").agg(F.max("score").alias("score")), "asker", 3 * (k + 1), "cid")
+    placed = placed.join(base, ["curve", "part"]).select("cid", "curve", "asks", "code", (F.col("base") + F.col("nth")).alias("place"))
+
+    w = window(vectors, asked.select("cid").distinct(), placed.select("cid", "curve", "place"), k, target)
+    size = max(RANGE, SPREAD * w)
+    to = lambda x: F.floor((F.col("place") + x) / size).cast("long")
+    # a place is in its own range and, as one that only is found, in those that begin or end within w of it
+    dealt = placed.select("cid", "curve", "place", "asks", "code", to(0).alias("own"), F.explode(F.sequence(to(-w), to(w))).alias("range"))
+    dealt = dealt.select("cid", "curve", "range", "place", (F.col("asks") & (F.col("range") == F.col("own"))).alias("asks"), "code")
+    take = 4 * (k + 1)
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: Held | None = None
+        for batch in batches:
+            cid, curve, range_, place, asks = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(5))
+            cuts = np.concatenate([[0], np.flatnonzero((curve[1:] != curve[:-1]) | (range_[1:] != range_[:-1])) + 1, [len(cid)]])
+            for a, b in zip(cuts[:-1], cuts[1:]):
+                if held is None or held.of != (curve[a], range_[a]):
+                    if held:
+                        yield from held.out()
+                    held = Held((curve[a], range_[a]), take, w)
+                code = np.frombuffer(b"".join(batch.column(5).slice(a, b - a).to_pylist()), np.int8).reshape(b - a, -1).astype(np.float32)
+                code /= np.linalg.norm(code, axis=1, keepdims=True)
+                held.add(cid[a:b], place[a:b], asks[a:b], code)
+        if held:
+            yield from held.out()
+
+    dealt = dealt.repartition(n, "curve", "range").sortWithinPartitions("curve", "range", F.desc("asks"), "place")
+    met = dealt.mapInArrow(search, "asker long, cid long, score float")
+    met = _best(met.groupBy("asker", "cid").agg(F.max("score").alias("score")), "asker", take, "cid")
     met = met.select("asker", "cid")
-    side = classes.select("cid", "v", "ids")
-    full = met.join(side, "cid").join(vectors.select(F.col("cid").alias("asker"), F.col("v").alias("q")), "asker")
+    full = met.join(classes, "cid").join(vectors.select(F.col("cid").alias("asker"), F.col("v").alias("q")), "asker")
 
     def rerank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -200,16 +209,70 @@ def neighbours(rows: DataFrame, every: int = 50, k: int = 5, id_col: str = "vec_
     out = asked.select(F.col("vec_id").alias("query_id"), F.col("cid").alias("asker")).join(
         scored.select("asker", F.explode("ids").alias("vec_id"), "score"), "asker"
     )
-    out = out.where(F.col("vec_id") != F.col("query_id"))
+    out = out.where(F.col("vec_id") != F.col("query_id")).groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     return _best(out, "query_id", k, "vec_id").select("query_id", "rank", "vec_id", "score")
 
 
+class Held:
+    """The queries of one range of one curve, which come first in it, with the best that each has met so far."""
+
+    def __init__(self, of: tuple, take: int, w: int):
+        self.of, self.take, self.w = of, take, w
+        self.asked: list[tuple] = []
+        self.sealed = False
+
+    def add(self, cid: np.ndarray, place: np.ndarray, asks: np.ndarray, code: np.ndarray) -> None:
+        if asks.any():
+            self.asked.append((cid[asks], place[asks], code[asks]))
+        if not asks.all():
+            self.seal()
+            self.meet(cid[~asks], place[~asks], code[~asks])
+
+    def seal(self) -> None:
+        """All queries are here; they are found by each other, too."""
+        if not self.sealed and self.asked:
+            self.cid, self.place, self.code = (np.concatenate(x) for x in zip(*self.asked))
+            self.best = np.full((len(self.cid), self.take), -2, np.float32)
+            self.found = np.full((len(self.cid), self.take), -1, np.int64)
+            for part in self.asked:
+                self.sealed = True
+                self.meet(*part)
+        self.sealed = True
+
+    def meet(self, cid: np.ndarray, place: np.ndarray, code: np.ndarray) -> None:
+        if not self.asked:
+            return
+        a, b = np.searchsorted(self.place, [place[0] - self.w, place[-1] + self.w + 1])
+        for i in range(a, b, 1024):
+            at = slice(i, min(b, i + 1024))
+            score = self.code[at] @ code.T
+            score[np.abs(self.place[at, None] - place) > self.w] = -2
+            score = np.concatenate([self.best[at], score], 1)
+            near = np.argpartition(-score, self.take - 1, axis=1)[:, : self.take]
+            self.best[at] = np.take_along_axis(score, near, 1)
+            ids = np.concatenate([self.found[at], np.broadcast_to(cid, (len(score), len(cid)))], 1)
+            self.found[at] = np.take_along_axis(ids, near, 1)
+
+    def out(self) -> Iterator[pa.RecordBatch]:
+        self.seal()
+        if self.asked:
+            at, nth = np.nonzero(self.best > -2)
+            data = self.cid[at], self.found[at, nth], self.best[at, nth]
+            yield pa.RecordBatch.from_arrays(list(map(pa.array, data)), names=["asker", "cid", "score"])
+
+
 def cosine(a: np.ndarray, b: np.ndarray) -> float:
-    return float(a @ b / (np.sqrt(a @ a) * np.sqrt(b @ b)))
+    """Of vectors so large or small that their products leave the doubles' range, after scaling."""
+    with np.errstate(over="ignore", under="ignore", invalid="ignore"):
+        aa, bb = a @ a, b @ b
+        if not (1e-280 < aa < 1e300 and 1e-280 < bb < 1e300):
+            a, b = a / np.abs(a).max(), b / np.abs(b).max()
+            aa, bb = a @ a, b @ b
+        return float(a @ b / (np.sqrt(aa) * np.sqrt(bb)))
 
 
-def window(vectors: DataFrame, asked: DataFrame, blocks: DataFrame, k: int, target: float) -> int:
-    """The least w at which target of the sampled queries' true neighbours lie within w blocks on some curve."""
+def window(vectors: DataFrame, asked: DataFrame, placed: DataFrame, k: int, target: float) -> int:
+    """The least w at which target of the sampled queries' true neighbours lie within w places on some curve."""
     probes = asked.orderBy(F.xxhash64("cid")).limit(PROBES).join(vectors, "cid").toArrow()
     by_dim = {}
     for batch in probes.combine_chunks().to_batches():
@@ -233,8 +296,8 @@ def window(vectors: DataFrame, asked: DataFrame, blocks: DataFrame, k: int, targ
 
     true = _best(vectors.mapInArrow(run, "asker long, cid long, score double").where("score > -2"), "asker", k, "cid")
     mine = F.broadcast(true.select("asker", "cid"))  # at most PROBES x k rows
-    theirs = blocks.join(mine, "cid").select("asker", "cid", "curve", F.col("block").alias("b"))
-    own = blocks.join(F.broadcast(true.select("asker").distinct()), F.col("cid") == F.col("asker")).select("asker", "curve", "block")
-    apart = theirs.join(own, ["asker", "curve"]).groupBy("asker", "cid").agg(F.min(F.abs(F.col("b") - F.col("block"))).alias("d"))
+    theirs = placed.join(mine, "cid").select("asker", "cid", "curve", F.col("place").alias("b"))
+    own = placed.join(F.broadcast(true.select("asker").distinct()), F.col("cid") == F.col("asker")).select("asker", "curve", "place")
+    apart = theirs.join(own, ["asker", "curve"]).groupBy("asker", "cid").agg(F.min(F.abs(F.col("b") - F.col("place"))).alias("d"))
     got = sorted(r["d"] for r in apart.collect())  # at most PROBES x k rows
     return max(1, got[min(len(got) - 1, int(target * len(got)))]) if got else 1

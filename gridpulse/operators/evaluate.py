@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridpulse.functions import exprs
+from gridpulse.operators import ranks
 from gridpulse.schema import holds
 
 BAND, PRE_WINDOW = 100.0, 60.0
@@ -27,7 +28,8 @@ def rising_crossings(samples: DataFrame, keys: Sequence[str], band: float = BAND
     """Rows where the value comes to the band from below, later than the row before, and the first later row below it."""
     w = _w(keys)
     below = F.when(F.col("value") < band, F.struct("idx", "ts_min"))
-    rec = F.first(below, ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing))
+    # read backwards, the last such row is the first one later; Spark would start a frame that follows anew at each row
+    rec = F.last(below, ignorenulls=True).over(Window.partitionBy(*keys).orderBy(F.desc("idx")).rowsBetween(Window.unboundedPreceding, -1))
     rows = samples.select(
         *keys, "idx", "ts_min", "value", F.lag("value").over(w).alias("pv"), F.lag("ts_min").over(w).alias("pt"), rec.alias("r")
     ).where((F.col("ts_min") > F.col("pt")) & (F.col("pv") < band) & (F.col("value") >= band))
@@ -125,12 +127,14 @@ def evaluate(flagged: DataFrame, samples: DataFrame, zones: DataFrame, keys: Seq
 def pareto_frontier(df: DataFrame, detected: str, alarms: str) -> DataFrame:
     """Rows that no other beats: none with as many detections and as few alarms, and better in one. Ties stay.
 
-    A row is beaten if a row with fewer alarms detects as many, or one with equal alarms detects more: two windows over
-    the distinct alarm counts instead of all pairs.
+    A row is beaten if a row with fewer alarms detects as many, or one with equal alarms detects more: windows over
+    the distinct alarm counts of a range of counts, and over the ranges, instead of all pairs.
     """
-    best = df.groupBy(alarms).agg(F.max(detected).alias("_best"))
-    before = F.max("_best").over(Window.orderBy(alarms).rowsBetween(Window.unboundedPreceding, -1))
-    best = best.withColumn("_before", before)
+    best = df.groupBy(alarms).agg(F.max(detected).alias("_best")).withColumn("_range", ranks.magnitude(F.col(alarms).cast("double")))
+    ranges = best.groupBy("_range").agg(F.max("_best").alias("_most"))
+    lower = F.max("_most").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))
+    inside = F.max("_best").over(Window.partitionBy("_range").orderBy(alarms).rowsBetween(Window.unboundedPreceding, -1))
+    best = best.join(ranges.select("_range", lower.alias("_lower")), "_range").select(alarms, "_best", F.greatest(inside, "_lower").alias("_before"))
     kept = df.join(best, alarms).where((F.col(detected) == F.col("_best")) & (F.col("_before").isNull() | (F.col(detected) > F.col("_before"))))
     return kept.drop("_best", "_before").orderBy(F.desc(detected), alarms)
 

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridpulse.functions import exprs
+from gridpulse.operators import ranks
 from gridpulse.schema import Channel, holds
 
 
@@ -45,6 +46,7 @@ def repeated_groups(df: DataFrame, sensors: Sequence[str], channel: Channel = Ch
     out = df.groupBy(*channel.instant()).agg(
         F.count("*").alias("n_records"), lines.alias("_lines"), (F.max(channel.order) - F.min(channel.order)).alias("raw_line_span"),
         *[differs[c].alias(f"_d_{c}") for c in sensors], *[spread[c].alias(f"_s_{c}") for c in sensors],
+        *[F.concat(F.lit(f"{c}="), F.min(c).cast("string"), F.lit(".."), F.max(c).cast("string")).alias(f"_t_{c}") for c in sensors],
     ).where("n_records > 1")
     conflicts = F.array_compact(F.array(*[F.when(F.col(f"_d_{c}"), F.lit(c)) for c in sensors]))
     sized = [F.coalesce(F.col(f"_s_{c}"), F.lit(0.0)) for c in sensors]
@@ -55,7 +57,8 @@ def repeated_groups(df: DataFrame, sensors: Sequence[str], channel: Channel = Ch
         F.array_join(F.transform("_lines", lambda x: x.cast("string")), ",").alias("raw_lines"), "raw_line_span",
         (F.col("raw_line_span") == F.col("n_records") - 1).alias("raw_lines_adjacent"),
         (F.size(conflicts) == 0).alias("identical_group"), F.size(conflicts).cast("long").alias("n_conflicting_columns"),
-        F.array_join(conflicts, ",").alias("conflicting_columns"), most.alias("max_conflict_magnitude"), flagged.alias("flags_conflict"),
+        F.array_join(conflicts, ",").alias("conflicting_columns"),
+        F.array_join(F.array(*[F.when(F.col(f"_d_{c}"), F.col(f"_t_{c}")) for c in sensors]), ";").alias("conflicting_value_spreads"), most.alias("max_conflict_magnitude"), flagged.alias("flags_conflict"),
     )
 
 
@@ -87,10 +90,8 @@ def value_distribution(df: DataFrame, columns: Sequence[str]) -> DataFrame:
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("r", "v", "n"))), lambda x: F.format_string("%.4f:%d", x["v"], x["n"])), ";").alias("top_values")
     )
     shape = counts.groupBy("column").agg(F.count("*").alias("n_unique"), F.bool_and(F.col("v").isin(0.0, 1.0)).alias("_zero_one"))
-    q = lambda p: F.percentile("v", F.lit(p))
-    stats = long.groupBy("column").agg(
-        F.min("v").alias("min"), q(0.25).alias("p25"), q(0.5).alias("median"), F.avg("v").alias("mean"), q(0.75).alias("p75"), F.max("v").alias("max")
-    )
+    quarters = ranks.quantiles(long, {"p25": (F.col("v"), 0.25), "median": (F.col("v"), 0.5), "p75": (F.col("v"), 0.75)}, ["column"])
+    stats = long.groupBy("column").agg(F.min("v").alias("min"), F.avg("v").alias("mean"), F.max("v").alias("max")).join(quarters, "column")
     kind = F.when(F.col("_zero_one") & (F.col("n_unique") == 2), "binary").when(F.col("n_unique") <= 30, "categorical").otherwise("continuous")
     return stats.join(shape, "column").join(top, "column").select("column", "n_unique", "min", "p25", "median", "mean", "p75", "max", kind.alias("behaviour"), "top_values")
 
@@ -119,8 +120,8 @@ def high_in_repeated(df: DataFrame, value: str, threshold: float, channel: Chann
 def band_unimodality(df: DataFrame, value: str, above: float = 50.0) -> DataFrame:
     """Values above a floor, by decade: how many bands hold over 0.5 %, in how many runs, and which is largest."""
     v = df.select(F.col(value).cast("double").alias("v")).where(F.col("v") > above)
-    q = lambda p: F.percentile("v", F.lit(p))
-    stats = v.agg(F.count("*").alias("n_values"), q(0.01).alias("p01"), q(0.5).alias("median"), q(0.99).alias("p99"))
+    n = v.agg(F.count("*").alias("n_values"))
+    stats = n.crossJoin(ranks.quantiles(v, {"p01": (F.col("v"), 0.01), "median": (F.col("v"), 0.5), "p99": (F.col("v"), 0.99)}))  # one row each
     bands = v.groupBy(F.bround("v", -1).alias("band")).agg(F.count("*").alias("n"))
     share = F.col("n") / F.sum("n").over(Window.partitionBy())
     kept = bands.withColumn("share", share)
@@ -137,17 +138,17 @@ def neighbour_fit(df: DataFrame, value: str, channel: Channel = Channel()) -> Da
         F.count("*").alias("n"), F.min_by(value, channel.order).alias("first"), F.max_by(value, channel.order).alias("last"),
         F.count_distinct(value).alias("u"),
     )
-    w = Window.partitionBy(*channel.keys).orderBy(channel.ts)
+    w, back = Window.partitionBy(*channel.keys).orderBy(channel.ts), Window.partitionBy(*channel.keys).orderBy(F.desc(channel.ts))
     single = F.when(F.col("n") == 1, F.col("first"))
     per = per.select(
         "n", "first", "last", "u",
         F.last(single, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)).alias("prev"),
-        F.first(single, ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing)).alias("next"),
+        F.last(single, ignorenulls=True).over(back.rowsBetween(Window.unboundedPreceding, -1)).alias("next"),
     ).where("n > 1 AND u > 1 AND prev IS NOT NULL AND next IS NOT NULL")
-    fit = lambda c: F.bround(F.avg(F.abs(F.col(c) - F.col("prev")) + F.abs(F.col(c) - F.col("next"))), 2)
+    fit = lambda c: F.avg(F.abs(F.col(c) - F.col("prev")) + F.abs(F.col(c) - F.col("next")))
     return per.agg(
-        F.count("*").alias("n_conflicting_groups_with_neighbors"), fit("first").alias("mean_fit_error_first_branch"),
-        fit("last").alias("mean_fit_error_last_branch"), (fit("first") < fit("last")).alias("first_fits_better"),
+        F.count("*").alias("n_conflicting_groups_with_neighbors"), F.bround(fit("first"), 2).alias("mean_fit_error_first_branch"),
+        F.bround(fit("last"), 2).alias("mean_fit_error_last_branch"), (fit("first") < fit("last")).alias("first_fits_better"),
     )
 
 
@@ -159,11 +160,11 @@ def power_approximation_errors(voltage: DataFrame, power: DataFrame, on: Sequenc
         exprs.absolute_error_pct(exprs.apparent_power_per_phase(cols(v), cols(i)), F.col(kva)).alias("a"),
         exprs.absolute_error_pct(exprs.apparent_power_line(cols(v_line), cols(i)), F.col(kva)).alias("b"),
     )
-    q = lambda c, p: F.percentile(c, F.lit(p))
-    return err.agg(
-        F.count("*").alias("n_compared"), q("a", 0.5).alias("per_phase_sum_median_abs_err_pct"), q("a", 0.95).alias("per_phase_sum_p95_abs_err_pct"),
-        q("b", 0.5).alias("sqrt3_median_abs_err_pct"), q("b", 0.95).alias("sqrt3_p95_abs_err_pct"),
-    )
+    a, b = F.col("a"), F.col("b")
+    middle = ranks.quantiles(err, {
+        "per_phase_sum_median_abs_err_pct": (a, 0.5), "per_phase_sum_p95_abs_err_pct": (a, 0.95), "sqrt3_median_abs_err_pct": (b, 0.5), "sqrt3_p95_abs_err_pct": (b, 0.95),
+    })
+    return err.agg(F.count("*").alias("n_compared")).crossJoin(middle)  # one row each
 
 
 def correlation(df: DataFrame, a: str, b: str, normal: Column) -> DataFrame:

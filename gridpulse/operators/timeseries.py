@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridpulse.functions import exprs
+from gridpulse.operators import ranks
 from gridpulse.operators.policies import apply_policy
 from gridpulse.schema import Channel, holds
 
@@ -18,12 +19,12 @@ def interval_summary(df: DataFrame, channel: Channel = Channel()) -> DataFrame:
     dt = exprs.between_minutes(F.lag(channel.ts).over(channel.window()), channel.ts)
     d = df.select(dt.alias("dt")).where("dt IS NOT NULL")
     pos = F.when(F.col("dt") > 0, F.col("dt"))
-    q = lambda p: F.percentile(pos, F.lit(p))
+    middle = ranks.quantiles(d, {"median_minutes": (pos, 0.5), "p95_minutes": (pos, 0.95), "p99_minutes": (pos, 0.99)})
     return d.agg(
         F.count("*").alias("n_intervals"), F.count_if(F.col("dt") <= 0).alias("n_nonpositive_intervals"), F.count_if(F.col("dt") == 0).alias("n_zero_intervals"),
-        F.min(pos).alias("min_minutes"), q(0.5).alias("median_minutes"), q(0.95).alias("p95_minutes"), q(0.99).alias("p99_minutes"),
-        F.max(pos).alias("max_minutes"), F.avg(pos).alias("mean_minutes"), *[F.count_if(F.col("dt") > g).alias(f"n_intervals_gt_{g}min") for g in LONG_GAPS],
-    )
+        F.min(pos).alias("min_minutes"), F.max(pos).alias("max_minutes"), F.avg(pos).alias("mean_minutes"),
+        *[F.count_if(F.col("dt") > g).alias(f"n_intervals_gt_{g}min") for g in LONG_GAPS],
+    ).crossJoin(middle)  # fmt: skip  # one row each
 
 
 def onset_counts(df: DataFrame, flag: str, channel: Channel = Channel(), policy: str = "P2_first") -> DataFrame:
@@ -74,14 +75,16 @@ def rate_summary(df: DataFrame, value: str, high: Column, channel: Channel = Cha
     r = rates(apply_policy(df, policy, channel), value, channel, high).where("dt_minutes IS NOT NULL")
     rate, a = F.col("rate_per_min"), F.abs("rate_per_min")
     normal, exc = F.when(~F.col("excursion"), a), F.when(F.col("excursion"), a)
-    q = lambda c, p: F.percentile(c, F.lit(p))
-    return r.agg(
+    middle = ranks.quantiles(r, {
+        "rate_median_per_min": (rate, 0.5), "rate_p95_abs_per_min": (a, 0.95), "rate_p99_abs_per_min": (a, 0.99), "normal_mode_p99_abs_per_min": (normal, 0.99),
+    })
+    out = r.agg(
         F.count(rate).alias("n_rates_computed"), F.count_if(rate.isNull()).alias("n_intervals_excluded_nonpositive_or_missing"),
-        F.min(rate).alias("rate_min_per_min"), q(rate, 0.5).alias("rate_median_per_min"), q(a, 0.95).alias("rate_p95_abs_per_min"),
-        q(a, 0.99).alias("rate_p99_abs_per_min"), F.max(rate).alias("rate_max_per_min"), F.min(a).alias("rate_min_abs_per_min"),
-        F.count(normal).alias("normal_mode_n_rates"), q(normal, 0.99).alias("normal_mode_p99_abs_per_min"), F.max(normal).alias("normal_mode_max_abs_per_min"),
+        F.min(rate).alias("rate_min_per_min"), F.max(rate).alias("rate_max_per_min"), F.min(a).alias("rate_min_abs_per_min"),
+        F.count(normal).alias("normal_mode_n_rates"), F.max(normal).alias("normal_mode_max_abs_per_min"),
         F.count(exc).alias("excursion_mode_n_rates"), F.max(exc).alias("excursion_mode_max_abs_per_min"),
-    ).select(F.lit(value).alias("value_column"), "*")
+    )
+    return out.crossJoin(middle).select(F.lit(value).alias("value_column"), "*")  # one row each
 
 
 def top_rate_transitions(df: DataFrame, value: str, n: int = 30, threshold: float = 1.0, channel: Channel = Channel(), policy: str = "P2_first") -> DataFrame:
@@ -104,15 +107,14 @@ def autocorrelation(df: DataFrame, value: str, lags: Sequence[int], channel: Cha
     )
 
 
-def value_gaps(df: DataFrame, value: str, min_gap: float, buckets: int = 1024) -> DataFrame:
+def value_gaps(df: DataFrame, value: str, min_gap: float) -> DataFrame:
     """Neighbouring distinct values further apart than min_gap, widest first.
 
     Values are put in ranges by their size first; only each range's least and greatest value meet in one
-    ordering, so the global step handles as many rows as there are ranges.
+    ordering, and the number of ranges is bounded whatever the values.
     """
     v = df.select(F.col(value).cast("double").alias("v")).where("v IS NOT NULL").distinct()
-    width = max(min_gap, 1e-9)
-    own = v.withColumn("b", F.floor(F.col("v") / (width * buckets)))
+    own = v.withColumn("b", ranks.magnitude(F.col("v")))
     inside = own.withColumn("next", F.lead("v").over(Window.partitionBy("b").orderBy("v"))).select("v", "next")
     ends = own.groupBy("b").agg(F.min("v").alias("lo"), F.max("v").alias("hi"))
     across = ends.select(F.col("hi").alias("v"), F.lead("lo").over(Window.orderBy("b")).alias("next"))
@@ -126,15 +128,13 @@ def value_gaps(df: DataFrame, value: str, min_gap: float, buckets: int = 1024) -
 def separability(df: DataFrame, value: str, flags: Sequence[str]) -> DataFrame:
     """The threshold and direction that best tell a flag from a value: cumulative counts give every threshold's accuracy.
 
-    The first best wins, by ascending threshold, >= before <=. Rows of the ordering are distinct values by flag.
+    The first best wins, by ascending threshold, >= before <=. Windows run over ranges of values, and over the distinct
+    values of a range.
     """
     long = df.select(F.col(value).cast("double").alias("v"), *[F.col(f).cast("double").alias(f) for f in flags]).unpivot(["v"], list(flags), "flag", "f")
     counts = long.where("v IS NOT NULL AND f IS NOT NULL").groupBy("flag", "v").agg(F.count_if(F.col("f") == 1).alias("n1"), F.count_if(F.col("f") != 1).alias("n0"))
-    w = Window.partitionBy("flag").orderBy("v")
-    to, all_ = w.rowsBetween(Window.unboundedPreceding, 0), Window.partitionBy("flag")
-    c = counts.select(
-        "flag", "v", "n1", "n0", F.sum("n1").over(to).alias("c1"), F.sum("n0").over(to).alias("c0"), F.sum("n1").over(all_).alias("t1"), F.sum("n0").over(all_).alias("t0")
-    ).where("t1 > 0 AND t0 > 0")
+    c = ranks.running(counts, "v", ("n1", "n0"), ["flag"]).selectExpr("flag", "v", "n1", "n0", "up_to_n1 AS c1", "up_to_n0 AS c0", "all_n1 AS t1", "all_n0 AS t0")
+    c = c.where("t1 > 0 AND t0 > 0")
     n = F.col("t1") + F.col("t0")
     ge = (F.col("t1") - F.col("c1") + F.col("n1") + F.col("c0") - F.col("n0")) / n
     le = (F.col("c1") + F.col("t0") - F.col("c0")) / n

@@ -70,6 +70,7 @@ def groups(table: str, keys: str, ts: str, order: str, sensors: Sequence[str], f
     """Repeated groups; sensors hold no missing values here."""
     differs = {c: f"(max({c}) <> min({c}))" for c in sensors}
     named = " || ".join(f"CASE WHEN {d} THEN '{c},' ELSE '' END" for c, d in differs.items())
+    texts = " || ".join(f"CASE WHEN {d} THEN '{c}=' || min({c}) || '..' || max({c}) || ';' ELSE '' END" for c, d in differs.items())
     spread = ", ".join(f"max({c}) - min({c})" for c in sensors)
     n = " + ".join(f"{d}::INT" for d in differs.values())
     by = f"{keys}, {ts}" if keys else ts
@@ -77,7 +78,7 @@ def groups(table: str, keys: str, ts: str, order: str, sensors: Sequence[str], f
   SELECT {keys + ',' if keys else ''} strftime({ts}, '%Y-%m-%d %H:%M:%S') AS timestamp, strftime({ts}, '%Y-%m') AS month, count(*) AS n_records,
     array_to_string(list_sort(list({order})), ',') AS raw_lines, max({order}) - min({order}) AS raw_line_span,
     max({order}) - min({order}) = count(*) - 1 AS raw_lines_adjacent, ({n}) = 0 AS identical_group, CAST({n} AS BIGINT) AS n_conflicting_columns,
-    rtrim({named}, ',') AS conflicting_columns, greatest({spread}) AS max_conflict_magnitude, {' OR '.join(differs[f] for f in flags) if flags else 'false'} AS flags_conflict
+    rtrim({named}, ',') AS conflicting_columns, rtrim({texts}, ';') AS conflicting_value_spreads, greatest({spread}) AS max_conflict_magnitude, {' OR '.join(differs[f] for f in flags) if flags else 'false'} AS flags_conflict
   FROM {table} GROUP BY {by} HAVING count(*) > 1)"""
 
 
@@ -113,8 +114,8 @@ SELECT (SELECT count(*) FROM v) AS n_values, (SELECT {_q('v', 0.01)} FROM v) AS
 _add("neighbour_fit", [EV, """g AS (SELECT user_id, ts_h, count(*) AS n, arg_min(value, event_id) AS a, arg_max(value, event_id) AS z, count(DISTINCT value) AS u FROM ev GROUP BY 1, 2)""",
   """f AS (SELECT *, last_value(CASE WHEN n = 1 THEN a END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts_h ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS p,
    first_value(CASE WHEN n = 1 THEN a END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts_h ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS q FROM g)"""], """
-SELECT count(*) AS n_conflicting_groups_with_neighbors, round(avg(abs(a - p) + abs(a - q)), 1) AS mean_fit_error_first_branch,
-  round(avg(abs(z - p) + abs(z - q)), 1) AS mean_fit_error_last_branch, avg(abs(a - p) + abs(a - q)) < avg(abs(z - p) + abs(z - q)) AS first_fits_better
+SELECT count(*) AS n_conflicting_groups_with_neighbors, CAST(round_even(avg(abs(a - p) + abs(a - q)), 2) AS DOUBLE) AS mean_fit_error_first_branch,
+  CAST(round_even(avg(abs(z - p) + abs(z - q)), 2) AS DOUBLE) AS mean_fit_error_last_branch, avg(abs(a - p) + abs(a - q)) < avg(abs(z - p) + abs(z - q)) AS first_fits_better
 FROM f WHERE n > 1 AND u > 1 AND p IS NOT NULL AND q IS NOT NULL""")
 PIVOT = "pi AS (SELECT ts_h, " + ", ".join(f"round(avg(value) FILTER (event_type = '{k}'), 6) AS {k}" for k in ("click", "view", "signup", "purchase", "error")) + ", round(sum(value) / 100, 6) AS kva FROM events_h GROUP BY ts_h)"
 _add("power_approximation_errors", ["events_h AS (SELECT date_trunc('hour', ts) AS ts_h, event_type, value FROM events)", PIVOT, """er AS (
@@ -365,7 +366,7 @@ WINDOWS = """sp AS (SELECT user_id, min(t) AS t0, max(t) AS t1 FROM ev GROUP BY
 ), hf AS (SELECT user_id, window_start, arg_max(value, t) AS last, max(value) AS maximum, avg(value) AS mean,
   CASE WHEN max(t) > min(t) THEN (arg_max(value, t) - arg_min(value, t)) / (max(t) - min(t)) ELSE 0.0 END AS slope_per_min, stddev_pop(value) AS variability, coalesce(max(gap), 0.0) AS max_gap_min,
   greatest(0.0, 1 - count(*) / ((max(t) - min(t)) / 15.0 + 1)) AS missing_frac FROM wg GROUP BY 1, 2)"""
-_add("horizon_features", [EV, WINDOWS], "SELECT user_id, " + ", ".join(f"round({c}, 4) AS {c}" for c in ("window_start", "last", "maximum", "mean", "slope_per_min", "variability", "max_gap_min", "missing_frac")) + " FROM hf")
+_add("horizon_features", [EV, WINDOWS], "SELECT user_id, " + ", ".join(f"round({c}, 6) AS {c}" for c in ("window_start", "last", "maximum", "mean", "slope_per_min", "variability", "max_gap_min", "missing_frac")) + " FROM hf")
 _add("horizon_thresholds", [EV, WINDOWS], "SELECT " + ", ".join(f"{_q(c, 0.99, 4)} AS {c}" for c in ("last", "maximum", "mean", "variability")) + " FROM hf")
 _FEATURES = ("last", "maximum", "mean", "slope_per_min", "variability", "max_gap_min", "missing_frac")
 _long = lambda frm: " UNION ALL ".join(f"SELECT h, '{c}' AS feature, {c} AS x FROM {frm}" for c in _FEATURES)

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridpulse.functions import exprs
-from gridpulse.operators import alignment, evaluate, islands, physics, policies, quality, replay, rules, timeseries
+from gridpulse.operators import alignment, evaluate, islands, physics, policies, quality, ranks, replay, rules, timeseries
 from gridpulse.schema import Channel
 from gridpulse.sources import telemetry
 
@@ -112,7 +112,7 @@ def band_unimodality(spark, d):
 
 @query
 def neighbour_fit(spark, d):
-    return rounded(quality.neighbour_fit(_events(spark, d), "value", HOURLY), 1)
+    return quality.neighbour_fit(_events(spark, d), "value", HOURLY)
 
 
 def _pivot(spark, d):
@@ -154,7 +154,8 @@ def headline_scalars(spark, d):
 
 @query
 def quantiles(spark, d):
-    return rounded(_table(spark, d, "lineitem").groupBy("l_returnflag").agg(*[F.percentile("l_extendedprice", F.lit(p)).alias(f"q{i}") for i, p in enumerate((0.01, 0.5, 0.99, 0.999))]))
+    price = F.col("l_extendedprice")
+    return rounded(ranks.quantiles(_table(spark, d, "lineitem"), {f"q{i}": (price, p) for i, p in enumerate((0.01, 0.5, 0.99, 0.999))}, ["l_returnflag"]))
 
 
 @query
@@ -238,7 +239,8 @@ def occurrence_report(spark, d):
 @query
 def valid_pairs(spark, d):
     p = timeseries.valid_pairs(_events(spark, d), "value", CH, 600.0)
-    return rounded(p.agg(F.count("*").alias("n"), F.max("rate").alias("max_rate"), F.max("jump").alias("max_jump"), F.percentile("jump", F.lit(0.99)).alias("q99_jump")))
+    one = p.agg(F.count("*").alias("n"), F.max("rate").alias("max_rate"), F.max("jump").alias("max_jump"))
+    return rounded(one.crossJoin(ranks.quantiles(p, {"q99_jump": (F.col("jump"), 0.99)})))  # one row each
 
 
 @query
@@ -467,7 +469,7 @@ def replay_episodes_by_day(spark, d):
 @query
 def horizon_features(spark, d):
     w = timeseries.sliding_windows(_events(spark, d).select("user_id", "t", "value"), 2880.0, 1440.0, "t", KEYS)
-    return rounded(timeseries.horizon_features(w, "value", ("user_id", "window_start"), "t"), 4)
+    return rounded(timeseries.horizon_features(w, "value", ("user_id", "window_start"), "t"))
 
 
 @query
