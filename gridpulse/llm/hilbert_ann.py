@@ -1,24 +1,25 @@
 """Approximate nearest neighbours by several Hilbert orderings of projected vectors.
 
 Each curve turns and projects the unit vectors by a random rotation of its own, shifts them within the
-cube and orders them along a Hilbert curve. Spark range-partitions the keys; a vector's place in its
-ordering follows. An ordering is dealt in contiguous ranges, to which the w places before and after each are copied, so
-that a query meets all within w places of its own in one range and is answered once a curve. What the curves found is
-merged and ranked by the exact cosine on the original vectors.
+cube and orders them along a Hilbert curve. Bounds from a sample cut each ordering into cells of about equal size, and
+Spark range-partitions the vectors by curve and cell. A query goes to the cells within d of its own on every
+curve; what it finds there is merged and ranked by the exact cosine on the original vectors.
 
-What travels 24 times is not the vectors but their directions in one byte a component; the exact rerank takes four times
-as many as asked for, which covers their rounding. A range is streamed against its queries, so memory doesn't grow with w.
+What is shuffled for each curve is not a vector but its direction in one byte a component; twice as many as asked for
+are taken of a cell, and four times as many are ranked exactly, which covers the rounding.
 
-w is the least window that finds `target` of the true neighbours of a bounded sample of queries, whose
-true neighbours one pass over all rows gives. The rule is the same at every size; only the projection's
-scale and w are fitted on samples (SAMPLE rows, PROBES queries), and every row is indexed.
+The cells' width and d are fitted on a bounded sample of queries, whose true neighbours one pass over all rows gives: with d,
+`target` of them lie within reach on some curve. The width follows the reach, so a query visits about five cells of a
+curve at any size of table; only where a cell would hold more than CELL rows it is narrower. The rule is the same at
+every size; the projection's scale, the bounds, the width and d come from samples (SAMPLE rows, PROBES queries), and
+every row is indexed.
 
 Rows with equal vectors are one entry of the index, with their k + 1 smallest ids, which is all that a
 result of k rows can hold of them; so a vector however common fills one place. Vectors are told apart by two 64-bit
 hashes, and only these and the ids are shuffled to find equal ones.
 
 Defined results: vectors that are null, zero, or hold a null or non-finite component take no part; vectors of
-different lengths aren't compared; rows that share id and vector count once; an id that has several vectors asks
+different lengths aren't compared, and a length that neither sample holds is searched whole; rows that share id and vector count once; an id that has several vectors asks
 with each and is told the best of all; ties go to the smaller id.
 """
 
@@ -28,17 +29,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridpulse.llm.common import durable, partitions
+from gridpulse.llm.common import durable, lean, partitions
 from gridpulse.llm.segment_topk import usable
 
-CURVES, DIMS, BITS = 24, 8, 7
-#: Places of a range at least, and how many times w.
-RANGE, SPREAD = 8192, 4
-SAMPLE, PROBES, TARGET = 4096, 512, 0.96
+CURVES, DIMS, BITS = 10, 8, 7
+SAMPLE, PROBES, TARGET = 16384, 512, 0.96
+#: Rows of a cell at most, and cells within the reach that the probes need.
+CELL, REACH = 1 << 20, 2
 
 
 def hilbert_keys(cells: np.ndarray, bits: int) -> np.ndarray:
@@ -68,14 +68,30 @@ def hilbert_keys(cells: np.ndarray, bits: int) -> np.ndarray:
     return key
 
 
-def curve_keys(unit: np.ndarray, curve: int, centre: np.ndarray, spread: float) -> np.ndarray:
-    """Keys of unit vectors on one curve; its rotation and shift follow from its number and the vectors' length."""
-    dim = unit.shape[1]
-    rng = np.random.default_rng([dim, curve])
-    axes = np.linalg.qr(rng.standard_normal((dim, min(DIMS, dim))))[0]
-    shift = rng.random(axes.shape[1])
-    at = ((unit - centre) @ axes / (4 * spread) + 1 + shift) / 3
-    return hilbert_keys(np.clip(at * (1 << BITS), 0, (1 << BITS) - 1), BITS)
+class Curves:
+    """The orderings of vectors of one length: their rotations follow from that length, scale and bounds from a sample."""
+
+    def __init__(self, unit: np.ndarray):
+        dim = unit.shape[1]
+        self.centre, self.spread = unit.mean(0), max(float(unit.std(0).mean()), 1e-6)
+        self.axes, self.shifts = [], []
+        for c in range(CURVES):
+            rng = np.random.default_rng([dim, c])
+            self.axes.append(np.linalg.qr(rng.standard_normal((dim, min(DIMS, dim))))[0])
+            self.shifts.append(rng.random(self.axes[-1].shape[1]))
+        self.sorted = [np.sort(self.keys(unit, c)) for c in range(CURVES)]
+        self.cells = 1
+
+    def keys(self, unit: np.ndarray, c: int) -> np.ndarray:
+        at = ((unit - self.centre) @ self.axes[c] / (4 * self.spread) + 1 + self.shifts[c]) / 3
+        return hilbert_keys(np.clip(at * (1 << BITS), 0, (1 << BITS) - 1), BITS)
+
+    def share(self, unit: np.ndarray, c: int) -> np.ndarray:
+        """What share of the sample comes before each vector on a curve."""
+        return np.searchsorted(self.sorted[c], self.keys(unit, c)) / len(self.sorted[c])
+
+    def cell(self, unit: np.ndarray, c: int) -> np.ndarray:
+        return np.minimum((self.share(unit, c) * self.cells).astype(np.int64), self.cells - 1)
 
 
 def _groups(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -113,90 +129,62 @@ def neighbours(rows: DataFrame, every: int = 50, k: int = 5, id_col: str = "vec_
     # cid names a vector, second makes sure
     used = used.select("vec_id", F.xxhash64("v").alias("cid"), F.xxhash64(F.lit(1), "v").alias("second"), "v")
     same = ["cid", "second"]
+    named = durable(used.select("vec_id", *same).distinct(), "named")
     few = Window.partitionBy(*same).orderBy("vec_id")
-    first = used.select("vec_id", *same).distinct().withColumn("_n", F.row_number().over(few)).where(F.col("_n") <= k + 1)
+    first = named.withColumn("_n", F.row_number().over(few)).where(F.col("_n") <= k + 1)
     ids = first.groupBy(*same).agg(F.array_sort(F.collect_list("vec_id")).alias("ids"))
-    ids = durable(ids.withColumn("vec_id", F.get("ids", F.lit(0))), "ids")
-    # of the rows that share id and vector any one will do
-    classes = used.join(ids, ["vec_id", *same]).dropDuplicates(["vec_id", *same])
-    classes = durable(classes.select("cid", "v", "ids"), "classes")
-    asked = durable(used.where(F.col("vec_id") % every == 0).select("vec_id", "cid").distinct(), "asked")
-    vectors = classes.select("cid", "v")
-
-    sample = vectors.orderBy(F.xxhash64("cid")).limit(SAMPLE).toArrow()
-    fit = {}
-    for batch in sample.combine_chunks().to_batches():
-        for dim, _, x in _groups(batch):
-            x = _unit(x)
-            fit[dim] = x.mean(0), max(float(x.std(0).mean()), 1e-6)
+    asks = named.groupBy(*same).agg(F.max(F.col("vec_id") % every == 0).alias("asks"))
+    ids = durable(ids.join(asks, same).select(*same, F.get("ids", F.lit(0)).alias("vec_id"), "ids", "asks"), "ids")
+    asked = named.where(F.col("vec_id") % every == 0).select("vec_id", "cid")
+    # of the rows that share id and vector any one will do; only what repeats is looked for twice
+    again = used.select("vec_id", *same).groupBy("vec_id", *same).count().where("count > 1")
+    held = used.join(ids.select("vec_id", *same, "asks"), ["vec_id", *same])
+    once = held.join(again, ["vec_id", *same], "left_anti")
+    more = held.join(again.drop("count"), ["vec_id", *same], "left_semi").dropDuplicates(["vec_id", *same])
+    vectors = durable(once.unionByName(more).select("cid", "v", "asks"), "vectors")
+
+    curves, d = fitted(vectors, k, target)
 
     def key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             cid, asks = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 2))
             for dim, at, x in _groups(batch):
-                x = _unit(x)
-                centre, spread = fit.get(dim, (np.zeros(dim), dim**-0.5))
+                x, own = _unit(x), curves.get(dim)
                 codes = pa.array(map(bytes, _codes(x)), pa.binary())
-                for c in range(CURVES):
-                    data = cid[at], np.full(len(at), dim * CURVES + c), curve_keys(x, c, centre, spread), asks[at]
-                    yield pa.RecordBatch.from_arrays([*map(pa.array, data), codes], names=["cid", "curve", "key", "asks", "code"])
+                for c in range(CURVES if own else 1):
+                    cell, last = (own.cell(x, c), own.cells - 1) if own else (np.zeros(len(at), np.int64), 0)
+                    data = cid[at], np.full(len(at), dim * CURVES + c), cell, np.full(len(at), last), asks[at]
+                    yield pa.RecordBatch.from_arrays([*map(pa.array, data), codes], names=["cid", "curve", "cell", "last", "asks", "code"])
 
     n = partitions(spark)
-    who = asked.select("cid").distinct().withColumn("asks", F.lit(True))
-    flagged = vectors.join(who, "cid", "left").select("cid", "v", F.coalesce("asks", F.lit(False)).alias("asks"))
-    keys = flagged.mapInArrow(key, "cid long, curve long, key long, asks boolean, code binary")
-    order = ["curve", "key", "cid"]
-    placed = keys.repartitionByRange(n, *order).sortWithinPartitions(*order)
-
-    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, seen = TaskContext.get().partitionId(), {}
-        for batch in batches:
-            curve = batch.column(1).to_numpy()
-            nth = np.empty(len(curve), np.int64)
-            for c in np.unique(curve):
-                at = np.flatnonzero(curve == c)
-                nth[at] = np.arange(len(at)) + seen.get(c, 0)
-                seen[c] = seen.get(c, 0) + len(at)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), *batch.columns[3:], pa.array(np.full(len(nth), part)), pa.array(nth)],
-                names=["cid", "curve", "asks", "code", "part", "nth"],
-            )
-
-    placed = durable(placed.mapInArrow(number, "cid long, curve long, asks boolean, code binary, part long, nth long"), "placed")
-    before = Window.partitionBy("curve").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    base = placed.groupBy("curve", "part").agg(F.count("*").alias("n"))
-    base = base.select("curve", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    placed = placed.join(base, ["curve", "part"]).select("cid", "curve", "asks", "code", (F.col("base") + F.col("nth")).alias("place"))
-
-    w = window(vectors, asked.select("cid").distinct(), placed.select("cid", "curve", "place"), k, target)
-    size = max(RANGE, SPREAD * w)
-    to = lambda x: F.floor((F.col("place") + x) / size).cast("long")
-    # a place is in its own range and, as one that only is found, in those that begin or end within w of it
-    dealt = placed.select("cid", "curve", "place", "asks", "code", to(0).alias("own"), F.explode(F.sequence(to(-w), to(w))).alias("range"))
-    dealt = dealt.select("cid", "curve", "range", "place", (F.col("asks") & (F.col("range") == F.col("own"))).alias("asks"), "code")
-    take = 4 * (k + 1)
+    keys = vectors.mapInArrow(lean(key), "cid long, curve long, cell long, last long, asks boolean, code binary")
+    visits = F.sequence(F.greatest(F.col("cell") - d, F.lit(0)), F.least(F.col("cell") + d, F.col("last")))
+    where = lambda c, a: F.struct(c.alias("cell"), F.lit(a).alias("asks"))
+    dealt = keys.select("curve", "cid", "code", F.explode(F.concat(
+        F.array(where(F.col("cell"), False)), F.when(F.col("asks"), F.transform(visits, lambda c: where(c, True))).otherwise(F.array().cast("array<struct<cell:long,asks:boolean>>"))
+    )).alias("at")).select("curve", "at.*", "cid", "code")
+    dealt = dealt.repartitionByRange(n, "curve", "cell").sortWithinPartitions("curve", "cell", "asks")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: Held | None = None
+        held, parts = None, []
         for batch in batches:
-            cid, curve, range_, place, asks = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(5))
-            cuts = np.concatenate([[0], np.flatnonzero((curve[1:] != curve[:-1]) | (range_[1:] != range_[:-1])) + 1, [len(cid)]])
+            curve, cell, asks, cid = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(4))
+            cuts = np.concatenate([[0], np.flatnonzero((np.diff(curve) != 0) | (np.diff(cell) != 0) | (asks[1:] != asks[:-1])) + 1, [len(cid)]])
             for a, b in zip(cuts[:-1], cuts[1:]):
-                if held is None or held.of != (curve[a], range_[a]):
-                    if held:
-                        yield from held.out()
-                    held = Held((curve[a], range_[a]), take, w)
-                code = np.frombuffer(b"".join(batch.column(5).slice(a, b - a).to_pylist()), np.int8).reshape(b - a, -1).astype(np.float32)
-                code /= np.linalg.norm(code, axis=1, keepdims=True)
-                held.add(cid[a:b], place[a:b], asks[a:b], code)
-        if held:
-            yield from held.out()
-
-    dealt = dealt.repartition(n, "curve", "range").sortWithinPartitions("curve", "range", F.desc("asks"), "place")
-    met = dealt.mapInArrow(search, "asker long, cid long, score float")
-    met = _best(met.groupBy("asker", "cid").agg(F.max("score").alias("score")), "asker", take, "cid")
-    met = met.select("asker", "cid")
-    full = met.join(classes, "cid").join(vectors.select(F.col("cid").alias("asker"), F.col("v").alias("q")), "asker")
+                if held != (curve[a], cell[a]):
+                    held, parts = (curve[a], cell[a]), []
+                code = np.frombuffer(b"".join(batch.column(4).slice(a, b - a).to_pylist()), np.int8).reshape(b - a, -1)
+                if not asks[a]:
+                    parts.append((cid[a:b], code))
+                elif parts:
+                    if len(parts) > 1:
+                        parts = [tuple(np.concatenate(x) for x in zip(*parts))]
+                    yield nearest(cid[a:b], code, *parts[0], 2 * (k + 1))
+
+    met = dealt.mapInArrow(lean(search), "asker long, cid long, score float")
+    met = _best(met.groupBy("asker", "cid").agg(F.max("score").alias("score")), "asker", 4 * (k + 1), "cid").select("asker", "cid")
+    side = vectors.select("cid", "v")
+    full = met.join(side, "cid").join(ids.select("cid", "ids"), "cid").join(side.select(F.col("cid").alias("asker"), F.col("v").alias("q")), "asker")
 
     def rerank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -204,7 +192,7 @@ def neighbours(rows: DataFrame, every: int = 50, k: int = 5, id_col: str = "vec_
             score = [cosine(np.asarray(a, np.float64), np.asarray(b, np.float64)) for a, b in zip(q, c)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(score, pa.float64())], names=["asker", "ids", "score"])
 
-    scored = full.select("asker", "v", "ids", "q").mapInArrow(rerank, "asker long, ids array<long>, score double")
+    scored = full.select("asker", "v", "ids", "q").mapInArrow(lean(rerank), "asker long, ids array<long>, score double")
     scored = _best(scored.withColumn("_i", F.get("ids", F.lit(0))), "asker", k + 1, "_i")
     out = asked.select(F.col("vec_id").alias("query_id"), F.col("cid").alias("asker")).join(
         scored.select("asker", F.explode("ids").alias("vec_id"), "score"), "asker"
@@ -213,52 +201,19 @@ def neighbours(rows: DataFrame, every: int = 50, k: int = 5, id_col: str = "vec_
     return _best(out, "query_id", k, "vec_id").select("query_id", "rank", "vec_id", "score")
 
 
-class Held:
-    """The queries of one range of one curve, which come first in it, with the best that each has met so far."""
-
-    def __init__(self, of: tuple, take: int, w: int):
-        self.of, self.take, self.w = of, take, w
-        self.asked: list[tuple] = []
-        self.sealed = False
-
-    def add(self, cid: np.ndarray, place: np.ndarray, asks: np.ndarray, code: np.ndarray) -> None:
-        if asks.any():
-            self.asked.append((cid[asks], place[asks], code[asks]))
-        if not asks.all():
-            self.seal()
-            self.meet(cid[~asks], place[~asks], code[~asks])
-
-    def seal(self) -> None:
-        """All queries are here; they are found by each other, too."""
-        if not self.sealed and self.asked:
-            self.cid, self.place, self.code = (np.concatenate(x) for x in zip(*self.asked))
-            self.best = np.full((len(self.cid), self.take), -2, np.float32)
-            self.found = np.full((len(self.cid), self.take), -1, np.int64)
-            for part in self.asked:
-                self.sealed = True
-                self.meet(*part)
-        self.sealed = True
-
-    def meet(self, cid: np.ndarray, place: np.ndarray, code: np.ndarray) -> None:
-        if not self.asked:
-            return
-        a, b = np.searchsorted(self.place, [place[0] - self.w, place[-1] + self.w + 1])
-        for i in range(a, b, 1024):
-            at = slice(i, min(b, i + 1024))
-            score = self.code[at] @ code.T
-            score[np.abs(self.place[at, None] - place) > self.w] = -2
-            score = np.concatenate([self.best[at], score], 1)
-            near = np.argpartition(-score, self.take - 1, axis=1)[:, : self.take]
-            self.best[at] = np.take_along_axis(score, near, 1)
-            ids = np.concatenate([self.found[at], np.broadcast_to(cid, (len(score), len(cid)))], 1)
-            self.found[at] = np.take_along_axis(ids, near, 1)
-
-    def out(self) -> Iterator[pa.RecordBatch]:
-        self.seal()
-        if self.asked:
-            at, nth = np.nonzero(self.best > -2)
-            data = self.cid[at], self.found[at, nth], self.best[at, nth]
-            yield pa.RecordBatch.from_arrays(list(map(pa.array, data)), names=["asker", "cid", "score"])
+def nearest(asker: np.ndarray, q: np.ndarray, cid: np.ndarray, code: np.ndarray, take: int) -> pa.RecordBatch:
+    """The `take` candidates nearest to each query, by their codes, block by block."""
+    unit = lambda x: x / np.linalg.norm(x.astype(np.float32), axis=1, keepdims=True)
+    q = unit(q)
+    best, found = np.full((len(q), take), -2, np.float32), np.full((len(q), take), -1, np.int64)
+    for i in range(0, len(cid), 4096):
+        score = np.concatenate([best, q @ unit(code[i : i + 4096]).T], 1)
+        near = np.argpartition(-score, take - 1, axis=1)[:, :take]
+        best = np.take_along_axis(score, near, 1)
+        own = np.concatenate([found, np.broadcast_to(cid[i : i + 4096], (len(q), score.shape[1] - take))], 1)
+        found = np.take_along_axis(own, near, 1)
+    row, nth = np.nonzero(best > -2)
+    return pa.RecordBatch.from_arrays([pa.array(asker[row]), pa.array(found[row, nth]), pa.array(best[row, nth])], names=["asker", "cid", "score"])
 
 
 def cosine(a: np.ndarray, b: np.ndarray) -> float:
@@ -271,15 +226,15 @@ def cosine(a: np.ndarray, b: np.ndarray) -> float:
         return float(a @ b / (np.sqrt(aa) * np.sqrt(bb)))
 
 
-def window(vectors: DataFrame, asked: DataFrame, placed: DataFrame, k: int, target: float) -> int:
-    """The least w at which target of the sampled queries' true neighbours lie within w places on some curve."""
-    probes = asked.orderBy(F.xxhash64("cid")).limit(PROBES).join(vectors, "cid").toArrow()
-    by_dim = {}
-    for batch in probes.combine_chunks().to_batches():
-        for dim, at, x in _groups(batch):
-            by_dim[dim] = batch.column(0).to_numpy()[at], _unit(x)
-    if not by_dim:
-        return 1
+def fitted(vectors: DataFrame, k: int, target: float) -> tuple[dict[int, Curves], int]:
+    """The curves by length of vector, with their number of cells, and how many cells away a query looks."""
+    n = vectors.count()
+    sample = vectors.select("cid", "v").orderBy(F.xxhash64("cid")).limit(SAMPLE).toArrow().combine_chunks()
+    curves = {dim: Curves(_unit(x)) for batch in sample.to_batches() for dim, _, x in _groups(batch)}
+    probes = vectors.where("asks").select("cid", "v").orderBy(F.xxhash64("cid")).limit(PROBES).toArrow().combine_chunks()
+    by_dim = {dim: (batch.column(0).to_numpy()[at], _unit(x)) for batch in probes.to_batches() for dim, at, x in _groups(batch)}
+    for dim, own in by_dim.items():
+        curves.setdefault(dim, Curves(own[1]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -287,17 +242,32 @@ def window(vectors: DataFrame, asked: DataFrame, placed: DataFrame, k: int, targ
             for dim, at, x in _groups(batch):
                 if dim in by_dim:
                     ids, q = by_dim[dim]
-                    score = q @ _unit(x).T
+                    x = _unit(x)
+                    score = q @ x.T
                     score[ids[:, None] == cid[at]] = -2
                     take = min(k, len(at))
                     near = np.argpartition(-score, take - 1, axis=1)[:, :take]
-                    data = np.repeat(ids, take), cid[at][near].ravel(), np.take_along_axis(score, near, 1).ravel()
-                    yield pa.RecordBatch.from_arrays(list(map(pa.array, data)), names=["asker", "cid", "score"])
-
-    true = _best(vectors.mapInArrow(run, "asker long, cid long, score double").where("score > -2"), "asker", k, "cid")
-    mine = F.broadcast(true.select("asker", "cid"))  # at most PROBES x k rows
-    theirs = placed.join(mine, "cid").select("asker", "cid", "curve", F.col("place").alias("b"))
-    own = placed.join(F.broadcast(true.select("asker").distinct()), F.col("cid") == F.col("asker")).select("asker", "curve", "place")
-    apart = theirs.join(own, ["asker", "curve"]).groupBy("asker", "cid").agg(F.min(F.abs(F.col("b") - F.col("place"))).alias("d"))
-    got = sorted(r["d"] for r in apart.collect())  # at most PROBES x k rows
-    return max(1, got[min(len(got) - 1, int(target * len(got)))]) if got else 1
+                    found = near.ravel()
+                    data = np.repeat(ids, take), cid[at][found], np.take_along_axis(score, near, 1).ravel()
+                    v = pa.ListArray.from_arrays(pa.array(np.arange(len(found) + 1, dtype=np.int32) * dim), pa.array(x[found].ravel()))
+                    yield pa.RecordBatch.from_arrays([*map(pa.array, data), v], names=["asker", "cid", "score", "v"])
+
+    true = vectors.select("cid", "v").mapInArrow(lean(run), "asker long, cid long, score double, v array<double>").where("score > -2")
+    # a batch's nearest are narrowed to the task's before they are shuffled; at most PROBES x k rows come back
+    true = _best(true, "asker", k, "cid").select("asker", "v").toArrow().combine_chunks()
+    pairs = []
+    for batch in true.to_batches():
+        asker = batch.column(0).to_numpy()
+        for dim, at, x in _groups(batch):
+            ids, q = by_dim[dim]
+            order = np.argsort(ids)
+            mine = q[order[np.searchsorted(ids, asker[at], sorter=order)]]
+            pairs.append((dim, mine, x))
+    least = lambda f: np.concatenate([np.min([np.abs(f(dim, a, c) - f(dim, b, c)) for c in range(CURVES)], axis=0) for dim, a, b in pairs])
+    at = lambda x: np.sort(x)[min(len(x) - 1, int(target * len(x)))]
+    reach = float(at(least(lambda dim, x, c: curves[dim].share(x, c)))) if pairs else 1.0
+    cells = max(1, -(-n // CELL), int(min(REACH / max(reach, 1e-9), SAMPLE // 8, n)))
+    for c in curves.values():
+        c.cells = cells
+    d = int(at(least(lambda dim, x, c: curves[dim].cell(x, c)))) if pairs else 0
+    return curves, max(1, d)
