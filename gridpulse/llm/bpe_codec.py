@@ -19,7 +19,6 @@ from __future__ import annotations
 import json
 import re
 import struct
-import sys
 from collections.abc import Iterator
 from functools import cached_property, lru_cache
 
@@ -29,14 +28,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 from tokenizers import Tokenizer, models
 
-from gridpulse.llm.common import bounded_batches
+from gridpulse.llm.common import bounded_batches, lean
 
 #: Bytes of a span; a join's first window has JOIN pieces of each side.
 SPAN, JOIN = 1024, 2
 #: Leaves of an unbroken piece have LEAF characters; its joins begin with WINDOW tokens, of which MARGIN must agree.
 LEAF, WINDOW, MARGIN = 512, 8, 2
 #: Bytes of a cache's younger half; pieces of more than KEPT bytes aren't kept in it.
-CACHE_BYTES, KEPT = 12 << 20, 64
+CACHE_BYTES, KEPT = 24 << 20, 64
 #: Pieces of printable ASCII and precomposed Latin letters: for them lower() is all that normalising does.
 PLAIN = re.compile(r"[!-~À-ÖØ-öø-ÿ]+")
 PLAIN_RULE = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -92,15 +91,9 @@ class Cache:
     def __init__(self, most: int = CACHE_BYTES):
         self.most, self.young, self.old, self.size = most, {}, {}, 0
 
-    def get(self, key):
-        found = self.young.get(key)
-        if found is None and (found := self.old.get(key)) is not None:
-            self.put(key, found)
-        return found
-
     def put(self, key, value: bytes) -> None:
         self.young[key] = value
-        self.size += sys.getsizeof(key) + sys.getsizeof(value) + 100  # a place in a dict takes about 100
+        self.size += len(key) + len(value) + 180  # two objects and a place in a dict
 
     def turn(self) -> None:
         if self.size > self.most:
@@ -112,8 +105,8 @@ class Codec:
 
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
-            self.spec = json.load(f)
-        spec = self.spec
+            spec = json.load(f)
+        self.path = path
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
@@ -129,7 +122,8 @@ class Codec:
 
     @cached_property
     def tree(self) -> TreeEncoder:
-        return TreeEncoder(self.spec)
+        with open(self.path, encoding="utf-8") as f:
+            return TreeEncoder(json.load(f))
 
     @cached_property
     def names(self) -> list[bytes]:
@@ -139,12 +133,14 @@ class Codec:
 
     def _plain(self, piece: str) -> bytes:
         """Ids of a PLAIN piece, word by word, through a cache of words."""
-        out = []
+        out, young, old = [], self.words.young, self.words.old
         for word in PLAIN_WORDS.findall(piece.lower()):
-            ids = self.words.get(word)
+            ids = young.get(word)
             if ids is None:
-                raw = word if word.isascii() else word.encode().decode("latin-1").translate(self.bytes)
-                ids = _packed([t.id for t in self.tokenizer.model.tokenize(raw)])
+                ids = old.get(word)
+                if ids is None:
+                    raw = word if word.isascii() else word.encode().decode("latin-1").translate(self.bytes)
+                    ids = _packed([t.id for t in self.tokenizer.model.tokenize(raw)])
                 if len(word) <= KEPT:
                     self.words.put(word, ids)
             out.append(ids)
@@ -172,21 +168,20 @@ class Codec:
     def _leaf(self, raw: bytes) -> tuple[list[bytes], list[bytes]]:
         """The pieces of a span and their ids."""
         pieces = raw.split()
-        young = self.pieces.young
-        try:
-            return pieces, [young[p] for p in pieces]
-        except KeyError:
-            pass
-        found = []
-        for p in pieces:
-            ids = self.pieces.get(p)
-            if ids is None:
-                ids = self._ids(p)
-                if len(p) <= KEPT:
-                    self.pieces.put(p, ids)
-            found.append(ids)
-        self.pieces.turn()
-        self.words.turn()
+        young, old = self.pieces.young, self.pieces.old
+        found = list(map(young.get, pieces))
+        if None in found:
+            for i, ids in enumerate(found):
+                if ids is None:
+                    p = pieces[i]
+                    ids = old.get(p)
+                    if ids is None:
+                        ids = self._ids(p)
+                    if len(p) <= KEPT:
+                        self.pieces.put(p, ids)
+                    found[i] = ids
+            self.pieces.turn()
+            self.words.turn()
         return pieces, found
 
     def _join(self, left: tuple, right: tuple, apart: bool) -> tuple:
@@ -226,7 +221,7 @@ class Codec:
     def decode(self, ids: bytes) -> bytes:
         """The text of packed ids, special tokens included."""
         numbers = struct.unpack(f"<{len(ids) // 4}i", ids)
-        if self.spec["decoder"] is None:  # then the library puts a space between tokens
+        if self.tokenizer.decoder is None:  # then the library puts a space between tokens
             return b" ".join(map(self.names.__getitem__, numbers))
         return self.tokenizer.decode(numbers, skip_special_tokens=False).encode()
 
@@ -309,4 +304,4 @@ def _mapped(df: DataFrame, path: str, source: str, rows: int, new: dict[str, T.D
                 made = work(c, batch.column(0).to_pylist())
                 yield pa.RecordBatch.from_arrays([*batch.columns[1:], *made], names=[*keep, *new])
 
-    return bounded_batches(df).select(source, *keep).mapInArrow(run, schema)
+    return bounded_batches(df).select(source, *keep).mapInArrow(lean(run), schema)

@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridpulse.llm.common import bounded_batches, durable, partitions
+from gridpulse.llm.common import bounded_batches, durable, lean, partitions
 from gridpulse.llm.components import components
 from gridpulse.llm.shingles import shingle_set
 
@@ -82,7 +82,7 @@ def summarise(docs: DataFrame) -> DataFrame:
         k = len(parts)
         yield pa.RecordBatch.from_arrays([*[none(k, pa.int64())] * 4, pa.array(range(k), pa.int32()), pa.array(parts, pa.binary())], names=names)
 
-    return docs.select("doc_id", "key", "text").mapInArrow(run, "doc_id long, key long, n long, cls long, chunk int, counts binary")
+    return docs.select("doc_id", "key", "text").mapInArrow(lean(run), "doc_id long, key long, n long, cls long, chunk int, counts binary")
 
 
 def sketch_of(summary: DataFrame) -> np.ndarray:
@@ -98,7 +98,7 @@ def sketch_of(summary: DataFrame) -> np.ndarray:
 
     parts = summary.where("chunk IS NOT NULL").select("chunk", "counts").repartition(min(partitions(summary.sparkSession), SKETCH // CHUNK), "chunk")
     cells = np.zeros(SKETCH, np.uint64)
-    for r in parts.mapInArrow(add, "chunk int, counts binary").collect():
+    for r in parts.mapInArrow(lean(add), "chunk int, counts binary").collect():
         cells[r["chunk"] * CHUNK : (r["chunk"] + 1) * CHUNK] = np.frombuffer(r["counts"], np.uint64)
     # steps of a fourth: cells of near-equal counts keep the order of their hashes
     return np.floor(4 * np.log2(cells.astype(np.float64) + 1)).astype(np.uint8)
@@ -147,7 +147,7 @@ def postings(docs: DataFrame, order: np.ndarray, buckets: int) -> DataFrame:
                     rows.append((int(bucket[a]), key[a:b].tobytes(), index.astype("<u2").tobytes(), place[a:b].tobytes(), classes[near].tobytes()))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), *[pa.binary()] * 4))], names=_PACKED)
 
-    return docs.select("text").mapInArrow(run, "bucket int, keys binary, owners binary, places binary, classes binary")
+    return docs.select("text").mapInArrow(lean(run), "bucket int, keys binary, owners binary, places binary, classes binary")
 
 
 _PACKED = ["bucket", "keys", "owners", "places", "classes"]
@@ -203,7 +203,7 @@ def shared_keys(packed: DataFrame, n: int) -> DataFrame:
                 data = [pa.nulls(len(x), pa.int64()), *map(pa.array, (owner[x], owner[y], size[x], size[y], first[i : i + (1 << 16)]))]
                 yield pa.RecordBatch.from_arrays(data, names=names)
 
-    return packed.repartition(n, "bucket").mapInArrow(run, "key long, cls long, other long, n long, m long, first boolean")
+    return packed.repartition(n, "bucket").mapInArrow(lean(run), "key long, cls long, other long, n long, m long, first boolean")
 
 
 def candidates(keys: DataFrame) -> DataFrame:
@@ -292,7 +292,7 @@ def needed_bits(ids: DataFrame) -> np.ndarray:
 
     # few tasks, so that what they send stays within a few maps of fixed size
     total = np.zeros(NEEDED_BITS // 8, np.uint8)
-    for r in ids.coalesce(4).mapInArrow(run, "part long, bits binary").toLocalIterator():
+    for r in ids.coalesce(4).mapInArrow(lean(run), "part long, bits binary").toLocalIterator():
         total[4096 * r["part"] : 4096 * (r["part"] + 1)] |= np.frombuffer(r["bits"], np.uint8)
     return total
 
@@ -317,7 +317,7 @@ def sets_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
                     raw = [shingle_set(b.column(1)[int(i)].as_py()).tobytes() for i in want]
                     yield pa.RecordBatch.from_arrays([pa.array(doc[want]), pa.array(raw, pa.binary())], names=["doc_id", "shingles"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, shingles binary")
+    return docs.select("doc_id", "text").mapInArrow(lean(run), "doc_id long, shingles binary")
 
 
 def _searched(groups: DataFrame, by: list[str]) -> DataFrame:

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridpulse.llm.bpe_codec import codec
-from gridpulse.llm.common import bounded_batches, durable
+from gridpulse.llm.common import bounded_batches, durable, lean
 
 CAPACITY = 2048
 
@@ -49,7 +49,7 @@ def cut(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = 0, r
                 )
 
     return bounded_batches(docs).select("doc_id", "text").mapInArrow(
-        run, "doc_id long, piece int, start long, length long, ids_crc32 long, part int, nth long"
+        lean(run), "doc_id long, piece int, start long, length long, ids_crc32 long, part int, nth long"
     )
 
 
@@ -142,7 +142,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
             )
 
     kinds = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
-    return numbered.mapInArrow(run, kinds)
+    return numbered.mapInArrow(lean(run), kinds)
 
 
 def pack_documents(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gridpulse.llm.common import bounded_batches
+from gridpulse.llm.common import bounded_batches, lean
 
 BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "url", "account")
@@ -132,7 +132,7 @@ def find_personal_data(docs: DataFrame, text: str = "text", spans: str = "spans"
                 yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(made, kind)], names=[*keep, spans])
 
     fields = [*docs.select(*keep).schema, T.StructField(spans, T._parse_datatype_string(SPANS))]
-    return bounded_batches(docs).select(text, *keep).mapInArrow(run, T.StructType(fields))
+    return bounded_batches(docs).select(text, *keep).mapInArrow(lean(run), T.StructType(fields))
 
 
 def joined(spans: Column) -> Column:

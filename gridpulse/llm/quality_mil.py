@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gridpulse.llm.common import bounded_batches
+from gridpulse.llm.common import bounded_batches, lean
 
 PASSAGE, PER_CLASS = 256, 1500
 HIDDEN, GATE, EPOCHS, BATCH, RATE, DECAY = 24, 12, 20, 64, 3e-3, 1e-4
@@ -171,7 +171,7 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Att
             raw = [encode_passages(t).tobytes() for t in b.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(raw, pa.binary())], names=["doc_id", "quality", "x"])
 
-    got = rows.mapInArrow(encode, "doc_id long, quality int, x binary").toArrow().sort_by("doc_id")
+    got = rows.mapInArrow(lean(encode), "doc_id long, quality int, x binary").toArrow().sort_by("doc_id")
     label = got.column("quality").to_numpy().astype(np.float32)
     if not (0 < label.sum() < len(label)):
         return None
@@ -197,7 +197,7 @@ def score(docs: DataFrame, model: AttentionMIL | None, text: str = "text", out:
                 yield pa.RecordBatch.from_arrays([*b.columns, pa.array(y, pa.float64())], names=[*keep, out])
 
     fields = [*docs.select(*keep).schema, T.StructField(out, T.DoubleType())]
-    return bounded_batches(docs).select(*keep).mapInArrow(run, T.StructType(fields))
+    return bounded_batches(docs).select(*keep).mapInArrow(lean(run), T.StructType(fields))
 
 
 def report(docs: DataFrame, labels: DataFrame) -> DataFrame:

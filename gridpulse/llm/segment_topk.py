@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridpulse.llm.common import durable
+from gridpulse.llm.common import durable, lean
 
 LEVELS = (1, 2, 4, 8, 16)
 ROWS, QUERY_ROWS = 4096, 4096
@@ -65,7 +65,7 @@ def _blocks(rows: DataFrame, size: int, part: str) -> DataFrame:
         for dim in list(held):
             yield out(dim)
 
-    return rows.mapInArrow(run, "dim int, ids binary, values binary").withColumn(part, F.spark_partition_id())
+    return rows.mapInArrow(lean(run), "dim int, ids binary, values binary").withColumn(part, F.spark_partition_id())
 
 
 def statistics(x: np.ndarray, segments: int) -> np.ndarray:
@@ -154,6 +154,6 @@ def top_k(rows: DataFrame, every: int = 100, k: int = 10, id_col: str = "vec_id"
                 held[key].meet(ids, np.frombuffer(values, "<i8").reshape(-1, dim))
         yield from out()
 
-    found = pairs.mapInArrow(run, "query_id long, vec_id long, score long")
+    found = pairs.mapInArrow(lean(run), "query_id long, vec_id long, score long")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gridpulse.llm.common import bounded_batches, durable, partitions
+from gridpulse.llm.common import bounded_batches, durable, lean, partitions
 from gridpulse.llm.fm_index import FMIndex
 from gridpulse.llm.ngram_join import _bit, needed_bits
 from gridpulse.llm.shingles import FACTOR, Powers, inverse, mixed, runs, word_hashes
@@ -84,7 +84,7 @@ def all_segments(docs: DataFrame) -> DataFrame:
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], names=names)
 
-    return docs.mapInArrow(run, "least long, whole long, doc_id long, th long, start int, windows int, twice boolean")
+    return docs.mapInArrow(lean(run), "least long, whole long, doc_id long, th long, start int, windows int, twice boolean")
 
 
 def contents(texts: DataFrame) -> DataFrame:
@@ -97,7 +97,7 @@ def contents(texts: DataFrame) -> DataFrame:
                 rows = [(p["least"], p["whole"], p["places"], b" ".join(w[p["start"] : p["start"] + p["windows"] + SIZE - 1])) for p in parts]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.int64(), pa.binary()))], names=["least", "whole", "places", "words"])
 
-    return texts.select("text", "parts").mapInArrow(run, "least long, whole long, places long, words binary")
+    return texts.select("text", "parts").mapInArrow(lean(run), "least long, whole long, places long, words binary")
 
 
 def search(contents_: DataFrame, n: int) -> DataFrame:
@@ -128,7 +128,7 @@ def search(contents_: DataFrame, n: int) -> DataFrame:
             yield from shard(held)
 
     dealt = contents_.repartition(n, "least").sortWithinPartitions("least", "whole")
-    return dealt.mapInArrow(run, "least long, whole long, mask binary")
+    return dealt.mapInArrow(lean(run), "least long, whole long, mask binary")
 
 
 def _filtered(docs: DataFrame, ids: DataFrame, inside: bool) -> DataFrame:
@@ -142,7 +142,7 @@ def _filtered(docs: DataFrame, ids: DataFrame, inside: bool) -> DataFrame:
             hit = ((shared.value[place >> 3] >> (place & 7).astype(np.uint8)) & 1).astype(bool)
             yield b.filter(pa.array(hit if inside else ~hit))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)
 
 
 PARTS = "array<struct<start:int,windows:int,mask:binary>>"
@@ -215,7 +215,7 @@ def drop_repeats(docs: DataFrame) -> DataFrame:
                     names=[*names, *extra],
                 )
 
-    return held.unionByName(free).mapInArrow(run, schema)
+    return held.unionByName(free).mapInArrow(lean(run), schema)
 
 
 def report(docs: DataFrame) -> DataFrame:
