@@ -3,8 +3,12 @@
 Vectors are quantised to integers and packed into blocks. Each vector's means and deviations over 1,
 2, 4, 8 and 16 segments bound its product with a query from above (equally, its distance from below:
 d2 = |x|2 + |y|2 - 2xy); a block's vectors are dropped level by level, coarse to fine, once their bound
-falls under the query's k-th best score so far. Survivors get the exact integer product. Queries and
-candidates meet block by block; each task passes on only k rows a query, which one window merges.
+falls under the query's k-th best score so far. Survivors get the exact integer product. A block has an envelope, too: the
+ranges of its vectors' means and its largest deviations bound all its products with a query at once, so a block that can't
+reach a query's k-th best isn't looked into.
+
+Candidates aren't shuffled: queries are sent to them in turns of at most TURN bytes, each one pass over the
+candidates; each task passes on only k rows a query, which one window merges.
 
 Defined results: vectors that are null, or hold a null or non-finite component, take no part; vectors of
 other lengths than the query's aren't compared with it; an empty vector's products are 0; a candidate row
@@ -25,6 +29,8 @@ from gridpulse.llm.common import durable, lean
 
 LEVELS = (1, 2, 4, 8, 16)
 ROWS, QUERY_ROWS = 4096, 4096
+#: Bytes of the queries that are broadcast at once.
+TURN = 64 << 20
 SCALE = 1024
 
 
@@ -37,35 +43,34 @@ def quantise(vector: Column, scale: int = SCALE) -> Column:
     return F.transform(vector, lambda x: F.floor(x.cast("double") * scale).cast("long"))
 
 
-def _blocks(rows: DataFrame, size: int, part: str) -> DataFrame:
-    """(dim, part, ids, values): blocks of up to so many rows of one partition and length, by ascending id."""
+def _by_length(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(length, ids, vectors) for each length of vector in columns (id, vector)."""
+    ids, vectors = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1)
+    dims = np.diff(vectors.offsets.to_numpy())
+    flat = vectors.flatten().to_numpy(zero_copy_only=False)
+    starts = np.concatenate([[0], np.cumsum(dims)])
+    for dim in np.unique(dims):
+        at = np.flatnonzero(dims == dim)
+        yield int(dim), ids[at], flat[starts[at][:, None] + np.arange(dim)].reshape(len(at), dim)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list] = {}
-
-        def out(dim: int) -> pa.RecordBatch:
-            ids = np.concatenate([x[0] for x in held[dim]])
-            values = np.concatenate([x[1] for x in held.pop(dim)])
-            order = np.argsort(ids, kind="stable")
-            data = [[dim], [ids[order].astype("<i8").tobytes()], [values[order].astype("<i8").tobytes()]]
-            return pa.RecordBatch.from_arrays([pa.array(data[0], pa.int32()), *map(pa.array, data[1:])], names=["dim", "ids", "values"])
-
-        for batch in batches:
-            ids, vectors = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1)
-            dims = np.diff(vectors.offsets.to_numpy())
-            flat = vectors.flatten().to_numpy(zero_copy_only=False)
-            starts = np.concatenate([[0], np.cumsum(dims)])
-            for dim in np.unique(dims):
-                at = np.flatnonzero(dims == dim)
-                values = flat[starts[at][:, None] + np.arange(dim)].reshape(len(at), dim)
-                for i in range(0, len(at), size):
-                    held.setdefault(int(dim), []).append((ids[at[i : i + size]], values[i : i + size]))
-                    if sum(len(x[0]) for x in held[dim]) >= size:
-                        yield out(int(dim))
-        for dim in list(held):
-            yield out(dim)
-
-    return rows.mapInArrow(lean(run), "dim int, ids binary, values binary").withColumn(part, F.spark_partition_id())
+
+def blocks(batches: Iterator[pa.RecordBatch], size: int = ROWS) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(length, ids, vectors) of up to so many rows, by ascending id."""
+    held: dict[int, list] = {}
+
+    def out(dim: int) -> tuple[int, np.ndarray, np.ndarray]:
+        ids, values = (np.concatenate(x) for x in zip(*held.pop(dim)))
+        order = np.argsort(ids, kind="stable")
+        return dim, ids[order], values[order]
+
+    for batch in batches:
+        for dim, ids, values in _by_length(batch):
+            for i in range(0, len(ids), size):
+                held.setdefault(dim, []).append((ids[i : i + size], values[i : i + size]))
+                if sum(len(x[0]) for x in held[dim]) >= size:
+                    yield out(dim)
+    for dim in list(held):
+        yield out(dim)
 
 
 def statistics(x: np.ndarray, segments: int) -> np.ndarray:
@@ -90,10 +95,19 @@ class Search:
         self.best = [np.zeros((0,), np.int64)] * len(ids), [np.zeros((0,), np.int64)] * len(ids)
         self.floor = np.full(len(ids), -np.inf)
 
+    def envelope(self, s: np.ndarray) -> np.ndarray:
+        """What no product of a query with a block exceeds, from the block's statistics: the ranges of the means, the most of the deviations."""
+        own, half = self.levels[-1], s.shape[1] // 2
+        low, high = s.min(0), s.max(0)
+        means = np.maximum(own[:, :half], 0) @ high[:half] + np.minimum(own[:, :half], 0) @ low[:half]
+        bound = means + own[:, half:] @ high[half:]
+        return bound + 1e-9 * np.abs(bound) + 1e-3
+
     def meet(self, ids: np.ndarray, c: np.ndarray) -> None:
         f = c.astype(np.float64)
         alive = np.ones((len(self.ids), len(ids)), bool)
         if np.isfinite(self.floor).any():
+            alive &= (self.envelope(statistics(f, LEVELS[-1])) >= self.floor)[:, None]
             for own, segments in zip(self.levels, LEVELS):
                 cols, rows = np.flatnonzero(alive.any(0)), np.flatnonzero(alive.any(1))
                 if not len(cols):
@@ -125,35 +139,39 @@ def top_k(rows: DataFrame, every: int = 100, k: int = 10, id_col: str = "vec_id"
         F.col(id_col).cast("long").alias("vec_id"), quantise(F.col(vector)).alias("v")
     ).where(F.col("vec_id").isNotNull())
     asked = durable(used.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("v").alias("v")), "queries")
-    n = max(1, -(-asked.count() // QUERY_ROWS))
-    q = _blocks(asked.repartition(n, "vec_id"), QUERY_ROWS, "part").select(
-        "dim", "part", F.col("ids").alias("q_ids"), F.col("values").alias("q_values")
-    )
-    c = _blocks(used, ROWS, "_from").withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
-    pairs = c.join(q, ["dim", "part"]).select("dim", "part", "q_ids", "q_values", "ids", "values")
+    size = asked.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.size("v") + 1), F.lit(0)).alias("words")).first()
+    turns = max(1, -(-size["words"] * 8 // TURN))
+    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    narrow = lambda df: df.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    parts = [_turn(used, asked.where(F.pmod(F.xxhash64("vec_id"), F.lit(turns)) == t), k) for t in range(turns)]
+    if turns > 1:  # what each turn found is written, so that a plan holds one turn
+        parts = [durable(narrow(p).drop("rank"), "turn") for p in parts]
+    found = parts[0]
+    for p in parts[1:]:
+        found = found.unionByName(p)
+    return narrow(found).select("query_id", "rank", "vec_id", "score")
+
+
+def _turn(used: DataFrame, asked: DataFrame, k: int) -> DataFrame:
+    """(query_id, vec_id, score): each task's best for the queries of one turn, whose bytes are bounded."""
+    table = asked.select("vec_id", "v").toArrow().combine_chunks()
+    own: dict[int, list] = {}
+    for dim, ids, q in blocks(iter(table.to_batches()), QUERY_ROWS):
+        own.setdefault(dim, []).append((ids, q))
+    queries = used.sparkSession.sparkContext.broadcast(own)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple, Search] = {}
-
-        def out() -> Iterator[pa.RecordBatch]:
-            for s in held.values():
-                n = [len(x) for x in s.best[1]]
-                if sum(n):
-                    data = np.repeat(s.ids, n), np.concatenate(s.best[1]), np.concatenate(s.best[0])
-                    yield pa.RecordBatch.from_arrays(list(map(pa.array, data)), names=["query_id", "vec_id", "score"])
-            held.clear()
-
-        for batch in batches:
-            for dim, part, q_ids, q_values, ids, values in zip(*(x.to_pylist() for x in batch.columns)):
-                ids, q_ids = np.frombuffer(ids, "<i8"), np.frombuffer(q_ids, "<i8")
-                key = (dim, part, int(q_ids[0]))
-                if key not in held:
-                    if len(held) >= 8:
-                        yield from out()
-                    held[key] = Search(q_ids, np.frombuffer(q_values, "<i8").reshape(-1, dim), k)
-                held[key].meet(ids, np.frombuffer(values, "<i8").reshape(-1, dim))
-        yield from out()
-
-    found = pairs.mapInArrow(lean(run), "query_id long, vec_id long, score long")
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+        held: dict[int, list[Search]] = {}
+        for dim, ids, c in blocks(batches):
+            if dim in queries.value:
+                if dim not in held:
+                    held[dim] = [Search(*q, k) for q in queries.value[dim]]
+                for s in held[dim]:
+                    s.meet(ids, c)
+        for s in (s for own in held.values() for s in own):
+            n = [len(x) for x in s.best[1]]
+            if sum(n):
+                data = np.repeat(s.ids, n), np.concatenate(s.best[1]), np.concatenate(s.best[0])
+                yield pa.RecordBatch.from_arrays(list(map(pa.array, data)), names=["query_id", "vec_id", "score"])
+
+    return used.mapInArrow(lean(run), "query_id long, vec_id long, score long")
