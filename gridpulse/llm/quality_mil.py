@@ -1,13 +1,15 @@
 """Quality classifier by attention-based multiple-instance learning.
 
-A document is a bag of passages (PASSAGE bytes each, all of the text). A passage is encoded by how often
-classes of characters follow each other and by how much it repeats itself; a small network maps that to a
-hidden vector, learned gated attention weighs the passages, and the weighted sum is classified. Only the
+A document is a bag of passages (PASSAGE bytes each, all of the text). A passage is encoded by hashed byte trigrams of its
+lower-cased text, by how often classes of characters follow each other and by how much it repeats itself; a small network
+maps that to a hidden vector, learned gated attention weighs the passages, and the weighted sum is classified. Only the
 documents carry labels; which passages matter is learned.
 
 The network is fitted on the driver on a bounded sample: up to PER_CLASS labelled documents of each label,
 taken in the order of a hash of doc_id, and weighed so that each label counts as often as among all labelled
-rows. Rows whose crc32(doc_id as text) mod 3 is 1 are held out. Scoring is one narrow pass over all documents.
+rows; of a document with more than BAG passages one of each of BAG equal stretches is learned from. Rows whose
+crc32(doc_id as text) mod 3 is 1 are held out. Scoring is one narrow pass over all documents and all their passages, which
+are encoded RUN at a time and meet in running sums of the attention, so memory doesn't grow with a text's bag.
 
 Defined results: null and empty texts are one empty passage and get its score; with no labelled row of either
 label every score is 0.5; of repeated labels of a doc_id the lowest counts; repeated rows are scored each for
@@ -26,13 +28,17 @@ from pyspark.sql import types as T
 
 from gridpulse.llm.common import bounded_batches, lean
 
-PASSAGE, PER_CLASS = 256, 1500
+PASSAGE, PER_CLASS, BAG = 256, 1500, 32
+#: Passages that are encoded at once.
+RUN = 2048
 HIDDEN, GATE, EPOCHS, BATCH, RATE, DECAY = 24, 12, 20, 64, 3e-3, 1e-4
+#: Cells of hashed trigrams, what their inputs are divided by, as most cells tell nothing, and a fixed odd factor of the hash.
+GRAMS, CALM, MIX = 64, 4, np.uint32(0x9E3779B1)
 
 #: Classes of bytes; every byte outside ASCII is in one of two.
 CLASSES = ("aeiouy", "bcdfghjklmnpqrstvwxz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", " \t", "\n\r", ".", ",", "!?", "|", "$%&#*^~", "()[]{}<>", "\"'`", "-_/\\+=", "@:;")
 N_CLASSES = len(CLASSES) + 3
-FEATURES = N_CLASSES * (N_CLASSES + 1) + 3
+FEATURES = N_CLASSES * (N_CLASSES + 1) + GRAMS + 3
 
 
 def _class_of() -> np.ndarray:
@@ -45,38 +51,63 @@ def _class_of() -> np.ndarray:
 
 
 BYTE_CLASS = _class_of()
+LOWER = np.arange(256, dtype=np.uint32)
+LOWER[65:91] += 32
 
 
 def encode_passages(text: str | None) -> np.ndarray:
-    """Passages x FEATURES: shares of classes and of pairs of classes, share of distinct 4-grams and of letters, fill."""
-    raw = np.frombuffer((text or "").encode(), np.uint8)
-    n = max(1, -(-len(raw) // PASSAGE))
+    """All passages of a text x FEATURES."""
+    return np.concatenate(list(encoded((text or "").encode())))
+
+
+def encoded(raw: bytes, run: int = RUN) -> Iterator[np.ndarray]:
+    """Passages x FEATURES, so many at a time: shares of classes, of pairs of classes and of hashed trigrams, share of distinct
+    4-grams and of letters, fill. What begins in a passage counts for it, whether or not it ends there."""
+    for at in range(0, max(1, len(raw)), run * PASSAGE):
+        yield _encoded(np.frombuffer(raw[at : at + run * PASSAGE + 3], np.uint8), min(run * PASSAGE, len(raw) - at))
+
+
+def _encoded(raw: np.ndarray, held: int) -> np.ndarray:
+    n = max(1, -(-held // PASSAGE))
     out = np.zeros((n, FEATURES), np.float32)
-    if not len(raw):
+    if not held:
         return out
     cls = BYTE_CLASS[raw]
-    at = np.arange(len(raw)) // PASSAGE
+    at = np.arange(held) // PASSAGE
     size = np.bincount(at, minlength=n).astype(np.float32)[:, None]
-    one = np.bincount(at * N_CLASSES + cls, minlength=n * N_CLASSES).reshape(n, -1)
-    pair = cls[:-1] * N_CLASSES + cls[1:]
-    two = np.bincount(at[:-1] * N_CLASSES**2 + pair, minlength=n * N_CLASSES**2).reshape(n, -1)
+    one = np.bincount(at * N_CLASSES + cls[:held], minlength=n * N_CLASSES).reshape(n, -1)
     out[:, :N_CLASSES] = one / size
-    out[:, N_CLASSES : N_CLASSES * (N_CLASSES + 1)] = np.sqrt(two / size)
-    if len(raw) >= 4:
-        w = raw.astype(np.uint32)
-        grams = (w[:-3] << 24) | (w[1:-2] << 16) | (w[2:-1] << 8) | w[3:]
-        keys = np.sort((at[:-3].astype(np.uint64) << np.uint64(32)) | grams)
+    k = min(held, len(raw) - 1)
+    two = np.bincount(at[:k] * N_CLASSES**2 + cls[:k] * N_CLASSES + cls[1 : k + 1], minlength=n * N_CLASSES**2).reshape(n, -1)
+    end = N_CLASSES * (N_CLASSES + 1)
+    out[:, N_CLASSES:end] = np.sqrt(two / size)
+    w = raw.astype(np.uint32)
+    if (k := min(held, len(raw) - 2)) > 0:
+        low = LOWER[raw]
+        cell = (((low[:k] << 16) | (low[1 : k + 1] << 8) | low[2 : k + 2]) * MIX) >> np.uint32(26)
+        out[:, end : end + GRAMS] = np.sqrt(np.bincount(at[:k] * GRAMS + cell, minlength=n * GRAMS).reshape(n, -1) / size)
+    out[:, -3] = 1
+    if (k := min(held, len(raw) - 3)) > 0:
+        grams = (w[:k] << 24) | (w[1 : k + 1] << 16) | (w[2 : k + 2] << 8) | w[3 : k + 3]
+        keys = np.sort((at[:k].astype(np.uint64) << np.uint64(32)) | grams)
         new = np.concatenate([[True], keys[1:] != keys[:-1]])
         seen = np.bincount((keys[new] >> np.uint64(32)).astype(np.int64), minlength=n)
-        total = np.bincount(at[:-3], minlength=n)
+        total = np.bincount(at[:k], minlength=n)
         out[:, -3] = np.where(total > 0, seen / np.maximum(total, 1), 1)
-    else:
-        out[:, -3] = 1
     out[:, -2] = (one[:, 0] + one[:, 1] + one[:, 2] + one[:, -2] + one[:, -1]) / size[:, 0]
     out[:, -1] = size[:, 0] / PASSAGE
     return out
 
 
+def learned_from(raw: bytes, bag: int = BAG) -> bytes:
+    """The whole text, or of a long one a passage of each of so many equal stretches, the middle one."""
+    n = -(-len(raw) // PASSAGE)
+    if n <= bag:
+        return raw
+    edges = np.linspace(0, n, bag + 1).astype(int)
+    return b"".join(raw[m * PASSAGE : (m + 1) * PASSAGE] for m in (edges[:-1] + edges[1:]) // 2)
+
+
 class AttentionMIL:
     """h = relu(xW), a = softmax over the bag of (tanh(hV) * sigmoid(hU)) w, score = sigmoid((sum of a h) c)."""
 
@@ -89,17 +120,23 @@ class AttentionMIL:
             "w": draw(GATE, 1), "c": draw(HIDDEN, 1), "d": np.zeros(1, np.float32),
         }
 
-    def forward(self, x: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> dict:
+    def hidden(self, x: np.ndarray) -> tuple[np.ndarray, ...]:
+        """What each passage is to the network: its inputs, hidden vector, both gates, and its attention before the bag's share."""
         p = self.p
         z = np.clip((x - self.mean) / self.scale, -8, 8)
         h = np.maximum(z @ p["W"] + p["b"], 0)
         t, g = np.tanh(h @ p["V"]), 1 / (1 + np.exp(-np.clip(h @ p["U"], -30, 30)))
-        s = (t * g) @ p["w"]
+        return z, h, t, g, (t * g) @ p["w"]
+
+    def head(self, m: np.ndarray) -> np.ndarray:
+        return (1 / (1 + np.exp(-np.clip(m @ self.p["c"] + self.p["d"], -30, 30))))[:, 0]
+
+    def forward(self, x: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> dict:
+        z, h, t, g, s = self.hidden(x)
         e = np.exp(s - np.repeat(np.maximum.reduceat(s, starts), sizes, axis=0))
         a = e / np.repeat(np.add.reduceat(e, starts), sizes, axis=0)
         m = np.add.reduceat(a * h, starts)
-        y = 1 / (1 + np.exp(-np.clip(m @ p["c"] + p["d"], -30, 30)))
-        return {"z": z, "h": h, "t": t, "g": g, "a": a, "m": m, "y": y[:, 0]}
+        return {"z": z, "h": h, "t": t, "g": g, "a": a, "m": m, "y": self.head(m)}
 
     def gradient(self, x, starts, sizes, label, weight) -> dict:
         p, f = self.p, self.forward(x, starts, sizes)
@@ -137,26 +174,47 @@ class AttentionMIL:
         return self
 
     def score(self, texts: list[str | None]) -> np.ndarray:
-        """In blocks of bags, so that memory follows the longest text."""
+        """Short texts meet in blocks of bags; a bag of more than RUN passages goes by itself, in running sums."""
         out = np.zeros(len(texts))
         held: list[np.ndarray] = []
-        done = 0
-        for i, text in enumerate(texts):
-            held.append(encode_passages(text))
-            if i + 1 == len(texts) or sum(map(len, held)) > 4096:
+        places: list[int] = []
+
+        def flush() -> None:
+            if held:
                 sizes = np.array([len(x) for x in held])
-                starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-                out[done : i + 1] = self.forward(np.concatenate(held), starts, sizes)["y"]
-                held, done = [], i + 1
+                out[places] = self.forward(np.concatenate(held), np.concatenate([[0], np.cumsum(sizes)[:-1]]), sizes)["y"]
+            held.clear()
+            places.clear()
+
+        for i, text in enumerate(texts):
+            raw = (text or "").encode()
+            if len(raw) > RUN * PASSAGE:
+                out[i] = self.score_long(encoded(raw))
+                continue
+            held += encoded(raw)
+            places.append(i)
+            if sum(map(len, held)) > RUN:
+                flush()
+        flush()
         return out
 
+    def score_long(self, runs: Iterator[np.ndarray]) -> float:
+        """The score of one bag that comes in runs: the attention's sums are scaled by the largest exponent so far."""
+        most, total, m = -np.inf, 0.0, np.zeros(HIDDEN)
+        for x in runs:
+            _, h, _, _, s = self.hidden(x)
+            top = max(most, float(s.max()))
+            e, keep = np.exp(s - top), np.exp(most - top)
+            most, total, m = top, total * keep + float(e.sum()), m * keep + (e * h).sum(0)
+        return float(self.head((m / total)[None])[0])
+
 
 def held_out(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1
 
 
 def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> AttentionMIL | None:
-    """Fitted on at most 2 x per_class documents; None if a label has no document to learn from."""
+    """Fitted on at most 2 x per_class documents of BAG passages; None if a label has no document to learn from."""
     known = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1) & ~held_out(F.col("doc_id")))
     known = known.groupBy("doc_id").agg(F.min("quality").alias("quality"))
     total = {r["quality"]: r["count"] for r in known.groupBy("quality").count().collect()}
@@ -166,19 +224,21 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Att
     sample = pick(0).unionByName(pick(1)).withColumnRenamed("doc_id", "_id")
     rows = bounded_batches(docs).select("doc_id", "text").join(F.broadcast(sample), F.col("doc_id") == F.col("_id")).select("doc_id", "quality", "text")
 
-    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def shortened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            raw = [encode_passages(t).tobytes() for t in b.column(2).to_pylist()]
+            raw = [learned_from((t or "").encode()) for t in b.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(raw, pa.binary())], names=["doc_id", "quality", "x"])
 
-    got = rows.mapInArrow(lean(encode), "doc_id long, quality int, x binary").toArrow().sort_by("doc_id")
+    got = rows.mapInArrow(lean(shortened), "doc_id long, quality int, x binary").toArrow().sort_by("doc_id")
     label = got.column("quality").to_numpy().astype(np.float32)
     if not (0 < label.sum() < len(label)):
         return None
-    bags = [np.frombuffer(x.as_buffer(), np.float32).reshape(-1, FEATURES) for x in got.column("x")]
+    bags = [np.concatenate(list(encoded(x.as_buffer().to_pybytes()))) for x in got.column("x")]
     # moments by bag, so that a few very long texts don't set the scale
     mean = np.mean([x.mean(0) for x in bags], axis=0)
     scale = np.sqrt(np.mean([((x - mean) ** 2).mean(0) for x in bags], axis=0)) + 1e-3
+    first = N_CLASSES * (N_CLASSES + 1)
+    scale[first : first + GRAMS] *= CALM
     share = {q: total[q] / sum(total.values()) * len(label) / max(1, (label == q).sum()) for q in (0, 1)}
     weight = np.where(label == 1, share[1], share[0]).astype(np.float32)
     return AttentionMIL(mean.astype(np.float32), scale.astype(np.float32)).fit(bags, label, weight)
