@@ -1,19 +1,30 @@
 """Secret scan: strict patterns, plus tokens that a character Markov model finds random.
 
-Two first-order character models are trained, one on random strings and one on ordinary
-identifiers. A long token is reported when its mean log-likelihood ratio (random against
-ordinary, per transition) exceeds a threshold. Every step, training included, is built from
-DataFrame and SQL functions, and the scan is one narrow pass without a shuffle.
+Two first-order character models are trained, one on random strings and one on identifiers in real use. A long token
+is reported when its mean log-likelihood ratio (random against ordinary, per transition) exceeds a threshold, which is
+fitted on held-out samples. Every step, training included, is built from DataFrame and SQL functions, and the
+scan is one narrow pass without a shuffle.
 
-Defined results: null and empty texts have no spans; repeated rows are scanned each for itself;
-columns of the input with the names of the output are replaced.
+Time grows with a text's length and the number of its spans, not with their squares: places are running sums in two levels,
+spans are looked up by binary search, a token is split once, and texts are put together chunk by chunk.
+
+Defined results: null and empty texts have no spans; repeated rows are scanned each for itself; columns of the input
+with the names of the output are replaced, others of any name are kept; a run of more than LONGEST characters
+is scored in parts of that length, of which the last takes in a rest that is too short to be a token.
 """
 
 from __future__ import annotations
 
+import builtins
+import keyword
+import logging
 import math
-from functools import reduce
+import re
+import sys
+from collections.abc import Callable
+from dataclasses import dataclass
 
+import pyspark.sql.functions
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,35 +34,40 @@ ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']
 ACCESS = r"AKIA[A-Z0-9]{12,}"
 HEX = r"[0-9a-f]{32,}"
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
-LEAST = 20
-TOKEN = rf"[A-Za-z0-9+/_=-]{{{LEAST},}}"
-#: Words from which ordinary identifiers are put together.
-WORDS = (
-    "account action address after agent amount and answer area array available back batch before between block body "
-    "buffer button cache call center change channel check child class client close cluster column command common "
-    "component config connection content context control count country create current customer data date default "
-    "delete description detail device directory document domain element enable entry error event example execution "
-    "export factory field file filter find first folder format from function general group handler header height "
-    "history host image import index information initial input instance interface internal international item join "
-    "language last layer length level limit line link list local location manager maximum member memory message method "
-    "model module monitor name national network node notification number object operation option order other output "
-    "owner package page parameter parent partition path pattern payment permission platform policy position previous "
-    "print process product profile project property provider public query question queue random range reader record "
-    "reference region register remote report request resource response result return schema search section select "
-    "sequence server service session setting shared signal source standard start state station status storage stream "
-    "string summary support system table target task template temporary test text that the their thread through time "
-    "transaction transform translation type understanding unit update upload user value vector version view where "
-    "window with without worker writer"
-)
-
-
-def labelled_strings(spark: SparkSession, n: int = 4000) -> DataFrame:
-    """The training sample, (s, label): n random strings in three alphabets, n joined words in five styles."""
+SIZE = len(ALPHABET) + 1
+LEAST, LONGEST = 20, 4096
+TOKEN = f"[A-Za-z0-9+/_=-]{{{LEAST},{LONGEST}}}(?:[A-Za-z0-9+/_=-]{{1,{LEAST - 1}}}(?![A-Za-z0-9+/_=-]))?"
+#: Elements of a run of running sums, characters of a chunk of text.
+RUN, CHUNK = 256, 4096
+#: Ordinary held-out tokens of which one may be reported.
+ONE_IN = 1000
+
+
+@dataclass(frozen=True)
+class Markov:
+    """Log-likelihood ratio of each transition, by (first, second) place in ALPHABET, the threshold of their mean, and how the
+    two did on held-out samples: the share of random tokens found, and of ordinary ones reported."""
+
+    ratios: tuple[float, ...]
+    threshold: float
+    recall: float
+    false_share: float
+
+
+def identifiers() -> list[str]:
+    """Names in real use: Python's keywords, built-ins and modules, their parts, and Spark's SQL functions."""
+    named = {*keyword.kwlist, *dir(builtins), *sys.stdlib_module_names, *dir(pyspark.sql.functions), *dir(Column), *dir(DataFrame), *dir(SparkSession)}
+    named |= {n for m in (str, dict, bytes, sys, re, math, logging) for n in dir(m)}
+    return sorted(n for n in named if re.fullmatch("[A-Za-z][A-Za-z0-9_]{2,}", n))
+
+
+def labelled_strings(spark: SparkSession, n: int = 12000) -> DataFrame:
+    """The sample, (s, label): n random strings in three alphabets, and n identifiers, alone and joined in five styles."""
     digest = lambda salt: F.sha2(F.concat_ws("/", F.lit(salt), F.col("id")), 256)
-    words = F.split(F.lit(WORDS), " ")
+    words = F.split(F.lit(" ".join(identifiers())), " ")
     pick = lambda k: F.element_at(words, (F.pmod(F.xxhash64("id", F.lit(k)), F.size(words)) + 1).cast("int"))
-    four = F.array(pick(1), pick(2), pick(3), pick(4))
-    cap = F.transform(four, F.initcap)
+    some = F.slice(F.array(*[pick(k) for k in range(1, 7)]), F.lit(1), (F.pmod(F.xxhash64("id"), F.lit(4)) + 3).cast("int"))
+    cap = F.transform(some, F.initcap)
     ids = spark.range(0, n, 1, 4)
     random = ids.select(
         F.when(F.col("id") % 4 < 2, F.base64(F.unhex(digest("a"))))
@@ -61,179 +77,223 @@ def labelled_strings(spark: SparkSession, n: int = 4000) -> DataFrame:
         F.lit(1).alias("label"),
     )
     plain = ids.select(
-        F.when(F.col("id") % 5 == 0, F.array_join(four, "_"))
-        .when(F.col("id") % 5 == 1, F.array_join(cap, ""))
-        .when(F.col("id") % 5 == 2, F.upper(F.array_join(four, "_")))
-        .when(F.col("id") % 5 == 3, F.array_join(four, "-"))
-        .otherwise(F.array_join(four, ""))
+        F.when(F.col("id") % 6 == 0, F.array_join(some, "_"))
+        .when(F.col("id") % 6 == 1, F.array_join(cap, ""))
+        .when(F.col("id") % 6 == 2, F.upper(F.array_join(some, "_")))
+        .when(F.col("id") % 6 == 3, F.array_join(some, "-"))
+        .when(F.col("id") % 6 == 4, F.array_join(some, "/"))
+        .otherwise(F.array_join(some, ""))
         .alias("s"),
         F.lit(0).alias("label"),
     )
     return random.unionByName(plain)
 
 
+def held_out() -> Column:
+    return F.pmod(F.xxhash64("s"), F.lit(4)) == 0
+
+
+def train(spark: SparkSession, samples: DataFrame | None = None) -> Markov:
+    """The models from three quarters of the samples, the threshold from the rest: above all but one in ONE_IN ordinary tokens,
+    and half way to the random ones where these lie apart."""
+    samples = labelled_strings(spark) if samples is None else samples
+    ratios = train_markov(samples.where(~held_out()))
+    rest = samples.where(held_out() & (F.length("s") >= LEAST))
+    scored = rest.select("label", let(places(F.col("s")), lambda p: mean_ratio(p, ratios)).alias("x")).collect()  # of bounded size
+    plain, random = (sorted(r["x"] for r in scored if r["label"] == k) for k in (0, 1))
+    if not plain or not random:
+        raise ValueError("both labels need held-out samples of a token's length")
+    most, low = plain[-1 - len(plain) // ONE_IN], random[len(random) // 100]
+    threshold = (most + low) / 2 if low > most else most
+    return Markov(tuple(ratios), threshold, sum(x > threshold for x in random) / len(random), sum(x > threshold for x in plain) / len(plain))
+
+
 def train_markov(samples: DataFrame, smoothing: float = 0.5) -> list[float]:
     """Log-likelihood ratio of each transition, by (first, second) place in ALPHABET; place 0 is any other character.
 
     The statistics are counted by Spark; what comes back has at most 2 x 68 x 68 rows.
     """
-    size = len(ALPHABET) + 1
-    pairs = samples.where(F.length("s") > 1).select(
-        "label", "s", F.explode(F.sequence(F.lit(1), F.length("s") - 1)).alias("i")
-    )
-    a, b = F.substring(F.col("s"), F.col("i"), F.lit(1)), F.substring(F.col("s"), F.col("i") + 1, F.lit(1))
-    counts = (
-        pairs.select("label", _place(a).alias("a"), _place(b).alias("b")).groupBy("label", "a", "b").count().collect()
-    )
-    seen = [[[smoothing] * size for _ in range(size)] for _ in range(2)]
+    pairs = F.explode(let(places(F.col("s")), lambda p: F.zip_with(F.slice(p, F.lit(1), F.size(p) - 1), F.slice(p, F.lit(2), F.size(p) - 1), lambda a, b: F.struct(a.alias("a"), b.alias("b")))))
+    counts = samples.where(F.length("s") > 1).select("label", pairs.alias("t")).groupBy("label", "t.a", "t.b").count().collect()
+    seen = [[[smoothing] * SIZE for _ in range(SIZE)] for _ in range(2)]
     for r in counts:
         seen[r["label"]][r["a"]][r["b"]] += r["count"]
     logs = [[[math.log(x / sum(row)) for x in row] for row in side] for side in seen]
-    return [logs[1][i][j] - logs[0][i][j] for i in range(size) for j in range(size)]
+    return [logs[1][i][j] - logs[0][i][j] for i in range(SIZE) for j in range(SIZE)]
 
 
-def _place(ch: Column) -> Column:
-    return F.instr(F.lit(ALPHABET), ch)
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of value, which is computed once: a lambda's variable is not put back into the expression."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def log_likelihood_ratio(token: Column, model: list[float]) -> Column:
-    """Mean over the token's transitions of log P(random) - log P(ordinary)."""
-    size = len(ALPHABET) + 1
-    ratios = F.expr(f"cast(split('{','.join(f'{x:.5f}' for x in model)}', ',') AS array<double>)")
-    at = lambda i: F.instr(F.lit(ALPHABET), F.substring(token, i, F.lit(1)))
-    steps = F.sequence(F.lit(1), F.length(token) - 1)
-    total = F.aggregate(
-        steps, F.lit(0.0), lambda acc, i: acc + F.get(ratios, (at(i) * size + at(i + 1)).cast("int"))
-    )
-    return total / (F.length(token) - 1)
+def places(token: Column) -> Column:
+    """The characters' places in ALPHABET; the token is split once."""
+    return F.transform(F.split(token, ""), lambda c: F.instr(F.lit(ALPHABET), c))
+
+
+def mean_ratio(p: Column, ratios: list[float]) -> Column:
+    """Mean over the transitions of log P(random) - log P(ordinary), of places that are already bound."""
+    table = F.expr(f"cast(split('{','.join(f'{x:.5f}' for x in ratios)}', ',') AS array<double>)")
+    n = F.size(p) - 1
+    each = F.zip_with(F.slice(p, F.lit(1), n), F.slice(p, F.lit(2), n), lambda a, b: F.get(table, a * SIZE + b))
+    return F.aggregate(each, F.lit(0.0), lambda acc, x: acc + x) / n
+
+
+def accumulated(values: Column, merge: Callable[[Column, Column], Column]) -> Column:
+    """The running results of merge over an array of whole numbers, by runs of RUN: an array only grows within a run."""
+    none = F.array().cast("array<int>")
+    last = lambda a: F.get(a, F.size(a) - 1)
+    grow = lambda acc, x: F.concat(acc, F.array(F.when(F.size(acc) == 0, x).otherwise(merge(last(acc), x))))
 
+    def of(v: Column) -> Column:
+        runs = F.transform(F.sequence(F.lit(0), F.floor((F.size(v) - 1) / RUN).cast("int")), lambda k: F.aggregate(F.slice(v, k * RUN + 1, RUN), none, grow))
+        join = lambda r: let(F.aggregate(F.transform(r, last), none, grow), lambda upto: F.flatten(
+            F.transform(r, lambda run, k: F.when(k == 0, run).otherwise(F.transform(run, lambda x: merge(F.get(upto, k - 1), x))))
+        ))
+        return F.when(F.size(v) > 0, let(runs, join)).otherwise(none)
 
-def _spans(text: Column, pattern: str, kind: int) -> Column:
+    return let(values, of)
+
+
+def spans(text: Column, pattern: str, kind: int) -> Column:
     """Matches in order as structs (start, kind, end, found): lengths between matches and of matches add up to places."""
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.split(text, pattern, -1)
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(_SPANS).alias("out"))
-    step = lambda acc, p: F.struct(
-        (acc["at"] + p["gap"] + F.length(p["found"])).alias("at"),
-        F.concat(
-            acc["out"],
-            F.array(
-                F.struct(
-                    (acc["at"] + p["gap"]).alias("start"),
-                    F.lit(kind).alias("kind"),
-                    (acc["at"] + p["gap"] + F.length(p["found"])).alias("end"),
-                    p["found"].alias("found"),
-                )
-            ),
-        ).alias("out"),
-    )
-    pairs = F.zip_with(
-        F.slice(F.transform(gaps, F.length), F.lit(1), F.size(found)),
-        found,
-        lambda g, m: F.struct(g.alias("gap"), m.alias("found")),
-    )
-    return F.when(text.rlike(pattern), F.aggregate(pairs, start, step, lambda acc: acc["out"])).otherwise(
-        F.array().cast(_SPANS)
-    )
+    gaps = F.transform(F.split(text, pattern, -1), F.length)
+    ends = lambda found: accumulated(F.zip_with(F.slice(gaps, F.lit(1), F.size(found)), found, lambda g, m: g + F.length(m)), lambda a, b: a + b)
+    made = lambda m, e: F.struct((e - F.length(m)).alias("start"), F.lit(kind).alias("kind"), e.alias("end"), m.alias("found"))
+    all_ = let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda found: F.zip_with(found, ends(found), made))
+    return F.when(text.rlike(pattern), all_).otherwise(F.array().cast(SPANS))
 
 
-_SPANS = "array<struct<start:int,kind:int,end:int,found:string>>"
+SPANS = "array<struct<start:int,kind:int,end:int,found:string>>"
+EDGES = "array<struct<start:int,end:int>>"
 
 
-def _digest(spans: Column) -> Column:
-    names = F.array(*[F.lit(k) for k in KINDS])
-    return F.array_join(
-        F.transform(spans, lambda s: F.concat_ws(":", F.get(names, s["kind"]), s["start"], s["end"])), ","
+def merged(sorted_spans: Column) -> Column:
+    """Spans that don't overlap, as (start, end), of spans in order of their starts; those that only touch stay two."""
+
+    def of(s: Column) -> Column:
+        far = accumulated(F.transform(s, lambda x: x["end"]), F.greatest)
+
+        def join(m: Column) -> Column:
+            begins = F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: (i == 0) | (F.get(s, i)["start"] >= F.get(m, i - 1)))
+            return let(begins, lambda b: F.transform(b, lambda i, k: F.struct(
+                F.get(s, i)["start"].alias("start"), F.get(m, F.coalesce(F.get(b, k + 1), F.size(s)) - 1).alias("end")
+            )))
+
+        return F.when(F.size(s) > 0, let(far, join)).otherwise(F.array().cast(EDGES))
+
+    return let(sorted_spans, of)
+
+
+def first_place(s: Column, reached: Callable[[Column], Column]) -> Column:
+    """The first place of an ordered array whose element is reached, or its size: by halving."""
+    halve = lambda acc, _: let((acc["lo"] + acc["hi"]).cast("int") / 2, lambda mid: F.when(acc["lo"] >= acc["hi"], acc).otherwise(
+        F.when(reached(F.get(s, F.floor(mid).cast("int"))), F.struct(acc["lo"].alias("lo"), F.floor(mid).cast("int").alias("hi")))
+        .otherwise(F.struct((F.floor(mid).cast("int") + 1).alias("lo"), acc["hi"].alias("hi")))
+    ))
+    steps = F.sequence(F.lit(0), F.ceil(F.log2(F.size(s) + 1)).cast("int"))
+    return F.aggregate(steps, F.struct(F.lit(0).alias("lo"), F.size(s).alias("hi")), halve, lambda acc: acc["lo"])
+
+
+def outside(s: Column, edges: Column) -> Column:
+    """The parts (start, end) of a span that merged spans leave, of two characters or more."""
+    lo, hi = first_place(edges, lambda e: e["end"] > s["start"]), first_place(edges, lambda e: e["start"] >= s["end"])
+    part = lambda k, b: F.struct(
+        F.when(k == b["lo"], s["start"]).otherwise(F.get(edges, k - 1)["end"]).alias("start"), F.when(k == b["hi"], s["end"]).otherwise(F.get(edges, k)["start"]).alias("end")
     )
+    bounds = F.struct(lo.alias("lo"), F.greatest(lo, hi).alias("hi"))
+    return let(bounds, lambda b: F.filter(F.transform(F.sequence(b["lo"], b["hi"]), lambda k: part(k, b)), lambda p: p["end"] - p["start"] > 1))
 
 
-def varied(token: Column, least: int = 8) -> Column:
-    """A random string of this length has many different characters; a short cycle, however odd, has few."""
-    return F.size(F.array_distinct(F.split(token, ""))) >= least
+def digest(spans_: Column) -> Column:
+    names = F.array(*[F.lit(k) for k in KINDS])
+    return F.array_join(F.transform(spans_, lambda s: F.concat_ws(":", F.get(names, s["kind"]), s["start"], s["end"])), ",")
 
 
-def find_secrets(docs: DataFrame, model: list[float], threshold: float = 0.75, text: str = "text") -> DataFrame:
+def find_secrets(docs: DataFrame, model: Markov, text: str = "text", varied: int = 8) -> DataFrame:
     """docs with base_spans and markov_spans: sorted arrays of structs (start, kind, end, found).
 
-    Of a Markov token that overlaps base spans, which already tell of what they cover, the parts outside them are scored. A
-    part too short to be a token is reported if the whole token is random and the part's own mean exceeds the threshold too; a
+    A random token has at least `varied` different characters; a short cycle, however odd, has few. Of a Markov token that
+    overlaps base spans, which already tell of what they cover, the parts outside them are scored. A part too short to be a
+    token is reported if the whole token is random and the part's own mean exceeds the threshold too; a
     single character has no transition and is no part.
     """
     keep = [c for c in docs.columns if c not in ("base_spans", "markov_spans")]
-    body = F.coalesce(F.col(text), F.lit(""))
-    base = docs.select(*keep, body.alias("_body"))
-    base = base.withColumn(
-        "_assign",
-        F.filter(
-            _spans(F.col("_body"), ASSIGN, 0), lambda s: F.length(F.regexp_extract(s["found"], ASSIGN, 2)) >= 8
-        ),
-    )
-    base = base.withColumn("_access", _spans(F.col("_body"), ACCESS, 1))
-    base = base.withColumn("_hex", _spans(F.col("_body"), HEX, 2))
-    base = base.withColumn("_token", _spans(F.col("_body"), TOKEN, 3))
-    base = base.withColumn("base_spans", F.array_sort(F.concat("_assign", "_access", "_hex")))
-    meets = lambda s: lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])
-    likely = lambda s: log_likelihood_ratio(s["found"], model) > threshold
-    part = lambda s, a, b: F.struct(
-        a.alias("start"), F.lit(3).alias("kind"), b.alias("end"), F.substring(s["found"], a - s["start"] + 1, b - a).alias("found")
-    )
-    add = lambda s, out, a, b: F.when(b - a > 1, F.concat(out, F.array(part(s, a, b)))).otherwise(out)
-    parts = lambda s: F.aggregate(
-        F.filter("base_spans", meets(s)),
-        F.struct(s["start"].alias("at"), F.array().cast(_SPANS).alias("out")),
-        lambda acc, b: F.struct(
-            F.greatest(acc["at"], b["end"]).alias("at"), add(s, acc["out"], acc["at"], b["start"]).alias("out")
-        ),
-        lambda acc: add(s, acc["out"], acc["at"], s["end"]),
-    )
-    whole = lambda s: varied(s["found"]) & likely(s)
-    told = lambda s: F.when(
-        F.exists("base_spans", meets(s)),
-        F.filter(parts(s), lambda p: F.when(F.length(p["found"]) >= LEAST, whole(p)).otherwise(likely(p) & whole(s))),
-    ).otherwise(F.when(whole(s), F.array(s)).otherwise(F.array().cast(_SPANS)))
-    return base.withColumn(
-        "markov_spans",
-        F.when(
-            F.size("_token") > 0,
-            F.flatten(F.transform("_token", told)),
-        ).otherwise(F.array().cast(_SPANS)),
-    ).drop("_assign", "_access", "_hex", "_token", "_body")
-
-
-def secret_report(docs: DataFrame, model: list[float] | None = None) -> DataFrame:
+    # the row is one column, so no name of its own can meet those used here
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row"), F.coalesce(F.col(text), F.lit("")).alias("body"))
+    body = F.col("body")
+    strong = F.filter(spans(body, ASSIGN, 0), lambda s: F.length(F.regexp_extract(s["found"], ASSIGN, 2)) >= 8)
+    rows = rows.select("row", strong.alias("assign"), spans(body, ACCESS, 1).alias("access"), spans(body, HEX, 2).alias("hex"), spans(body, TOKEN, 3).alias("token"))
+    rows = rows.select("row", "token", F.array_sort(F.concat("assign", "access", "hex")).alias("base"))
+    rows = rows.select("row", "token", "base", F.when(F.size("token") > 0, merged(F.col("base"))).alias("edges"))
+
+    likely = lambda p: mean_ratio(p, model.ratios) > model.threshold
+    whole = lambda p: (F.size(F.array_distinct(p)) >= varied) & likely(p)
+    none = F.array().cast(SPANS)
+
+    def told(s: Column) -> Column:
+        def parts(p: Column) -> Column:
+            own = lambda e: F.slice(p, e["start"] - s["start"] + 1, e["end"] - e["start"])
+            good = lambda e: let(own(e), lambda q: F.when(F.size(q) >= LEAST, whole(q)).otherwise(likely(q) & whole(p)))
+            named = lambda e: F.struct(
+                e["start"].alias("start"), F.lit(3).alias("kind"), e["end"].alias("end"), F.substring(s["found"], e["start"] - s["start"] + 1, e["end"] - e["start"]).alias("found")
+            )
+            cut = lambda left: F.when(
+                (F.size(left) == 1) & (F.get(left, F.lit(0))["end"] - F.get(left, F.lit(0))["start"] == F.length(s["found"])), F.when(whole(p), F.array(s)).otherwise(none)
+            ).otherwise(F.transform(F.filter(left, good), named))
+            return F.when(F.size("edges") == 0, F.when(whole(p), F.array(s)).otherwise(none)).otherwise(let(outside(s, F.col("edges")), cut))
+
+        return let(places(s["found"]), parts)
+
+    markov = F.when(F.size("token") > 0, F.flatten(F.transform("token", told))).otherwise(none)
+    return rows.select("row.*", F.col("base").alias("base_spans"), markov.alias("markov_spans"))
+
+
+def secret_report(docs: DataFrame, model: Markov | None = None) -> DataFrame:
     """One row per document: counts of the base kinds, digest of the base spans, and all spans as text."""
-    model = model or train_markov(labelled_strings(docs.sparkSession))
-    found = find_secrets(docs.select("doc_id", "text"), model)
+    found = find_secrets(docs.select("doc_id", "text"), model or train(docs.sparkSession))
     count = lambda k: F.size(F.filter("base_spans", lambda s: s["kind"] == k)).cast("long")
     return found.select(
         "doc_id",
         *[count(k).alias(f"n_{name}") for k, name in enumerate(KINDS[:3])],
-        F.sha2(_digest(F.col("base_spans")), 256).alias("base_sha256"),
-        _digest(F.array_sort(F.concat("base_spans", "markov_spans"))).alias("spans"),
+        F.sha2(digest(F.col("base_spans")), 256).alias("base_sha256"),
+        digest(F.array_sort(F.concat("base_spans", "markov_spans"))).alias("spans"),
         F.size("markov_spans").cast("long").alias("n_markov"),
     )
 
 
-def redact_secrets(docs: DataFrame, model: list[float] | None = None, mark: str = "[SECRET]") -> DataFrame:
-    """docs with every reported span replaced by mark (overlapping spans by one) and n_chars counted anew.
+def redact_secrets(docs: DataFrame, model: Markov | None = None, mark: str = "[SECRET]") -> DataFrame:
+    """docs with every reported span replaced by mark (overlapping spans by one) and n_chars, where it is, counted anew.
 
     Null texts stay null; rows without a span are passed on unchanged.
     """
-    model = model or train_markov(labelled_strings(docs.sparkSession))
-    found = find_secrets(docs, model).withColumn("_all", F.array_sort(F.concat("base_spans", "markov_spans")))
-    text = F.col("text")
-    zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    step = lambda acc, s: F.struct(
-        F.greatest(acc["at"], s["end"]).alias("at"),
-        F.when(
-            (s["start"] >= acc["at"]) | (acc["at"] == 0),
-            F.concat(acc["out"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit(mark)),
-        )
-        .otherwise(acc["out"])
-        .alias("out"),
-    )
-    end = lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text)))
-    cleaned = F.when(F.size("_all") > 0, F.aggregate("_all", zero, step, end)).otherwise(text)
-    out = found.withColumn("_clean", cleaned)
-    n = F.when(F.size("_all") > 0, F.length("_clean").cast("long")).otherwise(F.col("n_chars"))
-    return out.select(*[{"text": F.col("_clean").alias("text"), "n_chars": n.alias("n_chars")}.get(c, F.col(c)) for c in docs.columns])
+    row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("text"))
+    found = find_secrets(row, model or train(docs.sparkSession))
+    found = found.select("row", "text", F.array_sort(F.concat("base_spans", "markov_spans")).alias("all"))
+    found = found.select("row", "text", F.when(F.size("all") > 0, merged(F.col("all"))).alias("edges"))
+    clean = F.when(F.col("edges").isNotNull(), without(F.col("text"), F.col("edges"), mark)).otherwise(F.col("text"))
+    out = found.select("row", clean.alias("clean"), F.col("edges").isNotNull().alias("changed"))
+    new = {"text": F.col("clean"), "n_chars": F.when(F.col("changed"), F.length("clean").cast("long")).otherwise(F.col("row.n_chars") if "n_chars" in docs.columns else F.lit(None))}
+    return out.select(*[(new[c] if c in new else F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
+
+
+def without(text: Column, edges: Column, mark: str) -> Column:
+    """text with mark for each of the merged spans, chunk by chunk, so that no place is counted from the text's beginning."""
+
+    def cleaned(chunk: Column, k: Column) -> Column:
+        begin = k * CHUNK
+        end = begin + F.length(chunk)
+        lo, hi = first_place(edges, lambda e: e["end"] > begin), first_place(edges, lambda e: e["start"] >= end)
+
+        def piece(i: Column, b: Column) -> Column:
+            a = F.when(i == b["lo"], begin).otherwise(F.get(edges, i - 1)["end"])
+            z = F.when(i == b["hi"], end).otherwise(F.greatest(F.get(edges, i)["start"], begin))
+            plain = F.substring(chunk, a - begin + 1, F.greatest(z - a, F.lit(0)))
+            return F.when((i < b["hi"]) & (F.get(edges, i)["start"] >= begin), F.concat(plain, F.lit(mark))).otherwise(plain)
+
+        bounds = F.struct(lo.alias("lo"), F.greatest(lo, hi).alias("hi"))
+        return let(bounds, lambda b: F.array_join(F.transform(F.sequence(b["lo"], b["hi"]), lambda i: piece(i, b)), ""))
+
+    chunks = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{CHUNK}}}"), F.lit(0))
+    return F.array_join(F.transform(chunks, cleaned), "")

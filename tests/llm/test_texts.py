@@ -53,7 +53,7 @@ def test_pii_of_awkward_rows(spark, docs, no_docs, awkward):
 
 @pytest.fixture(scope="module")
 def model(spark):
-    return secret_scan.train_markov(secret_scan.labelled_strings(spark))
+    return secret_scan.train(spark)
 
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
