@@ -35,7 +35,7 @@ SPAN, JOIN = 1024, 2
 #: Leaves of an unbroken piece have LEAF characters; its joins begin with WINDOW tokens, of which MARGIN must agree.
 LEAF, WINDOW, MARGIN = 512, 8, 2
 #: Bytes of a cache's younger half; pieces of more than KEPT bytes aren't kept in it.
-CACHE_BYTES, KEPT = 24 << 20, 64
+CACHE_BYTES, KEPT = 64 << 20, 64
 #: Pieces of printable ASCII and precomposed Latin letters: for them lower() is all that normalising does.
 PLAIN = re.compile(r"[!-~À-ÖØ-öø-ÿ]+")
 PLAIN_RULE = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -112,7 +112,7 @@ class Codec:
         self.tokenizer.no_padding()
         self.special = [re.escape(t["content"]) for t in spec["added_tokens"]]
         self.added = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        self.pieces, self.words = Cache(), Cache(CACHE_BYTES // 2)
+        self.pieces = Cache()
         kept = [*range(33, 127), *range(161, 173), *range(174, 256)]
         self.bytes = dict(zip([b for b in range(256) if b not in kept], range(256, 512)))
         rules = json.dumps([spec["normalizer"], spec["pre_tokenizer"]])
@@ -132,20 +132,25 @@ class Codec:
         return [found.get(i, b"") for i in range(max(found) + 1)]
 
     def _plain(self, piece: str) -> bytes:
-        """Ids of a PLAIN piece, word by word, through a cache of words."""
-        out, young, old = [], self.words.young, self.words.old
+        """Ids of a PLAIN piece, word by word; a word by itself is a piece, so one cache holds both."""
+        out, young, old = [], self.pieces.young, self.pieces.old
         for word in PLAIN_WORDS.findall(piece.lower()):
-            ids = young.get(word)
+            key = word.encode()
+            ids = young.get(key)
             if ids is None:
-                ids = old.get(word)
+                ids = old.get(key)
                 if ids is None:
-                    raw = word if word.isascii() else word.encode().decode("latin-1").translate(self.bytes)
-                    ids = _packed([t.id for t in self.tokenizer.model.tokenize(raw)])
-                if len(word) <= KEPT:
-                    self.words.put(word, ids)
+                    ids = self._word(key)
+                if len(key) <= KEPT:
+                    self.pieces.put(key, ids)
             out.append(ids)
         return out[0] if len(out) == 1 else b"".join(out)
 
+    def _word(self, raw: bytes) -> bytes:
+        """Ids of a lower-cased word, which the model takes in the vocabulary's byte alphabet."""
+        text = raw.decode("ascii") if raw.isascii() else raw.decode("latin-1").translate(self.bytes)
+        return _packed([t.id for t in self.tokenizer.model.tokenize(text)])
+
     def _long(self, piece: str) -> list[int]:
         ids: list[int] = []
         for part in re.split(f"({'|'.join(self.special)})", piece) if self.special else [piece]:
@@ -158,6 +163,8 @@ class Codec:
         return ids
 
     def _ids(self, piece: bytes) -> bytes:
+        if self.plain and piece.isalpha() and piece.islower() and len(piece) <= LEAF:  # of ASCII letters
+            return self._word(piece)
         text = piece.decode()
         if len(piece) > LEAF:
             return _packed(self._long(text))
@@ -181,7 +188,6 @@ class Codec:
                         self.pieces.put(p, ids)
                     found[i] = ids
             self.pieces.turn()
-            self.words.turn()
         return pieces, found
 
     def _join(self, left: tuple, right: tuple, apart: bool) -> tuple:
