@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: The one accepted shape of a timestamp: date, T or space, minutes, and seconds with a fraction if any.
+#: Fixed value: the one accepted shape of a timestamp: date, T or space, minutes, and seconds with a fraction if any.
 TIMESTAMP = r"^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}(:\d{2}(\.\d+)?)?$"
 
 
@@ -117,3 +117,9 @@ def first_number(label: Column | str) -> Column:
 
 def epoch_day(ts_min: Column) -> Column:
     return F.floor(ts_min / 1440).cast("long")
+
+
+def draw(seed: int | Column, *parts: Column) -> Column:
+    """A number in [0, 1) that follows from seed and parts alone: a row computed anew draws the same."""
+    text = F.concat_ws("/", F.lit(seed) if isinstance(seed, int) else seed, *parts)
+    return F.conv(F.substring(F.md5(text.cast("binary")), 1, 8), 16, 10).cast("long") / F.lit(4294967296.0)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridpulse.functions import exprs
@@ -124,6 +124,96 @@ def evaluate(flagged: DataFrame, samples: DataFrame, zones: DataFrame, keys: Seq
     return out.withColumn("false_alarm_rate_per_day", F.when(F.col("normal_days") > 0, F.col("false_alarm_episodes") / F.col("normal_days")))
 
 
+def sweep_totals(flagged: DataFrame, samples: DataFrame, zones: DataFrame, keys: Sequence[str], configs: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """evaluate() of many configurations at once, by view (by) and config_id.
+
+    flagged: zone-indexed samples with on, an array of decisions, and data_anomaly; configs: (place in that array, config_id,
+    and what else is to be told), of bounded size. All windows run over samples, whatever the number of configurations: a row
+    meets the array of the row before it. Only decisions that flag are unrolled, and are summed before they are shuffled.
+
+    An episode begins at a row outside all zones that is flagged while the row before is not, or with which a flagged run leaves a
+    stretch of zone rows in which it began. A run that holds a whole stretch and the row before it goes on.
+    """
+    stream = [*by, *keys]
+    w = _w(stream)
+    zoned = lambda x: x.isNotNull()
+    inside = zoned(F.col("event_id"))
+    rows = flagged.select(
+        *stream, "idx", "ts_min", "event_id", "crossing_ts", "on", F.lag("on").over(w).alias("_was"),
+        (inside & ~F.coalesce(zoned(F.lag("event_id").over(w)), F.lit(False))).cast("int").alias("_enters"),
+        F.coalesce(zoned(F.lag("event_id").over(w)), F.lit(False)).alias("_after"), F.coalesce(zoned(F.lead("event_id").over(w)), F.lit(False)).alias("_before"),
+    )
+    rows = rows.withColumn("_stretch", F.sum("_enters").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    rows = rows.withColumn("_size", F.sum(inside.cast("int")).over(Window.partitionBy(*stream, "_stretch")))
+    none = F.lit(None)
+    tell = lambda kind, id_, **x: F.struct(
+        F.lit(kind).alias("kind"), id_.cast("long").alias("id"),
+        *[x.get(c, none).cast(t).alias(c) for c, t in (("ts", "double"), ("pre", "double"), ("fresh", "int"), ("size", "long"), ("last", "int"), ("prior", "int"), ("exit", "int"))],
+    )
+    ts, s = F.col("ts_min"), F.col("_stretch")
+    flags = F.filter(F.transform("on", lambda x, i: F.when(x, i)), lambda i: i.isNotNull())
+    each = rows.select(*stream, "ts_min", "event_id", "crossing_ts", "_after", "_before", "_stretch", "_size", "_was", F.explode(flags).alias("place"))
+    fresh = ~F.coalesce(F.get("_was", F.col("place")), F.lit(False))
+    told = F.array(
+        tell(0, F.lit(0), fresh=(~inside & fresh).cast("int")),
+        F.when(inside, tell(1, F.col("event_id"), ts=ts, pre=F.when(ts <= F.col("crossing_ts"), ts))),
+        F.when(inside, tell(2, s, size=F.col("_size"), last=(~F.col("_before")).cast("int"))),
+        F.when(~inside & F.col("_before"), tell(2, s + 1, prior=F.lit(1))),
+        F.when(~inside & F.col("_after"), tell(2, s, exit=F.lit(1))),
+    )
+    told = each.select(*stream, "place", F.explode(F.array_compact(told)).alias("x"))
+    sums = told.groupBy(*stream, "place", F.col("x.kind").alias("kind"), F.col("x.id").alias("id")).agg(
+        F.count("*").alias("n"), F.sum("x.fresh").alias("fresh"), F.min("x.ts").alias("ts"), F.min("x.pre").alias("pre"), F.max("x.size").alias("size"),
+        F.count("x.size").alias("held"), F.max("x.last").alias("last"), F.max("x.prior").alias("prior"), F.max("x.exit").alias("exit"),
+    )
+    # a stream's last row ends its stretch, too, but has no row behind it
+    whole = (F.col("held") == F.col("size")) & (F.col("prior") == 1)
+    left = (F.col("kind") == 2) & holds((F.col("exit") == 1) & (F.col("last") == 1)) & ~holds(whole)
+    rows_of = sums.groupBy(*by, "place").agg(
+        F.sum(F.when(F.col("kind") == 0, F.col("n"))).alias("total_flagged_rows"), (F.coalesce(F.sum("fresh"), F.lit(0)) + F.count_if(left)).alias("false_alarm_episodes")
+    )
+    hits = sums.where("kind = 1").select(*stream, "place", F.col("id").alias("event_id"), "ts", "pre").join(zones.select(*stream, "event_id", "crossing_ts"), [*stream, "event_id"])
+    lead = F.when(F.col("pre").isNotNull(), F.col("crossing_ts") - F.col("ts"))
+    events = hits.groupBy(*by, "place").agg(
+        F.count("pre").alias("events_detected"), F.count("*").alias("events_detected_in_zone"),
+        F.bround(F.avg(lead), 3).alias("mean_lead_time_min"), F.bround(F.percentile(lead, F.lit(0.5)), 3).alias("median_lead_time_min"),
+    )
+    views = _views(flagged, samples, zones, keys, by)
+    out = views.crossJoin(F.broadcast(configs)).join(rows_of, [*by, "place"], "left").join(events, [*by, "place"], "left")  # views x configurations
+    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    return out.select(
+        *by, *[c for c in configs.columns if c not in ("place", "causal")], zero("total_flagged_rows"),
+        F.when(F.col("causal"), F.col("data_anomaly_rows")).otherwise(F.lit(0)).alias("data_anomaly_rows") if "causal" in configs.columns else F.col("data_anomaly_rows"),
+        "events_total", zero("events_detected"), zero("events_detected_in_zone"), "mean_lead_time_min", "median_lead_time_min", zero("false_alarm_episodes"), "normal_days",
+        F.when(F.col("normal_days") > 0, F.coalesce("false_alarm_episodes", F.lit(0)) / F.col("normal_days")).alias("false_alarm_rate_per_day"),
+    )
+
+
+def _views(flagged: DataFrame, samples: DataFrame, zones: DataFrame, keys: Sequence[str], by: Sequence[str]) -> DataFrame:
+    """A row for each view: its anomalies, events and normal days."""
+    stream = [*by, *keys]
+    anomalies = flagged.groupBy(*by).agg(F.count_if(holds(F.col("data_anomaly"))).alias("data_anomaly_rows"))
+    events = zones.groupBy(*by).agg(F.count("*").alias("events_total"))
+    days = normal_zones(samples, zones, stream).groupBy(*by).agg((F.sum(F.col("span_end") - F.col("span_start")) / 1440.0).alias("normal_days"))
+    if not by:
+        return anomalies.crossJoin(events).crossJoin(days)  # one row each
+    return anomalies.join(events, list(by), "left").join(days, list(by), "left").withColumn("events_total", F.coalesce("events_total", F.lit(0)))
+
+
+def sweep_summary(totals: DataFrame, detected: str = "events_detected", alarms: str = "false_alarm_episodes", causal: Column | None = None) -> DataFrame:
+    """One row: configurations, views, the longest mean lead, and the configurations on the frontier of those that are causal."""
+    real = totals if causal is None else totals.where(causal)
+    front = pareto_frontier(real, detected, alarms).agg(F.count("*").alias("pareto_points"))
+    return totals.agg(F.count("*").alias("n_configs"), F.max("mean_lead_time_min").alias("max_lead_time_min_over_all_filters")).crossJoin(front)  # one row each
+
+
+def notable(totals: DataFrame, view: Column, labels: Sequence[str]) -> DataFrame:
+    """The named configurations of one view."""
+    return totals.where(view & F.col("threshold").isin(*labels)).select(
+        "filter_type", "threshold", F.col("events_detected").alias("detected"), F.col("mean_lead_time_min").alias("mean_lead_min"), F.col("false_alarm_rate_per_day").alias("fa_per_day")
+    )
+
+
 def pareto_frontier(df: DataFrame, detected: str, alarms: str) -> DataFrame:
     """Rows that no other beats: none with as many detections and as few alarms, and better in one. Ties stay.
 

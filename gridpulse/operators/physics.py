@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
+from operator import mul
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridpulse.functions import exprs
@@ -35,34 +37,44 @@ def estimated_cycles(rule: str, arithmetic: str = "fixed") -> int:
     return sum(n * CYCLES[arithmetic][op] for op, n in OPERATIONS[rule].items()) + LOADS + BRANCHES
 
 
-def network_cost(layers: Sequence[int] = (28, 16, 8, 1)) -> dict[str, int]:
-    """Exact counts of a dense network."""
-    macs = sum(a * b for a, b in zip(layers, layers[1:]))
-    biases = sum(layers[1:])
-    mac, add = CYCLES["float"]["mul"] + 50 + 2 * MEMORY, 50
-    return {
-        "macs": macs, "adds": macs + biases, "params": macs + biases, "weights_bytes_fp32": 4 * (macs + biases), "acts": sum(layers),
-        "activation_bytes_fp32": 4 * sum(layers), "est_cycles_m0_fixed": macs * (2 + 2 * MEMORY) + biases, "est_cycles_m0_float": macs * mac + biases * add,
-    }
+@dataclass(frozen=True)
+class Price:
+    """What one sample costs: operations, cycles on whole numbers and on emulated floats (None: has none), and bytes that are stored."""
 
+    operations: int
+    fixed: int
+    emulated: int | None
+    stored: int
 
-def boosting_cost(trees: int = 100, depth: int = 6, node_bytes: int = 12) -> dict[str, int]:
-    """Estimates for boosted trees of an assumed depth."""
-    compares = trees * depth
-    return {
-        "trees": trees, "assumed_depth": depth, "compares_per_sample": compares, "est_cycles_m0_fixed": compares * (1 + 2 * MEMORY),
-        "model_bytes": trees * (2 ** (depth + 1) - 1) * node_bytes,
-    }
+
+def priced(work: Sequence[tuple[int, int, int | None]], operations: int, stored: int) -> Price:
+    """Of work as (how often, cycles on whole numbers, cycles on emulated floats)."""
+    floats = [n * f for n, _, f in work if f is not None]
+    return Price(operations, sum(n * c for n, c, _ in work), sum(floats) if len(floats) == len(work) else None, stored)
+
+
+def dense_price(widths: Sequence[int]) -> Price:
+    """A dense network of four-byte weights: a product, a sum and two reads for each weight, a sum for each bias."""
+    weights, biases = sum(map(mul, widths, widths[1:])), sum(widths[1:])
+    f = CYCLES["float"]
+    return priced([(weights, 2 + 2 * MEMORY, f["mul"] + f["sub"] + 2 * MEMORY), (biases, 1, f["sub"])], weights + biases, 4 * (weights + biases))
+
+
+def trees_price(trees: int, depth: int, node_bytes: int) -> Price:
+    """Full trees of a depth that is assumed: one compare with two reads for each level."""
+    return priced([(trees * depth, 1 + 2 * MEMORY, None)], trees * depth, trees * (2 * 2**depth - 1) * node_bytes)
+
+
+#: Bytes of state of each rule, as floats and as whole numbers.
+STATE_BYTES = {"F1_rate": (12, 8), "F2_range": (4, 2), "F3_combined": (16, 10), "F4_jump": (12, 8), "B1_threshold": (2, 2)}
 
 
 def cost_table(spark: SparkSession) -> DataFrame:
-    mlp, gbdt = network_cost(), boosting_cost()
-    rows = [(r, total_operations(r), estimated_cycles(r), estimated_cycles(r, "float")) for r in OPERATIONS]
-    rows += [
-        ("MLP_28_16_8_1", mlp["adds"], mlp["est_cycles_m0_fixed"], mlp["est_cycles_m0_float"]),
-        ("GBDT_100_trees", gbdt["compares_per_sample"], gbdt["est_cycles_m0_fixed"], None),
-    ]
-    return spark.createDataFrame(rows, "approach string, total_ops_per_sample long, est_cycles_m0_fixedpoint long, est_cycles_m0_softfloat long")
+    rows = [(r, "rule", total_operations(r), *STATE_BYTES[r], STATE_BYTES[r][1], estimated_cycles(r), estimated_cycles(r, "float")) for r in OPERATIONS]
+    for name, p in (("MLP_28_16_8_1", dense_price((28, 16, 8, 1))), ("GBDT_100_trees", trees_price(100, 6, 12))):
+        rows.append((name, "model", p.operations, None, None, p.stored, p.fixed, p.emulated))
+    kinds = ("total_ops_per_sample", "state_bytes_float32", "state_bytes_fixedpoint", "model_storage_bytes", "est_cycles_m0_fixedpoint", "est_cycles_m0_softfloat")
+    return spark.createDataFrame(rows, "approach string, class string, " + ", ".join(f"{k} long" for k in kinds))
 
 
 def grid(df: DataFrame, **axes: Sequence[float]) -> DataFrame:
@@ -94,3 +106,27 @@ def power_curves(rises: DataFrame, masses: Sequence[float], power: float, heat:
     return g.withColumn("required_power_kw", exprs.required_power_kw(F.col("mass_kg"), F.lit(heat), F.col("rise"), F.col("dt_minutes"))).withColumn(
         "achievable_rise", exprs.achievable_rise(F.lit(power), F.col("mass_kg"), F.lit(heat), F.col("dt_minutes"))
     )
+
+
+def scenarios(rises: DataFrame, powers: Sequence[Column], heats: dict[str, float]) -> DataFrame:
+    """Energy and critical mass of each rise (dt_minutes, rise) for every power scenario, structs (label, kw), and heat capacity."""
+    g = rises.withColumn("_p", F.explode(F.array(*powers)))
+    g = g.withColumn("_c", F.explode(F.array(*[F.struct(F.lit(name).alias("label"), F.lit(float(c)).alias("c")) for name, c in heats.items()])))
+    energy = exprs.energy_kj(F.col("_p.kw"), F.col("dt_minutes"))
+    return g.select(
+        *rises.columns, F.col("_p.label").alias("power_scenario_kw"), F.col("_p.kw").alias("power_kw"), energy.alias("energy_kj"),
+        F.col("_c.label").alias("c_oil_scenario"), F.col("_c.c").alias("c_kj_per_kg_k"), exprs.critical_mass_kg(energy, F.col("_c.c"), F.col("rise")).alias("critical_mass_kg"),
+    )
+
+
+def power(label: str, kw: Column) -> Column:
+    """A power scenario."""
+    return F.struct(F.lit(label).alias("label"), kw.cast("double").alias("kw"))
+
+
+def transitions(rises: DataFrame, falls: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Rises (by, rise_timestamp, dt_minutes, dT_units, local_max_kw_30min) and falls (by, fall_timestamp, T0, T1, Ta_used_ATI, dt_minutes) in one table."""
+    up = rises.withColumn("direction", F.lit("rising"))
+    down = falls.withColumnRenamed("fall_timestamp", "rise_timestamp").withColumn("direction", F.lit("falling"))
+    columns = [*by, "rise_timestamp", "dt_minutes", "dT_units", "local_max_kw_30min", "direction", "T0", "T1", "Ta_used_ATI"]
+    return up.unionByName(down, allowMissingColumns=True).select(*columns)

@@ -60,3 +60,13 @@ def occurrence_report(df: DataFrame, channel: Channel = Channel()) -> DataFrame:
         F.max("n").alias("max_records_per_timestamp"),
         (share > 0.9).alias("verdict_supports_stable_occurrence_streams"),
     )
+
+
+def occurrence_stream(df: DataFrame, channel: Channel = Channel(), nth: int | None = None) -> DataFrame:
+    """df with occurrence, the place of each record among those of its time from 1; only the n-th records if nth is given.
+
+    A provisional reading of repeats: occurrence_report() tells whether it holds.
+    """
+    rank = F.row_number().over(Window.partitionBy(*channel.instant()).orderBy(channel.order))
+    out = df.withColumn("occurrence", rank.cast("long"))
+    return out if nth is None else out.where(F.col("occurrence") == nth)

@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 import math
-import random
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridpulse.functions import exprs
-from gridpulse.operators import evaluate, timeseries
+from gridpulse.operators import evaluate, quality, ranks, timeseries
 from gridpulse.operators.islands import islands
 from gridpulse.operators.timeseries import valid_pairs
 from gridpulse.schema import Channel, holds
@@ -33,24 +34,21 @@ def guard_no_test_leakage(df: DataFrame, cutoff: float, ts_min: str = "ts_min")
     return df.where(F.when(late, F.raise_error(F.lit("a row of the test period is in the calibration")).cast("boolean")).otherwise(True))
 
 
-def calibrate(df: DataFrame, value: str, cutoff: float, ts_min: str, channel: Channel) -> DataFrame:
-    """(rule, variant, threshold) from the rows before the cutoff, with n_records and n_valid_pairs."""
+def calibrate(df: DataFrame, value: str, cutoff: float, ts_min: str, channel: Channel, excluded: float = 0.0) -> DataFrame:
+    """(rule, variant, threshold) from the rows before the cutoff, with n_records and n_valid_pairs.
+
+    excluded: the last minutes before the cutoff that are left out, for the sensitivity to what already belongs to an alarm.
+    """
+    df = df.where(F.col(ts_min) < cutoff - excluded)
     cal = guard_no_test_leakage(split_chronological(df, cutoff, ts_min)[0], cutoff, ts_min)
     pairs = valid_pairs(cal, value, channel)
-    steps = pairs.agg(
-        F.count("*").alias("n_valid_pairs"),
-        *[
-            (F.max(c) if q is None else F.percentile(c, F.lit(q))).alias(f"{rule}|{variant}".replace(".", "_"))
-            for rule, (c, variants) in CAL_RULES.items() if c != "value" for variant, q in variants.items()
-        ],
-    )
-    values = cal.agg(
-        F.count("*").alias("n_records"),
-        *[
-            (F.max(value) if q is None else F.percentile(value, F.lit(q))).alias(f"F2_upper|{variant}".replace(".", "_"))
-            for variant, q in CAL_RULES["F2_upper"][1].items()
-        ],
-    )
+    def limits(df: DataFrame, rules: dict, count: str) -> DataFrame:
+        named = {f"{rule}|{variant}".replace(".", "_"): (column, q) for rule, (column, variants) in rules.items() for variant, q in variants.items()}
+        most = df.agg(F.count("*").alias(count), *[F.max(c).alias(name) for name, (c, q) in named.items() if q is None])
+        return most.crossJoin(ranks.quantiles(df, {name: (F.col(c), q) for name, (c, q) in named.items() if q is not None}))  # one row each
+
+    steps = limits(pairs, {rule: x for rule, x in CAL_RULES.items() if x[0] != "value"}, "n_valid_pairs")
+    values = limits(cal, {"F2_upper": (value, CAL_RULES["F2_upper"][1])}, "n_records")
     one = values.crossJoin(steps)  # one row each
     names = [c for c in one.columns if "|" in c]
     long = one.unpivot(["n_records", "n_valid_pairs"], names, "name", "threshold")
@@ -99,7 +97,7 @@ def episodes_by_day(episodes: DataFrame, flagged: DataFrame) -> DataFrame:
 
 
 def horizon_thresholds(features: DataFrame, names: Sequence[str], q: float = 0.99) -> DataFrame:
-    return features.agg(*[F.percentile(c, F.lit(q)).alias(c) for c in names])
+    return ranks.quantiles(features, {c: (F.col(c), q) for c in names})
 
 
 #: The study's features of a window, and its windows' lengths in minutes.
@@ -128,7 +126,7 @@ def horizon_study(samples: DataFrame, cutoff: float, keys: Sequence[str], horizo
             return found.unpivot([*keys, by], list(FEATURES), "feature", "x")
 
         cal = features(timeseries.sliding_windows(early, h, ts_min="ts_min", keys=keys), "window_start")
-        limits = cal.groupBy("feature").agg(F.percentile("x", F.lit(q)).alias("threshold"))
+        limits = ranks.quantiles(cal, {"threshold": (F.col("x"), q)}, ["feature"])
         before = _event_windows(samples, zones, keys, h)
         hits = features(before, "event_id").join(F.broadcast(limits), "feature").groupBy("feature").agg(F.count_if(F.col("x") > F.col("threshold")).alias("hits"))
         found = features(timeseries.sliding_windows(normal, h, ts_min="ts_min", keys=keys), "window_start").join(F.broadcast(limits), "feature")
@@ -150,36 +148,86 @@ def _event_windows(samples: DataFrame, zones: DataFrame, keys: Sequence[str], le
     return rows.where((F.col("ts_min") >= F.col("_c") - length) & (F.col("ts_min") < F.col("_c"))).drop("_slot", "_c")
 
 
-def binomial_cdf(k: int, n: int, p: float) -> float:
-    if k < 0:
-        return 0.0
-    return 1.0 if k >= n else math.fsum(math.comb(n, i) * p**i * (1 - p) ** (n - i) for i in range(k + 1))
+def beta_share(x: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The beta distribution's share below x, for whole a and b: the chance of a successes or more in a + b - 1 trials."""
+    n = (a + b - 1).astype(int)
+    out = np.zeros(len(x))
+    for i, (p, k, m) in enumerate(zip(x, a.astype(int), n)):
+        terms = np.arange(k, m + 1)
+        logs = math.lgamma(m + 1) - np.array([math.lgamma(t + 1) + math.lgamma(m - t + 1) for t in terms.tolist()])
+        with np.errstate(divide="ignore", invalid="ignore"):
+            each = logs + np.where(terms > 0, terms * np.log(p), 0) + np.where(m > terms, (m - terms) * np.log1p(-p), 0)
+        out[i] = np.exp(each).sum()
+    return out
+
+
+def beta_quantile(q: float, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """By halving, for arrays of whole parameters; 0 and 1 at their ends."""
+    lo, hi = np.zeros(len(a)), np.ones(len(a))
+    inner = (a > 0) & (b > 0)
+    for _ in range(60):
+        mid = (lo + hi) / 2
+        low = np.zeros(len(a), bool)
+        low[inner] = beta_share(mid[inner], a[inner], b[inner]) < q
+        lo, hi = np.where(low, mid, lo), np.where(low, hi, mid)
+    return np.where(a <= 0, 0.0, np.where(b <= 0, 1.0, (lo + hi) / 2))
+
 
+def exact_interval(hits: Column, trials: Column, alpha: float = 0.05) -> Column:
+    """The exact interval (low, high) of a binomial share, to four places, by quantiles of the beta distribution; NULL without trials."""
 
-def clopper_pearson(k: int, n: int, alpha: float = 0.05) -> tuple[float, float]:
-    """The exact interval of a binomial share, to four places."""
-    if n <= 0:
-        return math.nan, math.nan
+    @F.pandas_udf("low double, high double")
+    def interval(k: pd.Series, n: pd.Series) -> pd.DataFrame:
+        k, n = k.to_numpy(np.float64), n.to_numpy(np.float64)
+        found = pd.DataFrame({"low": beta_quantile(alpha / 2, k, n - k + 1), "high": beta_quantile(1 - alpha / 2, k + 1, n - k)}).round(4)
+        found[n <= 0] = np.nan
+        return found
 
-    def solve(below) -> float:
-        a, b = 0.0, 1.0
-        for _ in range(100):
-            mid = (a + b) / 2
-            a, b = (mid, b) if below(mid) else (a, mid)
-        return (a + b) / 2
+    ok = trials > 0
+    one = interval(F.coalesce(hits, F.lit(0)).cast("double"), F.coalesce(trials, F.lit(0)).cast("double"))
+    return F.when(ok, one)
 
-    low = 0.0 if k == 0 else solve(lambda p: 1 - binomial_cdf(k - 1, n, p) < alpha / 2)
-    high = 1.0 if k == n else solve(lambda p: binomial_cdf(k, n, p) > alpha / 2)
-    return round(low, 4), round(high, 4)
 
+def day_bootstrap(days: DataFrame, times: int = 1000, seed: int = 42, alpha: float = 0.05) -> DataFrame:
+    """One row (mean, low, high) of episodes a day: whole days are drawn anew, `times` as many days as there are.
 
-def day_block_bootstrap(by_day: dict[int, int], n_boot: int = 1000, seed: int = 42, alpha: float = 0.05) -> tuple[float, float, float]:
-    """(mean, low, high) of episodes a day, by drawing whole days anew; a fixed seed gives fixed draws."""
-    counts = [by_day[d] for d in sorted(by_day)]
-    if not counts:
-        return (math.nan,) * 3
-    draw = random.Random(seed)
-    n = len(counts)
-    means = sorted(sum(counts[draw.randrange(n)] for _ in range(n)) / n for _ in range(n_boot))
-    at = lambda q: means[min(n_boot - 1, math.floor(q * n_boot))]
-    return round(sum(counts) / n, 6), round(at(alpha / 2), 6), round(at(1 - alpha / 2), 6)
+    days: day, n_episodes, a row for each calendar day. The draw of each place follows from seed, resample and place, so
+    a task that runs again draws the same days. The bounds are the means at the places alpha / 2 and 1 - alpha / 2 of their order.
+    """
+    place = F.row_number().over(Window.orderBy("day")) - 1  # as many rows as days
+    numbered = days.select(place.alias("pick"), F.col("n_episodes").alias("n"))
+    size = days.agg(F.count("*").alias("size"), F.avg("n_episodes").alias("mean"))
+    draws = days.sparkSession.range(times).withColumnRenamed("id", "resample").crossJoin(F.broadcast(size)).where("size > 0")  # one row
+    draws = draws.withColumn("place", F.explode(F.sequence(F.lit(0).cast("long"), F.col("size") - 1)))
+    pick = F.floor(exprs.draw(seed, F.col("resample"), F.col("place")) * F.col("size")).cast("int")
+    means = draws.withColumn("pick", pick).join(numbered, "pick").groupBy("resample").agg(F.avg("n").alias("m"))
+    ranked = means.withColumn("r", F.row_number().over(Window.orderBy("m", "resample")) - 1)  # as many rows as resamples
+    at = lambda q: F.max(F.when(F.col("r") == min(times - 1, int(q * times)), F.round("m", 6)))
+    bounds = ranked.agg(at(alpha / 2).alias("low"), at(1 - alpha / 2).alias("high"))
+    return size.select(F.round("mean", 6).alias("mean")).crossJoin(bounds)  # one row each
+
+
+def denominators(flagged: DataFrame) -> DataFrame:
+    """What rates of a replay are counted against: rows in and outside zones, normal days, the time spanned, flagged rows a day of it."""
+    on = F.count_if(holds(F.col("flagged")))
+    out = F.col("event_id").isNull()
+    span = (F.max("ts_min") - F.min("ts_min")) / 1440.0
+    return flagged.agg(
+        F.count_if(out).alias("monitored_rows_normal_zones"), F.count_if(~out).alias("excluded_rows_event_zones"),
+        F.count_distinct(F.when(out, exprs.epoch_day(F.col("ts_min")))).alias("normal_day_blocks"), span.alias("test_days"),
+        F.when(span > 0, on / span).alias("flagged_samples_per_test_day"),
+    )
+
+
+def replay_metrics(flagged: DataFrame, zones: DataFrame, keys: Sequence[str], high: Column) -> DataFrame:
+    """One row of a frozen replay: events detected with their exact interval, the confusion of rows, delays, episodes a day and denominators."""
+    events = evaluate.per_event(flagged, zones, keys).agg(
+        F.count_if("detected").alias("events_detected"), F.count("*").alias("events_total"), F.avg(-F.col("lead_min")).alias("mean_detection_delay_min")
+    )
+    share = exact_interval(F.col("events_detected"), F.col("events_total"))
+    events = events.withColumn("event_recall", F.try_divide("events_detected", "events_total")).withColumn("_i", share)
+    events = events.select("*", F.col("_i.low").alias("event_recall_low"), F.col("_i.high").alias("event_recall_high")).drop("_i")
+    rows = quality.confusion(flagged, F.col("flagged"), high)
+    days = episodes_by_day(replay_episodes(flagged, keys), flagged)
+    alarms = days.agg(F.sum("n_episodes").alias("fa_episodes_total"), F.avg("n_episodes").alias("fa_rate_per_day"))
+    return events.crossJoin(rows).crossJoin(alarms).crossJoin(denominators(flagged))  # one row each

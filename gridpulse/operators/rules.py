@@ -7,11 +7,14 @@ no threshold takes part in them: they are computed once, however many configurat
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gridpulse.functions import exprs
+from gridpulse.operators import ranks
 from gridpulse.schema import Channel, holds
 
 FILTER_TYPES = ("rate", "range", "combined", "jump")
@@ -87,30 +90,53 @@ def apply_rule(df: DataFrame, rule: Rule, value: str, ts_min: str, channel: Chan
     return s.withColumn("_d", d).select(*df.columns, "_d.*")
 
 
-def sweep(df: DataFrame, configs: DataFrame, value: str, ts_min: str, channel: Channel) -> DataFrame:
-    """Decisions of every configuration on every row: state once, then the grid, which is broadcast, beside each row.
+@dataclass(frozen=True)
+class Config:
+    """One configuration of a sweep: a rule's numbers, of which those that don't belong to it are missing."""
+
+    config_id: str
+    filter_type: str
+    gap_behavior: str = "reset"
+    gap_minutes: float = 60.0
+    rate: float | None = None
+    upper: float | None = None
+    lower: float | None = None
+    jump: float | None = None
+
 
-    configs: config_id, filter_type, gap_behavior, gap_minutes, rate, upper, lower, jump.
+def decisions(configs: Sequence[Config], value: Column, t: Column, prev_v: Column, prev_t: Column) -> Column:
+    """Whether each configuration flags a row, as one array in the order of configs.
+
+    With missing thresholds one expression serves every rule: a value out of bounds, or, where there is a state that no gap
+    has reset, too fast or too far a change.
     """
+    one = lambda c: F.struct(*[F.lit(getattr(c, f)).cast("double").alias(f) for f in ("gap_minutes", "rate", "upper", "lower", "jump")], F.lit(c.gap_behavior == "reset").alias("resets"))
+    change, dt = F.abs(value - prev_v), t - prev_t
+    moved = holds(prev_t.isNotNull() & (dt > 0))
+    flagged = lambda c: holds(value.isNotNull() & (
+        holds(value > c["upper"]) | holds(value < c["lower"]) | (moved & ~holds(c["resets"] & (dt > c["gap_minutes"])) & (holds(change / F.when(dt > 0, dt) > c["rate"]) | holds(change > c["jump"])))
+    ))
+    return F.transform(F.array(*map(one, configs)), flagged)
+
+
+def sweep(df: DataFrame, configs: Sequence[Config], value: str, ts_min: str, channel: Channel) -> DataFrame:
+    """df with on, an array of every configuration's decision, and data_anomaly, which no threshold takes part in."""
     s = state(df, value, ts_min, channel)
-    both = s.crossJoin(F.broadcast(configs))  # a grid of fixed size
-    d = decide(
-        F.col(value), F.col(ts_min), F.col("prev_v"), F.col("prev_t"), F.col("filter_type"), F.col("gap_minutes"),
-        F.col("gap_behavior") == "reset", F.col("rate"), F.col("upper"), F.col("lower"), F.col("jump"),
-    )
-    return both.withColumn("_d", d).select(*df.columns, "config_id", "_d.flagged", "_d.data_anomaly")
+    v, t, before = F.col(value), F.col(ts_min), F.col("prev_t")
+    anomaly = v.isNull() | holds(before.isNotNull() & (t - before <= 0))
+    return s.select(*df.columns, decisions(configs, v, t, F.col("prev_v"), before).alias("on"), anomaly.alias("data_anomaly"))
 
 
 def b1_threshold(value: Column, threshold: float) -> Column:
     return holds(value >= threshold)
 
 
-def b2_random(p: float, seed: int) -> Column:
-    """Independent draws; equal to other generators in distribution only."""
-    return F.rand(seed) < p
+def b2_random(p: float, seed: int, *row: Column) -> Column:
+    """Independent draws that follow from the seed and what tells a row apart; equal to other generators in distribution only."""
+    return exprs.draw(seed, *row) < p
 
 
 def b3_percentile(df: DataFrame, value: str, p: float) -> DataFrame:
     """df with flagged: above the stream's whole percentile. Looks ahead, so it is a bound and no rule."""
-    cut = df.agg(F.percentile(value, F.lit(p / 100)).alias("_cut"))
+    cut = ranks.quantiles(df, {"_cut": (F.col(value), p / 100)})
     return df.crossJoin(F.broadcast(cut)).withColumn("flagged", holds(F.col(value) > F.col("_cut"))).drop("_cut")  # one row

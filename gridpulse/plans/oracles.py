@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from gridpulse.plans import queries
+
 CUTOFF = 28404000.0
 
 EV = """ev AS (
@@ -404,8 +406,10 @@ FROM ba, {_values((5, 20, 60, 120), 'p')}, {_values((1.67, 2.2), 'c')} WHERE t1
 _add("power_curves", [EV, STEP, BAND], f"""
 SELECT user_id, event_id, round(dt, 8) AS dt_minutes, round(t1 - t0, 8) AS rise, m AS mass_kg, round(m * 2.0 * (t1 - t0) / (dt * 60), 8) AS required_power_kw, round(40.0 * dt * 60 / (m * 2.0), 8) AS achievable_rise
 FROM ba, {_values((10, 100, 1000), 'm')} WHERE t1 > t0""")
-_add("cost_table", [], """SELECT approach, total_ops_per_sample::BIGINT AS total_ops_per_sample, a::BIGINT AS est_cycles_m0_fixedpoint, b::BIGINT AS est_cycles_m0_softfloat FROM (VALUES
-  ('F1_rate', 10, 29, 271), ('F2_range', 1, 18, 37), ('F3_combined', 11, 30, 291), ('F4_jump', 9, 28, 221), ('B1_threshold', 1, 18, 37), ('MLP_28_16_8_1', 609, 3529, 61986), ('GBDT_100_trees', 600, 3000, NULL)) v(approach, total_ops_per_sample, a, b)""")
+_add("cost_table", [], """SELECT approach, class, CAST(o AS BIGINT) AS total_ops_per_sample, CAST(s AS BIGINT) AS state_bytes_float32, CAST(x AS BIGINT) AS state_bytes_fixedpoint, CAST(m AS BIGINT) AS model_storage_bytes,
+  CAST(a AS BIGINT) AS est_cycles_m0_fixedpoint, CAST(b AS BIGINT) AS est_cycles_m0_softfloat FROM (VALUES
+  ('F1_rate', 'rule', 10, 12, 8, 8, 29, 271), ('F2_range', 'rule', 1, 4, 2, 2, 18, 37), ('F3_combined', 'rule', 11, 16, 10, 10, 30, 291), ('F4_jump', 'rule', 9, 12, 8, 8, 28, 221), ('B1_threshold', 'rule', 1, 2, 2, 2, 18, 37),
+  ('MLP_28_16_8_1', 'model', 609, NULL, NULL, 2436, 3529, 61986), ('GBDT_100_trees', 'model', 600, NULL, NULL, 152400, 3000, NULL)) v(approach, class, o, s, x, m, a, b)""")
 _add("timestamp_parsing", [], """SELECT event_id, CASE WHEN event_id % 6 IN (0, 4) THEN strftime(ts, '%Y-%m-%d %H:%M:00') WHEN event_id % 6 = 1 THEN strftime(ts, '%Y-%m-%d %H:%M:%S') END AS parsed FROM events""")
 _add("label_numbers", [], "SELECT p_partkey, TRY_CAST(nullif(regexp_extract(p_brand, '([0-9.]+)', 1), '') AS DOUBLE) AS brand_number, regexp_matches(p_type, '^(ECO|PRO|STA)') AS listed FROM part")
 _add("decade_rounding", [], "SELECT CAST(round_even(p_size::DOUBLE, -1) AS DOUBLE) AS band, count(*) AS n FROM part GROUP BY 1")
@@ -413,3 +417,106 @@ _add("json_configs", [], """SELECT event_id, CAST(json_extract_string(props, '$.
 _add("calendar_buckets", [EV], "SELECT strftime(ts, '%Y-%m') AS month, CAST(floor(t / 1440) AS BIGINT) AS day, count(*) AS n FROM ev GROUP BY 1, 2")
 _add("filtered_projection", [], "SELECT event_id, value AS reading, 'telemetry' AS kind FROM events WHERE event_type IN ('error', 'click') AND value >= 100")
 _add("distinct_union", [], "SELECT DISTINCT user_id FROM events WHERE value > 200 UNION ALL SELECT user_id FROM events WHERE value > 300")
+
+_add("occurrence_stream", [EV], """SELECT user_id, ts_h, event_id, CAST(occurrence AS BIGINT) AS occurrence
+FROM (SELECT *, row_number() OVER (PARTITION BY user_id, ts_h ORDER BY event_id) AS occurrence FROM ev) WHERE occurrence = 2""")
+_add("first_record", [], "SELECT event_id, user_id, value FROM events ORDER BY ts, event_id LIMIT 1")
+_draw = lambda seed, *parts: f"CAST('0x' || substr(md5(concat_ws('/', '{seed}', {', '.join(parts)})), 1, 8) AS BIGINT) / 4294967296.0::DOUBLE"
+_add("baseline_random", [], "SELECT " + ", ".join(f"count(*) FILTER ({_draw(seed, 'user_id', 'event_id')} < {p}) AS n_{i}_{seed}" for i, p in enumerate((0.001, 0.05)) for seed in queries.SEEDS) + " FROM events")
+_add("per_event_detail", [*full("jump", {"jump": 60.0}), PER.format(zones="zo", rows="fl")], """
+SELECT user_id, event_id, strftime(make_timestamp(CAST(round(crossing_ts * 60000000) AS BIGINT)), '%Y-%m-%d %H:%M:%S') AS event_crossing_time, detected, detected_in_zone,
+  coalesce(strftime(make_timestamp(CAST(round(first_flag_ts * 60000000) AS BIGINT)), '%Y-%m-%d %H:%M:%S'), '') AS first_flag_time, round(lead_min, 3) AS lead_time_min FROM pv""")
+CAL_EXCLUDED = EV.replace("FROM events", f"FROM events WHERE epoch_us(ts) / 60000000.0 < {CUTOFF} - 60")
+_add("calibration_alarm_excluded", [CAL_EXCLUDED, STEP, PAIRS.format(60)], " UNION ALL ".join(f"SELECT '{r}' AS rule, '{v}' AS variant, CAST(round_even(({q}), 4) AS DOUBLE) AS threshold, (SELECT count(*) FROM ev) AS n_records, (SELECT count(*) FROM pa) AS n_valid_pairs" for r, v, q in _cal))
+LATE = [f"lz AS (SELECT * FROM zo WHERE crossing_ts >= {CUTOFF})", f"lf AS (SELECT * FROM fl WHERE ts_min >= {CUTOFF})"]
+DENOMINATORS = """count(*) FILTER (event_id IS NULL) AS monitored_rows_normal_zones, count(*) FILTER (event_id IS NOT NULL) AS excluded_rows_event_zones,
+  count(DISTINCT CAST(floor(ts_min / 1440) AS BIGINT)) FILTER (event_id IS NULL) AS normal_day_blocks, round((max(ts_min) - min(ts_min)) / 1440.0, 6) AS test_days,
+  round(count(*) FILTER (flagged) / ((max(ts_min) - min(ts_min)) / 1440.0), 6) AS flagged_samples_per_test_day"""
+_add("replay_denominators", [*full("jump", {"jump": 60.0}), *LATE], f"SELECT {DENOMINATORS} FROM lf")
+#: The chance of k hits or more in n trials, by logarithms; p lies strictly between 0 and 1.
+_atleast = lambda k, n, p: f"list_sum(list_transform(range({k}, {n} + 1), lambda t: exp(lgamma({n} + 1.0) - lgamma(t + 1.0) - lgamma({n} - t + 1.0) + t * ln({p}) + ({n} - t) * ln(1 - {p}))))"
+_interval = lambda rows: [
+    f"hl AS (SELECT k, n, 0 AS step, 0.0::DOUBLE AS a, 1.0::DOUBLE AS b, 0.0::DOUBLE AS c, 1.0::DOUBLE AS d FROM (SELECT DISTINCT k, n FROM {rows} WHERE n > 0) UNION ALL "
+    f"SELECT k, n, step + 1, CASE WHEN {_atleast('k', 'n', '((a + b) / 2)')} < 0.025 THEN (a + b) / 2 ELSE a END, CASE WHEN {_atleast('k', 'n', '((a + b) / 2)')} < 0.025 THEN b ELSE (a + b) / 2 END, "
+    f"CASE WHEN {_atleast('k + 1', 'n', '((c + d) / 2)')} < 0.975 THEN (c + d) / 2 ELSE c END, CASE WHEN {_atleast('k + 1', 'n', '((c + d) / 2)')} < 0.975 THEN d ELSE (c + d) / 2 END FROM hl WHERE step < 50)",
+    "ci AS (SELECT k, n, CASE WHEN k = 0 THEN 0.0 ELSE round((a + b) / 2, 4) END AS low, CASE WHEN k = n THEN 1.0 ELSE round((c + d) / 2, 4) END AS high FROM hl WHERE step = 50)",
+]
+SQL["exact_intervals"] = "WITH RECURSIVE " + ", ".join([
+    "ks AS (SELECT event_type, least(count(*) FILTER (event_id % 97 = 0), count(*) FILTER (event_id % 89 = 0)) AS k, count(*) FILTER (event_id % 89 = 0) AS n FROM events GROUP BY 1)", *_interval("ks")
+]) + " SELECT event_type, k, n, low, high FROM ks LEFT JOIN ci USING (k, n)"
+SQL["replay_metrics"] = "WITH RECURSIVE " + ", ".join([
+    *full("range", {"upper": 120.0}), *LATE, PER.format(zones="lz", rows="lf"), "ks AS (SELECT count(*) FILTER (detected) AS k, count(*) AS n, round(avg(-lead_min), 6) AS delay FROM pv)", *_interval("ks"),
+    "cf AS (SELECT count(*) FILTER (flagged AND value >= 100) AS row_tp, count(*) FILTER (flagged AND NOT value >= 100) AS row_fp, count(*) FILTER (NOT flagged AND value >= 100) AS row_fn FROM lf)",
+    "al AS (SELECT *, coalesce(flagged, false) AND event_id IS NULL AS alarm FROM lf)",
+    """ed AS (SELECT day, coalesce(n, 0) AS n FROM (SELECT DISTINCT CAST(floor(ts_min / 1440) AS BIGINT) AS day FROM lf WHERE event_id IS NULL) LEFT JOIN (
+      SELECT CAST(floor(ts_min / 1440) AS BIGINT) AS day, count(*) AS n FROM (SELECT ts_min, alarm, lag(alarm) OVER (PARTITION BY user_id ORDER BY idx) AS before FROM al) WHERE alarm AND NOT coalesce(before, false) GROUP BY 1) USING (day))""",
+    f"de AS (SELECT {DENOMINATORS} FROM lf)",
+]) + """ SELECT k AS events_detected, n AS events_total, delay AS mean_detection_delay_min, round(k / n, 6) AS event_recall, low AS event_recall_low, high AS event_recall_high, cf.*,
+  round(row_tp / nullif(row_tp + row_fp, 0), 6) AS row_precision, round(row_tp / nullif(row_tp + row_fn, 0), 6) AS row_recall, round(2 * row_tp / nullif(2 * row_tp + row_fp + row_fn, 0), 6) AS row_f1,
+  (SELECT CAST(sum(n) AS BIGINT) FROM ed) AS fa_episodes_total, (SELECT round(avg(n), 6) FROM ed) AS fa_rate_per_day, de.* FROM ks JOIN ci USING (k, n), cf, de"""
+_days = SQL["replay_episodes_by_day"].split("WITH ", 1)[1]
+SQL["episode_bootstrap"] = f"""WITH dy AS (SELECT *, row_number() OVER (ORDER BY day) - 1 AS pick, count(*) OVER () AS size FROM (WITH {_days})),
+dr AS (SELECT r.k AS resample, CAST(floor({_draw(42, 'r.k', 'p.pick')} * p.size) AS BIGINT) AS pick FROM range(0, 200) r(k), dy p),
+me AS (SELECT resample, avg(n_episodes) AS m FROM dr JOIN dy USING (pick) GROUP BY 1), ra AS (SELECT m, row_number() OVER (ORDER BY m, resample) - 1 AS r FROM me)
+SELECT (SELECT round(avg(n_episodes), 6) FROM dy) AS mean, (SELECT round(m, 6) FROM ra WHERE r = 5) AS low, (SELECT round(m, 6) FROM ra WHERE r = 195) AS high"""
+RISES = """ri AS (SELECT o.user_id, o.event_id, o.ts AS rise_ts, o.dt AS dt_minutes, o.value - o.pv AS rise, max(e.value) AS local_max FROM st o JOIN ev e
+  ON e.user_id = o.user_id AND abs(epoch_us(e.ts) - epoch_us(o.ts)) <= 1800000000 WHERE o.dt > 0 AND o.pv < 100 AND o.value >= 100 GROUP BY ALL)"""
+_add("transitions_table", [EV, STEP, RISES], """
+SELECT user_id, strftime(rise_ts, '%Y-%m-%d %H:%M:%S') AS rise_timestamp, round(dt_minutes, 6) AS dt_minutes, round(rise, 6) AS "dT_units", local_max AS local_max_kw_30min, 'rising' AS direction,
+  CAST(NULL AS DOUBLE) AS "T0", CAST(NULL AS DOUBLE) AS "T1", CAST(NULL AS DOUBLE) AS "Ta_used_ATI" FROM ri
+UNION ALL SELECT user_id, strftime(ts, '%Y-%m-%d %H:%M:%S'), round(dt, 6), NULL, NULL, 'falling', pv, value, 20.0 FROM st WHERE dt > 0 AND pv >= 100 AND value < 100""")
+_add("physics_sensitivity", [EV, STEP, RISES, "pw AS (SELECT *, unnest(['local_max_kw_30min', 'global_max_kw', 'parameterized_500kw', 'parameterized_1500kw']) AS l, unnest([local_max, (SELECT max(value) FROM ev), 500.0, 1500.0]) AS p FROM ri)"], """
+SELECT user_id, event_id, round(dt_minutes, 6) AS dt_minutes, round(rise, 6) AS rise, l AS power_scenario_kw, round(p, 6) AS power_kw, round(p * dt_minutes * 60, 6) AS energy_kj, h.n AS c_oil_scenario, h.c AS c_kj_per_kg_k,
+  round(p * dt_minutes * 60 / (h.c * rise), 6) AS critical_mass_kg FROM pw, (VALUES ('low', 1.67::DOUBLE), ('high', 2.2::DOUBLE)) h(n, c)""")
+_add("median_rise", [EV, STEP, RISES], f"SELECT {_q('rise', 0.5)} AS median_rise, {_q('dt_minutes', 0.5)} AS median_dt FROM ri")
+SQL["file_hashes"] = "SELECT parse_filename(filename) AS filename, size AS size_bytes, sha256(content) AS sha256 FROM read_blob('/root/testdata/sf0.01/events.parquet')"
+SQL["column_types"] = """SELECT column_name AS "column", CASE column_type WHEN 'BIGINT' THEN 'bigint' WHEN 'INTEGER' THEN 'int' WHEN 'TIMESTAMP' THEN 'timestamp_ntz' WHEN 'VARCHAR' THEN 'string' ELSE lower(column_type) END AS dtype FROM (DESCRIBE events)"""
+
+
+def policy_sweep_parts() -> list[str]:
+    """Every policy and configuration from the same state: fs is a row for each sample and configuration."""
+    none = lambda x: "NULL" if x is None else f"'{x}'" if isinstance(x, str) else str(x)
+    causal = ", ".join(f"({i}, {', '.join(map(none, x))})" for i, x in enumerate(queries.sweep_configs()))
+    first = len(queries.sweep_configs())
+    base = queries.sweep_baselines()
+    plain = ", ".join(f"({first + i}, {', '.join(map(none, x))})" for i, x in enumerate(base))
+    n = len(queries.PERCENTS)
+    flags = [f"value >= {queries.TRIVIAL}", *[f"value > p{i}" for i in range(n)]]
+    flags += [f"{_draw(seed, 'policy', 'user_id', 'idx')} < {p}" for p in queries.CHANCES for seed in queries.SEEDS]
+    which = " ".join(f"WHEN {first + i} THEN {c}" for i, c in enumerate(flags))
+    cuts = ", ".join(f"quantile_cont(value, {p / 100}) AS p{i}" for i, p in enumerate(queries.PERCENTS))
+    swap = lambda x: x.replace("PARTITION BY user_id", "PARTITION BY policy, user_id").replace("b.user_id = a.user_id", "b.policy = a.policy AND b.user_id = a.user_id")
+    return [EV, POLICY, """sa AS (SELECT policy, user_id, row_number() OVER (PARTITION BY policy, user_id ORDER BY epoch_us(ts_h), event_id) - 1 AS idx, epoch_us(ts_h) / 60000000.0 AS ts_min, value FROM po)""",
+        swap(CROSSINGS).replace("SELECT user_id,", "SELECT policy, user_id,", 1), swap(ZONES),
+        """zi AS (SELECT s.*, z.event_id, z.crossing_ts FROM sa s LEFT JOIN zo z ON s.policy = z.policy AND s.user_id = z.user_id AND s.ts_min > z.zone_start AND (z.recovery_ts IS NULL OR s.ts_min <= z.recovery_ts))""",
+        """s1 AS (SELECT *, max(ts_min) OVER (PARTITION BY policy, user_id ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prev_t FROM zi)""",
+        """sv AS (SELECT *, last_value(CASE WHEN prev_t IS NULL OR ts_min > prev_t THEN value END IGNORE NULLS) OVER (PARTITION BY policy, user_id ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prev_v FROM s1)""",
+        f"cc(place, filter_type, threshold, gap_policy, seed, rate, upper, jump) AS (VALUES {causal})", f"cb(place, filter_type, threshold, gap_policy, seed) AS (VALUES {plain})",
+        "co AS (SELECT place, filter_type, threshold, gap_policy, CAST(seed AS BIGINT) AS seed FROM cc UNION ALL SELECT place, filter_type, threshold, gap_policy, CAST(seed AS BIGINT) FROM cb)",
+        f"pc AS (SELECT policy, {cuts} FROM sa GROUP BY 1)",
+        f"""fs AS (SELECT policy, place, user_id, idx, ts_min, event_id, crossing_ts, coalesce(prev_t IS NOT NULL AND ts_min <= prev_t, false) AS data_anomaly,
+  coalesce(value > upper, false) OR (prev_t IS NOT NULL AND ts_min > prev_t AND NOT (gap_policy = 'reset' AND ts_min - prev_t > 1440) AND (coalesce(abs(value - prev_v) / (ts_min - prev_t) > rate, false) OR coalesce(abs(value - prev_v) > jump, false))) AS flagged FROM sv, cc
+UNION ALL SELECT policy, place, user_id, idx, ts_min, event_id, crossing_ts, false, CASE place {which} END FROM sv JOIN pc USING (policy), cb)""",
+        "es AS (SELECT *, flagged AND NOT coalesce(lag(flagged) OVER (PARTITION BY policy, place, user_id ORDER BY idx), false) AS fresh FROM fs)",
+        "rs AS (SELECT *, sum(fresh::INT) OVER (PARTITION BY policy, place, user_id ORDER BY idx) AS run FROM es)",
+        "ep AS (SELECT policy, place, count(*) AS n FROM (SELECT DISTINCT policy, place, user_id, run FROM rs WHERE flagged AND event_id IS NULL) GROUP BY 1, 2)",
+        "hi AS (SELECT policy, place, user_id, event_id, crossing_ts, min(ts_min) AS f, min(ts_min) FILTER (ts_min <= crossing_ts) AS p FROM fs WHERE flagged AND event_id IS NOT NULL GROUP BY 1, 2, 3, 4, 5)",
+        """ev2 AS (SELECT policy, place, count(p) AS events_detected, count(*) AS events_detected_in_zone, CAST(round_even(avg(crossing_ts - f) FILTER (p IS NOT NULL), 3) AS DOUBLE) AS mean_lead_time_min,
+  CAST(round_even(quantile_cont(crossing_ts - f, 0.5) FILTER (p IS NOT NULL), 3) AS DOUBLE) AS median_lead_time_min FROM hi GROUP BY 1, 2)""",
+        "to2 AS (SELECT policy, place, count(*) FILTER (flagged) AS total_flagged_rows, count(*) FILTER (data_anomaly) AS data_anomaly_rows FROM fs GROUP BY 1, 2)",
+        """sp AS (SELECT policy, user_id, min(ts_min) AS t0, max(ts_min) AS t1 FROM sa GROUP BY 1, 2)""",
+        """nd AS (SELECT policy, sum(span_end - span_start) / 1440.0 AS d FROM (
+  SELECT policy, user_id, coalesce(lag(coalesce(recovery_ts, t1)) OVER (PARTITION BY policy, user_id ORDER BY event_id), t0) AS span_start, zone_start AS span_end FROM zo JOIN sp USING (policy, user_id)
+  UNION ALL SELECT policy, user_id, coalesce(e, t0), t1 FROM sp LEFT JOIN (SELECT policy, user_id, max(coalesce(recovery_ts, t1)) AS e FROM zo JOIN sp USING (policy, user_id) GROUP BY 1, 2) USING (policy, user_id))
+  WHERE span_end > span_start GROUP BY 1)""",
+        """su AS (SELECT policy, filter_type, threshold, gap_policy, seed, total_flagged_rows, data_anomaly_rows, (SELECT count(*) FROM zo z WHERE z.policy = to2.policy) AS events_total, coalesce(events_detected, 0) AS events_detected,
+  coalesce(events_detected_in_zone, 0) AS events_detected_in_zone, mean_lead_time_min, median_lead_time_min, coalesce(n, 0) AS false_alarm_episodes, round(d, 3) AS normal_days, round(coalesce(n, 0) / d, 3) AS false_alarm_rate_per_day
+  FROM to2 JOIN co USING (place) JOIN nd USING (policy) LEFT JOIN ep USING (policy, place) LEFT JOIN ev2 USING (policy, place))"""]
+
+
+_add("policy_sweep", policy_sweep_parts(), "SELECT * FROM su")
+_add("sweep_summary", policy_sweep_parts(), """SELECT (SELECT count(*) FROM su) AS n_configs, (SELECT max(mean_lead_time_min) FROM su) AS max_lead_time_min_over_all_filters, count(*) AS pareto_points
+FROM su a WHERE filter_type LIKE 'F%' AND NOT EXISTS (SELECT 1 FROM su b WHERE b.filter_type LIKE 'F%' AND b.events_detected >= a.events_detected AND b.false_alarm_episodes <= a.false_alarm_episodes
+  AND (b.events_detected > a.events_detected OR b.false_alarm_episodes < a.false_alarm_episodes))""")
+_add("notable_configurations", policy_sweep_parts(), """SELECT filter_type, threshold, events_detected AS detected, mean_lead_time_min AS mean_lead_min, false_alarm_rate_per_day AS fa_per_day FROM su
+WHERE policy = 'P2_first' AND gap_policy IN ('reset', 'not_applicable') AND threshold IN ('rate>0.2', 'rate>0.5', 'rate>1', '|dOTI|>50', 'OTI>50', 'OTI>52', 'OTI>54', 'OTI>236', 'rate>0.2;OTI>50', 'rate>0.5;OTI>50', 'OTI>=236', '>p95', '>p99', '>p99.5', '>p99.9')""")

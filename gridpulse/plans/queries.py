@@ -236,6 +236,17 @@ def occurrence_report(spark, d):
     return policies.occurrence_report(_events(spark, d), HOURLY)
 
 
+@query
+def occurrence_stream(spark, d):
+    return policies.occurrence_stream(_events(spark, d), HOURLY, 2).select("user_id", "ts_h", "event_id", "occurrence")
+
+
+@query
+def first_record(spark, d):
+    """The first record of the whole table by time."""
+    return _events(spark, d).orderBy("ts", "event_id").limit(1).select("event_id", "user_id", "value")
+
+
 @query
 def valid_pairs(spark, d):
     p = timeseries.valid_pairs(_events(spark, d), "value", CH, 600.0)
@@ -367,23 +378,23 @@ def baseline_percentile(spark, d):
 RATES, UPPERS, JUMPS = (0.02, 0.1, 0.5, 2.0), (80.0, 120.0, 200.0), (40.0, 80.0, 160.0)
 
 
-def _grid(spark) -> DataFrame:
+def _configs() -> list[rules.Config]:
     rows = []
     for behaviour in ("reset", "continue"):
         rows += [("rate", behaviour, r, None, None) for r in RATES]
         rows += [("jump", behaviour, None, None, j) for j in JUMPS]
         rows += [("combined", behaviour, r, u, None) for r in RATES for u in UPPERS]
     rows += [("range", "reset", None, u, None) for u in UPPERS]
-    named = [(f"{k}/{b}/{r}/{u}/{j}", k, b, 1440.0, r, u, None, j) for k, b, r, u, j in rows]
-    return spark.createDataFrame(named, "config_id string, filter_type string, gap_behavior string, gap_minutes double, rate double, upper double, lower double, jump double")
+    return [rules.Config(f"{k}/{b}/{r}/{u}/{j}", k, b, 1440.0, r, u, None, j) for k, b, r, u, j in rows]
 
 
 def _sweep(spark, d) -> DataFrame:
     s = _samples(spark, d)
     z = _zones(s)
-    indexed = evaluate.zone_index(s, z, KEYS)
-    f = rules.sweep(indexed, _grid(spark), "value", "ts_min", IDX)
-    return evaluate.evaluate(f, s, z, KEYS, ("config_id",))
+    configs = _configs()
+    f = rules.sweep(evaluate.zone_index(s, z, KEYS), configs, "value", "ts_min", IDX)
+    named = spark.createDataFrame([(i, c.config_id) for i, c in enumerate(configs)], "place int, config_id string")
+    return evaluate.sweep_totals(f, s, z, KEYS, named)
 
 
 @query
@@ -391,6 +402,85 @@ def filter_sweep(spark, d):
     return rounded(_sweep(spark, d), 3)
 
 
+#: The whole sweep: values as many as the study's, on this data's scale; its baselines beside the rules.
+SWEEP_RATES = (0.02, 0.05, 0.1, 0.2, 0.5, 1.0, 2.0, 5.0)
+SWEEP_UPPERS = (45.0, 48.0, 50.0, 52.0, 54.0, 60.0, 70.0, 80.0, 90.0, 100.0, 150.0, 200.0, 236.0)
+SWEEP_JUMPS = (5.0, 10.0, 20.0, 30.0, 50.0, 100.0, 150.0)
+PERCENTS, CHANCES, SEEDS = (95.0, 99.0, 99.5, 99.9), (1e-5, 1e-4, 5e-4, 1e-3, 5e-3, 1e-2, 5e-2), (42, 43, 44)
+TRIVIAL = 236.0
+
+
+def sweep_configs() -> list[tuple]:
+    """(filter_type, threshold, gap_policy, seed, rate, upper, jump) of the rules, in the order of their decisions."""
+    out = []
+    for gap in ("reset", "continue"):
+        out += [("F1_rate", f"rate>{r:g}", gap, None, r, None, None) for r in SWEEP_RATES]
+        out += [("F2_range", f"OTI>{u:g}", gap, None, None, u, None) for u in SWEEP_UPPERS]
+        out += [("F4_jump", f"|dOTI|>{j:g}", gap, None, None, None, j) for j in SWEEP_JUMPS]
+        out += [("F3_combined", f"rate>{r:g};OTI>{u:g}", gap, None, r, u, None) for r in SWEEP_RATES for u in SWEEP_UPPERS]
+    return out
+
+
+def sweep_baselines() -> list[tuple]:
+    """(filter_type, threshold, gap_policy, seed) of the baselines, whose decisions follow the rules'."""
+    out = [("B1_trivial", f"OTI>={TRIVIAL:g}", "not_applicable", None)] + [("B3_percentile", f">p{x:g}", "not_applicable", None) for x in PERCENTS]
+    return out + [("B2_random", f"p={p:g}", "not_applicable", seed) for p in CHANCES for seed in SEEDS]
+
+
+def _policy_sweep(spark, d) -> DataFrame:
+    """1,160 configurations: four record policies, and for each the rules in two gap behaviours and three baselines."""
+    by, keys = ("policy",), ("policy", *KEYS)
+    views = policies.policy_views(_events(spark, d).drop("ts", "t"), HOURLY, sensors=SENSORS).withColumn("t", exprs.minutes("ts_h"))
+    s = evaluate.index_samples(views, keys, "t", "event_id", "value")
+    z = evaluate.event_zones(evaluate.rising_crossings(s, keys), keys)
+    causal = [rules.Config("", "", gap, 1440.0, rate, upper, None, jump) for _, _, gap, _, rate, upper, jump in sweep_configs()]
+    f = rules.sweep(evaluate.zone_index(s, z, keys), causal, "value", "ts_min", Channel("ts_min", "idx", keys))
+    cuts = ranks.quantiles(s, {f"p{i}": (F.col("value"), p / 100) for i, p in enumerate(PERCENTS)}, by)
+    f = f.join(F.broadcast(cuts), list(by))  # a row for each policy
+    v = F.col("value")
+    fixed = [rules.b1_threshold(v, TRIVIAL), *[F.coalesce(v > F.col(f"p{i}"), F.lit(False)) for i in range(len(PERCENTS))]]
+    drawn = [rules.b2_random(p, seed, *[F.col(k) for k in keys], F.col("idx")) for p in CHANCES for seed in SEEDS]
+    f = f.withColumn("on", F.concat("on", F.array(*fixed, *drawn)))
+    named = [(i, *x[:4], True) for i, x in enumerate(sweep_configs())]
+    named += [(len(named) + i, *x, False) for i, x in enumerate(sweep_baselines())]
+    configs = spark.createDataFrame(named, "place int, filter_type string, threshold string, gap_policy string, seed long, causal boolean")
+    return evaluate.sweep_totals(f, s, z, KEYS, configs, by)
+
+
+@query
+def policy_sweep(spark, d):
+    return rounded(_policy_sweep(spark, d), 3)
+
+
+@query
+def sweep_summary(spark, d):
+    return rounded(evaluate.sweep_summary(_policy_sweep(spark, d), causal=F.col("filter_type").startswith("F")), 3)
+
+
+@query
+def notable_configurations(spark, d):
+    labels = ["rate>0.2", "rate>0.5", "rate>1", "|dOTI|>50", "OTI>50", "OTI>52", "OTI>54", "OTI>236", "rate>0.2;OTI>50", "rate>0.5;OTI>50", "OTI>=236", ">p95", ">p99", ">p99.5", ">p99.9"]
+    view = (F.col("policy") == "P2_first") & F.col("gap_policy").isin("reset", "not_applicable")
+    return rounded(evaluate.notable(_policy_sweep(spark, d), view, labels), 3)
+
+
+@query
+def baseline_random(spark, d):
+    row = (F.col("user_id"), F.col("event_id"))
+    draws = [F.count_if(rules.b2_random(p, seed, *row)).alias(f"n_{i}_{seed}") for i, p in enumerate((0.001, 0.05)) for seed in SEEDS]
+    return _events(spark, d).agg(*draws)
+
+
+@query
+def per_event_detail(spark, d):
+    """Each event with the times of its crossing and first flag as text, told by the samples there."""
+    f, s, z = _flagged(spark, d, rules.Rule("jump", {"jump": 60.0}))
+    told = s.join(_events(spark, d).select("user_id", F.col("t").alias("ts_min"), exprs.time_text("ts").alias("iso")).distinct(), ["user_id", "ts_min"])
+    out = alignment.nearest_label(evaluate.per_event(f, z, KEYS), told, "crossing_ts", F.col("iso"), "ts_min", "idx", KEYS, "event_crossing_time")
+    out = alignment.nearest_label(out, told, "first_flag_ts", F.col("iso"), "ts_min", "idx", KEYS, "first_flag_time")
+    return out.select("user_id", "event_id", "event_crossing_time", "detected", "detected_in_zone", F.coalesce("first_flag_time", F.lit("")).alias("first_flag_time"), F.round("lead_min", 3).alias("lead_time_min"))
+
+
 @query
 def pareto_frontier(spark, d):
     # accounts by balance and number of orders: many detections, few alarms
@@ -421,6 +511,41 @@ def calibration(spark, d):
     return replay.calibrate(_events(spark, d), "value", CUTOFF, "t", CH)
 
 
+@query
+def calibration_alarm_excluded(spark, d):
+    return replay.calibrate(_events(spark, d), "value", CUTOFF, "t", CH, 60.0)
+
+
+def _late(spark, d, rule: rules.Rule) -> tuple[DataFrame, DataFrame]:
+    """The rows and events from the cutoff on, of a rule that ran over each whole stream."""
+    f, s, z = _flagged(spark, d, rule)
+    return f.where(F.col("ts_min") >= CUTOFF), z.where(F.col("crossing_ts") >= CUTOFF)
+
+
+@query
+def replay_metrics(spark, d):
+    f, z = _late(spark, d, rules.Rule("range", {"upper": 120.0}))
+    return rounded(replay.replay_metrics(f, z, KEYS, F.col("value") >= 100))
+
+
+@query
+def replay_denominators(spark, d):
+    return rounded(replay.denominators(_late(spark, d, rules.Rule("jump", {"jump": 60.0}))[0]))
+
+
+@query
+def exact_intervals(spark, d):
+    e = _events(spark, d).groupBy("event_type").agg(F.count_if(F.col("event_id") % 97 == 0).alias("k"), F.count_if(F.col("event_id") % 89 == 0).alias("n"))
+    e = e.select("event_type", F.least("k", "n").alias("k"), "n")
+    return e.withColumn("i", replay.exact_interval(F.col("k"), F.col("n"))).select("event_type", "k", "n", "i.low", "i.high")
+
+
+@query
+def episode_bootstrap(spark, d):
+    f, s, z = _flagged(spark, d, rules.Rule("jump", {"jump": 60.0}))
+    return replay.day_bootstrap(replay.episodes_by_day(replay.replay_episodes(f, KEYS), f), 200)
+
+
 @query
 def chronological_split(spark, d):
     a, b = replay.split_chronological(_events(spark, d), CUTOFF, "t")
@@ -507,6 +632,39 @@ def power_curves(spark, d):
     return rounded(physics.power_curves(r, (10, 100, 1000), 40.0, 2.0), 8)
 
 
+def _rises(spark, d):
+    """Rising transitions with the greatest value within 30 minutes, which stands for the local power."""
+    e = _events(spark, d)
+    up = timeseries.band_transitions(e, "value", 100.0, CH).where("direction = 'rise'")
+    up = up.select("user_id", "event_id", F.col("ts").alias("rise_ts"), "dt_minutes", (F.col("value") - F.col("prev_value")).alias("rise"))
+    near = alignment.context(up, e.select("user_id", "ts", F.col("value").alias("v")), "rise_ts", "ts", 30.0, [F.max("v").alias("local_max_kw_30min")], ["user_id", "event_id"], KEYS)
+    return up.join(near.select("user_id", "event_id", "local_max_kw_30min"), ["user_id", "event_id"])
+
+
+@query
+def transitions_table(spark, d):
+    time = exprs.time_text("rise_ts").alias("rise_timestamp")
+    rises = _rises(spark, d).select("user_id", time, "dt_minutes", F.col("rise").alias("dT_units"), "local_max_kw_30min")
+    down = timeseries.band_transitions(_events(spark, d), "value", 100.0, CH).where("direction = 'fall'")
+    falls = down.select("user_id", exprs.time_text("ts").alias("fall_timestamp"), F.col("prev_value").alias("T0"), F.col("value").alias("T1"), F.lit(20.0).alias("Ta_used_ATI"), "dt_minutes")
+    return rounded(physics.transitions(rises, falls, KEYS))
+
+
+@query
+def physics_sensitivity(spark, d):
+    """Rises by four power scenarios, one of them the whole table's greatest value, and two heat capacities."""
+    most = _events(spark, d).agg(F.max("value").alias("global_max_kw"))
+    rises = _rises(spark, d).crossJoin(F.broadcast(most))  # one row
+    powers = [physics.power(c, F.col(c)) for c in ("local_max_kw_30min", "global_max_kw")] + [physics.power(f"parameterized_{p}kw", F.lit(float(p))) for p in (500, 1500)]
+    out = physics.scenarios(rises, powers, {"low": 1.67, "high": 2.2})
+    return rounded(out.drop("rise_ts", "local_max_kw_30min", "global_max_kw"))
+
+
+@query
+def median_rise(spark, d):
+    return rounded(ranks.quantiles(_rises(spark, d), {"median_rise": (F.col("rise"), 0.5), "median_dt": (F.col("dt_minutes"), 0.5)}))
+
+
 @query
 def cost_table(spark, d):
     return physics.cost_table(spark)

@@ -99,6 +99,17 @@ def read_sequence(spark: SparkSession, path: str) -> DataFrame:
     return rows.select("idx", F.when(F.col("ok") == "1", F.nanvl(F.col("v").try_cast("double"), F.lit(None).cast("double"))).alias("value"), F.col("t").cast("double").alias("ts_min"))
 
 
+def write_sequence(df: DataFrame, path: str, keys: Sequence[str] = ()) -> None:
+    """(idx, value, ts_min) as lines "value minutes valid" in the order of idx, as read_sequence() takes them.
+
+    Each of keys makes a folder of its own; the rows of one sequence are one file, as the lines' order tells their places.
+    """
+    line = F.concat_ws(" ", F.coalesce(F.col("value").cast("string"), F.lit("nan")), F.col("ts_min").cast("string"), F.col("value").isNotNull().cast("int").cast("string"))
+    dealt = df.repartition(*keys) if keys else df.coalesce(1)
+    out = dealt.sortWithinPartitions(*keys, "idx").select(*keys, line.alias("line")).write.mode("overwrite")
+    (out.partitionBy(*keys) if keys else out).text(path)
+
+
 def utc_now() -> Column:
     return F.date_format(F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'Z'")
 

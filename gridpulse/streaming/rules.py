@@ -5,7 +5,8 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -14,8 +15,12 @@ from gridpulse.operators.rules import Rule
 OUTPUT = "key string, seq long, flagged boolean, reason string, rate double, jump double, data_anomaly boolean, state_updated boolean, note string"
 
 
+#: Rows with this column set clear a key's state before they are decided on.
+RESET = "reset"
+
+
 class RuleProcessor(StatefulProcessor):
-    """Decides on each row of a key, in order of seq within a batch; rows: key, seq, value, ts_min."""
+    """Decides on each row of a key, in order of seq within a batch; rows: key, seq, value, ts_min, and reset if there is one."""
 
     def __init__(self, rule: Rule):
         self.rule = rule
@@ -24,14 +29,19 @@ class RuleProcessor(StatefulProcessor):
         self.last = handle.getValueState("last", T.StructType([T.StructField("v", T.DoubleType()), T.StructField("t", T.DoubleType())]))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
+        # a key's rows of one batch, which the source's limit on a trigger bounds
         frame = pd.concat(list(rows)).sort_values("seq")
         held = self.last.get() if self.last.exists() else None
         out = []
         for r in frame.itertuples():
+            if getattr(r, RESET, False):
+                held = None
             d, held = step(self.rule, None if pd.isna(r.value) else float(r.value), float(r.ts_min), held)
             out.append((key[0], r.seq, *d))
         if held is not None:
             self.last.update((held[0], held[1]))
+        elif self.last.exists():
+            self.last.clear()
         yield pd.DataFrame(out, columns=[c.split()[0] for c in OUTPUT.split(", ")])
 
     def close(self) -> None:
@@ -63,5 +73,16 @@ def step(rule: Rule, value: float | None, t: float, held: tuple | None) -> tuple
 
 
 def stream_rule(stream: DataFrame, rule: Rule) -> DataFrame:
-    """Decisions on a streaming DataFrame of key string, seq long, value double, ts_min double (RocksDB state store)."""
+    """Decisions on a streaming DataFrame of key string, seq long, value double, ts_min double, and reset boolean if keys are to be reset."""
+    # this kind of state needs the RocksDB store
+    stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     return stream.groupBy("key").transformWithStateInPandas(RuleProcessor(rule), OUTPUT, "Append", "None")
+
+
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def state_of(spark: SparkSession, checkpoint: str) -> DataFrame:
+    """(key, last_value, last_ts_min): what a stopped or running query holds, as of its last committed batch."""
+    held = spark.read.format("statestore").option("stateVarName", "last").load(checkpoint)
+    return held.select(F.col("key.key").alias("key"), F.col("value.v").alias("last_value"), F.col("value.t").alias("last_ts_min"))

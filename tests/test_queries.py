@@ -31,7 +31,7 @@ def rows(columns, data):
 @pytest.mark.parametrize("name", sorted(SQL))
 def test_query_equals_sql(spark, duck, name):
     df = entry.queries()[name](spark, DATA)
-    want = duck.sql(SQL[name])
+    want = duck.sql(SQL[name].replace("/root/testdata/sf0.01", DATA))
     assert sorted(df.columns) == sorted(want.columns)
     assert rows(df.columns, [tuple(r) for r in df.collect()]) == rows(want.columns, want.fetchall())
 

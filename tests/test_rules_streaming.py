@@ -3,11 +3,9 @@
 import random
 
 import pytest
-from pyspark.sql import functions as F
-
 from gridpulse.operators import rules
 from gridpulse.schema import Channel
-from gridpulse.streaming.rules import step, stream_rule
+from gridpulse.streaming.rules import state_of, step, stream_rule
 
 CONFIGS = [
     rules.Rule(kind, x, 60.0, b)
@@ -63,10 +61,39 @@ def test_stream_equals_the_sequential_reading(spark, tmp_path):
         assert all(_same(a, b) for a, b in zip(d[:2] + d[4:], want[r["seq"]][:2] + want[r["seq"]][4:])), (r, want[r["seq"]])
 
 
-def test_sweep_shares_one_state(spark):
+def test_sweep_decides_as_single_rules_do(spark):
     df = spark.createDataFrame(_rows(), "key string, seq long, value double, ts_min double")
-    grid = spark.createDataFrame([("a", "rate", "reset", 60.0, 1.0, None, None, None), ("b", "jump", "continue", 60.0, None, None, None, 20.0)], "config_id string, filter_type string, gap_behavior string, gap_minutes double, rate double, upper double, lower double, jump double")
     ch = Channel("ts_min", "seq", ("key",))
-    got = {r["config_id"]: r["n"] for r in rules.sweep(df, grid, "value", "ts_min", ch).where("flagged").groupBy("config_id").agg(F.count("*").alias("n")).collect()}
-    one = rules.apply_rule(df, CONFIGS[0], "value", "ts_min", ch).where("flagged").count()
-    assert got["a"] == one
+    configs = [rules.Config("", c.filter_type, c.gap_behavior, c.gap_minutes, **c.thresholds) for c in CONFIGS]
+    got = {r["seq"]: (r["on"], r["data_anomaly"]) for r in rules.sweep(df, configs, "value", "ts_min", ch).collect()}
+    for k, c in enumerate(CONFIGS):
+        for r in rules.apply_rule(df, c, "value", "ts_min", ch).collect():
+            assert (got[r["seq"]][0][k], got[r["seq"]][1]) == (r["flagged"], r["data_anomaly"])
+
+
+#: Readings at, just over and just under thresholds; times that stand, go back, and leave gaps of exactly an hour and more.
+EDGES = [(80.0, 0.0), (80.0, 15.0), (80.0 + 1e-9, 30.0), (5.0, 45.0), (5.0 - 1e-9, 60.0), (None, 61.0), (65.0, 120.0), (45.0, 120.0), (90.0, 100.0), (85.0, 180.0), (20.0, 241.0), (81.0, 302.5), (82.0, 303.5), (83.0 + 1e-9, 304.5), (63.0, 304.5), (103.0, 305.0), (None, 306.0), (None, 400.0), (80.0, 400.0), (60.0, 460.0), (80.0, 520.0), (100.0, 580.0 + 1e-9), (0.0, 580.1), (20.0, 600.1), (40.0 + 1e-9, 620.1)]
+
+
+@pytest.mark.parametrize("rule", CONFIGS, ids=lambda r: f"{r.filter_type}-{r.gap_behavior}")
+def test_boundaries(spark, rule):
+    rows = [("a", i, v, t) for i, (v, t) in enumerate(EDGES)]
+    assert len(rows) == 25
+    want = _sequential(rule, rows)
+    got = rules.apply_rule(spark.createDataFrame(rows, "key string, seq long, value double, ts_min double"), rule, "value", "ts_min", Channel("ts_min", "seq", ("key",)))
+    for r in got.collect():
+        assert all(map(_same, [r[c] for c in ("flagged", "reason", "rate", "jump", "data_anomaly", "state_updated", "note")], want[r["seq"]])), r["seq"]
+    flagged = {k for k, d in want.items() if d[0]}
+    if rule.filter_type == "range":
+        assert {2, 4} <= flagged and not {0, 1, 3} & flagged  # bounds are compared strictly
+
+
+def test_stream_is_reset_and_inspected(spark, tmp_path):
+    schema = "key string, seq long, value double, ts_min double, reset boolean"
+    rows = [("a", 0, 10.0, 0.0, False), ("a", 1, 90.0, 15.0, False), ("a", 2, 10.0, 30.0, True), ("b", 3, 1.0, 5.0, False), ("b", 4, None, 9.0, True)]
+    spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / "in"))
+    q = stream_rule(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), rules.Rule("jump", {"jump": 20.0})).writeStream.format("memory").queryName("reset_rows").outputMode("append")
+    q = q.option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    assert q.awaitTermination(180)
+    assert {r["seq"]: (r["flagged"], r["note"]) for r in spark.table("reset_rows").collect()} == {0: (False, "first"), 1: (True, ""), 2: (False, "first"), 3: (False, "first"), 4: (False, "missing")}
+    assert [tuple(r) for r in state_of(spark, str(tmp_path / "cp")).collect()] == [("a", 10.0, 30.0)]

@@ -1,3 +1,5 @@
+import datetime
+
 import pytest
 
 from gridpulse.sources import telemetry
@@ -40,6 +42,24 @@ def test_sequence_lines(spark, tmp_path):
     assert [tuple(r) for r in telemetry.read_sequence(spark, str(tmp_path / "s.txt")).orderBy("idx").collect()] == [(0, 1.5, 0.0), (1, None, 15.0), (2, None, 30.0)]
 
 
+def test_sequences_come_back(spark, tmp_path):
+    rows = [(0, 1.5, 0.0), (1, None, 15.25), (2, 3.0, 30.0)]
+    df = spark.createDataFrame(rows, "idx long, value double, ts_min double").repartition(3)
+    telemetry.write_sequence(df, str(tmp_path / "out"))
+    assert [tuple(r) for r in telemetry.read_sequence(spark, str(tmp_path / "out")).orderBy("idx").collect()] == rows
+
+
+def test_lines_are_looked_up(spark, raw):
+    lines = telemetry.text_lines(spark, str(raw / "o.csv"))
+    wanted = lines.where("_raw_line IN (1, 3)").select("path", "_raw_line")
+    assert [r["line"] for r in telemetry.lookup_lines(lines, wanted.unionByName(wanted)).orderBy("_raw_line").collect()] == ["DeviceTimeStamp,OTI,WTI", "2019-06-25T13:21,x,1"]
+
+
+def test_now_is_utc(spark):
+    now = datetime.datetime.strptime(spark.range(1).select(telemetry.utc_now().alias("t")).first()["t"], "%Y-%m-%dT%H:%M:%SZ")
+    assert abs((datetime.datetime.now(datetime.timezone.utc).replace(tzinfo=None) - now).total_seconds()) < 60
+
+
 def test_reports(spark, tmp_path):
     for kind in ("csv", "json", "parquet"):
         telemetry.write_report(spark.range(3), str(tmp_path / kind), kind)
