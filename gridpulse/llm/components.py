@@ -9,18 +9,23 @@ from gridpulse.llm.common import durable
 
 
 def components(links: DataFrame) -> DataFrame:
-    """node, label: the smallest node reachable, for every node of links (a, b). Nothing but a flag reaches the driver."""
+    """node, label: the smallest node reachable, for every node of links (a, b). Nothing but a flag reaches the driver.
+
+    A round sends only the labels that changed in the round before, and looks up each label once, however many nodes bear it:
+    what a large component's members are joined with is a table of the labels that have a smaller one themselves.
+    """
     both = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     both = durable(both.where("a <> b").distinct(), "links")
     labels = durable(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label")), "labels")
+    changed = labels
     while True:
-        near = both.join(labels, both.a == labels.node).groupBy("b").agg(F.min("label").alias("near"))
-        spread = labels.join(near, labels.node == near.b).select("node", F.least("label", "near").alias("label"), F.col("label").alias("old"))
-        root = labels.select(F.col("node").alias("_root"), F.col("label").alias("_label"))
-        jumped = durable(
-            spread.join(root, spread.label == root["_root"]).select("node", F.least("label", "_label").alias("label"), "old"),
-            "labels",
-        )
-        labels = jumped.select("node", "label")
-        if jumped.where("label <> old").isEmpty():
+        near = both.join(changed, both.a == changed.node).groupBy(F.col("b").alias("node")).agg(F.min("label").alias("near"))
+        spread = labels.join(near, "node", "left").select("node", F.least("label", "near").alias("label"), F.col("label").alias("old"))
+        spread = durable(spread, "spread")
+        lower = spread.where("label < node").select(F.col("node").alias("label"), F.col("label").alias("next"))
+        jumps = spread.select("label").distinct().join(lower, "label")
+        jumped = spread.join(jumps, "label", "left").select("node", F.least("label", "next").alias("label"), "old")
+        jumped = durable(jumped, "labels")
+        labels, changed = jumped.select("node", "label"), jumped.where("label < old").select("node", "label")
+        if changed.isEmpty():
             return labels

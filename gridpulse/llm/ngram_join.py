@@ -3,11 +3,13 @@
 Documents are sets of word shingles; two link when 100 * |intersection| >= 80 * |union|.
 
 1. A document is a doc_id, NULL too, with a text: both make its key. Documents with equal sets are one class, represented
-   by its smallest key. The same pass counts shingles in a
-   sketch of fixed size, which only orders them: rare before frequent.
+   by its smallest key. Shingles are ordered, rare before frequent: by how often they occur in a sample of the documents
+   that grows with their number (one in 64, and 8,192 at least), and then by a sketch of fixed size, in which the same pass
+   counts all of them and which tells more the fewer they are. Any order gives the same links.
 2. A set of n must share one of its n - ceil(0.8 n) + 1 rarest shingles with any set it links to. Postings of these
    meet by shingle. Pairs of classes in short lists are counted and dropped when what they share there is too little for
-   the overlap; a list that is long has its smallest class as centre, instead of pairs.
+   the overlap; a list that is long has its smallest class as centre, instead of pairs, once for each pair of neighbouring
+   ranges of size, as sets that link differ by one such range at most.
 3. The classes of a centre, in blocks of bounded size, are searched for links: each set asks the block's inverted
    lists for the sets that reach the overlap. The L longest lists are set aside, the short ones are merged by a
    heap, and what reaches T - L there is probed by binary search in the long ones (DivideSkip). Only links
@@ -24,6 +26,7 @@ ties don't arise, as the measure is exact. Sets are compared by 64-bit hashes of
 from __future__ import annotations
 
 import heapq
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,9 +40,13 @@ from gridpulse.llm.components import components
 from gridpulse.llm.shingles import shingle_set
 
 NUM, DEN = 80, 100
+#: Cells of the sketch, and how many make a row of it.
 SKETCH, CHUNK = 1 << 20, 1 << 14
-NEEDED_BITS = 1 << 26
-BLOCK, ROWS, MERGE_COST = 512, 2048, 0.01
+#: One in SAMPLED documents is counted by shingle, but ORDERED at least; at most FREQUENT shingles are told apart by it.
+SAMPLED, ORDERED, FREQUENT = 64, 8192, 1 << 20
+#: Sets and shingles of a block at most, unless it is one set.
+BLOCK, BLOCK_SHINGLES = 512, 1 << 22
+ROWS, MERGE_COST = 2048, 0.01
 #: Lists of more classes have a centre; pairs within shorter ones are counted.
 SHORT_LIST = 16
 
@@ -104,19 +111,51 @@ def sketch_of(summary: DataFrame) -> np.ndarray:
     return np.floor(4 * np.log2(cells.astype(np.float64) + 1)).astype(np.uint8)
 
 
-def rarest(s: np.ndarray, order: np.ndarray) -> np.ndarray:
-    """The shingles of which any linked set shares one, in the sketch's order."""
+def frequent(docs: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(shingles, steps): the most frequent of the sample, sorted, with a step of its count; FREQUENT at most, whatever the input."""
+    every = max(1, min(SAMPLED, n // ORDERED))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                seen, k = np.unique(np.concatenate([shingle_set(t) for t in b.column(0).to_pylist()]), return_counts=True)
+                for i in range(0, len(seen), 1 << 16):
+                    part = slice(i, i + (1 << 16))
+                    yield pa.RecordBatch.from_arrays([pa.array(seen[part].view(np.int64)), pa.array(k[part])], names=["shingle", "k"])
+
+    sample = docs.where(F.pmod(F.xxhash64("key"), F.lit(every)) == 0).select("text").mapInArrow(lean(run), "shingle long, k long")
+    # steps of a fourth: shingles of near-equal counts keep the order of their hashes
+    step = F.floor(4 * F.log2("k")).cast("int")
+    counts = sample.groupBy("shingle").agg(F.sum("k").alias("k")).where("k > 1").select("shingle", step.alias("step"))
+    counts = durable(counts, "counts")
+    held, least = 0, 1 << 20
+    for r in counts.groupBy("step").count().orderBy(F.desc("step")).collect():  # a row for each step
+        if held + r["count"] > FREQUENT:
+            break
+        held, least = held + r["count"], r["step"]
+    got = counts.where(F.col("step") >= least).toArrow()
+    shingle = got.column("shingle").to_numpy().view(np.uint64)
+    order = np.argsort(shingle)
+    return shingle[order], got.column("step").to_numpy().astype(np.uint8)[order]
+
+
+def rarest(s: np.ndarray, order: tuple[np.ndarray, np.ndarray, np.ndarray]) -> np.ndarray:
+    """The shingles of which any linked set shares one, in the order of the sample and the sketch."""
     k = len(s) - least_overlap(len(s)) + 1
-    rank = order[(s >> np.uint64(44)).astype(np.int64)]
+    known, step, cells = order
+    rank = cells[(s >> np.uint64(44)).astype(np.int64)].astype(np.int32)
+    if len(known):
+        at = np.minimum(np.searchsorted(known, s), len(known) - 1)
+        rank += 256 * np.where(known[at] == s, step[at], 0).astype(np.int32)
     return s[np.argsort(rank, kind="stable")[:k]]  # s is sorted, so ties keep the order of their hashes
 
 
-def postings(docs: DataFrame, order: np.ndarray, buckets: int) -> DataFrame:
+def postings(docs: DataFrame, order: tuple[np.ndarray, np.ndarray, np.ndarray], buckets: int) -> DataFrame:
     """(bucket, keys, owners, places, classes): the rare shingles of a batch of documents, packed by bucket of shingle.
 
     owners are places in classes, pairs of class and size; places are the shingles' places in their sets' order.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(order)  # SKETCH bytes
+    shared = docs.sparkSession.sparkContext.broadcast(order)  # of FREQUENT shingles and SKETCH cells at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = set()
@@ -160,7 +199,7 @@ def may_link(n: np.ndarray, place: np.ndarray, m: np.ndarray, other: np.ndarray)
 
 
 def shared_keys(packed: DataFrame, n: int) -> DataFrame:
-    """Rows (key, cls) of long lists, and (cls, other, n, m, first) for each pair of a short list whose sizes allow a link.
+    """Rows (key, cls, n) of long lists, and (cls, other, n, m, first) for each pair of a short list whose sizes allow a link.
 
     first tells whether this shingle's places allow that it is the pair's first common one.
     """
@@ -186,9 +225,9 @@ def shared_keys(packed: DataFrame, n: int) -> DataFrame:
         length = np.diff(np.append(starts, len(key)))
         long = np.repeat(length > SHORT_LIST, length)
         for i in range(0, int(long.sum()), 1 << 16):
-            k, c = key[long][i : i + (1 << 16)].view(np.int64), owner[long][i : i + (1 << 16)]
+            k, c, m = (x[long][i : i + (1 << 16)] for x in (key, owner, size))
             none = pa.nulls(len(k), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(c), none, none, none, pa.nulls(len(k), pa.bool_())], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), pa.array(c), none, pa.array(m), none, pa.nulls(len(k), pa.bool_())], names=names)
         for k in range(2, SHORT_LIST + 1):
             at = starts[length == k]
             if not len(at):
@@ -212,9 +251,13 @@ def candidates(keys: DataFrame) -> DataFrame:
     A pair of short lists shares, in the rare parts of both sets, what the lists tell; what it can share beyond is at most
     the larger of the two rests. Pairs that cannot reach the overlap so are dropped (unless a long list joins them).
     """
-    longer = keys.where("key IS NOT NULL").select("key", "cls")
-    centre = longer.groupBy("key").agg(F.min("cls").alias("centre"))
-    stars = longer.join(centre, "key").select("cls", "centre")
+    longer = keys.where("key IS NOT NULL")
+    # sets that link are in one range of sizes or in neighbouring ones; a range's list holds the one below, too
+    range_ = F.floor(F.log(F.col("n").cast("double")) / math.log(DEN / NUM)).cast("long")
+    longer = longer.select("key", "cls", F.explode(F.array(F.struct(range_.alias("size"), F.lit(True).alias("own")), F.struct((range_ + 1).alias("size"), F.lit(False).alias("own")))).alias("in"))
+    longer = longer.select("key", "cls", "in.*")
+    centre = longer.groupBy("key", "size").agg(F.min("cls").alias("centre"), F.max("own").alias("any")).where("any")
+    stars = longer.join(centre, ["key", "size"]).select("cls", "centre")
     rest = lambda c: F.ceil(F.lit(NUM) * F.col(c) / DEN) - 1
     least = F.ceil(F.lit(NUM) * (F.col("n") + F.col("m")) / (DEN + NUM))
     pairs = keys.where("key IS NULL").groupBy("cls", "other", "n", "m").agg(F.count("*").alias("shared"), F.max("first").alias("first"))
@@ -279,40 +322,68 @@ def search(ids: np.ndarray, sets: list[np.ndarray], asks: np.ndarray, group: np.
     return found
 
 
-def needed_bits(ids: DataFrame) -> np.ndarray:
-    """A bitmap of fixed size with a bit for each id; others may share it."""
+class Bits:
+    """A bitmap with a bit for each id; others may share it."""
+
+    def __init__(self, log: int, bits: np.ndarray):
+        self.log, self.bits = log, bits
+
+    def at(self, ids: np.ndarray) -> np.ndarray:
+        return (ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - self.log)).astype(np.int64)
+
+    def mark(self, ids: np.ndarray) -> None:
+        at = self.at(ids)
+        np.bitwise_or.at(self.bits, at >> 3, (1 << (at & 7)).astype(np.uint8))
+
+    def has(self, ids: np.ndarray) -> np.ndarray:
+        at = self.at(ids)
+        return ((self.bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1).astype(bool)
+
+
+#: Least and greatest number of bits, as powers of two, and bytes of a part of the map.
+LOGS, PART = (20, 29), 4096
+
+
+def needed_bits(ids: DataFrame) -> Bits:
+    """The map of a written table's ids, with 16 bits for each up to 64 MB in all; its parts are merged by many tasks."""
+    log = min(LOGS[1], max(LOGS[0], (16 * max(1, ids.count()) - 1).bit_length()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.zeros(NEEDED_BITS // 8, np.uint8)
+        own = Bits(log, np.zeros((1 << log) // 8, np.uint8))
         for b in batches:
-            at = _bit(b.column(0).to_numpy())
-            np.bitwise_or.at(bits, at >> 3, (1 << (at & 7)).astype(np.uint8))
-        part = np.flatnonzero(bits.reshape(-1, 4096).any(1))
-        yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array([bits[4096 * i : 4096 * (i + 1)].tobytes() for i in part], pa.binary())], names=["part", "bits"])
-
-    # few tasks, so that what they send stays within a few maps of fixed size
-    total = np.zeros(NEEDED_BITS // 8, np.uint8)
-    for r in ids.coalesce(4).mapInArrow(lean(run), "part long, bits binary").toLocalIterator():
-        total[4096 * r["part"] : 4096 * (r["part"] + 1)] |= np.frombuffer(r["bits"], np.uint8)
-    return total
+            own.mark(b.column(0).to_numpy())
+        part = np.flatnonzero(own.bits.reshape(-1, PART).any(1))
+        for k in range(0, len(part), 256):
+            some = part[k : k + 256]
+            yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array([own.bits[PART * i : PART * (i + 1)].tobytes() for i in some], pa.binary())], names=["part", "bits"])
 
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}
+        for b in batches:
+            for i, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                x = np.frombuffer(raw, np.uint8)
+                total[i] = total[i] | x if i in total else x
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int64()), pa.array([x.tobytes() for x in total.values()], pa.binary())], names=["part", "bits"])
 
-def _bit(ids: np.ndarray) -> np.ndarray:
-    h = ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    return (h >> np.uint64(64 - 26)).astype(np.int64)
+    kind = "part long, bits binary"
+    parts = ids.mapInArrow(lean(run), kind).repartition(partitions(ids.sparkSession), "part").mapInArrow(lean(merge), kind)
+    bits = np.zeros((1 << log) // 8, np.uint8)
+    got = parts.toArrow()  # 64 MB at most
+    for i, raw in zip(got.column("part").to_pylist(), got.column("bits").to_pylist()):
+        bits[PART * i : PART * (i + 1)] = np.frombuffer(raw, np.uint8)
+    return Bits(log, bits)
 
 
 def sets_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """(doc_id, shingles) of the asked documents, and of some others; texts of the rest aren't even cut into words."""
-    shared = docs.sparkSession.sparkContext.broadcast(needed_bits(ids))  # NEEDED_BITS / 8 bytes
+    shared = docs.sparkSession.sparkContext.broadcast(needed_bits(ids))  # 64 MB at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for start in range(0, whole.num_rows, ROWS):
                 b = whole.slice(start, ROWS)
                 doc = b.column(0).to_numpy()
-                at = _bit(doc)
-                want = np.flatnonzero((shared.value[at >> 3] >> (at & 7).astype(np.uint8)) & 1)
+                want = np.flatnonzero(shared.value.has(doc))
                 if len(want):
                     raw = [shingle_set(b.column(1)[int(i)].as_py()).tobytes() for i in want]
                     yield pa.RecordBatch.from_arrays([pa.array(doc[want]), pa.array(raw, pa.binary())], names=["doc_id", "shingles"])
@@ -346,23 +417,25 @@ def _classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), key_of().alias("key"), "text")
     summary = durable(summarise(docs), "summary")
     sizes = summary.where("chunk IS NULL").select("doc_id", "key", "n", "cls")
-    classes = durable(sizes.where("n > 0").groupBy("cls").agg(F.min("key").alias("holder"), F.min("doc_id").alias("low")), "classes")
+    classes = durable(sizes.where("n > 0").groupBy("cls").agg(F.min("key").alias("holder"), F.min("doc_id").alias("low"), F.max("n").alias("n")), "classes")
     # from here on doc_id is a key
+    order = *frequent(docs, sizes.count()), sketch_of(summary)
     docs = docs.select(F.col("key").alias("doc_id"), "text")
-    packed = postings(docs, sketch_of(summary), 4 * n)
+    packed = postings(docs, order, 4 * n)
     keys = durable(shared_keys(packed, n), "keys")
 
     # every class with its centres; a centre is in its own group
     edges = durable(candidates(keys), "edges")
-    per = edges.groupBy("centre").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
-    placed = edges.join(per, "centre").join(classes, "cls").select(
-        "centre", "blocks", F.col("holder").alias("doc_id"), (F.col("cls") == F.col("centre")).alias("is_centre"),
+    parts = F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n") / BLOCK_SHINGLES))
+    edges = edges.join(classes, "cls")
+    placed = edges.join(edges.groupBy("centre").agg(parts.alias("blocks")), "centre").select(
+        "centre", "blocks", "n", F.col("holder").alias("doc_id"), (F.col("cls") == F.col("centre")).alias("is_centre"),
         F.pmod(F.xxhash64("cls", "centre"), "blocks").alias("block"),
     )
     placed = durable(placed, "placed")
     # the centre joins every block of its group
     everywhere = F.when(F.col("is_centre"), F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).otherwise(F.array("block"))
-    sets = sets_of(docs, placed.select("doc_id").distinct())
+    sets = sets_of(docs, durable(placed.select("doc_id").distinct(), "wanted"))
     first = placed.withColumn("block", F.explode(everywhere)).join(sets, "doc_id").select(
         "centre", "block", "doc_id", "shingles", F.lit(True).alias("asks"), F.col("doc_id").alias("grp")
     )
@@ -373,7 +446,7 @@ def _classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     if not large.isEmpty():
         tagged = durable(
             large.join(labels, large.doc_id == labels.node, "left").select(
-                "centre", "blocks", "doc_id", "block", F.coalesce("label", "doc_id").alias("grp")
+                "centre", "blocks", "n", "doc_id", "block", F.coalesce("label", "doc_id").alias("grp")
             ),
             "tagged",
         )
@@ -381,7 +454,7 @@ def _classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         main = count.groupBy("centre").agg(F.max_by("grp", F.struct("k", "grp")).alias("main"))
         tagged = tagged.join(main, "centre")
         rest = tagged.where("grp <> main")
-        size = rest.groupBy("centre").agg(F.ceil(F.count("*") / BLOCK).alias("lots"))
+        size = rest.groupBy("centre").agg(parts.alias("lots"))
         askers = rest.join(size, "centre").withColumn("lot", F.pmod(F.xxhash64("doc_id", F.lit(1)), "lots"))
         askers = askers.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
         names = ["centre", "lot", "block", "doc_id", "grp"]
@@ -390,7 +463,7 @@ def _classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         # an asker that is also asked counts once, as an asker
         met = met.groupBy(*names).agg(F.max("asks").alias("asks"))
         met = durable(met, "met")
-        sets = sets_of(docs, met.select("doc_id").distinct())
+        sets = sets_of(docs, durable(met.select("doc_id").distinct(), "wanted"))
         more = durable(_searched(met.join(sets, "doc_id"), ["centre", "lot", "block"]), "found")
         if not more.isEmpty():
             labels = components(links.unionByName(more))
@@ -410,10 +483,19 @@ def join_components(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """One document of each component stays: the one with the smallest doc_id, NULL last; documents without words all stay."""
+    """One document of each component stays: the one with the smallest doc_id, NULL last; documents without words all stay.
+
+    Of repeated rows of the document that stays one does.
+    """
     sizes, own = _classes(docs)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key"))
     best = sizes.where("n > 0").groupBy("cls").agg(first.alias("at")).join(own, "cls")
     kept = best.groupBy("component").agg(F.min("at").alias("at")).select(F.col("at.key").alias("_key"))
-    kept = kept.unionByName(sizes.where("n = 0").select(F.col("key").alias("_key"))).distinct()
-    return docs.withColumn("_key", key_of()).join(kept, "_key", "left_semi").select(*docs.columns)
+    rows = sizes.groupBy(F.col("key").alias("_key")).agg(F.count("*").alias("_rows"), F.max("n").alias("_n"))
+    kept = rows.join(kept.withColumn("_kept", F.lit(True)), "_key", "left").where("_kept OR _n = 0")
+    kept = durable(kept.select("_key", ((F.col("_rows") > 1) & (F.col("_n") > 0)).alias("_many")), "kept")
+    # the row is one column, so no name of its own can meet those used here
+    named = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), key_of().alias("_key"))
+    one = named.join(kept.where("NOT _many").select("_key"), "_key", "left_semi")
+    many = named.join(kept.where("_many").select("_key"), "_key", "left_semi").dropDuplicates(["_key"])
+    return one.unionByName(many).select("_row.*")
