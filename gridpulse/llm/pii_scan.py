@@ -35,7 +35,11 @@ DIGITS = re.compile(r"[0-9]+")
 CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 URL = re.compile(r"[^\s<>\"'|]+")
-ACCOUNT = re.compile(r"[A-Za-z]{0,8}[ .:#=-]{1,4}([A-Z]{0,2}[0-9](?:[ -]?[A-Z0-9]){5,33})(?![A-Za-z0-9])")
+#: Between a cue and what it tells of; numbers of accounts and documents, of social security, and of international accounts.
+GAP = re.compile(r"[A-Za-z]{0,8}[ .:#=-]{1,4}")
+NUMBER = re.compile(r"[A-Z]{0,2}[0-9](?:[ -]?[A-Z0-9]){5,33}(?![A-Za-z0-9])")
+SSN = re.compile(r"(?!000|666|9)[0-9]{3}([ -]?)(?!00)[0-9]{2}\1(?!0000)[0-9]{4}(?![A-Za-z0-9])")
+IBAN = re.compile(r"[A-Z]{2}[0-9]{2}(?:[ -]?[A-Z0-9]){11,30}")
 
 
 @lru_cache(maxsize=1)
@@ -67,6 +71,29 @@ def _count(text: str) -> int:
     return sum(map(str.isdigit, text))
 
 
+def iban(text: str, at: int) -> tuple[int, int] | None:
+    """The longest reading from there whose check digits are right, up to a boundary."""
+    if m := IBAN.match(text, at):
+        for end in range(m.end(), at + 14, -1):
+            if text[end - 1].isalnum() and not text[end : end + 1].isalnum():
+                bare = text[at:end].replace(" ", "").replace("-", "")
+                if len(bare) >= 15 and int("".join(str(int(c, 36)) for c in bare[4:] + bare[:4])) % 97 == 1:
+                    return at, end
+    return None
+
+
+def account(text: str, cue: str, at: int) -> tuple[int, int] | None:
+    """What a cue tells of, validated: an IBAN by its check digits, a social security number by its parts, else six digits or more."""
+    if cue == "ssn":
+        m = SSN.match(text, at)
+        return m.span() if m else None
+    found = iban(text, at)
+    if found or cue == "iban":
+        return found
+    m = NUMBER.match(text, at)
+    return m.span() if m and _count(m[0]) >= 6 else None
+
+
 def scan(text: str) -> list[tuple[str, int, int]]:
     """(kind, start, end) by kind as listed, then start."""
     found: dict[str, list[tuple[int, int]]] = {k: [] for k in KINDS}
@@ -106,10 +133,10 @@ def scan(text: str) -> list[tuple[str, int, int]]:
                 if end > last + 1:
                     free["url"] = end
                     found["url"].append((at, end))
-        elif at >= free["account"] and (at == 0 or not text[at - 1].isalnum()) and (m := ACCOUNT.match(text, last + 1)):
-            free["account"] = m.end()
-            if _count(m[1]) >= 6:
-                found["account"].append(m.span(1))
+        elif at >= free["account"] and (at == 0 or not text[at - 1].isalnum()) and (m := GAP.match(text, last + 1)):
+            if span := account(text, text[at : last + 1].lower(), m.end()):
+                free["account"] = span[1]
+                found["account"].append(span)
     return [(k, a, b) for k in KINDS for a, b in found[k]]
 
 

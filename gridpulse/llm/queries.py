@@ -28,10 +28,6 @@ def op3_licence_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licence_scan.find_licences(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-def op3_published_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return licence_scan.find_published(table(spark, sf_dir, "documents").select("doc_id", "text"))
-
-
 def op4_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     coded = bpe_codec.encode_decode(docs, vocabulary())
@@ -84,12 +80,45 @@ WHERE rank <= 10
 """
 
 
+#: Every set against every other that shares a shingle, and what can be reached.
+OP1_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), sets AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END AS s FROM w
+), classes AS (SELECT min(doc_id) AS cls, list_sort(s) AS s, count(*) AS n FROM sets WHERE len(s) > 0 GROUP BY 2
+), member AS (SELECT sets.doc_id, cls FROM sets JOIN classes ON list_sort(sets.s) = classes.s
+), shingles AS (SELECT cls, len(s) AS n, unnest(s) AS g FROM classes
+), pairs AS (
+  SELECT a.cls AS a, b.cls AS b, count(*) AS common, any_value(a.n) AS n, any_value(b.n) AS m FROM shingles a JOIN shingles b ON a.g = b.g AND a.cls < b.cls GROUP BY 1, 2
+), links AS (SELECT a, b FROM pairs WHERE 100 * common >= 80 * (n + m - common)
+), both_ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links
+), reach AS (SELECT cls AS a, cls AS b FROM classes UNION SELECT r.a, l.b FROM reach r JOIN both_ways l ON l.a = r.b
+), named AS (SELECT a AS cls, min(b) AS component FROM reach GROUP BY 1)
+SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles, coalesce(component, doc_id) AS component_id
+FROM sets LEFT JOIN member USING (doc_id) LEFT JOIN named USING (cls)
+"""
+
+#: Every window counted.
+OP7_SQL = r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), windows AS (
+  SELECT doc_id, i, md5(array_to_string(w[i:i + 34], ' ')) AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 33)) AS i FROM w WHERE len(w) >= 35)
+), gone AS (
+  SELECT DISTINCT doc_id, unnest(range(i, i + 35)) AS i FROM windows WHERE g IN (SELECT g FROM windows GROUP BY g HAVING count(*) > 1)
+), kept AS (
+  SELECT doc_id, string_agg(x, ' ' ORDER BY i) AS t, count(*) AS n FROM (SELECT doc_id, unnest(w) AS x, generate_subscripts(w, 1) AS i FROM w) ANTI JOIN gone USING (doc_id, i) GROUP BY 1
+)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM w LEFT JOIN kept USING (doc_id)
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_ngram_join": op1_ngram_join,
         "op2_pii_anchors": op2_pii_anchors,
         "op3_licence_rules": op3_licence_rules,
-        "op3_published_licences": op3_published_licences,
         "op4_bpe_codec": op4_bpe_codec,
         "op5_hilbert_ann": op5_hilbert_ann,
         "op6_attention_quality": op6_attention_quality,
@@ -101,4 +130,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_licence_rules": licence_scan.oracle(), "op3_published_licences": licence_scan.published_oracle(), "op8_segment_topk": OP8_SQL}
+    return {"op1_ngram_join": OP1_SQL, "op3_licence_rules": licence_scan.oracle(), "op7_substring_dedup": OP7_SQL, "op8_segment_topk": OP8_SQL}
