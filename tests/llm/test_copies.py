@@ -1,16 +1,19 @@
 """Near copies, repeats, components, neighbours and quality against brute force."""
 
 import random
+import zlib
 from collections import Counter
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 import corpus_pipeline
 from gridpulse.llm import hilbert_ann, ngram_join, quality_mil, segment_topk, substring_dedup
 from gridpulse.llm.components import components
-from gridpulse.llm.fm_index import FMIndex
+from gridpulse.llm.fm_index import FMIndex, code_lengths, codes
+from gridpulse.llm.queries import vocabulary
 
 
 def shingles(text):
@@ -80,15 +83,34 @@ def test_components_of_chains(spark):
 
 def test_index_finds_repeated_windows():
     r = np.random.default_rng(1)
-    for k in range(40):
-        segments = [r.integers(0, r.integers(2, 6), r.integers(3, 40)).astype(np.uint64) for _ in range(r.integers(1, 30))]
+    for _ in range(60):
+        segments = [r.integers(0, r.integers(2, 7), r.integers(3, 60)).astype(np.uint64) for _ in range(r.integers(1, 30))]
+        heavy = r.random(len(segments)) < 0.2
         size = int(r.integers(2, 9))
-        counts = Counter(tuple(s[i : i + size]) for s in segments for i in range(len(s) - size + 1))
-        for s, m in zip(segments, FMIndex(segments).repeated(np.arange(len(segments)), size)):
+        counts = Counter()
+        for s, several in zip(segments, heavy):
+            for i in range(len(s) - size + 1):
+                counts[tuple(s[i : i + size])] += 2 if several else 1
+        asked = [*segments, r.integers(0, 9, 20).astype(np.uint64)]
+        for s, m in zip(asked, FMIndex(segments, heavy).repeated(asked, size)):
             assert [counts[tuple(s[i : i + size])] > 1 for i in range(max(0, len(s) - size + 1))] == m.tolist()
 
 
-def test_dedup_equals_counting_windows(spark, docs, no_docs, awkward):
+def test_codes_are_free_of_prefixes_and_short_for_frequent_words():
+    r = np.random.default_rng(2)
+    for _ in range(30):
+        counts = r.zipf(1.4, r.integers(1, 200))
+        length = code_lengths(counts)
+        code = codes(length)
+        texts = [format(c, f"0{n}b") for c, n in zip(code.tolist(), length.tolist())]
+        assert not any(a != b and b.startswith(a) for a in texts for b in texts) and len(set(texts)) == len(texts)
+        share = counts / counts.sum()
+        assert (share * length).sum() <= -(share * np.log2(share)).sum() + 1 + 1e-9
+
+
+@pytest.mark.parametrize("hot", [1, 1 << 14])
+def test_dedup_equals_counting_windows(spark, docs, no_docs, awkward, hot, monkeypatch):
+    monkeypatch.setattr(substring_dedup, "HOT", hot)
     r = random.Random(6)
     rows = list(awkward)
     passage = [f"p{i}" for i in range(60)]
@@ -207,16 +229,43 @@ def test_pipeline_stages(spark, tmp_path):
     rows += [(100, base[3], "en", "s", 1), (101, base[4].replace(base[4].split()[0], "changed", 1), "en", "s", 1), (102, base[5] + " password=abcdefgh12", "en", "s", 1)]
     rows += [(200 + i, t.upper().replace(" ", "!! "), "en", "s", 1) for i, t in enumerate(base)]
     spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
-    labels = [(i, int(i < 200)) for i, *_ in rows]
+    labels = [(i, int(i < 200)) for i, *_ in rows] + [(300, 1), (301, 1)]
     spark.createDataFrame(labels, "doc_id long, quality int").withColumn("toxic", F.lit(0)).write.parquet(str(tmp_path / "labels.parquet"))
     docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
-    sizes = []
+    shared = [word() for _ in range(40)]
+    extra = [(i, " ".join([word() for _ in range(30)] + shared + [word() for _ in range(30)]), "en", "s", 1) for i in (300, 301)]
+    spark.createDataFrame(extra, docs.schema).write.mode("append").parquet(str(tmp_path / "documents.parquet"))
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    sizes, kept = [], []
     for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
         docs = stage(spark, docs, str(tmp_path))
         docs.write.parquet(str(tmp_path / f"s{k}"))
         docs = spark.read.parquet(str(tmp_path / f"s{k}"))
         sizes.append({x["doc_id"] for x in docs.collect()})
+        kept.append({x["doc_id"]: x["text"] for x in docs.collect()} if k < 4 else docs)
         if k < 4:
             assert docs.columns == list(corpus_pipeline.COLUMNS)
-    assert sizes[0] == {i for i, q in labels if q} and sizes[1] == set(range(40)) and sizes[1] == sizes[2] == sizes[3] == sizes[4]
+    clean = {*range(40), 300, 301}
+    assert sizes[0] == {i for i, q in labels if q} and sizes[1] == clean == sizes[2] == sizes[3] == sizes[4]
+    # what the stages did to the texts that they kept: near copies none, repeats are cut out, secrets are marked
+    assert kept[1] == {i: t for i, t, *_ in rows + extra if i in clean}
+    assert kept[2] == {**kept[1], **{i: " ".join(t.split()[:30] + t.split()[-30:]) for i, t, *_ in extra}}
+    assert kept[3] == kept[2] | {i: t.replace("password=abcdefgh12", "[SECRET]") for i, t in kept[2].items()}
+    ids = Tokenizer.from_file(vocabulary())
+    for x in kept[4].collect():
+        own = [*ids.encode(kept[3][x["doc_id"]], add_special_tokens=False).ids, 0][x["start"] : x["start"] + x["length"]]
+        assert x["ids_crc32"] == zlib.crc32(np.array(own, "<u4").tobytes()) and len(own) == x["length"]
+
+
+def test_pipeline_of_awkward_rows(spark, tmp_path):
+    text = " ".join(f"wort{i} und" for i in range(60))
+    rows = [(1, None), (2, ""), (None, text), (3, text), (3, text), (4, "token=abcdefgh12 " * 3 + text), (5, "x" * 30_000), (None, None)]
+    docs = spark.createDataFrame([(i, t, None, "s", None) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").withColumn("extra", F.lit(1))
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    got = [(x["doc_id"], x["piece"]) for x in corpus_pipeline.run(spark, str(tmp_path)).collect()]
+    # nothing to learn from: every document stays; of the copies the one with an id does
+    assert {i for i, _ in got} == {1, 2, 3, 4, 5, None} and got.count((3, 0)) == 1
+    docs.limit(0).write.mode("overwrite").parquet(str(tmp_path / "documents.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
     assert {x["doc_id"] for x in corpus_pipeline.run(spark, str(tmp_path)).collect()} == sizes[4]

@@ -14,7 +14,7 @@ TEXTS = {
 
 
 def test_parts_outside_base_spans(spark):
-    model = secret_scan.train_markov(secret_scan.labelled_strings(spark))
+    model = secret_scan.train(spark)
     df = spark.createDataFrame([(i, t, len(t)) for i, t in TEXTS.items()], "doc_id long, text string, n_chars long")
     clean = {r["doc_id"]: r["text"] for r in secret_scan.redact_secrets(df, model).collect()}
     assert clean == {

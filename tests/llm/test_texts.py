@@ -157,3 +157,52 @@ def test_best_two_fit_uses_every_piece_once():
                 used[x] += n
         assert used == counts and sum(n for _, n in bins) <= 1.25 * sum(k * v for k, v in counts.items()) / 2048 + 2
     assert packing.best_two_fit({6: 1, 3: 1, 2: 2, 4: 1}, 10)[0][0] != [6, 3]
+
+
+def test_each_bin_is_the_best_of_its_kind():
+    """Every bin against the definition: the longest that fits, again and again, then the best pair in the place of the smallest."""
+    r = random.Random(7)
+    for _ in range(150):
+        capacity = r.randint(8, 60)
+        items = [r.randint(1, capacity) for _ in range(r.randint(1, 60))]
+        left = Counter(items)
+        for used, times in packing.best_two_fit(Counter(items), capacity):
+            for _ in range(times):
+                free, fill, gap = sorted(left.elements(), reverse=True), [], capacity
+                for x in list(free):
+                    if x <= gap:
+                        fill.append(x)
+                        free.remove(x)
+                        gap -= x
+                best = sum(fill)
+                if gap and len(fill) > 1:
+                    small = min(fill)
+                    pairs = [a + b for i, a in enumerate(free) for b in free[i + 1 :] if a + b <= gap + small]
+                    best = max(best, best - small + max(pairs, default=0))
+                assert sum(used) == best <= capacity
+                left.subtract(used)
+        assert not +left
+
+
+def test_sequences_are_close_to_the_lower_bound(spark, docs):
+    rows = packing.pack_documents(docs, vocabulary(), 64).collect()
+    assert len({x["sequence_id"] for x in rows}) <= 1.1 * -(-sum(x["length"] for x in rows) // 64) + 1
+
+
+def test_spans_are_joined_as_if_never_cut(tokenizer):
+    codec, r = bpe_codec.Codec(vocabulary()), random.Random(8)
+    parts = ["a", "B", "é", "e\u0301", "<|endoftext|>", " ", "\n", "\x1c", "'ll", "中", "ß", "İ", "0", "...", "hello ", "\U0001f600"]
+    for _ in range(1500):
+        text = "".join(r.choices(parts, k=r.randint(0, 60)))
+        ids = np.frombuffer(codec.encode(text, r.randint(1, 9)), "<i4").tolist()
+        assert ids == tokenizer.encode(text, add_special_tokens=False).ids, text
+        assert codec.decode(np.array(ids, "<i4").tobytes()).decode() == tokenizer.decode(ids, skip_special_tokens=False)
+
+
+def test_caches_are_bounded_by_bytes():
+    codec = bpe_codec.Codec(vocabulary())
+    codec.pieces.most = 20_000
+    for k in range(300):
+        codec.encode(" ".join(f"w{k}x{i}" for i in range(40)))
+        held = len(codec.pieces.young) + len(codec.pieces.old)
+    assert held * 180 < 60_000
