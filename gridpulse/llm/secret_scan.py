@@ -247,7 +247,8 @@ def find_secrets(docs: DataFrame, model: Markov, text: str = "text", varied: int
         return let(places(s["found"]), parts)
 
     markov = F.when(F.size("token") > 0, F.flatten(F.transform("token", told))).otherwise(none)
-    return rows.select("row.*", F.col("base").alias("base_spans"), markov.alias("markov_spans"))
+    rows = rows.select("row", F.struct(F.col("base").alias("base_spans"), markov.alias("markov_spans")).alias("out"))
+    return rows.select("row.*", "out.*")
 
 
 def secret_report(docs: DataFrame, model: Markov | None = None) -> DataFrame:
