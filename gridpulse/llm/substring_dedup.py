@@ -4,16 +4,20 @@ A window is SIZE consecutive words of one document; a word goes if a window that
 starting anywhere else. Windows are gathered into segments, the runs of windows with one minimizer (the least hash
 of K words in the window), so that equal windows have equal minimizers and meet in one shard.
 
-1. Segments whose minimizer no other segment has are done. Equal segments are one, with the number of places.
-2. Each shard indexes its distinct segments once and streams those with one place against the index: backward
-   search over wavelet matrices gives how far each match reaches, and intervals of SIZE words or more are reported.
-   All windows of a segment with several places are repeated anyway.
-3. The reported intervals return to their documents, whose other words stay.
+1. Segments whose minimizer no other segment has are done. Equal segments are one, which stands for its places; where no
+   different one has its minimizer, either all of its windows are repeated or none is.
+2. Each shard indexes its distinct segments once, and streams all of them against the index: backward search over a
+   wavelet matrix gives how far each match that stands for several places reaches, and intervals of SIZE words or more are
+   reported.
+3. A minimizer that more than HOT different segments share would be one task's work: such segments are cut into their windows,
+   which are dealt by their own words and then go the same way.
+4. The reported intervals return to their documents, whose other words stay.
 
 Texts move only where a document takes part, once to cut segments out and once to drop words.
 
 Defined results: null and empty texts have no words; a repeated row is another place of all its windows; texts
-shorter than a window stay whole; rows that share a doc_id are told apart by their texts. Words and segments are
+shorter than a window stay whole; rows that share a doc_id are told apart by their texts; columns of the input with the
+names of the output are replaced, others of any name are kept. Words and segments are
 compared by 64-bit hashes up to the index, which compares word by word.
 """
 
@@ -29,11 +33,12 @@ from pyspark.sql import types as T
 
 from gridpulse.llm.common import bounded_batches, durable, lean, partitions
 from gridpulse.llm.fm_index import FMIndex
-from gridpulse.llm.ngram_join import _bit, needed_bits
+from gridpulse.llm.ngram_join import needed_bits
 from gridpulse.llm.shingles import FACTOR, Powers, inverse, mixed, runs, word_hashes
 
 SIZE, K, MOST = 35, 8, 64
-SHARD_WORDS, ROWS = 1 << 19, 1024
+#: Words of an index, different segments of a minimizer, and texts at once.
+SHARD_WORDS, HOT, ROWS = 1 << 19, 1 << 14, 1024
 
 
 def segments(words: np.ndarray, up: Powers, down: Powers) -> tuple[np.ndarray, ...]:
@@ -87,6 +92,38 @@ def all_segments(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(lean(run), "least long, whole long, doc_id long, th long, start int, windows int, twice boolean")
 
 
+def windows_of(texts: DataFrame) -> DataFrame:
+    """(window, least, whole, nth, places) of each window of the parts of texts: its hash, its segment, its place there."""
+    names = ["window", "least", "whole", "nth", "places"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for text, parts in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                w = word_hashes(text.encode())
+                for p in parts:
+                    own = runs(w[p["start"] : p["start"] + p["windows"] + SIZE - 1], SIZE).view(np.int64)
+                    k = len(own)
+                    data = own, np.full(k, p["least"]), np.full(k, p["whole"]), np.arange(k, dtype=np.int32), np.full(k, p["places"])
+                    yield pa.RecordBatch.from_arrays(list(map(pa.array, data)), names=names)
+
+    return texts.select("text", "parts").mapInArrow(lean(run), "window long, least long, whole long, nth int, places long")
+
+
+def masks(found: DataFrame) -> DataFrame:
+    """(least, whole, mask) from (least, whole, windows, nths): the places of a segment's repeated windows as packed bits."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            made = []
+            for k, nths in zip(b.column(2).to_pylist(), b.column(3).to_pylist()):
+                on = np.zeros(k, bool)
+                on[nths] = True
+                made.append(np.packbits(on).tobytes())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(made, pa.binary())], names=["least", "whole", "mask"])
+
+    return found.select("least", "whole", "windows", "nths").mapInArrow(lean(run), "least long, whole long, mask binary")
+
+
 def contents(texts: DataFrame) -> DataFrame:
     """(least, whole, places, words) cut from texts with parts: the list of their segments to index."""
 
@@ -94,21 +131,26 @@ def contents(texts: DataFrame) -> DataFrame:
         for b in batches:
             for text, parts in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 w = text.encode().split()
-                rows = [(p["least"], p["whole"], p["places"], b" ".join(w[p["start"] : p["start"] + p["windows"] + SIZE - 1])) for p in parts]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.int64(), pa.binary()))], names=["least", "whole", "places", "words"])
+                for i in range(0, len(parts), ROWS):
+                    rows = [(p["least"], p["whole"], p["places"], b" ".join(w[p["start"] : p["start"] + p["windows"] + SIZE - 1])) for p in parts[i : i + ROWS]]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.int64(), pa.binary()))], names=["least", "whole", "places", "words"])
 
     return texts.select("text", "parts").mapInArrow(lean(run), "least long, whole long, places long, words binary")
 
 
 def search(contents_: DataFrame, n: int) -> DataFrame:
-    """(least, whole, mask): the repeated windows of segments with one place, as packed bits."""
+    """(least, whole, mask): the repeated windows of each segment that has any, as packed bits; NULL: all of them.
+
+    A minimizer has at most HOT segments of MOST windows, so a shard ends at the next minimizer after SHARD_WORDS words.
+    """
 
     def shard(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
         ends = np.cumsum([r[3].count(b" ") + 1 for r in rows])
-        index = FMIndex(np.split(word_hashes(b" ".join([r[3] for r in rows])), ends[:-1]))
-        asked = np.array([i for i, r in enumerate(rows) if r[2] == 1], np.int64)
-        if len(asked):
-            found = [(rows[i][0], rows[i][1], np.packbits(m).tobytes()) for i, m in zip(asked, index.repeated(asked, SIZE)) if m.any()]
+        texts = np.split(word_hashes(b" ".join([r[3] for r in rows])), ends[:-1])
+        index = FMIndex(texts, np.array([r[2] > 1 for r in rows]))
+        for i in range(0, len(rows), 4096):
+            marks = index.repeated(texts[i : i + 4096], SIZE)
+            found = [(r[0], r[1], None if m.all() else np.packbits(m).tobytes()) for r, m in zip(rows[i : i + 4096], marks) if m.any()]
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found), (pa.int64(), pa.int64(), pa.binary()))], names=["least", "whole", "mask"])
 
@@ -138,8 +180,7 @@ def _filtered(docs: DataFrame, ids: DataFrame, inside: bool) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            place = _bit(b.column(at).fill_null(0).to_numpy())
-            hit = ((shared.value[place >> 3] >> (place & 7).astype(np.uint8)) & 1).astype(bool)
+            hit = shared.value.has(b.column(at).fill_null(0).to_numpy())
             yield b.filter(pa.array(hit if inside else ~hit))
 
     return docs.mapInArrow(lean(run), docs.schema)
@@ -153,22 +194,51 @@ def repeated_parts(docs: DataFrame) -> DataFrame:
     n = partitions(bounded_batches(docs).sparkSession)
     named = docs.select(F.coalesce("doc_id", F.lit(0)).cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), "text")
     rows = durable(all_segments(named), "rows")
+    hits = durable(_meeting(rows), "hits")
+    distinct = durable(_distinct(hits), "segments")
+    kinds = distinct.groupBy("least").agg(F.count("*").alias("k"), F.max("twice").alias("any"))
+    kinds = durable(distinct.join(kinds, "least"), "kinds")
+    # a segment that is alone under its minimizer needs no index, unless it may repeat within itself
+    alone = kinds.where("k = 1 AND NOT any AND places > 1").select("least", "whole", F.lit(None).cast("binary").alias("mask"))
+    flags = alone.unionByName(search(contents(_cut(named, kinds.where(f"(k > 1 OR any) AND k <= {HOT}"))), 2 * n))
+    hot = kinds.where(F.col("k") > HOT)
+    if not hot.isEmpty():
+        flags = flags.unionByName(_hot_flags(named, hot, 2 * n))
+    marked = hits.join(flags, ["least", "whole"]).groupBy("doc_id", "th")
+    return durable(marked.agg(F.collect_list(F.struct("start", "windows", "mask")).alias("parts")), "marked")
+
+
+def _cut(named: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The texts that hold the wanted segments, with their parts (start, windows, least, whole, places)."""
+    part = F.struct(F.col("at.start").alias("start"), F.col("at.windows").alias("windows"), "least", "whole", "places")
+    wanted = wanted.groupBy(F.col("at.doc_id").alias("doc_id"), F.col("at.th").alias("th")).agg(F.collect_list(part).alias("parts"))
+    wanted = durable(wanted, "wanted")
+    # of rows that share id and text any one will do: their segments are cut once for each, and told once
+    return _filtered(named, wanted.select("doc_id"), True).join(wanted, ["doc_id", "th"])
+
+
+def _hot_flags(named: DataFrame, hot: DataFrame, n: int) -> DataFrame:
+    """search() for segments of hot minimizers, whose windows are indexed each under its own hash."""
+    cut = durable(windows_of(_cut(named, hot)).distinct(), "windows")
+    several = cut.groupBy("window").agg(F.sum("places").alias("places"), F.min(F.struct("least", "whole", "nth")).alias("one")).where("places > 1")
+    own = several.select("window", "places", "one.*").join(hot.select("least", "whole", "at"), ["least", "whole"])
+    at = F.struct(F.col("at.doc_id").alias("doc_id"), F.col("at.th").alias("th"), (F.col("at.start") + F.col("nth")).alias("start"), F.lit(1).alias("windows"))
+    found = search(contents(_cut(named, own.select(F.col("window").alias("least"), F.col("window").alias("whole"), "places", at.alias("at")))), n)
+    told = cut.join(found.select(F.col("whole").alias("window")), "window").groupBy("least", "whole").agg(F.collect_set("nth").alias("nths"))
+    return masks(told.join(hot.select("least", "whole", F.col("at.windows").alias("windows")), ["least", "whole"]))
+
+
+def _meeting(rows: DataFrame) -> DataFrame:
+    """Those of the segments whose minimizer several have, or that hold a window twice."""
     several = rows.groupBy("least").agg(F.sum(F.lit(1) + F.col("twice").cast("int")).alias("c")).where("c > 1").select("least")
-    hits = durable(rows.join(several, "least"), "hits")
-    distinct = hits.groupBy("least", "whole").agg(
+    return rows.join(several, "least")
+
+
+def _distinct(hits: DataFrame) -> DataFrame:
+    """Equal segments once, with one of their places and how many there are."""
+    return hits.groupBy("least", "whole").agg(
         F.min(F.struct("doc_id", "th", "start", "windows")).alias("at"), F.count("*").alias("places"), F.max("twice").alias("twice")
     )
-    distinct = durable(distinct, "segments")
-    # a segment whose minimizer no different one has needs no index, unless it may repeat within itself
-    many = distinct.groupBy("least").agg(F.count("*").alias("k"), F.max("twice").alias("any")).where("k > 1 OR any").select("least")
-    part = F.struct(F.col("at.start").alias("start"), F.col("at.windows").alias("windows"), "least", "whole", "places")
-    wanted = distinct.join(many, "least").groupBy(F.col("at.doc_id").alias("doc_id"), F.col("at.th").alias("th"))
-    wanted = durable(wanted.agg(F.collect_list(part).alias("parts")), "wanted")
-    texts = _filtered(named, wanted.select("doc_id"), True).join(wanted, ["doc_id", "th"])
-    found = search(contents(texts), 2 * n)
-    flags = distinct.where("places > 1").select("least", "whole", F.lit(None).cast("binary").alias("mask")).unionByName(found)
-    marked = hits.join(flags, ["least", "whole"]).groupBy("doc_id", "th")
-    return durable(marked.agg(F.collect_list(F.struct("start", "windows", "mask")).alias("parts")), "marked")
 
 
 def covered(n: int, parts: list[dict]) -> np.ndarray:
@@ -187,22 +257,21 @@ def drop_repeats(docs: DataFrame) -> DataFrame:
     """All columns of docs, and kept_text (kept words joined by a space), n_words and n_removed."""
     parts = repeated_parts(docs)
     extra = {"kept_text": T.StringType(), "n_words": T.LongType(), "n_removed": T.LongType()}
-    names = [c for c in docs.columns if c not in (*extra, "parts", "th")]
-    base = docs.select(*names).withColumn("th", F.xxhash64("text"))
-    # NULL ids are 0 in parts, and texts tell them from a document 0
-    parts = parts.withColumnRenamed("doc_id", "_id")
-    ids = parts.select("_id")
+    names = [c for c in docs.columns if c not in extra]
+    # the other columns are one, so no name of their own can meet those used here; NULL ids are 0 in parts, and texts tell
+    # them from a document 0
+    others = F.struct(*[F.col(f"`{c}`") for c in names if c != "text"]).alias("row")
+    base = docs.select(others, "text", F.xxhash64("text").alias("th"), F.coalesce("doc_id", F.lit(0)).cast("long").alias("doc_id"))
+    ids = parts.select("doc_id")
     free = _filtered(base, ids, False).withColumn("parts", F.lit(None).cast(PARTS))
-    held = _filtered(base, ids, True).withColumn("_id", F.coalesce("doc_id", F.lit(0)).cast("long"))
-    held = held.join(parts, ["_id", "th"], "left").select(*names, "th", "parts")
-    text_at, parts_at = names.index("text"), len(names) + 1
-    schema = T.StructType([*docs.select(*names).schema, *(T.StructField(k, v) for k, v in extra.items())])
+    held = _filtered(base, ids, True).join(parts, ["doc_id", "th"], "left").select(*free.columns)
+    schema = T.StructType([*base.select("row", "text").schema, *(T.StructField(k, v) for k, v in extra.items())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, ROWS):
                 b, kept, total, gone = whole.slice(at, ROWS), [], [], []
-                for text, own in zip(b.column(text_at).to_pylist(), b.column(parts_at).to_pylist()):
+                for text, own in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
                     w = (text or "").encode().split()
                     total.append(len(w))
                     if own:
@@ -211,11 +280,12 @@ def drop_repeats(docs: DataFrame) -> DataFrame:
                     gone.append(total[-1] - len(w))
                     kept.append(b" ".join(w))
                 yield pa.RecordBatch.from_arrays(
-                    [*b.columns[: len(names)], pa.array(kept, pa.binary()).cast(pa.string()), pa.array(total, pa.int64()), pa.array(gone, pa.int64())],
-                    names=[*names, *extra],
+                    [*b.columns[:2], pa.array(kept, pa.binary()).cast(pa.string()), pa.array(total, pa.int64()), pa.array(gone, pa.int64())],
+                    names=["row", "text", *extra],
                 )
 
-    return held.unionByName(free).mapInArrow(lean(run), schema)
+    done = held.unionByName(free).select("row", "text", "parts").mapInArrow(lean(run), schema)
+    return done.select(*[F.col("text") if c == "text" else F.col(f"row.`{c}`") for c in names], *extra)
 
 
 def report(docs: DataFrame) -> DataFrame:
@@ -224,10 +294,9 @@ def report(docs: DataFrame) -> DataFrame:
 
 def without_repeats(docs: DataFrame) -> DataFrame:
     """docs with the repeated words gone from their texts; texts without any, and null texts, are unchanged."""
+    row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("row"), "doc_id", "text")
     gone = F.col("n_removed") > 0
-    done = drop_repeats(docs)
-    new = {
-        "text": F.when(gone, F.col("kept_text")).otherwise(F.col("text")).alias("text"),
-        "n_chars": F.when(gone, F.length("kept_text").cast("long")).otherwise(F.col("n_chars")).alias("n_chars"),
-    }
-    return done.select(*[new.get(c, F.col(c)) for c in docs.columns])
+    new = {"text": F.when(gone, F.col("kept_text")).otherwise(F.col("text"))}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.when(gone, F.length("kept_text").cast("long")).otherwise(F.col("row.n_chars"))
+    return drop_repeats(row).select(*[(new[c] if c in new else F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
