@@ -28,14 +28,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 from tokenizers import Tokenizer, models
 
-from gridpulse.llm.common import bounded_batches, lean
+from gridpulse.llm.common import KEPT, bounded_batches, lean
 
 #: Bytes of a span; a join's first window has JOIN pieces of each side.
 SPAN, JOIN = 1024, 2
 #: Leaves of an unbroken piece have LEAF characters; its joins begin with WINDOW tokens, of which MARGIN must agree.
 LEAF, WINDOW, MARGIN = 512, 8, 2
-#: Bytes of a cache's younger half; pieces of more than KEPT bytes aren't kept in it.
-CACHE_BYTES, KEPT = 64 << 20, 64
+#: Bytes of a cache's younger half; pieces of more than SHORT bytes aren't kept in it.
+CACHE_BYTES, SHORT = 64 << 20, 64
 #: Pieces of printable ASCII and precomposed Latin letters: for them lower() is all that normalising does.
 PLAIN = re.compile(r"[!-~À-ÖØ-öø-ÿ]+")
 PLAIN_RULE = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -141,7 +141,7 @@ class Codec:
                 ids = old.get(key)
                 if ids is None:
                     ids = self._word(key)
-                if len(key) <= KEPT:
+                if len(key) <= SHORT:
                     self.pieces.put(key, ids)
             out.append(ids)
         return out[0] if len(out) == 1 else b"".join(out)
@@ -184,7 +184,7 @@ class Codec:
                     ids = old.get(p)
                     if ids is None:
                         ids = self._ids(p)
-                    if len(p) <= KEPT:
+                    if len(p) <= SHORT:
                         self.pieces.put(p, ids)
                     found[i] = ids
             self.pieces.turn()
@@ -262,6 +262,9 @@ def codec(path: str) -> Codec:
     return Codec(path)
 
 
+KEPT["codec"] = codec.cache_clear
+
+
 def _lists(raw: list[bytes]) -> pa.Array:
     ends = np.cumsum([0] + [len(x) // 4 for x in raw], dtype=np.int64)
     values = pa.Array.from_buffers(pa.int32(), int(ends[-1]), [None, pa.py_buffer(b"".join(raw))])
@@ -310,4 +313,4 @@ def _mapped(df: DataFrame, path: str, source: str, rows: int, new: dict[str, T.D
                 made = work(c, batch.column(0).to_pylist())
                 yield pa.RecordBatch.from_arrays([*batch.columns[1:], *made], names=[*keep, *new])
 
-    return bounded_batches(df).select(source, *keep).mapInArrow(lean(run), schema)
+    return bounded_batches(df).select(source, *keep).mapInArrow(lean(run, "codec"), schema)

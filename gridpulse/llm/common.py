@@ -62,11 +62,19 @@ def bounded_batches(df: DataFrame) -> DataFrame:
 Mapping = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
 
 
-def lean(run: Mapping) -> Mapping:
-    """run, after which a Python worker gives the memory it has freed back: workers stay, idle, beside those of the next plan."""
+#: What a worker keeps from task to task, by name, and how it is dropped.
+KEPT: dict[str, Callable[[], None]] = {}
+
+
+def lean(run: Mapping, keeps: str = "") -> Mapping:
+    """run, before which a worker drops what other operators' tasks kept, and after which it gives freed memory back.
+
+    Workers stay, idle, beside those of the next plan, or go on with it.
+    """
 
     @functools.wraps(run)
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drop_others(keeps)
         try:
             yield from run(batches)
         finally:
@@ -75,6 +83,12 @@ def lean(run: Mapping) -> Mapping:
     return whole
 
 
+def drop_others(keeps: str) -> None:
+    for name, drop in KEPT.items():
+        if name != keeps:
+            drop()
+
+
 def give_back() -> None:
     pa.default_memory_pool().release_unused()
     if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # of the GNU C library

@@ -49,7 +49,7 @@ def cut(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = 0, r
                 )
 
     return bounded_batches(docs).select("doc_id", "text").mapInArrow(
-        lean(run), "doc_id long, piece int, start long, length long, ids_crc32 long, part int, nth long"
+        lean(run, "codec"), "doc_id long, piece int, start long, length long, ids_crc32 long, part int, nth long"
     )
 
 
