@@ -162,6 +162,8 @@ def sweep_totals(flagged: DataFrame, samples: DataFrame, zones: DataFrame, keys:
         F.when(~inside & F.col("_after"), tell(2, s, exit=F.lit(1))),
     )
     told = each.select(*stream, "place", F.explode(F.array_compact(told)).alias("x"))
+    # what is only counted needs no stream, and so few sums are left to shuffle
+    told = told.select(*by, *[F.when(F.col("x.kind") > 0, F.col(k)).alias(k) for k in keys], "place", "x")
     sums = told.groupBy(*stream, "place", F.col("x.kind").alias("kind"), F.col("x.id").alias("id")).agg(
         F.count("*").alias("n"), F.sum("x.fresh").alias("fresh"), F.min("x.ts").alias("ts"), F.min("x.pre").alias("pre"), F.max("x.size").alias("size"),
         F.count("x.size").alias("held"), F.max("x.last").alias("last"), F.max("x.prior").alias("prior"), F.max("x.exit").alias("exit"),

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -104,27 +105,30 @@ class Config:
     jump: float | None = None
 
 
-def decisions(configs: Sequence[Config], value: Column, t: Column, prev_v: Column, prev_t: Column) -> Column:
-    """Whether each configuration flags a row, as one array in the order of configs.
+def decision_of(c: Config, value: Column, dt: Column, change: Column, rate: Column) -> Column:
+    """Whether a configuration flags a row: a value out of bounds, or, where no gap has reset the state, too fast or too far a change.
 
-    With missing thresholds one expression serves every rule: a value out of bounds, or, where there is a state that no gap
-    has reset, too fast or too far a change.
+    dt, change and rate are NULL where there is no state or time does not pass.
     """
-    one = lambda c: F.struct(*[F.lit(getattr(c, f)).cast("double").alias(f) for f in ("gap_minutes", "rate", "upper", "lower", "jump")], F.lit(c.gap_behavior == "reset").alias("resets"))
-    change, dt = F.abs(value - prev_v), t - prev_t
-    moved = holds(prev_t.isNotNull() & (dt > 0))
-    flagged = lambda c: holds(value.isNotNull() & (
-        holds(value > c["upper"]) | holds(value < c["lower"]) | (moved & ~holds(c["resets"] & (dt > c["gap_minutes"])) & (holds(change / F.when(dt > 0, dt) > c["rate"]) | holds(change > c["jump"])))
-    ))
-    return F.transform(F.array(*map(one, configs)), flagged)
+    out = [value > c.upper] if c.upper is not None else []
+    out += [value < c.lower] if c.lower is not None else []
+    moved = ([rate > c.rate] if c.rate is not None else []) + ([change > c.jump] if c.jump is not None else [])
+    known = [holds(m & (dt <= c.gap_minutes)) if c.gap_behavior == "reset" else holds(m) for m in moved]
+    return reduce(lambda a, b: a | b, [*map(holds, out), *known], F.lit(False)) & value.isNotNull()
 
 
 def sweep(df: DataFrame, configs: Sequence[Config], value: str, ts_min: str, channel: Channel) -> DataFrame:
-    """df with on, an array of every configuration's decision, and data_anomaly, which no threshold takes part in."""
+    """df with on, an array of every configuration's decision in their order, and data_anomaly, which no threshold takes part in.
+
+    Every decision is an expression of its own, so the array is built in generated code.
+    """
     s = state(df, value, ts_min, channel)
     v, t, before = F.col(value), F.col(ts_min), F.col("prev_t")
     anomaly = v.isNull() | holds(before.isNotNull() & (t - before <= 0))
-    return s.select(*df.columns, decisions(configs, v, t, F.col("prev_v"), before).alias("on"), anomaly.alias("data_anomaly"))
+    s = s.select(*df.columns, anomaly.alias("data_anomaly"), F.when(t > before, t - before).alias("_dt"), F.when(t > before, F.abs(v - F.col("prev_v"))).alias("_change"))
+    s = s.withColumn("_rate", F.col("_change") / F.col("_dt"))
+    on = F.array(*[decision_of(c, v, F.col("_dt"), F.col("_change"), F.col("_rate")) for c in configs])
+    return s.select(*df.columns, on.alias("on"), "data_anomaly")
 
 
 def b1_threshold(value: Column, threshold: float) -> Column:

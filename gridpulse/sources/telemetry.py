@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 from collections.abc import Iterator, Sequence
 from contextlib import contextmanager
 
+import pyarrow as pa
+import pyarrow.fs as pa_fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,9 +44,29 @@ def lookup_lines(lines: DataFrame, wanted: DataFrame) -> DataFrame:
     return lines.join(wanted.select("path", RAW_LINE).distinct(), ["path", RAW_LINE])
 
 
-def hash_files(spark: SparkSession, path: str) -> DataFrame:
-    """(path, size_bytes, sha256) of files, hashed where they are read."""
-    return spark.read.format("binaryFile").load(path).select("path", F.col("length").alias("size_bytes"), F.sha2("content", 256).alias("sha256"))
+#: Bytes of the largest file that Spark reads as one value; a larger one is hashed piece by piece.
+WHOLE, PIECE = 1 << 30, 1 << 22
+
+
+def hash_files(spark: SparkSession, path: str, whole: int = WHOLE) -> DataFrame:
+    """(path, size_bytes, sha256) of files of any size, hashed where they are read."""
+    files = spark.read.format("binaryFile").load(path).withColumnRenamed("length", "size_bytes")
+    small = files.where(F.col("size_bytes") <= whole).select("path", "size_bytes", F.sha2("content", 256).alias("sha256"))
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = []
+            for uri in b.column(0).to_pylist():
+                store, name = pa_fs.FileSystem.from_uri(uri)
+                h = hashlib.sha256()
+                with store.open_input_stream(name) as f:
+                    while piece := f.read(PIECE):
+                        h.update(piece)
+                found.append(h.hexdigest())
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(found, pa.string())], names=["path", "size_bytes", "sha256"])
+
+    large = files.where(F.col("size_bytes") > whole).select("path", "size_bytes")
+    return small.unionByName(large.mapInArrow(hashed, "path string, size_bytes long, sha256 string"))
 
 
 def build_manifest(spark: SparkSession, path: str, **facts: str) -> dict:

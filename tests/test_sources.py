@@ -1,4 +1,5 @@
 import datetime
+import hashlib
 
 import pytest
 
@@ -42,6 +43,13 @@ def test_sequence_lines(spark, tmp_path):
     assert [tuple(r) for r in telemetry.read_sequence(spark, str(tmp_path / "s.txt")).orderBy("idx").collect()] == [(0, 1.5, 0.0), (1, None, 15.0), (2, None, 30.0)]
 
 
+def test_large_files_are_hashed_in_pieces(spark, raw, monkeypatch):
+    (raw / "big.csv").write_bytes(bytes(range(256)) * 9000)
+    want = {r["path"]: tuple(r)[1:] for r in telemetry.hash_files(spark, str(raw)).collect()}
+    assert {p.split("/")[-1]: v[1] for p, v in want.items()}["big.csv"] == hashlib.sha256((raw / "big.csv").read_bytes()).hexdigest()
+    assert {r["path"]: tuple(r)[1:] for r in telemetry.hash_files(spark, str(raw), 1000).collect()} == want
+
+
 def test_sequences_come_back(spark, tmp_path):
     rows = [(0, 1.5, 0.0), (1, None, 15.25), (2, 3.0, 30.0)]
     df = spark.createDataFrame(rows, "idx long, value double, ts_min double").repartition(3)
