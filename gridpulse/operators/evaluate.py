@@ -129,7 +129,8 @@ def sweep_totals(flagged: DataFrame, samples: DataFrame, zones: DataFrame, keys:
 
     flagged: zone-indexed samples with on, an array of decisions, and data_anomaly; configs: (place in that array, config_id,
     and what else is to be told), of bounded size. All windows run over samples, whatever the number of configurations: a row
-    meets the array of the row before it. Only decisions that flag are unrolled, and are summed before they are shuffled.
+    meets the array of the row before it. Only decisions that flag are unrolled, and are summed before they are shuffled; those
+    that are only counted need no stream in their sums.
 
     An episode begins at a row outside all zones that is flagged while the row before is not, or with which a flagged run leaves a
     stretch of zone rows in which it began. A run that holds a whole stretch and the row before it goes on.
@@ -145,36 +146,24 @@ def sweep_totals(flagged: DataFrame, samples: DataFrame, zones: DataFrame, keys:
     )
     rows = rows.withColumn("_stretch", F.sum("_enters").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     rows = rows.withColumn("_size", F.sum(inside.cast("int")).over(Window.partitionBy(*stream, "_stretch")))
-    none = F.lit(None)
-    tell = lambda kind, id_, **x: F.struct(
-        F.lit(kind).alias("kind"), id_.cast("long").alias("id"),
-        *[x.get(c, none).cast(t).alias(c) for c, t in (("ts", "double"), ("pre", "double"), ("fresh", "int"), ("size", "long"), ("last", "int"), ("prior", "int"), ("exit", "int"))],
-    )
-    ts, s = F.col("ts_min"), F.col("_stretch")
+    ts, st = F.col("ts_min"), F.col("_stretch")
     flags = F.filter(F.transform("on", lambda x, i: F.when(x, i)), lambda i: i.isNotNull())
     each = rows.select(*stream, "ts_min", "event_id", "crossing_ts", "_after", "_before", "_stretch", "_size", "_was", F.explode(flags).alias("place"))
     fresh = ~F.coalesce(F.get("_was", F.col("place")), F.lit(False))
-    told = F.array(
-        tell(0, F.lit(0), fresh=(~inside & fresh).cast("int")),
-        F.when(inside, tell(1, F.col("event_id"), ts=ts, pre=F.when(ts <= F.col("crossing_ts"), ts))),
-        F.when(inside, tell(2, s, size=F.col("_size"), last=(~F.col("_before")).cast("int"))),
-        F.when(~inside & F.col("_before"), tell(2, s + 1, prior=F.lit(1))),
-        F.when(~inside & F.col("_after"), tell(2, s, exit=F.lit(1))),
-    )
-    told = each.select(*stream, "place", F.explode(F.array_compact(told)).alias("x"))
-    # what is only counted needs no stream, and so few sums are left to shuffle
-    told = told.select(*by, *[F.when(F.col("x.kind") > 0, F.col(k)).alias(k) for k in keys], "place", "x")
-    sums = told.groupBy(*stream, "place", F.col("x.kind").alias("kind"), F.col("x.id").alias("id")).agg(
-        F.count("*").alias("n"), F.sum("x.fresh").alias("fresh"), F.min("x.ts").alias("ts"), F.min("x.pre").alias("pre"), F.max("x.size").alias("size"),
-        F.count("x.size").alias("held"), F.max("x.last").alias("last"), F.max("x.prior").alias("prior"), F.max("x.exit").alias("exit"),
-    )
-    # a stream's last row ends its stretch, too, but has no row behind it
-    whole = (F.col("held") == F.col("size")) & (F.col("prior") == 1)
-    left = (F.col("kind") == 2) & holds((F.col("exit") == 1) & (F.col("last") == 1)) & ~holds(whole)
-    rows_of = sums.groupBy(*by, "place").agg(
-        F.sum(F.when(F.col("kind") == 0, F.col("n"))).alias("total_flagged_rows"), (F.coalesce(F.sum("fresh"), F.lit(0)) + F.count_if(left)).alias("false_alarm_episodes")
+    rows_of = each.groupBy(*by, "place").agg(F.count("*").alias("total_flagged_rows"), F.count_if(~inside & fresh).alias("_fresh"))
+    # flagged rows of a stretch, the row before it and the row behind it
+    role = lambda id_, **x: F.struct(id_.alias("id"), *[x.get(c, F.lit(False)).alias(c) for c in ("held", "last", "prior", "exit")])
+    yes = F.lit(True)
+    roles = F.array_compact(F.array(
+        F.when(inside, role(st, held=yes, last=~F.col("_before"))), F.when(~inside & F.col("_before"), role(st + 1, prior=yes)), F.when(~inside & F.col("_after"), role(st, exit=yes))
+    ))
+    near = each.where(inside | F.col("_before") | F.col("_after")).select(*stream, "place", F.when(inside, F.col("_size")).alias("_size"), F.explode(roles).alias("x"))
+    near = near.groupBy(*stream, "place", "x.id").agg(
+        F.count_if("x.held").alias("held"), F.max("_size").alias("size"), F.max("x.last").alias("last"), F.max("x.prior").alias("prior"), F.max("x.exit").alias("exit")
     )
-    hits = sums.where("kind = 1").select(*stream, "place", F.col("id").alias("event_id"), "ts", "pre").join(zones.select(*stream, "event_id", "crossing_ts"), [*stream, "event_id"])
+    left = near.where("exit AND last AND NOT (prior AND held = size)").groupBy(*by, "place").agg(F.count("*").alias("_left"))
+    rows_of = rows_of.join(left, [*by, "place"], "left").withColumn("false_alarm_episodes", F.col("_fresh") + F.coalesce("_left", F.lit(0)))
+    hits = each.where(inside).groupBy(*stream, "place", "event_id").agg(F.min(ts).alias("ts"), F.min(F.when(ts <= F.col("crossing_ts"), ts)).alias("pre"), F.first("crossing_ts").alias("crossing_ts"))
     lead = F.when(F.col("pre").isNotNull(), F.col("crossing_ts") - F.col("ts"))
     events = hits.groupBy(*by, "place").agg(
         F.count("pre").alias("events_detected"), F.count("*").alias("events_detected_in_zone"),
