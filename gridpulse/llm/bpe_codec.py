@@ -35,7 +35,7 @@ SPAN, JOIN = 1024, 2
 #: Leaves of an unbroken piece have LEAF characters; its joins begin with WINDOW tokens, of which MARGIN must agree.
 LEAF, WINDOW, MARGIN = 512, 8, 2
 #: Bytes of a cache's younger half; pieces of more than SHORT bytes aren't kept in it.
-CACHE_BYTES, SHORT = 64 << 20, 64
+CACHE_BYTES, SHORT = 48 << 20, 64
 #: Pieces of printable ASCII and precomposed Latin letters: for them lower() is all that normalising does.
 PLAIN = re.compile(r"[!-~À-ÖØ-öø-ÿ]+")
 PLAIN_RULE = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -120,6 +120,13 @@ class Codec:
         self.cuts = json.dumps(PLAIN_RULE)[1:-1] in rules and '"Removed"' in rules and not any(re.search(r"\s", t) for t in self.added)
         self.plain = self.cuts and '"Lowercase"' in rules and self.tokenizer.model.end_of_word_suffix
 
+    def __enter__(self) -> Codec:
+        return self
+
+    def __exit__(self, *_) -> None:
+        """A task's cache goes with it: a worker may be idle next, beside one that fills its own."""
+        self.pieces = Cache(self.pieces.most)
+
     @cached_property
     def tree(self) -> TreeEncoder:
         with open(self.path, encoding="utf-8") as f:
@@ -306,11 +313,11 @@ def _mapped(df: DataFrame, path: str, source: str, rows: int, new: dict[str, T.D
     schema = _put(df.select(*keep).schema, new)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = codec(path)
-        for whole in batches:
-            for at in range(0, whole.num_rows, rows):
-                batch = whole.slice(at, rows)
-                made = work(c, batch.column(0).to_pylist())
-                yield pa.RecordBatch.from_arrays([*batch.columns[1:], *made], names=[*keep, *new])
+        with codec(path) as c:
+            for whole in batches:
+                for at in range(0, whole.num_rows, rows):
+                    batch = whole.slice(at, rows)
+                    made = work(c, batch.column(0).to_pylist())
+                    yield pa.RecordBatch.from_arrays([*batch.columns[1:], *made], names=[*keep, *new])
 
     return bounded_batches(df).select(source, *keep).mapInArrow(lean(run, "codec"), schema)

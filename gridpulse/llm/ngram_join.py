@@ -4,7 +4,7 @@ Documents are sets of word shingles; two link when 100 * |intersection| >= 80 *
 
 1. A document is a doc_id, NULL too, with a text: both make its key. Documents with equal sets are one class, represented
    by its smallest key. Shingles are ordered, rare before frequent: by how often they occur in a sample of the documents
-   that grows with their number (one in 64, and 8,192 at least), and then by a sketch of fixed size, in which the same pass
+   that grows with their number (one in 64, and 1,024 at least), and then by a sketch of fixed size, in which the same pass
    counts all of them and which tells more the fewer they are. Any order gives the same links.
 2. A set of n must share one of its n - ceil(0.8 n) + 1 rarest shingles with any set it links to. Postings of these
    meet by shingle. Pairs of classes in short lists are counted and dropped when what they share there is too little for
@@ -43,7 +43,7 @@ NUM, DEN = 80, 100
 #: Cells of the sketch, and how many make a row of it.
 SKETCH, CHUNK = 1 << 20, 1 << 14
 #: One in SAMPLED documents is counted by shingle, but ORDERED at least; at most FREQUENT shingles are told apart by it.
-SAMPLED, ORDERED, FREQUENT = 64, 8192, 1 << 20
+SAMPLED, ORDERED, FREQUENT = 64, 1024, 1 << 20
 #: Sets and shingles of a block at most, unless it is one set.
 BLOCK, BLOCK_SHINGLES = 512, 1 << 22
 ROWS, MERGE_COST = 2048, 0.01

@@ -32,21 +32,22 @@ def cut(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = 0, r
     """Pieces: doc_id, piece, start, length, ids_crc32, and part and nth, the writing task and the place there among its length."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c, part, nth = codec(path), TaskContext.get().partitionId(), [0] * (capacity + 1)
+        part, nth = TaskContext.get().partitionId(), [0] * (capacity + 1)
         end = np.array([end_id], "<u4").tobytes()
-        for whole in batches:
-            for at in range(0, whole.num_rows, rows):
-                batch, out = whole.slice(at, rows), []
-                for doc, ids in zip(batch.column(0).to_pylist(), c.ids(batch.column(1).to_pylist())):
-                    ids += end
-                    for piece, start in enumerate(range(0, len(ids), 4 * capacity)):
-                        part_ids = ids[start : start + 4 * capacity]
-                        n = len(part_ids) // 4
-                        out.append((doc, piece, start // 4, n, zlib.crc32(part_ids), part, nth[n]))
-                        nth[n] += 1
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(col, kind) for col, kind in zip(zip(*out), _KINDS)], names=_NAMES
-                )
+        with codec(path) as c:
+            for whole in batches:
+                for at in range(0, whole.num_rows, rows):
+                    batch, out = whole.slice(at, rows), []
+                    for doc, ids in zip(batch.column(0).to_pylist(), c.ids(batch.column(1).to_pylist())):
+                        ids += end
+                        for piece, start in enumerate(range(0, len(ids), 4 * capacity)):
+                            part_ids = ids[start : start + 4 * capacity]
+                            n = len(part_ids) // 4
+                            out.append((doc, piece, start // 4, n, zlib.crc32(part_ids), part, nth[n]))
+                            nth[n] += 1
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(col, kind) for col, kind in zip(zip(*out), _KINDS)], names=_NAMES
+                    )
 
     return bounded_batches(docs).select("doc_id", "text").mapInArrow(
         lean(run, "codec"), "doc_id long, piece int, start long, length long, ids_crc32 long, part int, nth long"

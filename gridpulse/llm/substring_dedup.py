@@ -33,7 +33,7 @@ from pyspark.sql import types as T
 
 from gridpulse.llm.common import bounded_batches, durable, lean, partitions
 from gridpulse.llm.fm_index import FMIndex
-from gridpulse.llm.ngram_join import needed_bits
+from gridpulse.llm.ngram_join import Bits, needed_bits
 from gridpulse.llm.shingles import FACTOR, Powers, inverse, mixed, runs, word_hashes
 
 SIZE, K, MOST = 35, 8, 64
@@ -173,15 +173,14 @@ def search(contents_: DataFrame, n: int) -> DataFrame:
     return dealt.mapInArrow(lean(run), "least long, whole long, mask binary")
 
 
-def _filtered(docs: DataFrame, ids: DataFrame, inside: bool) -> DataFrame:
-    """Rows whose doc_id may be among ids (inside), or surely isn't; by a bitmap of fixed size."""
-    shared = docs.sparkSession.sparkContext.broadcast(needed_bits(ids))
+def _filtered(docs: DataFrame, bits: Bits) -> DataFrame:
+    """Rows whose doc_id may be among those marked."""
+    shared = docs.sparkSession.sparkContext.broadcast(bits)
     at = docs.columns.index("doc_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            hit = shared.value.has(b.column(at).fill_null(0).to_numpy())
-            yield b.filter(pa.array(hit if inside else ~hit))
+            yield b.filter(pa.array(shared.value.has(b.column(at).fill_null(0).to_numpy())))
 
     return docs.mapInArrow(lean(run), docs.schema)
 
@@ -214,7 +213,7 @@ def _cut(named: DataFrame, wanted: DataFrame) -> DataFrame:
     wanted = wanted.groupBy(F.col("at.doc_id").alias("doc_id"), F.col("at.th").alias("th")).agg(F.collect_list(part).alias("parts"))
     wanted = durable(wanted, "wanted")
     # of rows that share id and text any one will do: their segments are cut once for each, and told once
-    return _filtered(named, wanted.select("doc_id"), True).join(wanted, ["doc_id", "th"])
+    return _filtered(named, needed_bits(wanted.select("doc_id"))).join(wanted, ["doc_id", "th"])
 
 
 def _hot_flags(named: DataFrame, hot: DataFrame, n: int) -> DataFrame:
@@ -263,8 +262,11 @@ def drop_repeats(docs: DataFrame) -> DataFrame:
     others = F.struct(*[F.col(f"`{c}`") for c in names if c != "text"]).alias("row")
     base = docs.select(others, "text", F.xxhash64("text").alias("th"), F.coalesce("doc_id", F.lit(0)).cast("long").alias("doc_id"))
     ids = parts.select("doc_id")
-    free = _filtered(base, ids, False).withColumn("parts", F.lit(None).cast(PARTS))
-    held = _filtered(base, ids, True).join(parts, ["doc_id", "th"], "left").select(*free.columns)
+    bits = needed_bits(ids)
+    names_ = ["row", "text", "parts", "doc_id"]
+    free = base.withColumn("parts", F.lit(None).cast(PARTS)).select(*names_)
+    held = _filtered(base, bits).join(parts, ["doc_id", "th"], "left").select(*names_)
+    shared = docs.sparkSession.sparkContext.broadcast(bits)
     schema = T.StructType([*base.select("row", "text").schema, *(T.StructField(k, v) for k, v in extra.items())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -284,7 +286,11 @@ def drop_repeats(docs: DataFrame) -> DataFrame:
                     names=["row", "text", *extra],
                 )
 
-    done = held.unionByName(free).select("row", "text", "parts").mapInArrow(lean(run), schema)
+    def rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # the rows that surely have no parts are chosen and done by one worker
+        yield from run(b.filter(pa.array(~shared.value.has(b.column(3).to_numpy()))) for b in batches)
+
+    done = held.mapInArrow(lean(run), schema).unionByName(free.mapInArrow(lean(rest), schema))
     return done.select(*[F.col("text") if c == "text" else F.col(f"row.`{c}`") for c in names], *extra)
 
 
