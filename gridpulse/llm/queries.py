@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridpulse.llm import bpe_codec, hilbert_ann, licence_scan, ngram_join, packing, pii_scan, quality_mil, secret_scan, segment_topk, substring_dedup
+from gridpulse.llm import bpe_codec, hilbert_ann, licence_scan, merkle, ngram_join, packing, pii_scan, quality_mil, secret_scan, segment_topk, substring_dedup, token_alignment
 from gridpulse.llm.common import table
 
 
@@ -63,6 +63,15 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.secret_report(table(spark, sf_dir, "documents"))
 
 
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.report(table(spark, sf_dir, "documents"))
+
+
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a, b = map(public_tokenizers.path, ("byte_bpe_50k.json", "piece_bpe_32k.model"))
+    return token_alignment.report(table(spark, sf_dir, "documents"), a, b)
+
+
 #: The same integers by brute force.
 OP8_SQL = """
 WITH used AS (
@@ -114,6 +123,48 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) A
 """
 
 
+#: Trees level by level, then each leaf's way up; the check sum of an id bit by bit (3988292384: its polynomial).
+OP12_SQL = r"""
+WITH RECURSIVE field AS (
+  SELECT doc_id, lang, source, text, n_chars, row_number() OVER () AS id,
+    list_reduce(list_prepend(4294967295::UBIGINT, flatten(list_transform(string_split(doc_id::VARCHAR, ''), lambda c: [ascii(c)::UBIGINT, 0, 0, 0, 0, 0, 0, 0]))),
+      lambda c, e: xor(xor(c, e) >> 1, (xor(c, e) & 1) * 3988292384)) AS crc
+  FROM documents
+), told AS (
+  SELECT id, doc_id, lang, crc, coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-') || coalesce(strlen(lang) || ':' || lang, '-') AS a,
+    coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars, '-') AS n, coalesce(strlen((n_chars::HUGEINT + 1)::VARCHAR) || ':' || (n_chars::HUGEINT + 1), '-') AS m, coalesce(strlen(text) || ':' || text, '-') AS t
+  FROM field
+), leaf AS (
+  SELECT id, doc_id, lang, sha256(a || n || t) AS leaf, CASE WHEN xor(crc, 4294967295::UBIGINT) % 7 = 0 THEN sha256(a || m || t) ELSE sha256(a || n || t) END AS own FROM told
+), seat AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, dense_rank() OVER (ORDER BY lang IS NOT NULL, lang) - 1 AS g FROM leaf
+), tree AS (
+  SELECT 0 AS k, g, i, leaf AS h FROM seat
+  UNION ALL
+  SELECT k + 1, g, i // 2, sha256(string_agg(h, '' ORDER BY i)) FROM (SELECT *, count(*) OVER (PARTITION BY g) AS c FROM tree) WHERE c > 1 GROUP BY k, g, i // 2
+), height AS (SELECT g, max(k) AS top FROM tree GROUP BY g
+), sub AS (SELECT g, h FROM tree JOIN height USING (g) WHERE k = top
+), crown AS (
+  SELECT 0 AS k, g AS i, h FROM sub
+  UNION ALL
+  SELECT k + 1, i // 2, sha256(string_agg(h, '' ORDER BY i)) FROM (SELECT *, count(*) OVER () AS c FROM crown) WHERE c > 1 GROUP BY k, i // 2
+), way AS (
+  SELECT id, s.k AS k, x.h AS h, x.i < s.i AS l FROM (SELECT id, g, k, i >> k AS i FROM seat JOIN height USING (g), range(top) r(k)) s LEFT JOIN tree x ON x.g = s.g AND x.k = s.k AND x.i = xor(s.i, 1)
+  UNION ALL
+  SELECT id, 1000 + s.k, x.h, x.i < s.i FROM (SELECT id, k, g >> k AS i FROM seat, range((SELECT max(k) FROM crown)) r(k)) s LEFT JOIN crown x ON x.k = s.k AND x.i = xor(s.i, 1)
+), steps AS (
+  SELECT id, string_agg(h, '' ORDER BY k) AS proof, list(struct_pack(h := coalesce(h, ''), l := coalesce(l, false)) ORDER BY k) AS w FROM way GROUP BY id
+), climb AS (
+  SELECT id, own AS h, 1 AS j FROM seat
+  UNION ALL
+  SELECT c.id, sha256(CASE WHEN w[j].l THEN w[j].h || c.h ELSE c.h || w[j].h END), j + 1 FROM climb c JOIN steps USING (id) WHERE j <= len(w)
+), folded AS (SELECT id, arg_max(h, j) AS h FROM climb GROUP BY id
+), root AS (SELECT arg_max(h, k) AS root FROM crown)
+SELECT doc_id, leaf, sub.h AS subroot, root, sha256(coalesce(proof, '')) AS proof_sha256, folded.h AS folded_root, folded.h = root AS verified
+FROM seat JOIN sub USING (g) LEFT JOIN steps USING (id) JOIN folded USING (id), root
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_ngram_join": op1_ngram_join,
@@ -126,8 +177,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_segment_topk": op8_segment_topk,
         "op9_best_two_fit_packing": op9_best_two_fit_packing,
         "op10_secret_scan": op10_secret_scan,
+        "op12_merkle_manifest": op12_merkle_manifest,
+        "op13_token_alignment": op13_token_alignment,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_ngram_join": OP1_SQL, "op3_licence_rules": licence_scan.oracle(), "op7_substring_dedup": OP7_SQL, "op8_segment_topk": OP8_SQL}
+    return {"op1_ngram_join": OP1_SQL, "op3_licence_rules": licence_scan.oracle(), "op7_substring_dedup": OP7_SQL, "op8_segment_topk": OP8_SQL, "op12_merkle_manifest": OP12_SQL}
