@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridpulse.llm import bpe_codec, hilbert_ann, licence_scan, merkle, ngram_join, packing, pii_scan, quality_mil, secret_scan, segment_topk, substring_dedup, token_alignment
+from gridpulse.llm import bpe_codec, hilbert_ann, licence_scan, merkle, ngram_join, packing, pii_scan, quality_mil, secret_scan, segment_topk, simhash, substring_dedup, token_alignment
 from gridpulse.llm.common import table
 
 
@@ -63,6 +63,10 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.secret_report(table(spark, sf_dir, "documents"))
 
 
+def op11_simhash_vptree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.report(table(spark, sf_dir, "documents"))
+
+
 def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.report(table(spark, sf_dir, "documents"))
 
@@ -177,6 +181,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_segment_topk": op8_segment_topk,
         "op9_best_two_fit_packing": op9_best_two_fit_packing,
         "op10_secret_scan": op10_secret_scan,
+        "op11_simhash_vptree": op11_simhash_vptree,
         "op12_merkle_manifest": op12_merkle_manifest,
         "op13_token_alignment": op13_token_alignment,
     }
