@@ -25,10 +25,11 @@ from functools import cached_property, lru_cache
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from tokenizers import Tokenizer, models
 
-from gridpulse.llm.common import KEPT, bounded_batches, lean
+from gridpulse.llm.common import KEPT, bounded_batches, boxed, lean, quoted
 
 #: Bytes of a span; a join's first window has JOIN pieces of each side.
 SPAN, JOIN = 1024, 2
@@ -278,10 +279,6 @@ def _lists(raw: list[bytes]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), values)
 
 
-def _put(schema: T.StructType, columns: dict[str, T.DataType]) -> T.StructType:
-    return T.StructType([f for f in schema if f.name not in columns] + [T.StructField(k, v) for k, v in columns.items()])
-
-
 def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids", rows: int = 256) -> DataFrame:
     """docs without text, with ids: array of int. Narrow, in blocks of so many rows."""
     return _mapped(docs, path, text, rows, {ids: T.ArrayType(T.IntegerType())}, lambda c, t: [_lists(list(c.ids(t)))])
@@ -309,15 +306,17 @@ def decode(coded: DataFrame, path: str, ids: str = "ids", decoded: str = "decode
 
 
 def _mapped(df: DataFrame, path: str, source: str, rows: int, new: dict[str, T.DataType], work) -> DataFrame:
-    keep = [c for c in df.columns if c != source and c not in new]
-    schema = _put(df.select(*keep).schema, new)
+    row, back = boxed(df, source, *new)
+    held = df.select(F.col(quoted(source)).alias("source"), row)
+    names = ["row", *(f"new{i}" for i in range(len(new)))]
+    schema = T.StructType([held.schema["row"], *(T.StructField(f"new{i}", t) for i, t in enumerate(new.values()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with codec(path) as c:
             for whole in batches:
                 for at in range(0, whole.num_rows, rows):
                     batch = whole.slice(at, rows)
-                    made = work(c, batch.column(0).to_pylist())
-                    yield pa.RecordBatch.from_arrays([*batch.columns[1:], *made], names=[*keep, *new])
+                    yield pa.RecordBatch.from_arrays([batch.column(1), *work(c, batch.column(0).to_pylist())], names=names)
 
-    return bounded_batches(df).select(source, *keep).mapInArrow(lean(run, "codec"), schema)
+    done = bounded_batches(held).mapInArrow(lean(run, "codec"), schema)
+    return done.select(*back, *[F.col(f"new{i}").alias(c) for i, c in enumerate(new)])

@@ -9,7 +9,8 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -59,6 +60,31 @@ def bounded_batches(df: DataFrame) -> DataFrame:
     return df
 
 
+def boxed(df: DataFrame, *without: str) -> tuple[Column, list[Column]]:
+    """(row, columns): df's columns but those named, as one column named row, and what brings them back from it.
+
+    What goes through Python so has no names that could meet those used there, whatever the input's columns are called.
+    """
+    keep = [c for c in df.columns if c not in without]
+    row = F.struct(F.lit(True).alias("there"), *[F.col(quoted(c)).alias(f"c{i}") for i, c in enumerate(keep)]).alias("row")
+    return row, [F.col(f"row.c{i}").alias(c) for i, c in enumerate(keep)]
+
+
+def quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+def first_by_hash(df: DataFrame, column: str, most: int, total: int) -> DataFrame:
+    """The `most` rows with the least hashes of a column, of so many in all.
+
+    Rows whose hash is beyond a bound that about twice as many stay under don't reach the one task that orders them.
+    """
+    share = min(1.0, (2 * most + 200) / max(1, total))
+    bound = min((1 << 63) - 1, int(share * (1 << 64)) - (1 << 63))
+    h = F.xxhash64(column)
+    return df.where(h <= F.lit(bound)).orderBy(h, column).limit(most)
+
+
 Mapping = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
 
 

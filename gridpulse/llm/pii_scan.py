@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gridpulse.llm.common import bounded_batches, lean
+from gridpulse.llm.common import bounded_batches, boxed, lean, quoted
 
 BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "url", "account")
@@ -106,7 +106,7 @@ def scan(text: str) -> list[tuple[str, int, int]]:
             if at >= free["ip"] and at >= run_end:
                 if m := QUADS.match(text, at):
                     free["ip"] = m.end()
-                    if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split(".")):
+                    if all(len(p) <= 3 and int(p or "0") <= 255 for p in (x.lstrip("0") for x in m[0].split("."))):
                         found["ip"].append(m.span())
                 else:
                     run_end = DIGITS.match(text, at).end()
@@ -145,7 +145,7 @@ SPANS = "array<struct<kind:string,start:int,end:int>>"
 
 def find_personal_data(docs: DataFrame, text: str = "text", spans: str = "spans", rows: int = 1024) -> DataFrame:
     """docs without text, with spans: array of (kind, start, end), in code points, end exclusive."""
-    keep = [c for c in docs.columns if c not in (text, spans)]
+    row, back = boxed(docs, text, spans)
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -154,12 +154,13 @@ def find_personal_data(docs: DataFrame, text: str = "text", spans: str = "spans"
                 batch = whole.slice(at, rows)
                 made = [
                     [{"kind": k, "start": a, "end": b} for k, a, b in scan(t)] if t else []
-                    for t in batch.column(0).to_pylist()
+                    for t in batch.column(1).to_pylist()
                 ]
-                yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(made, kind)], names=[*keep, spans])
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, kind)], names=["row", "found"])
 
-    fields = [*docs.select(*keep).schema, T.StructField(spans, T._parse_datatype_string(SPANS))]
-    return bounded_batches(docs).select(text, *keep).mapInArrow(lean(run), T.StructType(fields))
+    held = docs.select(row, F.col(quoted(text)).alias("text"))
+    schema = T.StructType([held.schema["row"], T.StructField("found", T._parse_datatype_string(SPANS))])
+    return bounded_batches(held).mapInArrow(lean(run), schema).select(*back, F.col("found").alias(spans))
 
 
 def joined(spans: Column) -> Column:
