@@ -12,8 +12,8 @@ crc32(doc_id as text) mod 3 is 1 are held out. Scoring is one narrow pass over a
 are encoded RUN at a time and meet in running sums of the attention, so memory doesn't grow with a text's bag.
 
 Defined results: null and empty texts are one empty passage and get its score; with no labelled row of either
-label every score is 0.5; of repeated labels of a doc_id the lowest counts; repeated rows are scored each for
-itself; labels, lang, source and doc_id are no inputs of a score.
+label every score is 0.5; of repeated labels of a doc_id the lowest counts, and of its repeated rows one is learned from; repeated
+rows are scored each for itself; a NULL doc_id is not held out, and nothing is learned from it; labels, lang, source and doc_id are no inputs of a score.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gridpulse.llm.common import bounded_batches, lean
+from gridpulse.llm.common import bounded_batches, boxed, first_by_hash, lean, quoted
 
 PASSAGE, PER_CLASS, BAG = 256, 1500, 32
 #: Passages that are encoded at once.
@@ -210,7 +210,7 @@ class AttentionMIL:
 
 
 def held_out(doc_id: Column) -> Column:
-    return F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1
+    return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
 def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> AttentionMIL | None:
@@ -220,7 +220,7 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Att
     total = {r["quality"]: r["count"] for r in known.groupBy("quality").count().collect()}
     if len(total) < 2:
         return None
-    pick = lambda q: known.where(F.col("quality") == q).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class)
+    pick = lambda q: first_by_hash(known.where(F.col("quality") == q), "doc_id", per_class, total[q])
     sample = pick(0).unionByName(pick(1)).withColumnRenamed("doc_id", "_id")
     rows = bounded_batches(docs).select("doc_id", "text").join(F.broadcast(sample), F.col("doc_id") == F.col("_id")).select("doc_id", "quality", "text")
 
@@ -229,7 +229,9 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Att
             raw = [learned_from((t or "").encode()) for t in b.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(raw, pa.binary())], names=["doc_id", "quality", "x"])
 
-    got = rows.mapInArrow(lean(shortened), "doc_id long, quality int, x binary").toArrow().sort_by("doc_id")
+    # of rows that share a doc_id one is learned from, so 2 x per_class rows of BAG passages reach the driver at most
+    one = rows.mapInArrow(lean(shortened), "doc_id long, quality int, x binary").groupBy("doc_id").agg(F.min("quality").alias("quality"), F.min("x").alias("x"))
+    got = one.toArrow().sort_by("doc_id")
     label = got.column("quality").to_numpy().astype(np.float32)
     if not (0 < label.sum() < len(label)):
         return None
@@ -246,18 +248,24 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Att
 
 def score(docs: DataFrame, model: AttentionMIL | None, text: str = "text", out: str = "score", rows: int = 512) -> DataFrame:
     """docs with the score of each text, between 0 and 1."""
-    keep = [c for c in docs.columns if c != out]
-    at = keep.index(text)
+    done, back = _scored(docs, (out,), model, text, rows)
+    return done.select(*back, F.col("y").alias(out))
+
+
+def _scored(docs: DataFrame, without: tuple[str, ...], model: AttentionMIL | None, text: str, rows: int) -> tuple[DataFrame, list[Column]]:
+    """(row, y), and what makes docs of row, without some columns."""
+    row, back = boxed(docs, *without)
+    held = docs.select(row, F.col(quoted(text)).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for i in range(0, whole.num_rows, rows):
                 b = whole.slice(i, rows)
-                y = model.score(b.column(at).to_pylist()) if model else np.full(b.num_rows, 0.5)
-                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(y, pa.float64())], names=[*keep, out])
+                y = model.score(b.column(1).to_pylist()) if model else np.full(b.num_rows, 0.5)
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(y, pa.float64())], names=["row", "y"])
 
-    fields = [*docs.select(*keep).schema, T.StructField(out, T.DoubleType())]
-    return bounded_batches(docs).select(*keep).mapInArrow(lean(run), T.StructType(fields))
+    done = bounded_batches(held).mapInArrow(lean(run), T.StructType([held.schema["row"], T.StructField("y", T.DoubleType())]))
+    return done, back
 
 
 def report(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -269,4 +277,5 @@ def report(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Documents with a score of 0.5 or more."""
-    return score(docs, train(docs, labels), out="_score").where("_score >= 0.5").select(*docs.columns)
+    scored, back = _scored(docs, (), train(docs, labels), "text", 512)
+    return scored.where("y >= 0.5").select(*back)
