@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
 import numpy as np
+import xxhash
 
-#: Odd multipliers of the polynomials and of the final mix.
-FACTOR, BYTE_FACTOR, MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93), np.uint64(0xC2B2AE3D27D4EB4F)
-BYTES = np.random.default_rng(20).integers(1, 1 << 63, 256, np.uint64)
-SPACE = np.zeros(256, bool)
-SPACE[[9, 10, 11, 12, 13, 32]] = True
+#: Odd multipliers of the polynomial over word hashes and of the final mix.
+FACTOR, MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
+SPACE = re.compile(rb"[ \t-\r]")
+#: Bytes whose words are held at once.
 PART = 1 << 20
 
 
@@ -30,46 +33,27 @@ def inverse(factor: np.uint64) -> np.uint64:
     return np.uint64(pow(int(factor), -1, 1 << 64))
 
 
-UP, DOWN = Powers(BYTE_FACTOR), Powers(inverse(BYTE_FACTOR))
-
-
 def mixed(h: np.ndarray) -> np.ndarray:
     h = (h ^ (h >> np.uint64(31))) * MIX
     return h ^ (h >> np.uint64(29))
 
 
 def word_hashes(raw: bytes) -> np.ndarray:
-    """A hash of each word, cut at space and \\x09-\\x0D: differences of one running sum over the text's bytes."""
-    if len(raw) > PART:
-        parts = _parts(raw)
-        if len(parts) > 1:
-            return np.concatenate([word_hashes(p) for p in parts])
-    b = np.frombuffer(raw, np.uint8)
-    if not len(b):
-        return np.zeros(0, np.uint64)
-    edge = np.flatnonzero(np.diff(np.concatenate([[True], SPACE[b], [True]]).view(np.int8)))
-    start, end = edge[::2], edge[1::2]
-    sums = np.zeros(len(b) + 1, np.uint64)
-    np.cumsum(BYTES[b] * UP(len(b)), out=sums[1:])
-    return mixed((sums[end] - sums[start]) * DOWN(len(b) + 1)[start]) ^ (end - start).astype(np.uint64)
-
-
-def _parts(raw: bytes) -> list[bytes]:
-    """The words in parts of about half of PART, or of one word that is longer."""
-    out: list[bytes] = []
-    held: list[bytes] = []
-    size = 0
-    for w in raw.split():
-        if held and size + len(w) > PART // 2:
-            out.append(b" ".join(held))
-            held, size = [], 0
-        held.append(w)
-        size += len(w) + 1
-    return [*out, b" ".join(held)]
+    """A hash of each word, cut at space and \\x09-\\x0D, which is what bytes.split() does."""
+    return np.concatenate([np.zeros(0, np.uint64), *(np.fromiter(map(xxhash.xxh3_64_intdigest, p.split()), np.uint64) for p in parts(raw))])
+
+
+def parts(raw: bytes, size: int = PART) -> Iterator[bytes]:
+    """raw in parts of about that size, cut at white space."""
+    at = 0
+    while len(raw) - at > size and (gap := SPACE.search(raw, at + size)):
+        yield raw[at : gap.start()]
+        at = gap.start()
+    yield raw[at:]
 
 
 def runs(words: np.ndarray, size: int) -> np.ndarray:
-    """A hash of each run of so many words, by its start."""
+    """A hash of each run of so many words, by its start: a polynomial over hashes that are no polynomials themselves."""
     n = max(0, len(words) - size + 1)
     h = np.zeros(n, np.uint64)
     for k in range(size):
