@@ -4,8 +4,8 @@ A window is SIZE consecutive words of one document; a word goes if a window that
 starting anywhere else. Windows are gathered into segments, the runs of windows with one minimizer (the least hash
 of K words in the window), so that equal windows have equal minimizers and meet in one shard.
 
-1. Segments whose minimizer no other segment has are done. Equal segments are one, which stands for its places; where no
-   different one has its minimizer, either all of its windows are repeated or none is.
+1. Segments whose minimizer no other segment has are done. Equal segments are one, which stands for its places; all that have
+   several places, or share their minimizer with different ones, go on.
 2. Each shard indexes its distinct segments once, and streams all of them against the index: backward search over a
    wavelet matrix gives how far each match that stands for several places reaches, and intervals of SIZE words or more are
    reported.
@@ -197,14 +197,14 @@ def repeated_parts(docs: DataFrame) -> DataFrame:
     distinct = durable(_distinct(hits), "segments")
     kinds = distinct.groupBy("least").agg(F.count("*").alias("k"), F.max("twice").alias("any"))
     kinds = durable(distinct.join(kinds, "least"), "kinds")
-    # a segment that is alone under its minimizer needs no index, unless it may repeat within itself
-    alone = kinds.where("k = 1 AND NOT any AND places > 1").select("least", "whole", F.lit(None).cast("binary").alias("mask"))
-    flags = alone.unionByName(search(contents(_cut(named, kinds.where(f"(k > 1 OR any) AND k <= {HOT}"))), 2 * n))
+    # a segment that is alone under its minimizer is looked up, too, if it has several places: the index stands for them all
+    flags = search(contents(_cut(named, kinds.where(f"(k > 1 OR any OR places > 1) AND k <= {HOT}"))), 2 * n)
     hot = kinds.where(F.col("k") > HOT)
     if not hot.isEmpty():
         flags = flags.unionByName(_hot_flags(named, hot, 2 * n))
     marked = hits.join(flags, ["least", "whole"]).groupBy("doc_id", "th")
-    return durable(marked.agg(F.collect_list(F.struct("start", "windows", "mask")).alias("parts")), "marked")
+    # a set, as repeated rows of a document have the same segments in the same places
+    return durable(marked.agg(F.collect_set(F.struct("start", "windows", "mask")).alias("parts")), "marked")
 
 
 def _cut(named: DataFrame, wanted: DataFrame) -> DataFrame:
