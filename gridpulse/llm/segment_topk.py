@@ -13,7 +13,8 @@ candidates; each task passes on only k rows a query, which one window merges.
 Defined results: vectors that are null, or hold a null or non-finite component, take no part; vectors of
 other lengths than the query's aren't compared with it; an empty vector's products are 0; a candidate row
 repeated under its vec_id counts each time; of query rows that share a vec_id the smallest vector is the
-query; ties go to the smaller vec_id. Products are summed in 64-bit integers.
+query; ties go to the smaller vec_id. Products are summed in 64-bit integers, modulo 2^64 where components are so large
+that a product leaves their range.
 """
 
 from __future__ import annotations
@@ -22,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -143,17 +145,18 @@ def top_k(rows: DataFrame, every: int = 100, k: int = 10, id_col: str = "vec_id"
     turns = max(1, -(-size["words"] * 8 // TURN))
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     narrow = lambda df: df.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
-    parts = [_turn(used, asked.where(F.pmod(F.xxhash64("vec_id"), F.lit(turns)) == t), k) for t in range(turns)]
-    if turns > 1:  # what each turn found is written, so that a plan holds one turn
-        parts = [durable(narrow(p).drop("rank"), "turn") for p in parts]
-    found = parts[0]
-    for p in parts[1:]:
-        found = found.unionByName(p)
+    found = None
+    for t in range(turns):
+        part, queries = _turn(used, asked.where(F.pmod(F.xxhash64("vec_id"), F.lit(turns)) == t), k)
+        if turns > 1:  # what a turn finds is written and its queries are dropped everywhere before the next begins
+            part = durable(narrow(part).drop("rank"), "turn")
+            queries.destroy()
+        found = part if found is None else found.unionByName(part)
     return narrow(found).select("query_id", "rank", "vec_id", "score")
 
 
-def _turn(used: DataFrame, asked: DataFrame, k: int) -> DataFrame:
-    """(query_id, vec_id, score): each task's best for the queries of one turn, whose bytes are bounded."""
+def _turn(used: DataFrame, asked: DataFrame, k: int) -> tuple[DataFrame, Broadcast]:
+    """(query_id, vec_id, score), each task's best for the queries of one turn; and these queries, whose bytes are bounded."""
     table = asked.select("vec_id", "v").toArrow().combine_chunks()
     own: dict[int, list] = {}
     for dim, ids, q in blocks(iter(table.to_batches()), QUERY_ROWS):
@@ -174,4 +177,4 @@ def _turn(used: DataFrame, asked: DataFrame, k: int) -> DataFrame:
                 data = np.repeat(s.ids, n), np.concatenate(s.best[1]), np.concatenate(s.best[0])
                 yield pa.RecordBatch.from_arrays(list(map(pa.array, data)), names=["query_id", "vec_id", "score"])
 
-    return used.mapInArrow(lean(run), "query_id long, vec_id long, score long")
+    return used.mapInArrow(lean(run), "query_id long, vec_id long, score long"), queries
