@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridpulse.llm.common import durable, lean, partitions
+from gridpulse.llm.common import durable, first_by_hash, lean, partitions
 from gridpulse.llm.segment_topk import usable
 
 CURVES, DIMS, BITS = 10, 8, 7
@@ -229,9 +229,10 @@ def cosine(a: np.ndarray, b: np.ndarray) -> float:
 def fitted(vectors: DataFrame, k: int, target: float) -> tuple[dict[int, Curves], int]:
     """The curves by length of vector, with their number of cells, and how many cells away a query looks."""
     n = vectors.count()
-    sample = vectors.select("cid", "v").orderBy(F.xxhash64("cid")).limit(SAMPLE).toArrow().combine_chunks()
+    sample = first_by_hash(vectors.select("cid", "v"), "cid", SAMPLE, n).toArrow().combine_chunks()
     curves = {dim: Curves(_unit(x)) for batch in sample.to_batches() for dim, _, x in _groups(batch)}
-    probes = vectors.where("asks").select("cid", "v").orderBy(F.xxhash64("cid")).limit(PROBES).toArrow().combine_chunks()
+    asked = vectors.where("asks").select("cid", "v")
+    probes = first_by_hash(asked, "cid", PROBES, asked.count()).toArrow().combine_chunks()
     by_dim = {dim: (batch.column(0).to_numpy()[at], _unit(x)) for batch in probes.to_batches() for dim, at, x in _groups(batch)}
     for dim, own in by_dim.items():
         curves.setdefault(dim, Curves(own[1]))

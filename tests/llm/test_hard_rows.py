@@ -6,8 +6,10 @@ import time
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from gridpulse.llm import bpe_codec, hilbert_ann, licence_scan, ngram_join, pii_scan, quality_mil, secret_scan, segment_topk, substring_dedup
+from gridpulse.llm import bpe_codec, hilbert_ann, licence_scan, ngram_join, pii_scan, quality_mil, secret_scan, segment_topk, shingles, substring_dedup
+from gridpulse.llm.common import first_by_hash
 from gridpulse.llm.queries import vocabulary
 
 RANDOM = "ABCDEFGHabcdefgh0123456789+/"
@@ -92,16 +94,75 @@ def test_passages_to_learn_from_are_bounded():
 
 
 def test_columns_may_have_any_names(spark, model):
-    names = ["row", "body", "base", "token", "edges", "ids", "rules", "th", "parts", "_key", "_row", "clean", "changed", "all", "n", "cls", "least", "kept"]
+    names = ["row", "body", "base", "token", "edges", "ids", "rules", "th", "parts", "_key", "_row", "clean", "changed", "all", "n", "cls", "least", "kept", "_score", "y", "found", "there", "a.b", "c0"]
     text = " ".join(f"w{i}" for i in range(60))
     rows = [(i, text, 1, *range(len(names))) for i in (1, 2)]
     df = spark.createDataFrame(rows, ["doc_id", "text", "n_chars", *names])
     for out in (secret_scan.redact_secrets(df, model), substring_dedup.without_repeats(df), ngram_join.keep_one(df), quality_mil.keep_good(df, spark.createDataFrame([], "doc_id long, quality int"))):
         assert out.columns == df.columns and all(tuple(r)[3:] == tuple(range(len(names))) for r in out.collect())
-    for out in (secret_scan.find_secrets(df, model), licence_scan.find_licences(df), pii_scan.find_personal_data(df), bpe_codec.encode(df, vocabulary()), substring_dedup.drop_repeats(df)):
+    for out in (secret_scan.find_secrets(df, model), licence_scan.find_licences(df), pii_scan.find_personal_data(df), bpe_codec.encode(df, vocabulary()), substring_dedup.drop_repeats(df), quality_mil.score(df, None)):
         assert [r["th"] for r in out.collect()] == [names.index("th")] * 2
 
 
+def test_numbers_of_any_length_are_scanned():
+    long = "0" * 5000
+    assert pii_scan.scan("1.2.3." + long) == [("ip", 0, 5006)] and pii_scan.scan("1.2.3.4" + long) == [] and pii_scan.scan(f"{long}1.2.3.255") == [("ip", 0, 5009)]
+    assert pii_scan.scan("4" * 5000) == [] and pii_scan.scan("iban: DE44" + "1 " * 3000) == [] and pii_scan.scan("+1" + "2" * 5000) == []
+
+
+def opposite(n):
+    """Two words of a and b, of 2^n letters, which no polynomial modulo 2^64 with an odd factor tells apart from n = 11 on."""
+    x, y = "a", "b"
+    for _ in range(n):
+        x, y = x + y, y + x
+    return x, y
+
+
+def test_words_that_polynomials_mistake(spark):
+    x, y = opposite(11)
+    assert shingles.word_hashes(x.encode())[0] != shingles.word_hashes(y.encode())[0]
+    df = spark.createDataFrame([(1, x), (2, y), (3, f"a b c d {x} e f g h"), (4, f"a b c d {y} e f g h")], "doc_id long, text string")
+    assert {r["doc_id"]: r["component_id"] for r in ngram_join.join_components(df).collect()} == {1: 1, 2: 2, 3: 3, 4: 4}
+    one, other = (" ".join([z] * 20 + [f"v{i}" for i in range(20)]) for z in (x, y))
+    df = spark.createDataFrame([(1, one), (2, other)], "doc_id long, text string")
+    assert [r["n_removed"] for r in substring_dedup.report(df).collect()] == [0, 0]
+
+
+def test_hashes_of_words_in_parts():
+    raw = " a\t\x0bbb  ccc\n é ".encode() * 50 + b"x" * 300
+    whole = shingles.word_hashes(raw)
+    for size in (1, 2, 7, 100, 10_000):
+        assert [w for p in shingles.parts(raw, size) for w in p.split()] == raw.split() and len(whole) == len(raw.split())
+
+
+def test_equal_rows_take_time_in_proportion(spark):
+    text = " ".join(f"w{i}" for i in range(400))
+    df = spark.range(20_000).select(F.when(F.col("id") < 0, F.col("id")).alias("doc_id"), F.lit(text).alias("text")).repartition(4)
+    parts = substring_dedup.repeated_parts(df).selectExpr("size(parts) AS n").collect()
+    assert len(parts) == 1 and parts[0]["n"] < 400
+    got = substring_dedup.report(df).groupBy("doc_id", "n_words", "n_removed").count().collect()
+    assert [tuple(r) for r in got] == [(None, 400, 400, 20_000)]
+
+
+def test_one_row_of_a_document_is_learned_from(spark):
+    good, bad = "The old house stood by the river. " * 20, "$$$ %% buy now !!! ### " * 20
+    rows = [(2, good), *[(3, bad)] * 500, (5, good), (6, bad), (8, good), (9, bad)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 3 == 2)) for i in range(10)], "doc_id long, quality int")
+    one = quality_mil.train(docs, labels)
+    again = quality_mil.train(docs.dropDuplicates(), labels)
+    assert all(np.array_equal(one.p[k], again.p[k]) for k in one.p)
+    none = quality_mil.report(spark.createDataFrame([(None, good)], "doc_id long, text string"), labels).first()
+    assert none["held_out"] is False
+
+
+def test_first_rows_by_hash(spark):
+    df = spark.range(5000)
+    for most in (1, 50, 4000, 9000):
+        want = [r[0] for r in df.orderBy(F.xxhash64("id"), "id").limit(most).collect()]
+        assert [r[0] for r in first_by_hash(df, "id", most, 5000).collect()] == want
+
+
 def test_one_of_repeated_rows_stays(spark):
     text = " ".join(f"w{i}" for i in range(60))
     df = spark.createDataFrame([(3, text), (3, text), (3, text), (4, text + " x"), (5, ""), (5, "")], "doc_id long, text string").repartition(3)
