@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridpulse.functions import exprs
-from gridpulse.operators import ranks
-from gridpulse.schema import holds
+from gridpulse.operators import ranks, scans
+from gridpulse.schema import Cut, holds
 
 BAND, PRE_WINDOW = 100.0, 60.0
 
@@ -18,24 +18,20 @@ def _w(keys: Sequence[str], order: str = "idx"):
     return Window.partitionBy(*keys).orderBy(order)
 
 
-def index_samples(df: DataFrame, keys: Sequence[str], ts_min: str, order: str, value: str) -> DataFrame:
+def index_samples(df: DataFrame, keys: Sequence[str], ts_min: str, order: str, value: str, cut: Cut = Cut()) -> DataFrame:
     """Samples in time order: keys, idx (from 0), ts_min, value."""
-    w = Window.partitionBy(*keys).orderBy(ts_min, order)
-    return df.select(*keys, (F.row_number().over(w) - 1).cast("long").alias("idx"), F.col(ts_min).alias("ts_min"), F.col(value).alias("value"))
+    rows = scans.scan(df, keys, [ts_min, order], {"_n": scans.sum_upto(F.lit(1))}, cut.minutes)
+    return rows.select(*keys, (F.col("_n") - 1).cast("long").alias("idx"), F.col(ts_min).alias("ts_min"), F.col(value).alias("value"))
 
 
-def rising_crossings(samples: DataFrame, keys: Sequence[str], band: float = BAND) -> DataFrame:
+def rising_crossings(samples: DataFrame, keys: Sequence[str], band: float = BAND, cut: Cut = Cut()) -> DataFrame:
     """Rows where the value comes to the band from below, later than the row before, and the first later row below it."""
-    w = _w(keys)
     below = F.when(F.col("value") < band, F.struct("idx", "ts_min"))
-    # read backwards, the last such row is the first one later; Spark would start a frame that follows anew at each row
-    rec = F.last(below, ignorenulls=True).over(Window.partitionBy(*keys).orderBy(F.desc("idx")).rowsBetween(Window.unboundedPreceding, -1))
-    rows = samples.select(
-        *keys, "idx", "ts_min", "value", F.lag("value").over(w).alias("pv"), F.lag("ts_min").over(w).alias("pt"), rec.alias("r")
-    ).where((F.col("ts_min") > F.col("pt")) & (F.col("pv") < band) & (F.col("value") >= band))
-    n = F.row_number().over(_w(keys))
+    rows = scans.scan(samples, keys, ["idx"], {"_p": scans.previous(F.struct("value", "ts_min")), "r": scans.next_present(below)}, cut.steps)
+    rows = rows.where((F.col("ts_min") > F.col("_p.ts_min")) & (F.col("_p.value") < band) & (F.col("value") >= band))
+    rows = scans.scan(rows.drop("_p"), keys, ["idx"], {"_n": scans.sum_upto(F.lit(1))}, cut.steps)
     return rows.select(
-        *keys, n.cast("long").alias("event_id"), F.col("idx").alias("crossing_index"), F.col("ts_min").alias("crossing_ts"),
+        *keys, F.col("_n").cast("long").alias("event_id"), F.col("idx").alias("crossing_index"), F.col("ts_min").alias("crossing_ts"),
         F.col("r.idx").alias("recovery_index"), F.col("r.ts_min").alias("recovery_ts"),
     )
 
@@ -57,7 +53,7 @@ def normal_zones(samples: DataFrame, zones: DataFrame, keys: Sequence[str]) -> D
     return before.unionByName(after).where("span_end > span_start")
 
 
-def zone_index(samples: DataFrame, zones: DataFrame, keys: Sequence[str]) -> DataFrame:
+def zone_index(samples: DataFrame, zones: DataFrame, keys: Sequence[str], cut: Cut = Cut()) -> DataFrame:
     """samples with event_id of the zone (start, recovery] they lie in, or NULL, and the zone's crossing_ts.
 
     Zones of a stream don't overlap and come in order, so the last zone that starts before a sample is the only one that can
@@ -69,9 +65,9 @@ def zone_index(samples: DataFrame, zones: DataFrame, keys: Sequence[str]) -> Dat
     )
     rows = samples.withColumn("_kind", F.lit(0))
     # a sample at a zone's very start lies outside, so samples come before marks of the same time
-    w = Window.partitionBy(*keys).orderBy("ts_min", "_kind", F.coalesce("idx", F.col("_z.event_id")))
-    merged = rows.unionByName(marks, allowMissingColumns=True)
-    merged = merged.withColumn("_z", F.last("_z", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))).where("_kind = 0")
+    merged = rows.unionByName(marks, allowMissingColumns=True).withColumnsRenamed({"_kind": "_mark", "_z": "_opened"})
+    order = ["ts_min", "_mark", F.coalesce("idx", F.col("_opened.event_id"))]
+    merged = scans.scan(merged, keys, order, {"_z": scans.last_upto(F.col("_opened"))}, cut.minutes).where("_mark = 0")
     inside = F.col("_z").isNotNull() & (F.col("_z.recovery_ts").isNull() | (F.col("ts_min") <= F.col("_z.recovery_ts")))
     pick = lambda c: F.when(inside, F.col(f"_z.{c}")).alias(c)
     return merged.select(*samples.columns, pick("event_id"), pick("crossing_ts"))

@@ -8,24 +8,25 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridpulse.functions import exprs
+from gridpulse.operators import scans
 from gridpulse.operators.policies import apply_policy
 from gridpulse.schema import Channel, holds
 
 
 def islands(df: DataFrame, active: Column, breaks: Column, channel: Channel, name: str = "island") -> DataFrame:
     """Active rows with the number of their run in the stream: a run ends at an inactive row, or before a row that breaks."""
-    w = channel.window()
-    marked = df.withColumn("_on", holds(active))
-    fresh = F.col("_on") & (~F.coalesce(F.lag("_on").over(w), F.lit(False)) | holds(breaks))
-    marked = marked.withColumn("_fresh", fresh)
-    run = F.sum(F.col("_fresh").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    return marked.withColumn(name, run).where("_on").drop("_on")
+    order, cut = [channel.ts, channel.order], channel.cut.minutes
+    marked = scans.scan(df.withColumn("_on", holds(active)), channel.keys, order, {"_was": scans.previous(F.col("_on"))}, cut)
+    fresh = F.col("_on") & (~F.coalesce("_was", F.lit(False)) | holds(breaks))
+    marked = marked.withColumn("_fresh", fresh).drop("_was")
+    return scans.scan(marked, channel.keys, order, {name: scans.sum_upto(F.col("_fresh").cast("int"))}, cut).where("_on").drop("_on")
 
 
 def primitive_events(df: DataFrame, flag: str, gap_minutes: float = 30.0, channel: Channel = Channel()) -> DataFrame:
     """Runs of flag == 1 on the first record of each time, with no step longer than the gap."""
     rows = apply_policy(df, "P2_first", channel).select(*channel.keys, channel.ts, channel.order, F.col(flag).alias("_flag"))
-    rows = rows.withColumn("_dt", exprs.between_minutes(F.lag(channel.ts).over(channel.window()), channel.ts))
+    rows = scans.scan(rows, channel.keys, [channel.ts, channel.order], {"_before": scans.previous(F.col(channel.ts))}, channel.cut.minutes)
+    rows = rows.withColumn("_dt", exprs.between_minutes("_before", channel.ts)).drop("_before")
     runs = islands(rows, F.col("_flag") == 1, F.col("_dt") > gap_minutes, channel)
     return runs.groupBy(*channel.keys, "island").agg(
         F.min(channel.ts).alias("start"), F.max(channel.ts).alias("end"), F.count("*").alias("n_samples"),

@@ -2,7 +2,8 @@
 
 The rules keep two values of a stream, the last accepted reading and its time. A reading is accepted when it is present
 and its time exceeds all earlier accepted times, so both values are running maxima and carries over the rows before, and
-no threshold takes part in them: they are computed once, however many configurations are evaluated.
+no threshold takes part in them: they are computed once, however many configurations are evaluated. A long stream is
+scanned in segments, if its channel tells how wide.
 """
 
 from __future__ import annotations
@@ -11,11 +12,11 @@ from collections.abc import Sequence
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridpulse.functions import exprs
-from gridpulse.operators import ranks
+from gridpulse.operators import ranks, scans
 from gridpulse.schema import Channel, holds
 
 FILTER_TYPES = ("rate", "range", "combined", "jump")
@@ -47,13 +48,14 @@ class Rule:
 
 
 def state(df: DataFrame, value: str, ts_min: str, channel: Channel) -> DataFrame:
-    """df with prev_v, prev_t: the rules' state before each row, in order of arrival."""
-    before = channel.arrival().rowsBetween(Window.unboundedPreceding, -1)
+    """df with prev_v, prev_t: the rules' state before each row, in order of arrival.
+
+    The last accepted row is the first of those with the greatest time so far, so the state is one running maximum.
+    """
     v, t = F.col(value), F.col(ts_min)
-    seen = F.max(F.when(v.isNotNull(), t)).over(before)
-    df = df.withColumn("prev_t", seen)
-    accepted = v.isNotNull() & (F.col("prev_t").isNull() | (t > F.col("prev_t")))
-    return df.withColumn("_accepted", accepted).withColumn("prev_v", F.last(F.when(F.col("_accepted"), v), ignorenulls=True).over(before)).drop("_accepted")
+    held = F.when(v.isNotNull() & t.isNotNull(), F.struct(t.alias("t"), (-F.col(channel.order)).alias("o"), v.alias("v")))
+    out = scans.scan(df, channel.keys, [channel.order], {"_state": scans.greatest_before(held)}, channel.cut.steps)
+    return out.select(*df.columns, F.col("_state.v").alias("prev_v"), F.col("_state.t").alias("prev_t"))
 
 
 def decide(value: Column, t: Column, prev_v: Column, prev_t: Column, kind: Column, gap: Column, resets: Column, rate_thr: Column, upper: Column, lower: Column, jump_thr: Column) -> Column:

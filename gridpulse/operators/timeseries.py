@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridpulse.functions import exprs
-from gridpulse.operators import ranks
+from gridpulse.operators import ranks, scans
 from gridpulse.operators.policies import apply_policy
 from gridpulse.schema import Channel, holds
 
@@ -16,8 +16,8 @@ LONG_GAPS = (30, 60, 1440)
 
 
 def interval_summary(df: DataFrame, channel: Channel = Channel()) -> DataFrame:
-    dt = exprs.between_minutes(F.lag(channel.ts).over(channel.window()), channel.ts)
-    d = df.select(dt.alias("dt")).where("dt IS NOT NULL")
+    rows = scans.scan(df.select(*channel.keys, channel.ts, channel.order), channel.keys, [channel.ts, channel.order], {"_p": scans.previous(F.col(channel.ts))}, channel.cut.minutes)
+    d = rows.select(exprs.between_minutes("_p", channel.ts).alias("dt")).where("dt IS NOT NULL")
     pos = F.when(F.col("dt") > 0, F.col("dt"))
     middle = ranks.quantiles(d, {"median_minutes": (pos, 0.5), "p95_minutes": (pos, 0.95), "p99_minutes": (pos, 0.99)})
     return d.agg(
@@ -29,8 +29,8 @@ def interval_summary(df: DataFrame, channel: Channel = Channel()) -> DataFrame:
 
 def onset_counts(df: DataFrame, flag: str, channel: Channel = Channel(), policy: str = "P2_first") -> DataFrame:
     rows = apply_policy(df, policy, channel)
-    prev = F.lag(flag).over(channel.window())
-    out = rows.select(F.col(flag).alias("f"), prev.alias("p")).agg(
+    rows = scans.scan(rows, channel.keys, [channel.ts, channel.order], {"_p": scans.previous(F.col(flag))}, channel.cut.minutes)
+    out = rows.select(F.col(flag).alias("f"), F.col("_p").alias("p")).agg(
         F.count_if(F.col("f") == 1).alias("n_active_rows"), F.count_if((F.col("p") == 0) & (F.col("f") == 1)).alias("onsets_0_to_1"),
         F.count_if((F.col("p") == 1) & (F.col("f") == 0)).alias("offsets_1_to_0"),
     )
@@ -60,15 +60,15 @@ def flag_transitions(df: DataFrame, flag: str, channel: Channel = Channel()) ->
 
 def rates(df: DataFrame, value: str, channel: Channel = Channel(), high: Column | None = None) -> DataFrame:
     """Rows with the step to the one before: dt, prev, rate (NULL where time does not pass), and whether either end is high."""
-    w = channel.window()
-    dt = exprs.between_minutes(F.lag(channel.ts).over(w), channel.ts)
-    prev = F.lag(value).over(w)
-    out = df.select(
-        *channel.keys, channel.ts, channel.order, F.col(value).alias("value"), dt.alias("dt_minutes"), prev.alias("prev_value"),
-        F.lag(channel.ts).over(w).alias("prev_ts"), F.lag(channel.order).over(w).alias("prev_order"),
-        exprs.safe_rate(F.col(value) - prev, dt).alias("rate_per_min"), *([holds(high).alias("_high")] if high is not None else []),
+    rows = df.select(*channel.keys, channel.ts, channel.order, F.col(value).alias("value"), *([holds(high).alias("_high")] if high is not None else []))
+    before = F.struct("value", channel.ts, channel.order, *(["_high"] if high is not None else []))
+    rows = scans.scan(rows, channel.keys, [channel.ts, channel.order], {"_p": scans.previous(before)}, channel.cut.minutes)
+    dt, prev = exprs.between_minutes(F.col("_p")[channel.ts], channel.ts), F.col("_p.value")
+    return rows.select(
+        *channel.keys, channel.ts, channel.order, "value", dt.alias("dt_minutes"), prev.alias("prev_value"),
+        F.col("_p")[channel.ts].alias("prev_ts"), F.col("_p")[channel.order].alias("prev_order"), exprs.safe_rate(F.col("value") - prev, dt).alias("rate_per_min"),
+        *(["_high", (F.col("_high") | F.coalesce("_p._high", F.lit(False))).alias("excursion")] if high is not None else []),
     )
-    return out if high is None else out.withColumn("excursion", F.col("_high") | F.coalesce(F.lag("_high").over(w), F.lit(False)))
 
 
 def rate_summary(df: DataFrame, value: str, high: Column, channel: Channel = Channel(), policy: str = "P2_first") -> DataFrame:

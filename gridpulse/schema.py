@@ -12,13 +12,22 @@ RAW_TS, PARSED_TS, RAW_LINE = "DeviceTimeStamp", "_ts", "_raw_line"
 META = (RAW_TS, PARSED_TS, RAW_LINE)
 
 
+@dataclass(frozen=True)
+class Cut:
+    """How wide the segments of a long stream are: minutes where it is ordered by time, steps of order where by arrival."""
+
+    minutes: float | None = None
+    steps: float | None = None
+
+
 @dataclass(frozen=True)
 class Channel:
-    """Which columns of a table make a stream: keys tell streams apart, order breaks ties of time."""
+    """Which columns of a table make a stream: keys tell streams apart, order breaks ties of time; cut is for streams that are long."""
 
     ts: str = PARSED_TS
     order: str = RAW_LINE
     keys: tuple[str, ...] = ()
+    cut: Cut = Cut()
 
     def window(self) -> WindowSpec:
         return Window.partitionBy(*self.keys).orderBy(self.ts, self.order)
