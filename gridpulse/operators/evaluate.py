@@ -104,11 +104,11 @@ def false_alarm_episodes(flagged: DataFrame, keys: Sequence[str], by: Sequence[s
 
 def evaluate(flagged: DataFrame, samples: DataFrame, zones: DataFrame, keys: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
     """Totals over all streams, by configuration: events detected, leads, false-alarm episodes and their rate."""
-    events = per_event(flagged, zones, keys, by).groupBy(*by).agg(
+    lead = F.when(F.col("detected"), F.col("lead_min"))
+    events = ranks.quantiles(per_event(flagged, zones, keys, by), {"_median": (lead, 0.5)}, by, [
         F.count("*").alias("events_total"), F.count_if("detected").alias("events_detected"), F.count_if("detected_in_zone").alias("events_detected_in_zone"),
-        F.bround(F.avg(F.when(F.col("detected"), F.col("lead_min"))), 3).alias("mean_lead_time_min"),
-        F.bround(F.percentile(F.when(F.col("detected"), F.col("lead_min")), F.lit(0.5)), 3).alias("median_lead_time_min"),
-    )
+        F.bround(F.avg(lead), 3).alias("mean_lead_time_min"),
+    ]).withColumn("_median", F.bround("_median", 3)).withColumnRenamed("_median", "median_lead_time_min")
     rows = flagged.groupBy(*by).agg(F.count_if(holds(F.col("flagged"))).alias("total_flagged_rows"), F.count_if(holds(F.col("data_anomaly"))).alias("data_anomaly_rows"))
     episodes = false_alarm_episodes(flagged, keys, by).groupBy(*by).agg(F.count("*").alias("false_alarm_episodes"))
     days = normal_zones(samples, zones, keys).agg((F.sum(F.col("span_end") - F.col("span_start")) / 1440.0).alias("normal_days"))
@@ -161,10 +161,9 @@ def sweep_totals(flagged: DataFrame, samples: DataFrame, zones: DataFrame, keys:
     rows_of = rows_of.join(left, [*by, "place"], "left").withColumn("false_alarm_episodes", F.col("_fresh") + F.coalesce("_left", F.lit(0)))
     hits = each.where(inside).groupBy(*stream, "place", "event_id").agg(F.min(ts).alias("ts"), F.min(F.when(ts <= F.col("crossing_ts"), ts)).alias("pre"), F.first("crossing_ts").alias("crossing_ts"))
     lead = F.when(F.col("pre").isNotNull(), F.col("crossing_ts") - F.col("ts"))
-    events = hits.groupBy(*by, "place").agg(
-        F.count("pre").alias("events_detected"), F.count("*").alias("events_detected_in_zone"),
-        F.bround(F.avg(lead), 3).alias("mean_lead_time_min"), F.bround(F.percentile(lead, F.lit(0.5)), 3).alias("median_lead_time_min"),
-    )
+    events = ranks.quantiles(hits.withColumn("_lead", lead), {"_median": (F.col("_lead"), 0.5)}, [*by, "place"], [
+        F.count("pre").alias("events_detected"), F.count("*").alias("events_detected_in_zone"), F.bround(F.avg("_lead"), 3).alias("mean_lead_time_min"),
+    ]).withColumn("_median", F.bround("_median", 3)).withColumnRenamed("_median", "median_lead_time_min")
     views = _views(flagged, samples, zones, keys, by)
     out = views.crossJoin(F.broadcast(configs)).join(rows_of, [*by, "place"], "left").join(events, [*by, "place"], "left")  # views x configurations
     zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)

@@ -63,12 +63,12 @@ def repeated_groups(df: DataFrame, sensors: Sequence[str], channel: Channel = Ch
 
 
 def conflict_summary(groups: DataFrame) -> DataFrame:
-    return groups.agg(
+    counts = [
         F.count("*").alias("repeated_groups"), F.count_if("identical_group").alias("identical_groups"),
         F.count_if(~F.col("identical_group")).alias("conflicting_groups"), F.count_if("flags_conflict").alias("groups_with_flag_conflicts"),
-        F.percentile("max_conflict_magnitude", F.lit(0.5)).alias("median_max_conflict_magnitude"),
         F.max("max_conflict_magnitude").alias("max_conflict_magnitude"), F.bool_and("raw_lines_adjacent").alias("all_groups_raw_line_adjacent"),
-    )
+    ]
+    return ranks.quantiles(groups, {"median_max_conflict_magnitude": (F.col("max_conflict_magnitude"), 0.5)}, also=counts)
 
 
 def duplicate_summary(groups: DataFrame, by: Sequence[str]) -> DataFrame:
@@ -90,8 +90,8 @@ def value_distribution(df: DataFrame, columns: Sequence[str]) -> DataFrame:
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("r", "v", "n"))), lambda x: F.format_string("%.4f:%d", x["v"], x["n"])), ";").alias("top_values")
     )
     shape = counts.groupBy("column").agg(F.count("*").alias("n_unique"), F.bool_and(F.col("v").isin(0.0, 1.0)).alias("_zero_one"))
-    quarters = ranks.quantiles(long, {"p25": (F.col("v"), 0.25), "median": (F.col("v"), 0.5), "p75": (F.col("v"), 0.75)}, ["column"])
-    stats = long.groupBy("column").agg(F.min("v").alias("min"), F.avg("v").alias("mean"), F.max("v").alias("max")).join(quarters, "column")
+    quarters = {"p25": (F.col("v"), 0.25), "median": (F.col("v"), 0.5), "p75": (F.col("v"), 0.75)}
+    stats = ranks.quantiles(long, quarters, ["column"], [F.min("v").alias("min"), F.avg("v").alias("mean"), F.max("v").alias("max")])
     kind = F.when(F.col("_zero_one") & (F.col("n_unique") == 2), "binary").when(F.col("n_unique") <= 30, "categorical").otherwise("continuous")
     return stats.join(shape, "column").join(top, "column").select("column", "n_unique", "min", "p25", "median", "mean", "p75", "max", kind.alias("behaviour"), "top_values")
 
@@ -120,8 +120,8 @@ def high_in_repeated(df: DataFrame, value: str, threshold: float, channel: Chann
 def band_unimodality(df: DataFrame, value: str, above: float = 50.0) -> DataFrame:
     """Values above a floor, by decade: how many bands hold over 0.5 %, in how many runs, and which is largest."""
     v = df.select(F.col(value).cast("double").alias("v")).where(F.col("v") > above)
-    n = v.agg(F.count("*").alias("n_values"))
-    stats = n.crossJoin(ranks.quantiles(v, {"p01": (F.col("v"), 0.01), "median": (F.col("v"), 0.5), "p99": (F.col("v"), 0.99)}))  # one row each
+    middle = {"p01": (F.col("v"), 0.01), "median": (F.col("v"), 0.5), "p99": (F.col("v"), 0.99)}
+    stats = ranks.quantiles(v, middle, also=[F.count("*").alias("n_values")])
     bands = v.groupBy(F.bround("v", -1).alias("band")).agg(F.count("*").alias("n"))
     share = F.col("n") / F.sum("n").over(Window.partitionBy())
     kept = bands.withColumn("share", share)
@@ -161,10 +161,9 @@ def power_approximation_errors(voltage: DataFrame, power: DataFrame, on: Sequenc
         exprs.absolute_error_pct(exprs.apparent_power_line(cols(v_line), cols(i)), F.col(kva)).alias("b"),
     )
     a, b = F.col("a"), F.col("b")
-    middle = ranks.quantiles(err, {
+    return ranks.quantiles(err, {
         "per_phase_sum_median_abs_err_pct": (a, 0.5), "per_phase_sum_p95_abs_err_pct": (a, 0.95), "sqrt3_median_abs_err_pct": (b, 0.5), "sqrt3_p95_abs_err_pct": (b, 0.95),
-    })
-    return err.agg(F.count("*").alias("n_compared")).crossJoin(middle)  # one row each
+    }, also=[F.count("*").alias("n_compared")])
 
 
 def correlation(df: DataFrame, a: str, b: str, normal: Column) -> DataFrame:

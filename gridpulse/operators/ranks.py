@@ -1,4 +1,4 @@
-"""Exact quantiles and running sums over many values, by ranges of their size: no task holds all distinct values."""
+"""Exact quantiles and running sums over many values: no task holds or orders all distinct values."""
 
 from __future__ import annotations
 
@@ -8,8 +8,12 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Ranges between a power of two and the next.
-STEPS = 256
+#: Ranges between a power of two and the next, and cells of a range.
+STEPS, CELLS = 256, 1024
+#: Of an approximate quantile: 1 / its relative error of rank, and how much of all ranks is searched on either side of it.
+ACCURACY, MARGIN = 100_000, 4e-5
+#: So many values are ordered without a search; beyond, MARGIN is more than two ranks.
+FEW = 1 << 16
 
 
 def magnitude(v: Column) -> Column:
@@ -18,12 +22,26 @@ def magnitude(v: Column) -> Column:
     return F.when(v == 0, F.lit(0).cast("long")).when(F.isnan(v), F.lit(1 << 40)).when(v > 0, size).otherwise(-size)
 
 
-def quantiles(df: DataFrame, wanted: Mapping[str, tuple[Column, float]], by: Sequence[str] = ()) -> DataFrame:
-    """by and, for each name of wanted, its column's exact quantile with linear interpolation; missing values don't count.
+def celled(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
+    """df with _b, the range of a value's size, and _s, its cell in it: equal parts between the range's least and greatest value.
 
-    Distinct values are counted with partial sums; counts of ranges find the range that holds a rank, and only that range's
-    values are ordered. Without by there is one row, with NULLs where a column has no value; with by, groups without any
-    value at all have no row.
+    Cells follow where the values are, so values close together are not one cell.
+    """
+    v = F.col(value).cast("double")
+    rows = df.withColumn("_b", magnitude(v))
+    ends = rows.groupBy(*by, "_b").agg(F.min(v).alias("_lo"), F.max(v).alias("_hi"))
+    part = (v - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * CELLS
+    cell = F.when(F.col("_hi") > F.col("_lo"), F.least(F.floor(part), F.lit(CELLS - 1))).otherwise(F.lit(0))
+    return rows.join(ends, [*by, "_b"]).withColumn("_s", F.coalesce(cell, F.lit(0)).cast("long")).drop("_lo", "_hi")
+
+
+def quantiles(df: DataFrame, wanted: Mapping[str, tuple[Column, float]], by: Sequence[str] = (), also: Sequence[Column] = ()) -> DataFrame:
+    """by, also, and for each name of wanted its column's exact quantile with linear interpolation; missing values don't count.
+
+    also: aggregates to compute in the first pass. It finds approximate quantiles a little below and above each wanted one, which
+    are known to enclose it; the second counts the values below, and by value those between, which are a share of MARGIN on
+    either side, or all if there are FEW; only these are ordered. Without by there is one row, with NULLs where a column has no
+    value; with by, groups without any value have no row, unless also asks for one.
     """
     columns: list[Column] = []
     place: dict[str, int] = {}
@@ -32,45 +50,55 @@ def quantiles(df: DataFrame, wanted: Mapping[str, tuple[Column, float]], by: Seq
         k = place.setdefault(str(c), len(columns))
         if k == len(columns):
             columns.append(c.cast("double"))
-        specs.append((k, len(specs), float(p), name))
-    one = F.explode(F.array(*[F.struct(F.lit(k).alias("c"), c.alias("v")) for k, c in enumerate(columns)]))
-    on = [*by, "_c"]
-    counts = df.select(*by, one.alias("_x")).select(*by, F.col("_x.c").alias("_c"), F.col("_x.v").alias("_v")).where("_v IS NOT NULL")
-    counts = counts.groupBy(*on, "_v").agg(F.count("*").alias("_n")).withColumn("_b", magnitude(F.col("_v")))
-    ranges = counts.groupBy(*on, "_b").agg(F.sum("_n").alias("_n"))
-    w = Window.partitionBy(*on).orderBy("_b")
-    ranges = ranges.select(
-        *on, "_b", "_n", (F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, 0)) - F.col("_n")).alias("_before"), F.sum("_n").over(Window.partitionBy(*on)).alias("_all")
-    )
-    asked = F.array(*[F.struct(F.lit(c).alias("c"), F.lit(i).alias("i"), F.lit(p).alias("p")) for c, i, p, _ in specs])
-    ranks = ranges.withColumn("_s", F.explode(F.filter(asked, lambda s: s["c"] == F.col("_c"))))
-    at = (F.col("_all") - 1) * F.col("_s.p")
-    ranks = ranks.withColumn("_at", at).withColumn("_r", F.explode(F.array_distinct(F.array(F.floor("_at"), F.ceil("_at")))))
-    ranks = ranks.where((F.col("_r") >= F.col("_before")) & (F.col("_r") < F.col("_before") + F.col("_n")))
-    ranks = ranks.select(*on, "_b", F.col("_s.i").alias("_i"), "_at", "_r", (F.col("_r") - F.col("_before")).alias("_k"))
-    held = counts.join(ranks.select(*on, "_b").distinct(), [*on, "_b"])
-    upto = F.sum("_n").over(Window.partitionBy(*on, "_b").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0))
-    held = held.withColumn("_upto", upto)
-    found = held.join(ranks, [*on, "_b"]).where((F.col("_k") < F.col("_upto")) & (F.col("_k") >= F.col("_upto") - F.col("_n")))
-    low, high = F.min_by("_v", "_r"), F.max_by("_v", "_r")
-    each = found.groupBy(*by, "_i").agg(low.alias("_lo"), high.alias("_hi"), F.max("_at").alias("_at"))
-    up = F.col("_at") - F.floor("_at")
-    value = F.when(F.col("_lo") == F.col("_hi"), F.col("_lo")).otherwise((1 - up) * F.col("_lo") + up * F.col("_hi"))
-    return each.withColumn("_q", value).groupBy(*by).agg(*[F.max(F.when(F.col("_i") == i, F.col("_q"))).alias(name) for _, i, _, name in specs])
+        specs.append((k, float(p), name))
+    top = F.lit(float("inf"))
+    whole = lambda c: F.nanvl(c, top)  # noqa: E731  NaN is as great as can be
+    edges = {k: sorted({e for c, p, _ in specs if c == k for e in (max(p - MARGIN, 0.0), min(p + MARGIN, 1.0))}) for k in range(len(columns))}
+    about = [F.percentile_approx(whole(c), edges[k], ACCURACY).alias(f"_a{k}") for k, c in enumerate(columns)]
+    first = df.groupBy(*by).agg(*also, *[F.count(c).alias(f"_n{k}") for k, c in enumerate(columns)], *about)
+    drop = [f"_{x}{k}" for k in range(len(columns)) for x in "na"]
+    told = first.select(*by, *drop)
+    values = df.select(*by, *[c.alias(f"_x{k}") for k, c in enumerate(columns)])
+    rows = values.join(told, list(by)) if by else values.crossJoin(F.broadcast(told))  # one row
+
+    def entry(i: int, k: int, p: float) -> Column:
+        """The value as an entry of the i-th quantile: itself if it lies between the edges, NULL if below."""
+        x, n = whole(F.col(f"_x{k}")), F.col(f"_n{k}")
+        edge = lambda q: F.get(f"_a{k}", F.lit(edges[k].index(q)))
+        low = F.when((n > FEW) & F.lit(p > MARGIN), edge(max(p - MARGIN, 0.0))).otherwise(F.lit(float("-inf")))
+        high = F.when((n > FEW) & F.lit(p < 1 - MARGIN), edge(min(p + MARGIN, 1.0))).otherwise(top)
+        return F.when(x <= high, F.struct(F.lit(i).alias("i"), n.alias("n"), F.lit(p).alias("p"), F.when(x >= low, F.col(f"_x{k}")).alias("v")))
+
+    entries = F.array_compact(F.array(*[entry(i, k, p) for i, (k, p, _) in enumerate(specs)]))
+    each = rows.select(*by, F.explode(entries).alias("_e")).select(*by, F.col("_e.i").alias("_i"), F.col("_e.v").alias("_v"), F.col("_e.n").alias("_all"), F.col("_e.p").alias("_p"))
+    counts = each.groupBy(*by, "_i", "_v").agg(F.count("*").alias("_n"), F.max("_all").alias("_all"), F.max("_p").alias("_p"))
+    upto = F.sum("_n").over(Window.partitionBy(*by, "_i").orderBy(F.asc_nulls_first("_v")).rowsBetween(Window.unboundedPreceding, 0))
+    counts = counts.withColumn("_upto", upto).withColumn("_at", (F.col("_all") - 1) * F.col("_p"))
+    at = lambda r: F.max(F.when((r < F.col("_upto")) & (r >= F.col("_upto") - F.col("_n")), F.col("_v")))
+    found = counts.groupBy(*by, "_i").agg(at(F.floor("_at")).alias("_lo"), at(F.ceil("_at")).alias("_hi"), F.max("_at").alias("_at"))
+    up, lost = F.col("_at") - F.floor("_at"), F.raise_error(F.lit("a quantile lies beyond its approximate edges")).cast("double")
+    value = F.when(F.col("_lo").isNull() | F.col("_hi").isNull(), lost).when(F.col("_lo") == F.col("_hi"), F.col("_lo")).otherwise((1 - up) * F.col("_lo") + up * F.col("_hi"))
+    last = found.withColumn("_q", value).groupBy(*by).agg(*[F.max(F.when(F.col("_i") == i, F.col("_q"))).alias(name) for i, (_, _, name) in enumerate(specs)])
+    if not also:
+        return last
+    out = first.drop(*drop)
+    return out.join(last, list(by), "left") if by else out.crossJoin(last)  # one row each
 
 
 def running(df: DataFrame, value: str, sums: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
     """df, which has a row for each value of a group, with up_to_<c>, the sum of c over the group's rows up to it, and all_<c>.
 
-    Ranges of values are summed first, so a window meets the ranges or one range's rows.
+    Ranges of values and their cells are summed first, so a window meets the ranges, a range's cells, or a cell's rows.
     """
-    rows = df.withColumn("_b", magnitude(F.col(value).cast("double")))
-    ranges = rows.groupBy(*by, "_b").agg(*[F.sum(c).alias(f"_{c}") for c in sums])
-    w, all_ = Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy(*by)
-    ranges = ranges.select(
-        *by, "_b", *[F.coalesce(F.sum(f"_{c}").over(w), F.lit(0)).alias(f"_before_{c}") for c in sums], *[F.sum(f"_{c}").over(all_).alias(f"all_{c}") for c in sums]
-    )
-    own = Window.partitionBy(*by, "_b").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.join(ranges, [*by, "_b"])
-    rows = reduce(lambda d, c: d.withColumn(f"up_to_{c}", F.col(f"_before_{c}") + F.sum(c).over(own)), sums, rows)
-    return rows.drop("_b", *[f"_before_{c}" for c in sums])
+    rows = celled(df, value, by)
+    add = lambda d, on: d.groupBy(*by, *on).agg(*[F.sum(c).alias(c) for c in sums])
+    before = lambda c, on, order: F.coalesce(F.sum(c).over(Window.partitionBy(*by, *on).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    cells = add(rows, ["_b", "_s"])
+    ranges = add(cells, ["_b"])
+    all_ = Window.partitionBy(*by)
+    ranges = ranges.select(*by, "_b", *[before(c, [], "_b").alias(f"_r_{c}") for c in sums], *[F.sum(c).over(all_).alias(f"all_{c}") for c in sums])
+    cells = cells.select(*by, "_b", "_s", *[before(c, ["_b"], "_s").alias(f"_c_{c}") for c in sums]).join(ranges, [*by, "_b"])
+    own = Window.partitionBy(*by, "_b", "_s").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.join(cells, [*by, "_b", "_s"])
+    rows = reduce(lambda d, c: d.withColumn(f"up_to_{c}", F.col(f"_r_{c}") + F.col(f"_c_{c}") + F.sum(c).over(own)), sums, rows)
+    return rows.drop("_b", "_s", *[f"_{x}_{c}" for c in sums for x in "rc"])

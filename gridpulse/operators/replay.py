@@ -42,10 +42,11 @@ def calibrate(df: DataFrame, value: str, cutoff: float, ts_min: str, channel: Ch
     df = df.where(F.col(ts_min) < cutoff - excluded)
     cal = guard_no_test_leakage(split_chronological(df, cutoff, ts_min)[0], cutoff, ts_min)
     pairs = valid_pairs(cal, value, channel)
+
     def limits(df: DataFrame, rules: dict, count: str) -> DataFrame:
         named = {f"{rule}|{variant}".replace(".", "_"): (column, q) for rule, (column, variants) in rules.items() for variant, q in variants.items()}
-        most = df.agg(F.count("*").alias(count), *[F.max(c).alias(name) for name, (c, q) in named.items() if q is None])
-        return most.crossJoin(ranks.quantiles(df, {name: (F.col(c), q) for name, (c, q) in named.items() if q is not None}))  # one row each
+        most = [F.count("*").alias(count), *[F.max(c).alias(name) for name, (c, q) in named.items() if q is None]]
+        return ranks.quantiles(df, {name: (F.col(c), q) for name, (c, q) in named.items() if q is not None}, also=most)
 
     steps = limits(pairs, {rule: x for rule, x in CAL_RULES.items() if x[0] != "value"}, "n_valid_pairs")
     values = limits(cal, {"F2_upper": (value, CAL_RULES["F2_upper"][1])}, "n_records")

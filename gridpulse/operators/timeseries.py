@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -19,12 +20,12 @@ def interval_summary(df: DataFrame, channel: Channel = Channel()) -> DataFrame:
     rows = scans.scan(df.select(*channel.keys, channel.ts, channel.order), channel.keys, [channel.ts, channel.order], {"_p": scans.previous(F.col(channel.ts))}, channel.cut.minutes)
     d = rows.select(exprs.between_minutes("_p", channel.ts).alias("dt")).where("dt IS NOT NULL")
     pos = F.when(F.col("dt") > 0, F.col("dt"))
-    middle = ranks.quantiles(d, {"median_minutes": (pos, 0.5), "p95_minutes": (pos, 0.95), "p99_minutes": (pos, 0.99)})
-    return d.agg(
+    counts = [
         F.count("*").alias("n_intervals"), F.count_if(F.col("dt") <= 0).alias("n_nonpositive_intervals"), F.count_if(F.col("dt") == 0).alias("n_zero_intervals"),
         F.min(pos).alias("min_minutes"), F.max(pos).alias("max_minutes"), F.avg(pos).alias("mean_minutes"),
         *[F.count_if(F.col("dt") > g).alias(f"n_intervals_gt_{g}min") for g in LONG_GAPS],
-    ).crossJoin(middle)  # fmt: skip  # one row each
+    ]
+    return ranks.quantiles(d, {"median_minutes": (pos, 0.5), "p95_minutes": (pos, 0.95), "p99_minutes": (pos, 0.99)}, also=counts)
 
 
 def onset_counts(df: DataFrame, flag: str, channel: Channel = Channel(), policy: str = "P2_first") -> DataFrame:
@@ -75,16 +76,16 @@ def rate_summary(df: DataFrame, value: str, high: Column, channel: Channel = Cha
     r = rates(apply_policy(df, policy, channel), value, channel, high).where("dt_minutes IS NOT NULL")
     rate, a = F.col("rate_per_min"), F.abs("rate_per_min")
     normal, exc = F.when(~F.col("excursion"), a), F.when(F.col("excursion"), a)
-    middle = ranks.quantiles(r, {
-        "rate_median_per_min": (rate, 0.5), "rate_p95_abs_per_min": (a, 0.95), "rate_p99_abs_per_min": (a, 0.99), "normal_mode_p99_abs_per_min": (normal, 0.99),
-    })
-    out = r.agg(
+    counts = [
         F.count(rate).alias("n_rates_computed"), F.count_if(rate.isNull()).alias("n_intervals_excluded_nonpositive_or_missing"),
         F.min(rate).alias("rate_min_per_min"), F.max(rate).alias("rate_max_per_min"), F.min(a).alias("rate_min_abs_per_min"),
         F.count(normal).alias("normal_mode_n_rates"), F.max(normal).alias("normal_mode_max_abs_per_min"),
         F.count(exc).alias("excursion_mode_n_rates"), F.max(exc).alias("excursion_mode_max_abs_per_min"),
-    )
-    return out.crossJoin(middle).select(F.lit(value).alias("value_column"), "*")  # one row each
+    ]
+    out = ranks.quantiles(r, {
+        "rate_median_per_min": (rate, 0.5), "rate_p95_abs_per_min": (a, 0.95), "rate_p99_abs_per_min": (a, 0.99), "normal_mode_p99_abs_per_min": (normal, 0.99),
+    }, also=counts)
+    return out.select(F.lit(value).alias("value_column"), "*")
 
 
 def top_rate_transitions(df: DataFrame, value: str, n: int = 30, threshold: float = 1.0, channel: Channel = Channel(), policy: str = "P2_first") -> DataFrame:
@@ -110,15 +111,19 @@ def autocorrelation(df: DataFrame, value: str, lags: Sequence[int], channel: Cha
 def value_gaps(df: DataFrame, value: str, min_gap: float) -> DataFrame:
     """Neighbouring distinct values further apart than min_gap, widest first.
 
-    Values are put in ranges by their size first; only each range's least and greatest value meet in one
-    ordering, and the number of ranges is bounded whatever the values.
+    Values are put in ranges by their size, and in cells of these. Only the values of a cell, the ends of a range's cells, and the
+    ends of the ranges, whose number is bounded whatever the values, meet in one ordering.
     """
     v = df.select(F.col(value).cast("double").alias("v")).where("v IS NOT NULL").distinct()
-    own = v.withColumn("b", ranks.magnitude(F.col("v")))
-    inside = own.withColumn("next", F.lead("v").over(Window.partitionBy("b").orderBy("v"))).select("v", "next")
-    ends = own.groupBy("b").agg(F.min("v").alias("lo"), F.max("v").alias("hi"))
-    across = ends.select(F.col("hi").alias("v"), F.lead("lo").over(Window.orderBy("b")).alias("next"))
-    found = inside.where("next IS NOT NULL").unionByName(across.where("next IS NOT NULL")).where(F.col("next") - F.col("v") > min_gap)
+    own = ranks.celled(v, "v")
+    cells = own.groupBy("_b", "_s").agg(F.min("v").alias("lo"), F.max("v").alias("hi"))
+    ranges = cells.groupBy("_b").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    steps = [
+        own.select("v", F.lead("v").over(Window.partitionBy("_b", "_s").orderBy("v")).alias("next")),
+        cells.select(F.col("hi").alias("v"), F.lead("lo").over(Window.partitionBy("_b").orderBy("_s")).alias("next")),
+        ranges.select(F.col("hi").alias("v"), F.lead("lo").over(Window.orderBy("_b")).alias("next")),
+    ]
+    found = reduce(DataFrame.unionByName, steps).where(F.col("next") - F.col("v") > min_gap)
     return found.select(
         F.col("v").alias("lower_observed_value"), F.col("next").alias("upper_observed_value"), (F.col("next") - F.col("v")).alias("gap_size"),
         F.lit(0).cast("long").alias("n_values_in_between_observed"),
