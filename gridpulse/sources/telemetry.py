@@ -9,7 +9,7 @@ from contextlib import contextmanager
 
 import pyarrow as pa
 import pyarrow.fs as pa_fs
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gridpulse.functions import exprs
@@ -17,18 +17,26 @@ from gridpulse.schema import PARSED_TS, RAW_LINE, RAW_TS
 
 
 def text_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(path, _raw_line, line) of text files, byte for byte and numbered from 1; for audited files that fit a task each."""
-    whole = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), "value")
-    lines = F.split("value", "\r?\n")
-    # a line end closes the last line and opens none
-    n = F.size(lines) - (F.element_at(lines, -1) == "").cast("int")
-    return whole.select("path", F.posexplode(F.slice(lines, F.lit(1), n)).alias("i", "line")).select("path", (F.col("i") + 1).cast("long").alias(RAW_LINE), "line")
+    """(path, _raw_line, line) of text files, byte for byte and numbered from 1, by file; a line's end is LF or CR LF.
+
+    A file is read in as many splits as it has. Each split's lines are counted first; running sums of the counts tell the
+    number of a split's first line, and a row's number in its task the rest. Both reads cut the files alike.
+    """
+    line = F.regexp_replace("value", "\r$", "")
+    at = F.monotonically_increasing_id()  # consecutive within a split
+    rows = spark.read.option("lineSep", "\n").text(path).select(
+        F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("_split"), at.alias("_at"), line.alias("line")
+    )
+    before = Window.partitionBy("path").orderBy("_split").rowsBetween(Window.unboundedPreceding, -1)
+    splits = rows.groupBy("path", "_split").agg(F.count("*").alias("_n"), F.min("_at").alias("_first"))  # a row for each split
+    splits = splits.select("path", "_split", (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first") + 1).alias("_shift"))
+    return rows.join(splits, ["path", "_split"]).select("path", (F.col("_at") + F.col("_shift")).cast("long").alias(RAW_LINE), "line")
 
 
 def read_table(spark: SparkSession, path: str, sensors: Sequence[str], numbered: bool = True, strict: bool = True) -> DataFrame:
     """A telemetry CSV: text as it stands, strictly parsed times, sensors as numbers (missing if they aren't).
 
-    numbered: with exact line numbers, by file; else with Spark's splittable reader, and no line numbers.
+    numbered: with exact line numbers, by file, for which the files are read twice; else without line numbers.
     """
     schema = ", ".join(f"`{c}` string" for c in (RAW_TS, *sensors))
     if numbered:

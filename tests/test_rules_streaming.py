@@ -1,11 +1,15 @@
 """The rules as window expressions against a sequential reading of the contract, and as a stream."""
 
 import random
+import time
 
+import numpy as np
+import pandas as pd
 import pytest
+
 from gridpulse.operators import rules
 from gridpulse.schema import Channel
-from gridpulse.streaming.rules import state_of, step, stream_rule
+from gridpulse.streaming.rules import columns, decide_array, state_of, step, stream_rule
 
 CONFIGS = [
     rules.Rule(kind, x, 60.0, b)
@@ -97,3 +101,35 @@ def test_stream_is_reset_and_inspected(spark, tmp_path):
     assert q.awaitTermination(180)
     assert {r["seq"]: (r["flagged"], r["note"]) for r in spark.table("reset_rows").collect()} == {0: (False, "first"), 1: (True, ""), 2: (False, "first"), 3: (False, "first"), 4: (False, "missing")}
     assert [tuple(r) for r in state_of(spark, str(tmp_path / "cp")).collect()] == [("a", 10.0, 30.0)]
+
+
+@pytest.mark.parametrize("rule", CONFIGS, ids=lambda r: f"{r.filter_type}-{r.gap_behavior}")
+@pytest.mark.parametrize("chunk", [1, 7, 1000])
+def test_arrays_decide_as_single_readings_do(rule, chunk):
+    r = random.Random(8)
+    rows = [(v, t, r.random() < 0.03) for _, _, v, t in _rows(500, 3)] + [(v, t, False) for v, t in EDGES]
+    held, state = None, None
+    for at in range(0, len(rows), chunk):
+        some = pd.DataFrame([(k, *x) for k, x in enumerate(rows[at : at + chunk])], columns=["seq", "value", "ts_min", "reset"])
+        _, value, t, reset = columns(some)
+        out, held = decide_array(rule, value, t, reset, held)
+        for k, (v, ts, clear) in enumerate(rows[at : at + chunk]):
+            want, state = step(rule, v, ts, None if clear else state)
+            assert all(map(_same, [out[c][k] for c in ("flagged", "reason", "rate", "jump", "data_anomaly", "state_updated", "note")], want)), (at + k, rows[at + k])
+        assert held == state
+
+
+def test_a_key_of_a_million_rows_in_one_batch():
+    n = 1_000_000
+    rng = np.random.default_rng(1)
+    value, t = rng.integers(0, 130, n).astype(float), np.cumsum(rng.integers(0, 9, n)).astype(float)
+    rule = rules.Rule("jump", {"jump": 60.0})
+    start = time.time()
+    whole, end = decide_array(rule, value, t, np.zeros(n, bool), None)
+    assert time.time() - start < 20
+    held, parts = None, []
+    for at in range(0, n, 1 << 16):
+        cut = slice(at, at + (1 << 16))
+        out, held = decide_array(rule, value[cut], t[cut], np.zeros(len(value[cut]), bool), held)
+        parts.append(out["flagged"])
+    assert held == end and np.array_equal(np.concatenate(parts), whole["flagged"]) and whole["flagged"].sum() > 100_000
