@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridpulse.functions import exprs
-from gridpulse.operators import scans
+from gridpulse.operators import ranks, scans
 from gridpulse.operators.policies import apply_policy
 from gridpulse.schema import Channel, holds
 
@@ -50,27 +50,48 @@ def merge_events(events: DataFrame, tolerance_minutes: float, keys: Sequence[str
     ).select(*by, "start", "end", "n_samples", "n_primitive_events", exprs.between_minutes("start", "end").alias("duration_minutes"))
 
 
+def atoms(df: DataFrame, flags: Sequence[str], gap: float, channel: Channel) -> DataFrame:
+    """The leaves of the tree of events: keys, flag, start, end, n, and the link to the leaf before: adjacent, apart.
+
+    A leaf is a run of active rows, on the first record of each time, without a step longer than the gap. adjacent: no inactive row lies
+    between it and the leaf before, which ended apart minutes earlier; NULL if it is the first.
+    """
+    order, cut = [channel.ts, channel.order], channel.cut.minutes
+    rows = apply_policy(df, "P2_first", channel).select(*channel.keys, channel.ts, channel.order, *[holds(F.col(f) == 1).alias(f"_on{i}") for i, f in enumerate(flags)])
+    on = [f"_on{i}" for i in range(len(flags))]
+    rows = scans.scan(rows, channel.keys, order, {"_p": scans.previous(F.struct(*on)), **{f"_t{i}": scans.last_before(F.when(F.col(c), F.col(channel.ts))) for i, c in enumerate(on)}}, cut)
+    active = F.array_compact(F.array(*[F.when(F.col(c), F.struct(F.lit(f).alias("flag"), F.col("_p")[c].alias("adjacent"), F.col(f"_t{i}").alias("before"))) for i, (c, f) in enumerate(zip(on, flags))]))
+    steps = rows.select(*channel.keys, channel.ts, channel.order, F.explode(active).alias("_a")).select(*channel.keys, channel.ts, channel.order, "_a.*")
+    steps = steps.withColumn("apart", exprs.between_minutes("before", channel.ts))
+    steps = steps.withColumn("_fresh", F.col("apart").isNull() | ~F.col("adjacent") | (F.col("apart") > gap))
+    runs = scans.scan(steps, (*channel.keys, "flag"), order, {"leaf": scans.sum_upto(F.col("_fresh").cast("int"))}, cut)
+    first = lambda c: F.max(F.when(F.col("_fresh"), F.col(c))).alias(c)
+    return runs.groupBy(*channel.keys, "flag", "leaf").agg(F.min(channel.ts).alias("start"), F.max(channel.ts).alias("end"), F.count("*").alias("n"), first("adjacent"), first("apart"))
+
+
 def event_sensitivity(df: DataFrame, flags: Sequence[str], gaps: Sequence[float], tolerances: Sequence[float], channel: Channel = Channel()) -> DataFrame:
     """Counts and durations of events for each flag, gap and tolerance; a tolerance of 0 or less leaves events unmerged.
 
-    All gaps and tolerances go through one pass: the grid is exploded on the rows and becomes part of the key.
+    Rows are read once, whatever the grid: they make the leaves of a tree in which runs join at the time between them, and each gap
+    and tolerance is a cut of it. A link holds events apart if it is longer than the gap or has inactive rows in it, and longer than
+    the tolerance.
     """
-    rows = apply_policy(df, "P2_first", channel)
-    long = rows.select(*channel.keys, channel.ts, channel.order, *flags).unpivot([*channel.instant(), channel.order], list(flags), "flag", "_flag")
-    grid = Channel(channel.ts, channel.order, (*channel.keys, "flag"))
-    long = long.withColumn("_dt", exprs.between_minutes(F.lag(channel.ts).over(grid.window()), channel.ts))
-    long = long.withColumn("gap", F.explode(F.array(*[F.lit(float(g)) for g in gaps])))
-    grid = Channel(channel.ts, channel.order, (*channel.keys, "flag", "gap"))
-    runs = islands(long, F.col("_flag") == 1, F.col("_dt") > F.col("gap"), grid)
-    events = runs.groupBy(*grid.keys, "island").agg(F.min(channel.ts).alias("start"), F.max(channel.ts).alias("end"), F.count("*").alias("n"))
-    events = events.withColumn("tol", F.explode(F.array(*[F.lit(float(t)) for t in tolerances])))
-    w = Window.partitionBy(*grid.keys, "tol").orderBy("start")
-    apart = exprs.between_minutes(F.lag("end").over(w), "start")
-    events = events.withColumn("_fresh", (apart.isNull() | (F.col("tol") <= 0) | (apart > F.col("tol"))).cast("int"))
-    events = events.withColumn("_group", F.sum("_fresh").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    merged = events.groupBy(*grid.keys, "tol", "_group").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.sum("n").alias("n"), F.count("*").alias("k"))
-    merged = merged.withColumn("d", exprs.between_minutes("start", "end"))
-    return merged.groupBy("flag", F.col("gap").alias("continuity_gap_minutes"), F.col("tol").alias("merge_tolerance_minutes")).agg(
-        F.sum("k").alias("n_primitive_events"), F.count("*").alias("n_events_after_merge"), F.sum("n").alias("total_active_samples"),
-        F.percentile("d", F.lit(0.5)).alias("median_event_duration_minutes"), F.max("d").alias("max_event_duration_minutes"),
+    grid = [(float(g), float(t)) for g in gaps for t in tolerances]
+    leaves = atoms(df, flags, min(map(float, gaps)), channel)
+    primitive = lambda adjacent, apart, g: apart.isNull() | ~adjacent | (apart > g)
+    cuts = lambda adjacent, apart, g, t: primitive(adjacent, apart, g) if t <= 0 else apart.isNull() | ((apart > t) & primitive(adjacent, apart, g))
+    own = F.col("adjacent"), F.col("apart")
+    after = F.col("_next.adjacent"), F.col("_next.apart")
+    wanted = {f"_s{c}": scans.last_upto(F.when(cuts(*own, g, t), F.col("start"))) for c, (g, t) in enumerate(grid)}
+    ends = scans.scan(leaves, (*channel.keys, "flag"), ["start", "leaf"], {**wanted, "_next": scans.next_present(F.struct("adjacent", "apart"))}, channel.cut.minutes)
+    over = [F.when(F.col("_next").isNull() | cuts(*after, g, t), F.struct(F.lit(c).alias("c"), F.col(f"_s{c}").alias("start"))) for c, (g, t) in enumerate(grid)]
+    events = ends.select("flag", "end", F.explode(F.array_compact(F.array(*over))).alias("_e"))
+    events = events.select("flag", F.col("_e.c").alias("_c"), exprs.between_minutes("_e.start", "end").alias("d"))
+    told = ranks.quantiles(events, {"median_event_duration_minutes": (F.col("d"), 0.5)}, ["flag", "_c"], [F.count("*").alias("n_events_after_merge"), F.max("d").alias("max_event_duration_minutes")])
+    whole = leaves.groupBy("flag").agg(F.sum("n").alias("total_active_samples"), F.array(*[F.count_if(primitive(*own, float(g))) for g in gaps]).alias("_n"))
+    at = lambda k: F.get(F.array(*[F.lit(x[k]) for x in grid]), F.col("_c"))
+    return told.join(whole, "flag").select(  # a row for each flag
+        "flag", at(0).alias("continuity_gap_minutes"), at(1).alias("merge_tolerance_minutes"),
+        F.get("_n", F.floor(F.col("_c") / len(tolerances)).cast("int")).alias("n_primitive_events"), "n_events_after_merge", "total_active_samples",
+        "median_event_duration_minutes", "max_event_duration_minutes",
     )

@@ -119,34 +119,29 @@ def horizon_study(samples: DataFrame, cutoff: float, keys: Sequence[str], horizo
     zones = evaluate.event_zones(evaluate.rising_crossings(samples, keys).where(F.col("crossing_ts") >= cutoff), keys)
     normal = evaluate.zone_index(late, zones, keys).where(F.col("event_id").isNull()).select(*samples.columns)
     n_events = zones.agg(F.count("*").alias("n_events"))
-    out = None
-    for h in horizons:
-
-        def features(rows: DataFrame, by: str) -> DataFrame:
-            found = timeseries.horizon_features(rows, "value", (*keys, by), "ts_min")
-            return found.unpivot([*keys, by], list(FEATURES), "feature", "x")
-
-        cal = features(timeseries.sliding_windows(early, h, ts_min="ts_min", keys=keys), "window_start")
-        limits = ranks.quantiles(cal, {"threshold": (F.col("x"), q)}, ["feature"])
-        before = _event_windows(samples, zones, keys, h)
-        hits = features(before, "event_id").join(F.broadcast(limits), "feature").groupBy("feature").agg(F.count_if(F.col("x") > F.col("threshold")).alias("hits"))
-        found = features(timeseries.sliding_windows(normal, h, ts_min="ts_min", keys=keys), "window_start").join(F.broadcast(limits), "feature")
-        found = found.groupBy("feature").agg(F.count_if(F.col("x") > F.col("threshold")).alias("over"), F.count("*").alias("windows"))
-        one = limits.join(hits, "feature", "left").join(found, "feature", "left").crossJoin(n_events).select(  # one row
-            F.lit(float(h)).alias("horizon_min"), "feature", F.round("threshold", 4).alias("calibration_q99_threshold"),
-            F.coalesce("hits", F.lit(0)).alias("event_windows_flagged"), "n_events", F.round(F.col("over") / F.col("windows"), 4).alias("normal_windows_flagged_frac"),
-            F.coalesce("windows", F.lit(0)).alias("n_normal_windows"),
-        )
-        out = one if out is None else out.unionByName(one)
-    return out
-
-
-def _event_windows(samples: DataFrame, zones: DataFrame, keys: Sequence[str], length: float) -> DataFrame:
-    """The samples in [crossing - length, crossing) with event_id, by an equi-join on slots of that length."""
-    slot = lambda t: F.floor(t / length)
+    long = lambda found: found.unpivot(["length"], list(FEATURES), "feature", "x")
+    cal = long(timeseries.pane_features(early, "value", horizons, keys=keys))
+    by = ["length", "feature"]
+    limits = ranks.quantiles(cal, {"threshold": (F.col("x"), q)}, by)  # a row for each length and feature
+    met = lambda found: long(found).join(F.broadcast(limits), by).groupBy(*by)
+    before = timeseries.horizon_features(_event_windows(samples, zones, keys, horizons), "value", (*keys, "event_id", "length"), "ts_min")
+    hits = met(before).agg(F.count_if(F.col("x") > F.col("threshold")).alias("hits"))
+    found = met(timeseries.pane_features(normal, "value", horizons, keys=keys)).agg(F.count_if(F.col("x") > F.col("threshold")).alias("over"), F.count("*").alias("windows"))
+    return limits.join(hits, by, "left").join(found, by, "left").crossJoin(n_events).select(  # one row
+        F.col("length").alias("horizon_min"), "feature", F.round("threshold", 4).alias("calibration_q99_threshold"),
+        F.coalesce("hits", F.lit(0)).alias("event_windows_flagged"), "n_events", F.round(F.col("over") / F.col("windows"), 4).alias("normal_windows_flagged_frac"),
+        F.coalesce("windows", F.lit(0)).alias("n_normal_windows"),
+    )
+
+
+def _event_windows(samples: DataFrame, zones: DataFrame, keys: Sequence[str], lengths: Sequence[float]) -> DataFrame:
+    """The samples in [crossing - length, crossing) with event_id and length, by one equi-join on slots of the greatest length."""
+    widest = max(lengths)
+    slot = lambda t: F.floor(t / widest)
     at = zones.select(*keys, "event_id", F.col("crossing_ts").alias("_c")).withColumn("_slot", F.explode(F.array(slot(F.col("_c")), slot(F.col("_c")) - 1)))
-    rows = samples.withColumn("_slot", slot(F.col("ts_min"))).join(at, [*keys, "_slot"])
-    return rows.where((F.col("ts_min") >= F.col("_c") - length) & (F.col("ts_min") < F.col("_c"))).drop("_slot", "_c")
+    rows = samples.withColumn("_slot", slot(F.col("ts_min"))).join(at, [*keys, "_slot"]).where(F.col("ts_min") < F.col("_c"))
+    held = F.filter(F.array(*[F.lit(float(h)) for h in lengths]), lambda h: F.col("ts_min") >= F.col("_c") - h)
+    return rows.withColumn("length", F.explode(held)).drop("_slot", "_c")
 
 
 #: Parameters beyond which the beta distribution's share is an integral over its peak, and the nodes of that integral.

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
+from fractions import Fraction
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -191,3 +193,48 @@ def horizon_features(windowed: DataFrame, value: str, by: Sequence[str], ts_min:
         F.when(span > 0, rise / span).otherwise(F.lit(0.0)).alias("slope_per_min"), F.stddev_pop(value).alias("variability"),
         F.coalesce(F.max("_gap"), F.lit(0.0)).alias("max_gap_min"), F.greatest(F.lit(0.0), 1 - F.count("*") / (span / cadence + 1)).alias("missing_frac"),
     )
+
+
+def pane_features(df: DataFrame, value: str, lengths: Sequence[float], step: float = 60.0, ts_min: str = "ts_min", keys: Sequence[str] = (), cadence: float = 15.0) -> DataFrame:
+    """horizon_features() of all sliding_windows() of several lengths: keys, length, window_start and the features.
+
+    Rows are reduced once to panes, which every window is made of whole: their first and last sample, extremes, sums, and longest
+    gap inside and before. What goes to each window that holds it is a pane, not its rows.
+    """
+    parts = [Fraction(x).limit_denominator(10**6) for x in (step, *lengths)]
+    pane = reduce(lambda a, b: Fraction(math.gcd(a.numerator * b.denominator, b.numerator * a.denominator), a.denominator * b.denominator), parts)
+    every, width = int(parts[0] / pane), float(pane)
+    span = df.groupBy(*keys).agg(F.min(ts_min).alias("_t0"), F.max(ts_min).alias("_t1"), F.avg(value).alias("_c"))
+    rows = df.select(*keys, F.col(ts_min).alias("_t"), F.col(value).cast("double").alias("_v"))
+    rows = rows.join(span, list(keys)) if keys else rows.crossJoin(F.broadcast(span))  # one row
+    rows = rows.withColumn("_j", F.floor((F.col("_t") - F.col("_t0")) / width).cast("long"))
+    own = [*keys, "_t0", "_t1", "_j"]
+    gap = F.col("_t") - F.lag("_t").over(Window.partitionBy(*own).orderBy("_t"))
+    off = F.col("_v") - F.col("_c")  # sums of squares are taken around the stream's mean
+    panes = rows.withColumn("_gap", gap).groupBy(*own).agg(
+        F.count("*").alias("_n"), F.count("_v").alias("_k"), F.sum("_v").alias("_sum"), F.sum(off).alias("_s"), F.sum(off * off).alias("_q"), F.max("_v").alias("_hi"),
+        F.min("_v").alias("_lo"), F.min(F.struct("_t", "_v")).alias("_first"), F.max(F.struct("_t", "_v")).alias("_last"), F.max("_gap").alias("_gap"),
+    )
+    panes = scans.scan(panes, keys, ["_j"], {"_end": scans.previous(F.col("_last._t"))}).withColumn("_before", F.col("_first._t") - F.col("_end"))
+    starts = []
+    for length, part in zip(lengths, parts[1:]):
+        m = int(part / pane)
+        low = F.greatest(F.lit(0), F.ceil((F.col("_j") - m + 1) / every)).cast("long")
+        high = F.least(F.floor(F.col("_j") / every), F.floor((F.col("_t1") - F.col("_t0") - float(length)) / step)).cast("long")
+        known = F.when(high >= low, F.sequence(low, high)).otherwise(F.array().cast("array<long>"))
+        named = F.lit(float(length)).alias("length")
+        starts.append(F.transform(known, lambda k: F.struct(named, k.alias("k"))))  # noqa: B023
+    held = panes.withColumn("_w", F.explode(F.concat(*starts))).select("*", F.col("_w.length").alias("length"), F.col("_w.k").alias("_at"))
+    w = held.groupBy(*keys, "_t0", "length", "_at").agg(
+        *[F.sum(c).alias(c) for c in ("_n", "_k", "_sum", "_s", "_q")], F.max("_hi").alias("_hi"), F.min("_lo").alias("_lo"), F.min("_first").alias("_first"),
+        F.max("_last").alias("_last"), F.max("_gap").alias("_gap"), F.sort_array(F.collect_list(F.struct("_j", "_before"))).alias("_edges"),
+    )
+    # the gap before a window's first pane is none of its own; it has a pane for each part of its length at most
+    across = F.array_max(F.transform(F.slice("_edges", 2, F.greatest(F.size("_edges") - 1, F.lit(0))), lambda e: e["_before"]))
+    length_, rise = F.col("_last._t") - F.col("_first._t"), F.col("_last._v") - F.col("_first._v")
+    spread = F.when(F.col("_lo") == F.col("_hi"), F.lit(0.0)).otherwise(F.sqrt(F.greatest(F.lit(0.0), F.col("_q") / F.col("_k") - F.pow(F.col("_s") / F.col("_k"), 2))))
+    return w.select(
+        *keys, "length", (F.col("_t0") + F.col("_at") * step).alias("window_start"), F.col("_last._v").alias("last"), F.col("_hi").alias("maximum"), (F.col("_sum") / F.col("_k")).alias("mean"),
+        F.when(length_ > 0, rise / length_).otherwise(F.lit(0.0)).alias("slope_per_min"), F.when(F.col("_k") > 0, spread).alias("variability"),
+        F.coalesce(F.greatest("_gap", across), F.lit(0.0)).alias("max_gap_min"), F.greatest(F.lit(0.0), 1 - F.col("_n") / (length_ / cadence + 1)).alias("missing_frac"),
+    )

@@ -591,17 +591,18 @@ def replay_episodes_by_day(spark, d):
     return replay.episodes_by_day(replay.replay_episodes(f, KEYS), f)
 
 
+def _horizons(spark, d) -> DataFrame:
+    return timeseries.pane_features(_events(spark, d).select("user_id", "t", "value"), "value", [2880.0], 1440.0, "t", KEYS).drop("length")
+
+
 @query
 def horizon_features(spark, d):
-    w = timeseries.sliding_windows(_events(spark, d).select("user_id", "t", "value"), 2880.0, 1440.0, "t", KEYS)
-    return rounded(timeseries.horizon_features(w, "value", ("user_id", "window_start"), "t"))
+    return rounded(_horizons(spark, d))
 
 
 @query
 def horizon_thresholds(spark, d):
-    w = timeseries.sliding_windows(_events(spark, d).select("user_id", "t", "value"), 2880.0, 1440.0, "t", KEYS)
-    f = timeseries.horizon_features(w, "value", ("user_id", "window_start"), "t")
-    return rounded(replay.horizon_thresholds(f, ("last", "maximum", "mean", "variability")), 4)
+    return rounded(replay.horizon_thresholds(_horizons(spark, d), ("last", "maximum", "mean", "variability")), 4)
 
 
 @query
