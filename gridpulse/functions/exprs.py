@@ -123,3 +123,21 @@ def draw(seed: int | Column, *parts: Column) -> Column:
     """A number in [0, 1) that follows from seed and parts alone: a row computed anew draws the same."""
     text = F.concat_ws("/", F.lit(seed) if isinstance(seed, int) else seed, *parts)
     return F.conv(F.substring(F.md5(text.cast("binary")), 1, 8), 16, 10).cast("long") / F.lit(4294967296.0)
+
+
+def general(x: Column | str) -> Column:
+    """A number as text with six significant digits: plain from 1e-4 to below 1e6, else with an exponent; no zeros at its end."""
+    told = F.format_string("%.5e", _c(x).cast("double"))
+    digits = F.replace(F.regexp_extract(told, r"^-?([0-9.]+)e", 1), F.lit("."), F.lit(""))
+    e = F.regexp_extract(told, r"e([+-][0-9]+)$", 1).try_cast("int")
+    sign = F.when(told.startswith("-"), "-").otherwise("")
+    bare = lambda t: F.regexp_replace(F.regexp_replace(t, r"(\.[0-9]*?)0+$", "$1"), r"\.$", "")
+    left = lambda n: F.substring(digits, F.lit(1), n)
+    rest = lambda n: F.substring(digits, n + 1, F.lit(6))
+    large = bare(F.concat(left(e + 1), F.lit("."), rest(e + 1)))
+    small = bare(F.concat(F.lit("0."), F.repeat(F.lit("0"), -e - 1), digits))
+    power = F.concat(bare(F.concat(left(F.lit(1)), F.lit("."), rest(F.lit(1)))), F.lit("e"), F.when(e < 0, "-").otherwise("+"), F.lpad(F.abs(e).cast("string"), 2, "0"))
+    power = F.when(F.abs(e) > 99, F.concat(bare(F.concat(left(F.lit(1)), F.lit("."), rest(F.lit(1)))), F.lit("e"), F.when(e < 0, "-").otherwise("+"), F.abs(e).cast("string"))).otherwise(power)
+    plain = F.when((e < -4) | (e >= 6), power).when(e >= 0, large).otherwise(small)
+    odd = F.when(F.isnan(_c(x)), "nan").when(_c(x) == float("inf"), "inf").when(_c(x) == float("-inf"), "-inf")
+    return F.when(_c(x).isNotNull(), F.coalesce(odd, F.concat(sign, plain)))

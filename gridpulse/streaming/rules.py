@@ -17,7 +17,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from gridpulse.operators.rules import Rule
 
-OUTPUT = "key string, seq long, flagged boolean, reason string, rate double, jump double, data_anomaly boolean, state_updated boolean, note string"
+OUTPUT = "key string, seq long, flagged boolean, reason string, rate double, jump double, data_anomaly boolean, state_updated boolean, note string, value double, ts_min double"
 
 
 #: Rows with this column set clear a key's state before they are decided on.
@@ -47,7 +47,7 @@ class RuleProcessor(StatefulProcessor):
         for at in range(0, len(order), self.chunk):
             some = order[at : at + self.chunk]
             out, held = decide_array(self.rule, value[some], t[some], reset[some], held)
-            yield pd.DataFrame({"key": key[0], "seq": seq[some], **out})
+            yield pd.DataFrame({"key": key[0], "seq": seq[some], **out, "value": value[some], "ts_min": t[some]})
         if held is not None:
             self.last.update(held)
         elif self.last.exists():
