@@ -12,9 +12,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridpulse.functions import exprs
-from gridpulse.operators import alignment, evaluate, islands, physics, policies, quality, ranks, replay, rules, timeseries
+from gridpulse.operators import alignment, evaluate, islands, parity, physics, policies, quality, ranks, replay, rules, scans, timeseries
 from gridpulse.schema import Channel
 from gridpulse.sources import telemetry
+from gridpulse.sources.scratch import new_folder
+from gridpulse.sources.sequences import SequenceSource
+from gridpulse.streaming.rules import state_of, stream_rule
 
 KEYS = ("user_id",)
 CH = Channel("ts", "event_id", KEYS)
@@ -728,3 +731,127 @@ def distinct_union(spark, d):
 @query
 def column_types(spark, d):
     return telemetry.column_types(spark, _table(spark, d, "events"))
+
+
+#: Rows of a segment of the table as one stream.
+SEGMENT = 1 << 16
+
+
+def _one_stream(spark, d, ts: str = "t") -> tuple[DataFrame, Channel]:
+    """All events as a single stream, and how it is cut."""
+    e = _events(spark, d)
+    return e, scans.fitted(e, Channel(ts, "event_id"), SEGMENT)
+
+
+@query
+def long_stream_decisions(spark, d):
+    e, ch = _one_stream(spark, d)
+    out = rules.apply_rule(e.select("event_id", "t", "value"), rules.Rule("combined", {"rate": 0.2, "upper": 100.0}, 60.0), "value", "t", ch)
+    return rounded(out.drop("t", "value", "jump"))
+
+
+@query
+def long_stream_events(spark, d):
+    e, ch = _one_stream(spark, d, "ts")
+    return rounded(islands.primitive_events(e, "high", 30.0, ch))
+
+
+@query
+def long_stream_rates(spark, d):
+    e, ch = _one_stream(spark, d, "ts")
+    return rounded(timeseries.rate_summary(e, "value", F.col("value") >= 100, ch))
+
+
+@query
+def long_stream_zones(spark, d):
+    e, ch = _one_stream(spark, d)
+    s = evaluate.index_samples(e, (), "t", "event_id", "value", ch.cut)
+    z = evaluate.event_zones(evaluate.rising_crossings(s, (), cut=ch.cut), ())
+    return evaluate.zone_index(s, z, (), ch.cut).select("idx", "event_id")
+
+
+@query
+def number_labels(spark, d):
+    price = exprs.general(F.col("p_retailprice"))
+    return _table(spark, d, "part").select("p_partkey", price.alias("price"), F.concat(F.lit("price>"), price).alias("label"))
+
+
+HEADER = "DeviceTimeStamp,value"
+
+
+def _telemetry_files(spark, d) -> str:
+    """A telemetry file for each type of event, in the order of event_id, under a header; returns their folder."""
+    e = _events(spark, d)
+    line = F.concat_ws(",", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss"), exprs.general(F.col("value")))
+    rows = e.select("event_type", "event_id", line.alias("line")).unionByName(e.select("event_type", F.lit(None).cast("long").alias("event_id"), F.lit(HEADER).alias("line")).distinct())
+    path = new_folder(spark, "telemetry")
+    rows.repartition("event_type").sortWithinPartitions("event_type", "event_id").select("event_type", "line").write.partitionBy("event_type").text(path)
+    return f"{path}/*"
+
+
+def _type_of(path: str) -> Column:
+    return F.regexp_extract(path, "event_type=([^/]+)", 1).alias("event_type")
+
+
+@query
+def numbered_lines(spark, d):
+    lines = telemetry.text_lines(spark, _telemetry_files(spark, d))
+    return lines.select(_type_of("path"), F.col("_raw_line").alias("raw_line"), "line")
+
+
+@query
+def line_lookup(spark, d):
+    """The raw lines of readings of 236 and more, found again by their numbers."""
+    lines = telemetry.text_lines(spark, _telemetry_files(spark, d))
+    read = lines.where("_raw_line > 1").select("path", "_raw_line", F.from_csv("line", "ts string, value double").alias("r"))
+    found = telemetry.lookup_lines(lines, read.where("r.value >= 236"))
+    return found.select(_type_of("path"), F.col("_raw_line").alias("raw_line"), "line")
+
+
+@query
+def file_manifest(spark, d):
+    path = _telemetry_files(spark, d)
+    manifest = telemetry.build_manifest(spark, path, kind="telemetry")
+    state = telemetry.verify_files(spark, manifest, path)
+    there = telemetry.hash_files(spark, path).select(_type_of("path"), telemetry.file_name(path).alias("filename"), "size_bytes", "sha256")
+    return there.join(state, "filename").drop("filename")
+
+
+@query
+def sequence_files(spark, d):
+    """Readings written as sequences by type and read back; those under 1 are missing."""
+    w = F.row_number().over(Channel("event_id", "event_id", ("event_type",)).window())
+    e = _events(spark, d).select(F.col("event_type").alias("key"), (w - 1).alias("idx"), F.when(F.col("value") >= 1, F.col("value")).alias("value"), F.col("t").alias("ts_min"))
+    path = new_folder(spark, "sequences")
+    telemetry.write_sequence(e, path, ["key"])
+    spark.dataSource.register(SequenceSource)
+    back = spark.read.format("sequence").load(path)
+    return rounded(back.select("key", F.col("seq").bitwiseAND((1 << 32) - 1).alias("idx"), "value", "ts_min"))
+
+
+STREAMED = rules.Rule("combined", {"rate": 0.2, "upper": 100.0, "lower": 1.0}, 1440.0)
+
+
+def _streamed(spark, d) -> tuple[DataFrame, DataFrame, str]:
+    """Readings by type of event as a table, the decisions of a stream over them, and its checkpoint."""
+    readings = _events(spark, d).select(F.col("event_type").alias("key"), F.col("event_id").alias("seq"), F.when(F.col("value") >= 2, F.col("value")).alias("value"), exprs.minutes("ts_h").alias("ts_min"))
+    folder = new_folder(spark, "streamed")
+    readings.write.parquet(f"{folder}/in")
+    stream = stream_rule(spark.readStream.schema(readings.schema).parquet(f"{folder}/in"), STREAMED)
+    q = stream.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
+    q.awaitTermination()
+    return spark.read.parquet(f"{folder}/in"), spark.read.parquet(f"{folder}/out"), f"{folder}/state"
+
+
+@query
+def decision_parity(spark, d):
+    """The rule on a table and on a stream of the same readings, compared decision by decision."""
+    readings, decisions, _ = _streamed(spark, d)
+    batch = rules.apply_rule(readings, STREAMED, "value", "ts_min", Channel("ts_min", "seq", ("key",)))
+    columns = ["flagged", "reason", "rate", "jump", "data_anomaly", "state_updated", "note"]
+    return parity.compare(batch, decisions, ["key", "seq"], columns)
+
+
+@query
+def stream_state(spark, d):
+    return rounded(state_of(spark, _streamed(spark, d)[2]))

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 from collections.abc import Iterator, Sequence
 from contextlib import contextmanager
+from urllib.parse import urlparse
 
 import pyarrow as pa
 import pyarrow.fs as pa_fs
@@ -77,9 +79,15 @@ def hash_files(spark: SparkSession, path: str, whole: int = WHOLE) -> DataFrame:
     return small.unionByName(large.mapInArrow(hashed, "path string, size_bytes long, sha256 string"))
 
 
+def file_name(path: str) -> Column:
+    """What names a file below a folder or pattern: its path from there on, so that files of several folders are told apart."""
+    folder = urlparse(re.sub(r"[^/]*[*?\[{].*$", "", path)).path.rstrip("/") + "/"
+    at = F.locate(folder, F.col("path"))
+    return F.when(at > 0, F.substring("path", at + len(folder), F.lit(1 << 16))).otherwise(F.element_at(F.split("path", "/"), -1))
+
+
 def build_manifest(spark: SparkSession, path: str, **facts: str) -> dict:
-    name = F.element_at(F.split("path", "/"), -1)
-    files = hash_files(spark, path).select(name.alias("filename"), "size_bytes", "sha256").orderBy("filename").collect()
+    files = hash_files(spark, path).select(file_name(path).alias("filename"), "size_bytes", "sha256").orderBy("filename").collect()
     return {**facts, "files": [r.asDict() for r in files]}
 
 
@@ -96,7 +104,7 @@ def load_manifest(path: str) -> dict:
 def verify_files(spark: SparkSession, manifest: dict, path: str) -> DataFrame:
     """Each file of the manifest: OK, MISMATCH or MISSING."""
     listed = spark.createDataFrame([(f["filename"], f["size_bytes"], f["sha256"]) for f in manifest["files"]], "filename string, size long, hash string")
-    there = hash_files(spark, path).select(F.element_at(F.split("path", "/"), -1).alias("filename"), "size_bytes", "sha256")
+    there = hash_files(spark, path).select(file_name(path).alias("filename"), "size_bytes", "sha256")
     both = listed.join(there, "filename", "left")
     size_ok, hash_ok = F.coalesce(F.col("size") == F.col("size_bytes"), F.lit(False)), F.coalesce(F.col("hash") == F.col("sha256"), F.lit(False))
     status = F.when(F.col("sha256").isNull(), "MISSING").when(size_ok & hash_ok, "OK").otherwise("MISMATCH")

@@ -2,6 +2,7 @@ import datetime
 import hashlib
 
 import pytest
+from pyspark.sql import functions as F
 
 from gridpulse.sources import telemetry
 
@@ -72,3 +73,40 @@ def test_reports(spark, tmp_path):
     for kind in ("csv", "json", "parquet"):
         telemetry.write_report(spark.range(3), str(tmp_path / kind), kind)
     assert spark.read.json(str(tmp_path / "json")).count() == 3
+
+
+def test_lines_are_numbered_across_splits(spark, tmp_path):
+    import random
+
+    r = random.Random(4)
+    ends = {"a.txt": "\n", "b.txt": "\r\n"}
+    texts = {}
+    for name, end in ends.items():
+        lines = ["x" * r.choice([0, 1, 5, 80, 2000]) + str(k) * r.choice([0, 1]) for k in range(3000)]
+        texts[name] = lines
+        (tmp_path / name).write_bytes((end.join(lines) + (end if name == "a.txt" else "")).encode())
+    (tmp_path / "c.txt").write_bytes(b"")
+    held = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "50000")
+    spark.conf.set("spark.sql.files.openCostInBytes", "10000")
+    try:
+        got = telemetry.text_lines(spark, str(tmp_path))
+        assert spark.read.text(str(tmp_path)).rdd.getNumPartitions() > 20
+        for name, lines in texts.items():
+            rows = got.where(F.col("path").endswith(name)).orderBy("_raw_line").collect()
+            own = lines if name == "a.txt" or lines[-1] else lines[:-1]
+            assert [(x["_raw_line"], x["line"]) for x in rows] == list(enumerate(own, 1))
+        assert got.where(F.col("path").endswith("c.txt")).count() == 0
+    finally:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+
+
+def test_manifests_tell_equal_names_apart(spark, tmp_path):
+    for folder, text in (("k=1", "one"), ("k=2", "two")):
+        (tmp_path / folder).mkdir()
+        (tmp_path / folder / "part.txt").write_text(text)
+    manifest = telemetry.build_manifest(spark, f"{tmp_path}/*")
+    assert [f["filename"] for f in manifest["files"]] == ["k=1/part.txt", "k=2/part.txt"]
+    (tmp_path / "k=2" / "part.txt").write_text("2")
+    assert {r["filename"]: r["status"] for r in telemetry.verify_files(spark, manifest, f"{tmp_path}/*").collect()} == {"k=1/part.txt": "OK", "k=2/part.txt": "MISMATCH"}
