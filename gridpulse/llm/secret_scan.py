@@ -37,6 +37,11 @@ ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 SIZE = len(ALPHABET) + 1
 LEAST, LONGEST = 20, 4096
 TOKEN = f"[A-Za-z0-9+/_=-]{{{LEAST},{LONGEST}}}(?:[A-Za-z0-9+/_=-]{{1,{LEAST - 1}}}(?![A-Za-z0-9+/_=-]))?"
+#: Data that looks random and is no secret: identifiers of 128 bits, and encoded files, told by what introduces them or by how the
+#: encoded signatures of file types begin. Encoded data is one token, however long.
+UUID = "(?i)(?<![0-9a-z])[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}(?![0-9a-z])"
+SIGNATURES = ("iVBORw0KGgo", "/9j/4", "R0lGOD", "UklGR", "JVBERi0", "UEsDB", "H4sIA", "PHN2Zy", "PD94bWw", "d09GR", "T2dnUw", "SUkqA", "SUQz")
+DATA = rf"(?:;base64,|(?<![A-Za-z0-9+/_=-])(?:{'|'.join(SIGNATURES)}))[A-Za-z0-9+/=]+"
 #: Elements of a run of running sums, characters of a chunk of text.
 RUN, CHUNK = 256, 4096
 #: Ordinary held-out tokens of which one may be reported.
@@ -62,7 +67,8 @@ def identifiers() -> list[str]:
 
 
 def labelled_strings(spark: SparkSession, n: int = 12000) -> DataFrame:
-    """The sample, (s, label): n random strings in three alphabets, and n identifiers, alone and joined in five styles."""
+    """The sample, (s, label): n random strings in three alphabets, and n ordinary ones: identifiers, alone and joined in five
+    styles, paths with versions and dates, and serial numbers."""
     digest = lambda salt: F.sha2(F.concat_ws("/", F.lit(salt), F.col("id")), 256)
     words = F.split(F.lit(" ".join(identifiers())), " ")
     pick = lambda k: F.element_at(words, (F.pmod(F.xxhash64("id", F.lit(k)), F.size(words)) + 1).cast("int"))
@@ -76,12 +82,15 @@ def labelled_strings(spark: SparkSession, n: int = 12000) -> DataFrame:
         .alias("s"),
         F.lit(1).alias("label"),
     )
+    digits = lambda k, n: F.lpad(F.pmod(F.xxhash64("id", F.lit(k)), F.lit(10**n)).cast("string"), n, "0")
     plain = ids.select(
-        F.when(F.col("id") % 6 == 0, F.array_join(some, "_"))
-        .when(F.col("id") % 6 == 1, F.array_join(cap, ""))
-        .when(F.col("id") % 6 == 2, F.upper(F.array_join(some, "_")))
-        .when(F.col("id") % 6 == 3, F.array_join(some, "-"))
-        .when(F.col("id") % 6 == 4, F.array_join(some, "/"))
+        F.when(F.col("id") % 8 == 0, F.array_join(some, "_"))
+        .when(F.col("id") % 8 == 1, F.array_join(cap, ""))
+        .when(F.col("id") % 8 == 2, F.upper(F.array_join(some, "_")))
+        .when(F.col("id") % 8 == 3, F.array_join(some, "-"))
+        .when(F.col("id") % 8 == 4, F.array_join(some, "/"))
+        .when(F.col("id") % 8 == 5, F.concat_ws("/", pick(1), F.concat(F.lit("v"), digits(11, 1)), pick(2), F.lit("2019"), digits(12, 2), F.concat_ws("-", pick(3), digits(13, 3))))
+        .when(F.col("id") % 8 == 6, F.concat_ws("-", F.upper(F.substring(pick(1), 1, 3)), digits(11, 4), digits(12, 6), F.upper(F.substring(pick(2), 1, 2)), digits(13, 4)))
         .otherwise(F.array_join(some, ""))
         .alias("s"),
         F.lit(0).alias("label"),
@@ -99,16 +108,17 @@ def train(spark: SparkSession, samples: DataFrame | None = None) -> Markov:
     samples = labelled_strings(spark) if samples is None else samples
     ratios = train_markov(samples.where(~held_out()))
     rest = samples.where(held_out() & (F.length("s") >= LEAST))
-    scored = rest.select("label", let(places(F.col("s")), lambda p: mean_ratio(p, ratios)).alias("x")).collect()  # of bounded size
+    score = let(table_of(ratios), lambda table: let(places(F.col("s")), lambda p: mean_ratio(p, table)))
+    scored = rest.select("label", score.alias("x")).collect()  # of bounded size
     plain, random = (sorted(r["x"] for r in scored if r["label"] == k) for k in (0, 1))
     if not plain or not random:
         raise ValueError("both labels need held-out samples of a token's length")
     most, low = plain[-1 - len(plain) // ONE_IN], random[len(random) // 100]
     threshold = (most + low) / 2 if low > most else most
-    return Markov(tuple(ratios), threshold, sum(x > threshold for x in random) / len(random), sum(x > threshold for x in plain) / len(plain))
+    return Markov(ratios, threshold, sum(x > threshold for x in random) / len(random), sum(x > threshold for x in plain) / len(plain))
 
 
-def train_markov(samples: DataFrame, smoothing: float = 0.5) -> list[float]:
+def train_markov(samples: DataFrame, smoothing: float = 0.5) -> tuple[float, ...]:
     """Log-likelihood ratio of each transition, by (first, second) place in ALPHABET; place 0 is any other character.
 
     The statistics are counted by Spark; what comes back has at most 2 x 68 x 68 rows.
@@ -119,7 +129,7 @@ def train_markov(samples: DataFrame, smoothing: float = 0.5) -> list[float]:
     for r in counts:
         seen[r["label"]][r["a"]][r["b"]] += r["count"]
     logs = [[[math.log(x / sum(row)) for x in row] for row in side] for side in seen]
-    return [logs[1][i][j] - logs[0][i][j] for i in range(SIZE) for j in range(SIZE)]
+    return tuple(logs[1][i][j] - logs[0][i][j] for i in range(SIZE) for j in range(SIZE))
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -132,9 +142,13 @@ def places(token: Column) -> Column:
     return F.transform(F.split(token, ""), lambda c: F.instr(F.lit(ALPHABET), c))
 
 
-def mean_ratio(p: Column, ratios: list[float]) -> Column:
-    """Mean over the transitions of log P(random) - log P(ordinary), of places that are already bound."""
-    table = F.expr(f"cast(split('{','.join(f'{x:.5f}' for x in ratios)}', ',') AS array<double>)")
+def table_of(ratios: tuple[float, ...]) -> Column:
+    """The ratios as an array; bind it once with let(), or a plan holds it for each use."""
+    return F.expr(f"cast(split('{','.join(f'{x:.5f}' for x in ratios)}', ',') AS array<double>)")
+
+
+def mean_ratio(p: Column, table: Column) -> Column:
+    """Mean over the transitions of log P(random) - log P(ordinary), of places and ratios that are already bound."""
     n = F.size(p) - 1
     each = F.zip_with(F.slice(p, F.lit(1), n), F.slice(p, F.lit(2), n), lambda a, b: F.get(table, a * SIZE + b))
     return F.aggregate(each, F.lit(0.0), lambda acc, x: acc + x) / n
@@ -214,7 +228,8 @@ def digest(spans_: Column) -> Column:
 def find_secrets(docs: DataFrame, model: Markov, text: str = "text", varied: int = 8) -> DataFrame:
     """docs with base_spans and markov_spans: sorted arrays of structs (start, kind, end, found).
 
-    A random token has at least `varied` different characters; a short cycle, however odd, has few. Of a Markov token that
+    A random token has at least `varied` different characters; a short cycle, however odd, has few. Identifiers of 128 bits and
+    encoded files are none. Of a Markov token that
     overlaps base spans, which already tell of what they cover, the parts outside them are scored. A part too short to be a
     token is reported if the whole token is random and the part's own mean exceeds the threshold too; a
     single character has no transition and is no part.
@@ -224,15 +239,17 @@ def find_secrets(docs: DataFrame, model: Markov, text: str = "text", varied: int
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row"), F.coalesce(F.col(text), F.lit("")).alias("body"))
     body = F.col("body")
     strong = F.filter(spans(body, ASSIGN, 0), lambda s: F.length(F.regexp_extract(s["found"], ASSIGN, 2)) >= 8)
-    rows = rows.select("row", strong.alias("assign"), spans(body, ACCESS, 1).alias("access"), spans(body, HEX, 2).alias("hex"), spans(body, TOKEN, 3).alias("token"))
+    rows = rows.select("row", strong.alias("assign"), spans(body, ACCESS, 1).alias("access"), spans(body, HEX, 2).alias("hex"), spans(body, f"{DATA}|{TOKEN}", 3).alias("token"))
+    rows = rows.withColumn("token", F.filter("token", lambda s: ~s["found"].rlike(f"^{DATA}")))
     rows = rows.select("row", "token", F.array_sort(F.concat("assign", "access", "hex")).alias("base"))
     rows = rows.select("row", "token", "base", F.when(F.size("token") > 0, merged(F.col("base"))).alias("edges"))
 
-    likely = lambda p: mean_ratio(p, model.ratios) > model.threshold
-    whole = lambda p: (F.size(F.array_distinct(p)) >= varied) & likely(p)
     none = F.array().cast(SPANS)
 
-    def told(s: Column) -> Column:
+    def told(s: Column, table: Column) -> Column:
+        likely = lambda p: mean_ratio(p, table) > model.threshold
+        whole = lambda p: (F.size(F.array_distinct(p)) >= varied) & likely(p)
+
         def parts(p: Column) -> Column:
             own = lambda e: F.slice(p, e["start"] - s["start"] + 1, e["end"] - e["start"])
             good = lambda e: let(own(e), lambda q: F.when(F.size(q) >= LEAST, whole(q)).otherwise(likely(q) & whole(p)))
@@ -244,9 +261,13 @@ def find_secrets(docs: DataFrame, model: Markov, text: str = "text", varied: int
             ).otherwise(F.transform(F.filter(left, good), named))
             return F.when(F.size("edges") == 0, F.when(whole(p), F.array(s)).otherwise(none)).otherwise(let(outside(s, F.col("edges")), cut))
 
-        return let(places(s["found"]), parts)
+        # a token with identifiers in it is scored by the rest
+        rest = F.regexp_replace(s["found"], UUID, "")
+        ordinary = s["found"].rlike(UUID) & ~let(places(rest), lambda p: (F.size(p) >= LEAST) & whole(p))
+        return F.when(ordinary, none).otherwise(let(places(s["found"]), parts))
 
-    markov = F.when(F.size("token") > 0, F.flatten(F.transform("token", told))).otherwise(none)
+    each = let(table_of(model.ratios), lambda table: F.flatten(F.transform("token", lambda s: told(s, table))))
+    markov = F.when(F.size("token") > 0, each).otherwise(none)
     rows = rows.select("row", F.struct(F.col("base").alias("base_spans"), markov.alias("markov_spans")).alias("out"))
     return rows.select("row.*", "out.*")
 
