@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gridpulse.llm.common import bounded_batches, boxed, first_by_hash, lean, quoted
+from gridpulse.llm.common import bounded_batches, boxed, first_by_hash, give_back, lean, quoted
 
 PASSAGE, PER_CLASS, BAG = 256, 1500, 32
 #: Passages that are encoded at once.
@@ -243,7 +243,10 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Att
     scale[first : first + GRAMS] *= CALM
     share = {q: total[q] / sum(total.values()) * len(label) / max(1, (label == q).sum()) for q in (0, 1)}
     weight = np.where(label == 1, share[1], share[0]).astype(np.float32)
-    return AttentionMIL(mean.astype(np.float32), scale.astype(np.float32)).fit(bags, label, weight)
+    model = AttentionMIL(mean.astype(np.float32), scale.astype(np.float32)).fit(bags, label, weight)
+    del bags, got
+    give_back()  # some 150 MB of the driver's
+    return model
 
 
 def score(docs: DataFrame, model: AttentionMIL | None, text: str = "text", out: str = "score", rows: int = 512) -> DataFrame:
