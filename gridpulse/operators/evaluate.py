@@ -88,21 +88,20 @@ def per_event(flagged: DataFrame, zones: DataFrame, keys: Sequence[str], by: Seq
     )
 
 
-def false_alarm_episodes(flagged: DataFrame, keys: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
+def false_alarm_episodes(flagged: DataFrame, keys: Sequence[str], by: Sequence[str] = (), cut: Cut = Cut()) -> DataFrame:
     """Runs of flagged rows, of those that hold a row outside all zones: episodes begin there.
 
     A run that passes through a zone is one episode, as only an unflagged row ends it.
     """
-    w = Window.partitionBy(*by, *keys).orderBy("idx")
-    f = flagged.withColumn("_on", holds(F.col("flagged")))
-    fresh = F.col("_on") & ~F.coalesce(F.lag("_on").over(w), F.lit(False))
-    f = f.withColumn("_fresh", fresh)
-    f = f.withColumn("_run", F.sum(F.col("_fresh").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    stream = [*by, *keys]
+    f = scans.scan(flagged.withColumn("_on", holds(F.col("flagged"))), stream, ["idx"], {"_was": scans.previous(F.col("_on"))}, cut.steps)
+    fresh = F.col("_on") & ~F.coalesce("_was", F.lit(False))
+    f = scans.scan(f, stream, ["idx"], {"_run": scans.sum_upto(fresh.cast("int"))}, cut.steps)
     out = f.where(F.col("_on") & F.col("event_id").isNull())
-    return out.groupBy(*by, *keys, "_run").agg(F.min("ts_min").alias("start")).drop("_run")
+    return out.groupBy(*stream, "_run").agg(F.min("ts_min").alias("start")).drop("_run")
 
 
-def evaluate(flagged: DataFrame, samples: DataFrame, zones: DataFrame, keys: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
+def evaluate(flagged: DataFrame, samples: DataFrame, zones: DataFrame, keys: Sequence[str], by: Sequence[str] = (), cut: Cut = Cut()) -> DataFrame:
     """Totals over all streams, by configuration: events detected, leads, false-alarm episodes and their rate."""
     lead = F.when(F.col("detected"), F.col("lead_min"))
     events = ranks.quantiles(per_event(flagged, zones, keys, by), {"_median": (lead, 0.5)}, by, [
@@ -110,7 +109,7 @@ def evaluate(flagged: DataFrame, samples: DataFrame, zones: DataFrame, keys: Seq
         F.bround(F.avg(lead), 3).alias("mean_lead_time_min"),
     ]).withColumn("_median", F.bround("_median", 3)).withColumnRenamed("_median", "median_lead_time_min")
     rows = flagged.groupBy(*by).agg(F.count_if(holds(F.col("flagged"))).alias("total_flagged_rows"), F.count_if(holds(F.col("data_anomaly"))).alias("data_anomaly_rows"))
-    episodes = false_alarm_episodes(flagged, keys, by).groupBy(*by).agg(F.count("*").alias("false_alarm_episodes"))
+    episodes = false_alarm_episodes(flagged, keys, by, cut).groupBy(*by).agg(F.count("*").alias("false_alarm_episodes"))
     days = normal_zones(samples, zones, keys).agg((F.sum(F.col("span_end") - F.col("span_start")) / 1440.0).alias("normal_days"))
     if by:
         out = rows.join(events, list(by), "left").join(episodes, list(by), "left")
@@ -120,7 +119,7 @@ def evaluate(flagged: DataFrame, samples: DataFrame, zones: DataFrame, keys: Seq
     return out.withColumn("false_alarm_rate_per_day", F.when(F.col("normal_days") > 0, F.col("false_alarm_episodes") / F.col("normal_days")))
 
 
-def sweep_totals(flagged: DataFrame, samples: DataFrame, zones: DataFrame, keys: Sequence[str], configs: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+def sweep_totals(flagged: DataFrame, samples: DataFrame, zones: DataFrame, keys: Sequence[str], configs: DataFrame, by: Sequence[str] = (), cut: Cut = Cut()) -> DataFrame:
     """evaluate() of many configurations at once, by view (by) and config_id.
 
     flagged: zone-indexed samples with on, an array of decisions, and data_anomaly; configs: (place in that array, config_id,
@@ -132,15 +131,14 @@ def sweep_totals(flagged: DataFrame, samples: DataFrame, zones: DataFrame, keys:
     stretch of zone rows in which it began. A run that holds a whole stretch and the row before it goes on.
     """
     stream = [*by, *keys]
-    w = _w(stream)
-    zoned = lambda x: x.isNotNull()
-    inside = zoned(F.col("event_id"))
-    rows = flagged.select(
-        *stream, "idx", "ts_min", "event_id", "crossing_ts", "on", F.lag("on").over(w).alias("_was"),
-        (inside & ~F.coalesce(zoned(F.lag("event_id").over(w)), F.lit(False))).cast("int").alias("_enters"),
-        F.coalesce(zoned(F.lag("event_id").over(w)), F.lit(False)).alias("_after"), F.coalesce(zoned(F.lead("event_id").over(w)), F.lit(False)).alias("_before"),
+    inside = F.col("event_id").isNotNull()
+    known = flagged.select(*stream, "idx", "ts_min", "event_id", "crossing_ts", "on", inside.alias("_in"))
+    rows = scans.scan(known, stream, ["idx"], {"_p": scans.previous(F.struct("on", "_in")), "_n": scans.next_present(F.struct("_in"))}, cut.steps)
+    rows = rows.select(
+        *stream, "idx", "ts_min", "event_id", "crossing_ts", "on", F.col("_p.on").alias("_was"),
+        F.coalesce("_p._in", F.lit(False)).alias("_after"), F.coalesce("_n._in", F.lit(False)).alias("_before"),
     )
-    rows = rows.withColumn("_stretch", F.sum("_enters").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    rows = scans.scan(rows, stream, ["idx"], {"_stretch": scans.sum_upto((inside & ~F.col("_after")).cast("int"))}, cut.steps)
     rows = rows.withColumn("_size", F.sum(inside.cast("int")).over(Window.partitionBy(*stream, "_stretch")))
     ts, st = F.col("ts_min"), F.col("_stretch")
     flags = F.filter(F.transform("on", lambda x, i: F.when(x, i)), lambda i: i.isNotNull())

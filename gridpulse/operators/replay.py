@@ -11,10 +11,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridpulse.functions import exprs
-from gridpulse.operators import evaluate, quality, ranks, timeseries
+from gridpulse.operators import evaluate, quality, ranks, scans, timeseries
 from gridpulse.operators.islands import islands
 from gridpulse.operators.timeseries import valid_pairs
-from gridpulse.schema import Channel, holds
+from gridpulse.schema import Channel, Cut, holds
 
 #: Quantiles of the calibration's primary and sensitivity thresholds; None is the maximum.
 CAL_RULES = {
@@ -57,16 +57,12 @@ def calibrate(df: DataFrame, value: str, cutoff: float, ts_min: str, channel: Ch
     return long.select(part(0).alias("rule"), F.replace(part(1), F.lit("0_"), F.lit("0.")).alias("variant"), F.bround("threshold", 4).alias("threshold"), "n_records", "n_valid_pairs")
 
 
-def sustained_alerts(df: DataFrame, ks: Sequence[int], keys: Sequence[str], flagged: str = "flagged", valid: str = "valid", ts_min: str = "ts_min", order: str = "idx") -> DataFrame:
-    """By stream, for each k the first time that completes k flagged and valid samples in a row."""
-    w = Window.partitionBy(*keys).orderBy(order)
-    on = df.withColumn("_on", holds(F.col(flagged) & F.col(valid)))
-    on = on.withColumn("_off", F.sum((~F.col("_on")).cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    run = F.row_number().over(Window.partitionBy(*keys, "_off").orderBy(order))
-    # the row that ended the run before is the first of its group, except in the stream's first
-    first_off = F.min(F.when(~F.col("_on"), F.lit(1))).over(Window.partitionBy(*keys, "_off"))
-    on = on.withColumn("_run", run - F.coalesce(first_off, F.lit(0))).where("_on")
-    return on.groupBy(*keys).agg(*[F.min(F.when(F.col("_run") >= k, F.col(ts_min))).alias(f"sustained_k{k}_ts_min") for k in ks])
+def sustained_alerts(df: DataFrame, ks: Sequence[int], keys: Sequence[str], flagged: str = "flagged", valid: str = "valid", ts_min: str = "ts_min", order: str = "idx", cut: Cut = Cut()) -> DataFrame:
+    """By stream, for each k the first time that completes k flagged and valid samples in a row: k rows behind the last that isn't."""
+    on = scans.scan(df.withColumn("_on", holds(F.col(flagged) & F.col(valid))), keys, [order], {"_nth": scans.sum_upto(F.lit(1))}, cut.steps)
+    on = scans.scan(on, keys, [order], {"_off": scans.last_upto(F.when(~F.col("_on"), F.col("_nth")))}, cut.steps)
+    run = F.col("_nth") - F.coalesce("_off", F.lit(0))
+    return on.where("_on").groupBy(*keys).agg(*[F.min(F.when(run >= k, F.col(ts_min))).alias(f"sustained_k{k}_ts_min") for k in ks])
 
 
 def pre_window_stats(flagged: DataFrame, zones: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -81,12 +77,12 @@ def pre_window_stats(flagged: DataFrame, zones: DataFrame, keys: Sequence[str])
     )
 
 
-def replay_episodes(flagged: DataFrame, keys: Sequence[str]) -> DataFrame:
+def replay_episodes(flagged: DataFrame, keys: Sequence[str], cut: Cut = Cut()) -> DataFrame:
     """Runs of rows that are flagged and outside all zones, by their first row; every other row ends a run.
 
     Unlike in evaluate.false_alarm_episodes, a flagged run that passes through a zone is two.
     """
-    rows = islands(flagged, holds(F.col("flagged")) & F.col("event_id").isNull(), F.lit(False), Channel("ts_min", "idx", tuple(keys)))
+    rows = islands(flagged, holds(F.col("flagged")) & F.col("event_id").isNull(), F.lit(False), Channel("ts_min", "idx", tuple(keys), cut))
     return rows.groupBy(*keys, "island").agg(F.min("ts_min").alias("start")).drop("island")
 
 

@@ -49,15 +49,12 @@ def onset_sensitivity(df: DataFrame, flag: str, channel: Channel = Channel(), po
 
 
 def flag_transitions(df: DataFrame, flag: str, channel: Channel = Channel()) -> DataFrame:
-    w = channel.window()
-    rows = df.select(
-        *channel.keys, channel.ts, channel.order, F.col(flag).alias("f"), F.lag(flag).over(w).alias("p"),
-        exprs.between_minutes(F.lag(channel.ts).over(w), channel.ts).alias("interval_before_minutes"),
-        exprs.between_minutes(channel.ts, F.lead(channel.ts).over(w)).alias("interval_after_minutes"),
-    ).where("f <> p")
-    return rows.select(
+    rows = df.select(*channel.keys, channel.ts, channel.order, F.col(flag).alias("f"))
+    wanted = {"_p": scans.previous(F.struct("f", channel.ts)), "_n": scans.next_present(F.struct(channel.ts))}
+    rows = scans.scan(rows, channel.keys, [channel.ts, channel.order], wanted, channel.cut.minutes).withColumn("p", F.col("_p.f"))
+    return rows.where("f <> p").select(
         *channel.keys, F.lit(flag).alias("flag"), exprs.time_text(channel.ts).alias("timestamp"), exprs.transition_label(F.col("p"), F.col("f")).alias("transition"),
-        "interval_before_minutes", "interval_after_minutes",
+        exprs.between_minutes(F.col("_p")[channel.ts], channel.ts).alias("interval_before_minutes"), exprs.between_minutes(channel.ts, F.col("_n")[channel.ts]).alias("interval_after_minutes"),
     )
 
 

@@ -6,7 +6,7 @@ from dataclasses import replace
 import pytest
 from pyspark.sql import functions as F
 
-from gridpulse.operators import evaluate, islands, rules, scans, timeseries
+from gridpulse.operators import evaluate, islands, replay, rules, scans, timeseries
 from gridpulse.schema import Channel, Cut
 
 SCHEMA = "key string, seq long, value double, t double"
@@ -75,11 +75,17 @@ def test_operators_on_cut_streams(rows, keys):
     same(evaluate.rising_crossings(samples, keys, cut=long.cut), crossings)
     zones = evaluate.event_zones(crossings, keys)
     same(evaluate.zone_index(samples, zones, keys, long.cut), evaluate.zone_index(samples, zones, keys))
+    flagged = evaluate.zone_index(rules.apply_rule(samples, rules.Rule("jump", {"jump": 30.0}), "value", "ts_min", Channel("ts_min", "idx", keys)), zones, keys).withColumn("valid", F.col("value") > 9)
+    same(evaluate.false_alarm_episodes(flagged, keys, cut=long.cut), evaluate.false_alarm_episodes(flagged, keys))
+    same(replay.replay_episodes(flagged, keys, long.cut), replay.replay_episodes(flagged, keys))
+    same(replay.sustained_alerts(flagged, (1, 2, 3), keys, cut=long.cut), replay.sustained_alerts(flagged, (1, 2, 3), keys))
     stamped = timed.withColumn("ts", F.timestamp_seconds(F.col("t") * 60).cast("timestamp_ntz")).withColumn("flag", (F.col("value") > 50).cast("double"))
     short, long = replace(short, ts="ts"), replace(long, ts="ts")
     same(timeseries.rates(stamped, "value", long, F.col("value") > 100), timeseries.rates(stamped, "value", short, F.col("value") > 100))
     same(islands.primitive_events(stamped, "flag", 60.0, long), islands.primitive_events(stamped, "flag", 60.0, short))
     same(timeseries.interval_summary(stamped, long), timeseries.interval_summary(stamped, short))
+    same(timeseries.flag_transitions(stamped, "flag", long), timeseries.flag_transitions(stamped, "flag", short))
+    same(islands.event_sensitivity(stamped, ("flag",), (20, 60), (0, 90), long), islands.event_sensitivity(stamped, ("flag",), (20, 60), (0, 90), short))
     same(timeseries.onset_counts(stamped, "flag", long), timeseries.onset_counts(stamped, "flag", short))
 
 
