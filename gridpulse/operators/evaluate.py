@@ -104,10 +104,8 @@ def false_alarm_episodes(flagged: DataFrame, keys: Sequence[str], by: Sequence[s
 def evaluate(flagged: DataFrame, samples: DataFrame, zones: DataFrame, keys: Sequence[str], by: Sequence[str] = (), cut: Cut = Cut()) -> DataFrame:
     """Totals over all streams, by configuration: events detected, leads, false-alarm episodes and their rate."""
     lead = F.when(F.col("detected"), F.col("lead_min"))
-    events = ranks.quantiles(per_event(flagged, zones, keys, by), {"_median": (lead, 0.5)}, by, [
-        F.count("*").alias("events_total"), F.count_if("detected").alias("events_detected"), F.count_if("detected_in_zone").alias("events_detected_in_zone"),
-        F.bround(F.avg(lead), 3).alias("mean_lead_time_min"),
-    ]).withColumn("_median", F.bround("_median", 3)).withColumnRenamed("_median", "median_lead_time_min")
+    found = per_event(flagged, zones, keys, by).groupBy(*by, lead.alias("_lead")).agg(F.count("*").alias("_k"), F.count_if("detected_in_zone").alias("_z"))
+    events = _leads(found, by, F.sum("_k").alias("events_total"), F.sum(F.when(F.col("_lead").isNotNull(), F.col("_k")).otherwise(0)).alias("events_detected"), F.sum("_z").alias("events_detected_in_zone"))
     rows = flagged.groupBy(*by).agg(F.count_if(holds(F.col("flagged"))).alias("total_flagged_rows"), F.count_if(holds(F.col("data_anomaly"))).alias("data_anomaly_rows"))
     episodes = false_alarm_episodes(flagged, keys, by, cut).groupBy(*by).agg(F.count("*").alias("false_alarm_episodes"))
     days = normal_zones(samples, zones, keys).agg((F.sum(F.col("span_end") - F.col("span_start")) / 1440.0).alias("normal_days"))
@@ -119,6 +117,14 @@ def evaluate(flagged: DataFrame, samples: DataFrame, zones: DataFrame, keys: Seq
     return out.withColumn("false_alarm_rate_per_day", F.when(F.col("normal_days") > 0, F.col("false_alarm_episodes") / F.col("normal_days")))
 
 
+def _leads(found: DataFrame, by: Sequence[str], *counts: Column) -> DataFrame:
+    """By group: counts, and the mean and median of _lead, of a table in which a row stands for _k events."""
+    n, total = F.sum(F.when(F.col("_lead").isNotNull(), F.col("_k"))), F.sum(F.col("_lead") * F.col("_k"))
+    sums = found.groupBy(*by).agg(*counts, F.bround(total / n, 3).alias("mean_lead_time_min"))
+    middle = ranks.counted_quantiles(found, "_lead", 0.5, "_m", by, "_k").withColumn("median_lead_time_min", F.bround("_m", 3)).drop("_m")
+    return sums.join(middle, list(by), "left") if by else sums.crossJoin(middle)  # one row each
+
+
 def sweep_totals(flagged: DataFrame, samples: DataFrame, zones: DataFrame, keys: Sequence[str], configs: DataFrame, by: Sequence[str] = (), cut: Cut = Cut()) -> DataFrame:
     """evaluate() of many configurations at once, by view (by) and config_id.
 
@@ -159,9 +165,8 @@ def sweep_totals(flagged: DataFrame, samples: DataFrame, zones: DataFrame, keys:
     rows_of = rows_of.join(left, [*by, "place"], "left").withColumn("false_alarm_episodes", F.col("_fresh") + F.coalesce("_left", F.lit(0)))
     hits = each.where(inside).groupBy(*stream, "place", "event_id").agg(F.min(ts).alias("ts"), F.min(F.when(ts <= F.col("crossing_ts"), ts)).alias("pre"), F.first("crossing_ts").alias("crossing_ts"))
     lead = F.when(F.col("pre").isNotNull(), F.col("crossing_ts") - F.col("ts"))
-    events = ranks.quantiles(hits.withColumn("_lead", lead), {"_median": (F.col("_lead"), 0.5)}, [*by, "place"], [
-        F.count("pre").alias("events_detected"), F.count("*").alias("events_detected_in_zone"), F.bround(F.avg("_lead"), 3).alias("mean_lead_time_min"),
-    ]).withColumn("_median", F.bround("_median", 3)).withColumnRenamed("_median", "median_lead_time_min")
+    found = hits.groupBy(*by, "place", lead.alias("_lead")).agg(F.count("*").alias("_k"))
+    events = _leads(found, [*by, "place"], F.sum(F.when(F.col("_lead").isNotNull(), F.col("_k"))).alias("events_detected"), F.sum("_k").alias("events_detected_in_zone"))
     views = _views(flagged, samples, zones, keys, by)
     out = views.crossJoin(F.broadcast(configs)).join(rows_of, [*by, "place"], "left").join(events, [*by, "place"], "left")  # views x configurations
     zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)

@@ -84,14 +84,16 @@ def event_sensitivity(df: DataFrame, flags: Sequence[str], gaps: Sequence[float]
     after = F.col("_next.adjacent"), F.col("_next.apart")
     wanted = {f"_s{c}": scans.last_upto(F.when(cuts(*own, g, t), F.col("start"))) for c, (g, t) in enumerate(grid)}
     ends = scans.scan(leaves, (*channel.keys, "flag"), ["start", "leaf"], {**wanted, "_next": scans.next_present(F.struct("adjacent", "apart"))}, channel.cut.minutes)
-    over = [F.when(F.col("_next").isNull() | cuts(*after, g, t), F.struct(F.lit(c).alias("c"), F.col(f"_s{c}").alias("start"))) for c, (g, t) in enumerate(grid)]
+    over = [F.when(F.col("_next").isNull() | cuts(*after, g, t), F.struct(F.lit(c).alias("cell"), F.col(f"_s{c}").alias("start"))) for c, (g, t) in enumerate(grid)]
     events = ends.select("flag", "end", F.explode(F.array_compact(F.array(*over))).alias("_e"))
-    events = events.select("flag", F.col("_e.c").alias("_c"), exprs.between_minutes("_e.start", "end").alias("d"))
-    told = ranks.quantiles(events, {"median_event_duration_minutes": (F.col("d"), 0.5)}, ["flag", "_c"], [F.count("*").alias("n_events_after_merge"), F.max("d").alias("max_event_duration_minutes")])
+    events = events.select("flag", F.col("_e.cell").alias("cell"), exprs.between_minutes("_e.start", "end").alias("d"))
+    counts = events.groupBy("flag", "cell", "d").agg(F.count("*").alias("n"))
+    told = counts.groupBy("flag", "cell").agg(F.sum("n").alias("n_events_after_merge"), F.max("d").alias("max_event_duration_minutes"))
+    told = told.join(ranks.counted_quantiles(counts, "d", 0.5, "median_event_duration_minutes", ["flag", "cell"], "n"), ["flag", "cell"])
     whole = leaves.groupBy("flag").agg(F.sum("n").alias("total_active_samples"), F.array(*[F.count_if(primitive(*own, float(g))) for g in gaps]).alias("_n"))
-    at = lambda k: F.get(F.array(*[F.lit(x[k]) for x in grid]), F.col("_c"))
+    at = lambda k: F.get(F.array(*[F.lit(x[k]) for x in grid]), F.col("cell"))
     return told.join(whole, "flag").select(  # a row for each flag
         "flag", at(0).alias("continuity_gap_minutes"), at(1).alias("merge_tolerance_minutes"),
-        F.get("_n", F.floor(F.col("_c") / len(tolerances)).cast("int")).alias("n_primitive_events"), "n_events_after_merge", "total_active_samples",
+        F.get("_n", F.floor(F.col("cell") / len(tolerances)).cast("int")).alias("n_primitive_events"), "n_events_after_merge", "total_active_samples",
         "median_event_duration_minutes", "max_event_duration_minutes",
     )

@@ -35,12 +35,13 @@ def celled(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
     return rows.join(ends, [*by, "_b"]).withColumn("_s", F.coalesce(cell, F.lit(0)).cast("long")).drop("_lo", "_hi")
 
 
-def quantiles(df: DataFrame, wanted: Mapping[str, tuple[Column, float]], by: Sequence[str] = (), also: Sequence[Column] = ()) -> DataFrame:
+def quantiles(df: DataFrame, wanted: Mapping[str, tuple[Column, float]], by: Sequence[str] = (), also: Sequence[Column] = (), few: bool = False) -> DataFrame:
     """by, also, and for each name of wanted its column's exact quantile with linear interpolation; missing values don't count.
 
     also: aggregates to compute in the first pass. It finds approximate quantiles a little below and above each wanted one, which
     are known to enclose it; the second counts the values below, and by value those between, which are a share of MARGIN on
-    either side, or all if there are FEW; only these are ordered. Without by there is one row, with NULLs where a column has no
+    either side, or all if there are FEW; only these are ordered. few: there are few groups, whatever the input, so what the first
+    pass finds is broadcast to the second. Without by there is one row, with NULLs where a column has no
     value; with by, groups without any value have no row, unless also asks for one.
     """
     columns: list[Column] = []
@@ -59,7 +60,7 @@ def quantiles(df: DataFrame, wanted: Mapping[str, tuple[Column, float]], by: Seq
     drop = [f"_{x}{k}" for k in range(len(columns)) for x in "na"]
     told = first.select(*by, *drop)
     values = df.select(*by, *[c.alias(f"_x{k}") for k, c in enumerate(columns)])
-    rows = values.join(told, list(by)) if by else values.crossJoin(F.broadcast(told))  # one row
+    rows = values.join(F.broadcast(told) if few else told, list(by)) if by else values.crossJoin(F.broadcast(told))  # one row
 
     def entry(i: int, k: int, p: float) -> Column:
         """The value as an entry of the i-th quantile: itself if it lies between the edges, NULL if below."""
@@ -85,6 +86,32 @@ def quantiles(df: DataFrame, wanted: Mapping[str, tuple[Column, float]], by: Seq
     return out.join(last, list(by), "left") if by else out.crossJoin(last)  # one row each
 
 
+def counted_quantiles(df: DataFrame, value: str, p: float, name: str, by: Sequence[str] = (), weight: str | None = None) -> DataFrame:
+    """by and the quantile of one column, of a table whose rows are dear to compute or stand for many: one pass counts them by value.
+
+    weight: how often a row counts. Sums of the counts by range of size tell the range that holds a rank, and only its values are
+    ordered; for events and the like, of which a range holds few, as all of a range's different values meet in one task. Without by
+    there is one row; with by, groups without any value have no row.
+    """
+    n = F.col(weight).cast("long") if weight else F.lit(1)
+    counts = df.select(*by, F.col(value).cast("double").alias("_v"), n.alias("_n")).where("_v IS NOT NULL").groupBy(*by, "_v").agg(F.sum("_n").alias("_n"))
+    counts = counts.withColumn("_b", magnitude(F.col("_v")))
+
+    def holding(d: DataFrame, parts: list[str], order: str) -> DataFrame:
+        """Those rows of d within which the _k-th value of their part lies; _k then counts from the row's own first."""
+        upto = F.sum("_n").over(Window.partitionBy(*parts).orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
+        d = d.withColumn("_last", upto).where("_k < _last AND _k >= _last - _n")
+        return d.withColumn("_k", F.col("_k") - F.col("_last") + F.col("_n")).drop("_n", "_last")
+
+    ranges = counts.groupBy(*by, "_b").agg(F.sum("_n").alias("_n"))
+    ranges = ranges.withColumn("_at", (F.sum("_n").over(Window.partitionBy(*by)) - 1) * p)
+    ranges = ranges.withColumn("_r", F.explode(F.array_distinct(F.array(F.floor("_at"), F.ceil("_at"))))).withColumn("_k", F.col("_r"))
+    held = counts.join(holding(ranges, [*by, "_r"], "_b"), [*by, "_b"])
+    each = holding(held, [*by, "_r"], "_v").groupBy(*by).agg(F.min_by("_v", "_r").alias("_lo"), F.max_by("_v", "_r").alias("_hi"), F.max("_at").alias("_at"))
+    up = F.col("_at") - F.floor("_at")
+    return each.select(*by, F.when(F.col("_lo") == F.col("_hi"), F.col("_lo")).otherwise((1 - up) * F.col("_lo") + up * F.col("_hi")).alias(name))
+
+
 def running(df: DataFrame, value: str, sums: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
     """df, which has a row for each value of a group, with up_to_<c>, the sum of c over the group's rows up to it, and all_<c>.
 

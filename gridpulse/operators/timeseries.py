@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from gridpulse.functions import exprs
 from gridpulse.operators import ranks, scans
 from gridpulse.operators.policies import apply_policy
-from gridpulse.schema import Channel, holds
+from gridpulse.schema import Channel, Cut, holds
 
 LONG_GAPS = (30, 60, 1440)
 
@@ -192,7 +192,7 @@ def horizon_features(windowed: DataFrame, value: str, by: Sequence[str], ts_min:
     )
 
 
-def pane_features(df: DataFrame, value: str, lengths: Sequence[float], step: float = 60.0, ts_min: str = "ts_min", keys: Sequence[str] = (), cadence: float = 15.0) -> DataFrame:
+def pane_features(df: DataFrame, value: str, lengths: Sequence[float], step: float = 60.0, ts_min: str = "ts_min", keys: Sequence[str] = (), cadence: float = 15.0, cut: Cut = Cut()) -> DataFrame:
     """horizon_features() of all sliding_windows() of several lengths: keys, length, window_start and the features.
 
     Rows are reduced once to panes, which every window is made of whole: their first and last sample, extremes, sums, and longest
@@ -206,13 +206,13 @@ def pane_features(df: DataFrame, value: str, lengths: Sequence[float], step: flo
     rows = rows.join(span, list(keys)) if keys else rows.crossJoin(F.broadcast(span))  # one row
     rows = rows.withColumn("_j", F.floor((F.col("_t") - F.col("_t0")) / width).cast("long"))
     own = [*keys, "_t0", "_t1", "_j"]
-    gap = F.col("_t") - F.lag("_t").over(Window.partitionBy(*own).orderBy("_t"))
+    rows = scans.scan(rows, keys, ["_t"], {"_p": scans.previous(F.struct("_t", "_j"))}, cut.minutes)
+    gap, same = F.col("_t") - F.col("_p._t"), F.col("_p._j") == F.col("_j")
     off = F.col("_v") - F.col("_c")  # sums of squares are taken around the stream's mean
-    panes = rows.withColumn("_gap", gap).groupBy(*own).agg(
+    panes = rows.groupBy(*own).agg(
         F.count("*").alias("_n"), F.count("_v").alias("_k"), F.sum("_v").alias("_sum"), F.sum(off).alias("_s"), F.sum(off * off).alias("_q"), F.max("_v").alias("_hi"),
-        F.min("_v").alias("_lo"), F.min(F.struct("_t", "_v")).alias("_first"), F.max(F.struct("_t", "_v")).alias("_last"), F.max("_gap").alias("_gap"),
+        F.min("_v").alias("_lo"), F.min(F.struct("_t", "_v")).alias("_first"), F.max(F.struct("_t", "_v")).alias("_last"), F.max(F.when(same, gap)).alias("_gap"), F.max(F.when(~same, gap)).alias("_before"),
     )
-    panes = scans.scan(panes, keys, ["_j"], {"_end": scans.previous(F.col("_last._t"))}).withColumn("_before", F.col("_first._t") - F.col("_end"))
     starts = []
     for length, part in zip(lengths, parts[1:]):
         m = int(part / pane)

@@ -33,6 +33,9 @@ def test_quantiles_of_many_values(spark, shape):
         up = at - np.floor(at)
         want = lo if lo == hi else (1 - up) * lo + up * hi
         assert got[f"q{i}"] == want or abs(got[f"q{i}"] - want) <= 1e-12 * abs(want), (p, got[f"q{i}"], want)
+    weighed = df.groupBy("v").agg(F.count("*").alias("n"))
+    for i in (0, 3, 6):
+        assert ranks.counted_quantiles(weighed, "v", PLACES[i], "q", weight="n").first()["q"] == got[f"q{i}"]
 
 
 def test_quantiles_by_group_with_missing_values(spark):
