@@ -35,10 +35,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gridpulse.llm.common import bounded_batches, durable, lean
+from gridpulse.llm.common import bounded_batches, durable, give_back, lean
 
 #: Characters of the texts of a block; bytes of the different pieces that are tokenised at once, and pieces in one text of these.
-BLOCK, AT_ONCE, JOINED = 4 << 20, 1 << 20, 256
+BLOCK, AT_ONCE, JOINED = 4 << 20, 1 << 19, 256
 #: Behind a token; behind a group's last token of A, and of B.
 SIGNS = ",|;"
 #: Where both tokenizers end a token; U+2581 stands for a space on one side.
@@ -274,6 +274,7 @@ def blocks(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
                 if size >= BLOCK:
                     rows.append(b.column(0).slice(done, i + 1 - done))
                     yield made(rows, texts, block)
+                    give_back()
                     block, rows, texts, size, done = block + 1, [], [], 0, i + 1
             if done < b.num_rows:
                 rows.append(b.column(0).slice(done))
