@@ -23,6 +23,7 @@ CYCLES = {
     "fixed": {"sub": 1, "cmp": 1, "mul": 1, "div": 0, "str": 2},
     "float": {"sub": 50, "cmp": 20, "mul": 50, "div": 140, "str": 2},
 }
+#: Cycles of a sample's four loads and three branches, and of one read.
 LOADS, BRANCHES, MEMORY = 4 * 2, 3 * 3, 2
 
 
@@ -77,6 +78,18 @@ def cost_table(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "approach string, class string, " + ", ".join(f"{k} long" for k in kinds))
 
 
+def workload(readings: DataFrame, value: str, by: Sequence[str], keys: Sequence[str]) -> DataFrame:
+    """What each approach costs on a table's readings, by group: operations and cycles of all present ones, bytes of state of all streams."""
+    present = readings.where(F.col(value).isNotNull()).groupBy(*by, *keys).agg(F.count("*").alias("n"))
+    groups = present.groupBy(*by).agg(F.sum("n").alias("n_readings"), F.count("*").alias("n_streams"))
+    each = groups.crossJoin(F.broadcast(cost_table(readings.sparkSession)))  # as many rows as approaches
+    per = lambda c, n: (F.col(c) * F.col(n)).alias(c.replace("_per_sample", "").replace("est_", "total_"))
+    return each.select(
+        *by, "approach", "n_readings", "n_streams", per("total_ops_per_sample", "n_readings"), per("est_cycles_m0_fixedpoint", "n_readings"),
+        per("est_cycles_m0_softfloat", "n_readings"), per("state_bytes_fixedpoint", "n_streams"), "model_storage_bytes",
+    )
+
+
 def grid(df: DataFrame, **axes: Sequence[float]) -> DataFrame:
     """df once for each combination of the axes' values: a bounded explode of each row."""
     for name, values in axes.items():

@@ -548,3 +548,8 @@ _add("decision_parity", [], """SELECT c AS "column", (SELECT count(*) FROM event
   CAST(NULL AS VARCHAR) AS first_difference FROM (SELECT unnest(['(rows)', 'flagged', 'reason', 'rate', 'jump', 'data_anomaly', 'state_updated', 'note']) AS c)""")
 _add("stream_state", [EV], """SELECT event_type AS key, round(arg_min(value, event_id), 6) AS last_value, round(max(th), 6) AS last_ts_min
 FROM (SELECT *, epoch_us(ts_h) / 60000000.0 AS th, max(epoch_us(ts_h)) OVER (PARTITION BY event_type) = epoch_us(ts_h) AS top FROM ev WHERE value >= 2) WHERE top GROUP BY 1""")
+_add("workload_cost", [f"co AS ({SQL['cost_table']})", "n AS (SELECT event_type, count(*) AS n_readings, count(DISTINCT user_id) AS n_streams FROM events WHERE value >= 1 GROUP BY 1)"],
+  """SELECT event_type, approach, n_readings, n_streams, total_ops_per_sample * n_readings AS total_ops, est_cycles_m0_fixedpoint * n_readings AS total_cycles_m0_fixedpoint,
+  est_cycles_m0_softfloat * n_readings AS total_cycles_m0_softfloat, state_bytes_fixedpoint * n_streams AS state_bytes_fixedpoint, model_storage_bytes FROM n, co""")
+_add("column_profile", [], " UNION ALL ".join(f"""SELECT '{c}' AS "column", '{t}' AS dtype, count({c}) AS n_present, max(strlen({c}::VARCHAR))::BIGINT AS longest_bytes FROM part"""
+  for c, t in (("p_partkey", "bigint"), ("p_name", "string"), ("p_brand", "string"), ("p_type", "string"), ("p_size", "int"))))

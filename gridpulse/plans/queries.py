@@ -855,3 +855,15 @@ def decision_parity(spark, d):
 @query
 def stream_state(spark, d):
     return rounded(state_of(spark, _streamed(spark, d)[2]))
+
+
+@query
+def workload_cost(spark, d):
+    """What the rules and models would cost on the readings of each type, a stream for each user."""
+    e = _events(spark, d).select("event_type", "user_id", F.when(F.col("value") >= 1, F.col("value")).alias("value"))
+    return physics.workload(e, "value", ["event_type"], KEYS)
+
+
+@query
+def column_profile(spark, d):
+    return telemetry.column_profile(_table(spark, d, "part").select("p_partkey", "p_name", "p_brand", "p_type", "p_size"))
