@@ -32,6 +32,17 @@ def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+#: Characters of a plan's description, of which the driver keeps several for each query that has run.
+TOLD = 1 << 14
+
+
+def short_plans(spark: SparkSession) -> None:
+    """Bounds the descriptions of plans, which for expressions in the thousands are megabytes; holds for the session, a lower bound stays."""
+    name = "spark.sql.maxPlanStringLength"
+    if int(spark.conf.get(name).rstrip("b")) > TOLD:
+        spark.conf.set(name, str(TOLD))
+
+
 #: What a Python worker gets at once: so many rows, and bytes (a longer row comes alone).
 BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": 1024, "spark.sql.execution.arrow.maxBytesPerBatch": 4 << 20}
 

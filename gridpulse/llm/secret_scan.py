@@ -28,6 +28,8 @@ import pyspark.sql.functions
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gridpulse.llm.common import short_plans
+
 KINDS = ("assign", "access", "hex", "markov")
 ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 #: The greedy run and the length test of the last two kinds are one quantifier: a maximal run has one length.
@@ -105,6 +107,7 @@ def held_out() -> Column:
 def train(spark: SparkSession, samples: DataFrame | None = None) -> Markov:
     """The models from three quarters of the samples, the threshold from the rest: above all but one in ONE_IN ordinary tokens,
     and half way to the random ones where these lie apart."""
+    short_plans(spark)
     samples = labelled_strings(spark) if samples is None else samples
     ratios = train_markov(samples.where(~held_out()))
     rest = samples.where(held_out() & (F.length("s") >= LEAST))
@@ -234,6 +237,7 @@ def find_secrets(docs: DataFrame, model: Markov, text: str = "text", varied: int
     token is reported if the whole token is random and the part's own mean exceeds the threshold too; a
     single character has no transition and is no part.
     """
+    short_plans(docs.sparkSession)
     keep = [c for c in docs.columns if c not in ("base_spans", "markov_spans")]
     # the row is one column, so no name of its own can meet those used here
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row"), F.coalesce(F.col(text), F.lit("")).alias("body"))
