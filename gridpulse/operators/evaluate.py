@@ -121,7 +121,7 @@ def _leads(found: DataFrame, by: Sequence[str], *counts: Column) -> DataFrame:
     """By group: counts, and the mean and median of _lead, of a table in which a row stands for _k events."""
     n, total = F.sum(F.when(F.col("_lead").isNotNull(), F.col("_k"))), F.sum(F.col("_lead") * F.col("_k"))
     sums = found.groupBy(*by).agg(*counts, F.bround(total / n, 3).alias("mean_lead_time_min"))
-    middle = ranks.counted_quantiles(found, "_lead", 0.5, "_m", by, "_k").withColumn("median_lead_time_min", F.bround("_m", 3)).drop("_m")
+    middle = ranks.counted_quantiles(found, "_lead", {"_m": 0.5}, by, "_k").withColumn("median_lead_time_min", F.bround("_m", 3)).drop("_m")
     return sums.join(middle, list(by), "left") if by else sums.crossJoin(middle)  # one row each
 
 

@@ -89,7 +89,7 @@ def event_sensitivity(df: DataFrame, flags: Sequence[str], gaps: Sequence[float]
     events = events.select("flag", F.col("_e.cell").alias("cell"), exprs.between_minutes("_e.start", "end").alias("d"))
     counts = events.groupBy("flag", "cell", "d").agg(F.count("*").alias("n"))
     told = counts.groupBy("flag", "cell").agg(F.sum("n").alias("n_events_after_merge"), F.max("d").alias("max_event_duration_minutes"))
-    told = told.join(ranks.counted_quantiles(counts, "d", 0.5, "median_event_duration_minutes", ["flag", "cell"], "n"), ["flag", "cell"])
+    told = told.join(ranks.counted_quantiles(counts, "d", {"median_event_duration_minutes": 0.5}, ["flag", "cell"], "n"), ["flag", "cell"])
     whole = leaves.groupBy("flag").agg(F.sum("n").alias("total_active_samples"), F.array(*[F.count_if(primitive(*own, float(g))) for g in gaps]).alias("_n"))
     at = lambda k: F.get(F.array(*[F.lit(x[k]) for x in grid]), F.col("cell"))
     return told.join(whole, "flag").select(  # a row for each flag

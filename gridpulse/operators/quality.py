@@ -90,8 +90,8 @@ def value_distribution(df: DataFrame, columns: Sequence[str]) -> DataFrame:
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("r", "v", "n"))), lambda x: F.format_string("%.4f:%d", x["v"], x["n"])), ";").alias("top_values")
     )
     shape = counts.groupBy("column").agg(F.count("*").alias("n_unique"), F.bool_and(F.col("v").isin(0.0, 1.0)).alias("_zero_one"))
-    quarters = {"p25": (F.col("v"), 0.25), "median": (F.col("v"), 0.5), "p75": (F.col("v"), 0.75)}
-    stats = ranks.quantiles(long, quarters, ["column"], [F.min("v").alias("min"), F.avg("v").alias("mean"), F.max("v").alias("max")], few=True)
+    quarters = ranks.counted_quantiles(counts, "v", {"p25": 0.25, "median": 0.5, "p75": 0.75}, ["column"], "n")
+    stats = long.groupBy("column").agg(F.min("v").alias("min"), F.avg("v").alias("mean"), F.max("v").alias("max")).join(quarters, "column")
     kind = F.when(F.col("_zero_one") & (F.col("n_unique") == 2), "binary").when(F.col("n_unique") <= 30, "categorical").otherwise("continuous")
     return stats.join(shape, "column").join(top, "column").select("column", "n_unique", "min", "p25", "median", "mean", "p75", "max", kind.alias("behaviour"), "top_values")
 

@@ -86,8 +86,8 @@ def quantiles(df: DataFrame, wanted: Mapping[str, tuple[Column, float]], by: Seq
     return out.join(last, list(by), "left") if by else out.crossJoin(last)  # one row each
 
 
-def counted_quantiles(df: DataFrame, value: str, p: float, name: str, by: Sequence[str] = (), weight: str | None = None) -> DataFrame:
-    """by and the quantile of one column, of a table whose rows are dear to compute or stand for many: one pass counts them by value.
+def counted_quantiles(df: DataFrame, value: str, wanted: Mapping[str, float], by: Sequence[str] = (), weight: str | None = None) -> DataFrame:
+    """by and the wanted quantiles of one column, of a table whose rows are dear to compute or stand for many: one pass counts them by value.
 
     weight: how often a row counts. Sums of the counts by range of size tell the range that holds a rank, and only its values are
     ordered; for events and the like, of which a range holds few, as all of a range's different values meet in one task. Without by
@@ -104,12 +104,15 @@ def counted_quantiles(df: DataFrame, value: str, p: float, name: str, by: Sequen
         return d.withColumn("_k", F.col("_k") - F.col("_last") + F.col("_n")).drop("_n", "_last")
 
     ranges = counts.groupBy(*by, "_b").agg(F.sum("_n").alias("_n"))
-    ranges = ranges.withColumn("_at", (F.sum("_n").over(Window.partitionBy(*by)) - 1) * p)
+    places = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(float(p)).alias("p")) for i, p in enumerate(wanted.values())]))
+    ranges = ranges.withColumn("_all", F.sum("_n").over(Window.partitionBy(*by))).withColumn("_q", places)
+    ranges = ranges.select(*by, "_b", "_n", F.col("_q.i").alias("_i"), ((F.col("_all") - 1) * F.col("_q.p")).alias("_at"))
     ranges = ranges.withColumn("_r", F.explode(F.array_distinct(F.array(F.floor("_at"), F.ceil("_at"))))).withColumn("_k", F.col("_r"))
-    held = counts.join(holding(ranges, [*by, "_r"], "_b"), [*by, "_b"])
-    each = holding(held, [*by, "_r"], "_v").groupBy(*by).agg(F.min_by("_v", "_r").alias("_lo"), F.max_by("_v", "_r").alias("_hi"), F.max("_at").alias("_at"))
+    held = counts.join(holding(ranges, [*by, "_i", "_r"], "_b"), [*by, "_b"])
+    each = holding(held, [*by, "_i", "_r"], "_v").groupBy(*by, "_i").agg(F.min_by("_v", "_r").alias("_lo"), F.max_by("_v", "_r").alias("_hi"), F.max("_at").alias("_at"))
     up = F.col("_at") - F.floor("_at")
-    return each.select(*by, F.when(F.col("_lo") == F.col("_hi"), F.col("_lo")).otherwise((1 - up) * F.col("_lo") + up * F.col("_hi")).alias(name))
+    value = F.when(F.col("_lo") == F.col("_hi"), F.col("_lo")).otherwise((1 - up) * F.col("_lo") + up * F.col("_hi"))
+    return each.withColumn("_q", value).groupBy(*by).agg(*[F.max(F.when(F.col("_i") == i, F.col("_q"))).alias(name) for i, name in enumerate(wanted)])
 
 
 def running(df: DataFrame, value: str, sums: Sequence[str], by: Sequence[str] = ()) -> DataFrame:

@@ -118,7 +118,7 @@ def horizon_study(samples: DataFrame, cutoff: float, keys: Sequence[str], horizo
     long = lambda found: found.unpivot(["length"], list(FEATURES), "feature", "x")
     cal = long(timeseries.pane_features(early, "value", horizons, keys=keys))
     by = ["length", "feature"]
-    limits = ranks.counted_quantiles(cal, "x", q, "threshold", by)  # a row for each length and feature
+    limits = ranks.counted_quantiles(cal, "x", {"threshold": q}, by)  # a row for each length and feature
     met = lambda found: long(found).join(F.broadcast(limits), by).groupBy(*by)
     before = timeseries.horizon_features(_event_windows(samples, zones, keys, horizons), "value", (*keys, "event_id", "length"), "ts_min")
     hits = met(before).agg(F.count_if(F.col("x") > F.col("threshold")).alias("hits"))
