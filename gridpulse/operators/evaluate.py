@@ -8,8 +8,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridpulse.functions import exprs
-from gridpulse.operators import ranks, scans
+from gridpulse.operators import bits, ranks, rules, scans
 from gridpulse.schema import Cut, holds
+from gridpulse.sources.scratch import written
 
 BAND, PRE_WINDOW = 100.0, 60.0
 
@@ -128,46 +129,44 @@ def _leads(found: DataFrame, by: Sequence[str], *counts: Column) -> DataFrame:
 def sweep_totals(flagged: DataFrame, samples: DataFrame, zones: DataFrame, keys: Sequence[str], configs: DataFrame, by: Sequence[str] = (), cut: Cut = Cut()) -> DataFrame:
     """evaluate() of many configurations at once, by view (by) and config_id.
 
-    flagged: zone-indexed samples with on, an array of decisions, and data_anomaly; configs: (place in that array, config_id,
-    and what else is to be told), of bounded size. All windows run over samples, whatever the number of configurations: a row
-    meets the array of the row before it. Only decisions that flag are unrolled, and are summed before they are shuffled; those
-    that are only counted need no stream in their sums.
+    flagged: zone-indexed samples with data_anomaly and on, an array of decisions, or bits, which rules.packed_sweep gives; configs:
+    (place among the decisions, config_id, and what else is to be told), of bounded size. A row's decisions are bits of a few numbers,
+    so what runs along a stream runs for all configurations at once, and rows are never unrolled: tasks count bits.
 
-    An episode begins at a row outside all zones that is flagged while the row before is not, or with which a flagged run leaves a
-    stretch of zone rows in which it began. A run that holds a whole stretch and the row before it goes on.
+    An episode begins at a row outside all zones that is flagged, unless the flagged run that it belongs to already held such a
+    row: _c has the bits of that row and all rows of the zones behind it.
     """
     stream = [*by, *keys]
-    inside = F.col("event_id").isNotNull()
-    known = flagged.select(*stream, "idx", "ts_min", "event_id", "crossing_ts", "on", inside.alias("_in"))
-    rows = scans.scan(known, stream, ["idx"], {"_p": scans.previous(F.struct("on", "_in")), "_n": scans.next_present(F.struct("_in"))}, cut.steps)
+    inside, ts = F.col("event_id").isNotNull(), F.col("ts_min")
+    if "bits" not in flagged.columns:
+        n = (configs.agg(F.max("place")).first()[0] or 0) + 1
+        on = F.concat(F.array(F.lit(True), holds(F.col("data_anomaly"))), F.slice("on", 1, n))
+        flagged = flagged.withColumn("bits", bits.pack(on, n + rules.LEADING))
+    k = len(flagged.schema["bits"].dataType)
+    w, c, seen = (bits.names(p, k) for p in ("_w", "_c", "_s"))
+    rows = flagged.select(*stream, "idx", "ts_min", "event_id", "crossing_ts", *[F.col("bits")[f"w{i}"].alias(x) for i, x in enumerate(w)])
+    rows = scans.scan(rows, stream, ["idx"], {"_block": scans.sum_upto((~inside).cast("int"))}, cut.steps)
+    rows = scans.scan(rows, [*stream, "_block"], ["idx"], {y: scans.common_upto(F.col(x)) for x, y in zip(w, c)}, cut.steps)
+    held = F.when(F.col("_block") > 0, F.struct(*c))
+    rows = scans.scan(rows.withColumn("_held", held), stream, ["idx"], {"_p": scans.previous(F.col("_held"))}, cut.steps)
+    rows = scans.scan(rows, [*stream, "event_id"], ["idx"], {y: scans.bits_before(F.col(x)) for x, y in zip(w, seen)}, cut.steps)
+    zero = F.lit(0).cast("long")
+    without = lambda x, y: F.col(x).bitwiseAND(F.bitwise_not(F.coalesce(y, zero)))
     rows = rows.select(
-        *stream, "idx", "ts_min", "event_id", "crossing_ts", "on", F.col("_p.on").alias("_was"),
-        F.coalesce("_p._in", F.lit(False)).alias("_after"), F.coalesce("_n._in", F.lit(False)).alias("_before"),
+        *by, F.when(ts <= F.col("crossing_ts"), F.col("crossing_ts") - ts).alias("_lead"), *w,
+        *[F.when(~inside, without(x, F.col("_p")[y])).otherwise(zero).alias(f"_begin{i}") for i, (x, y) in enumerate(zip(w, c))],
+        *[F.when(inside, without(x, F.col(y))).otherwise(zero).alias(f"_first{i}") for i, (x, y) in enumerate(zip(w, seen))],
     )
-    rows = scans.scan(rows, stream, ["idx"], {"_stretch": scans.sum_upto((inside & ~F.col("_after")).cast("int"))}, cut.steps)
-    rows = rows.withColumn("_size", F.sum(inside.cast("int")).over(Window.partitionBy(*stream, "_stretch")))
-    ts, st = F.col("ts_min"), F.col("_stretch")
-    flags = F.filter(F.transform("on", lambda x, i: F.when(x, i)), lambda i: i.isNotNull())
-    each = rows.select(*stream, "ts_min", "event_id", "crossing_ts", "_after", "_before", "_stretch", "_size", "_was", F.explode(flags).alias("place"))
-    fresh = ~F.coalesce(F.get("_was", F.col("place")), F.lit(False))
-    rows_of = each.groupBy(*by, "place").agg(F.count("*").alias("total_flagged_rows"), F.count_if(~inside & fresh).alias("_fresh"))
-    # flagged rows of a stretch, the row before it and the row behind it
-    role = lambda id_, **x: F.struct(id_.alias("id"), *[x.get(c, F.lit(False)).alias(c) for c in ("held", "last", "prior", "exit")])
-    yes = F.lit(True)
-    roles = F.array_compact(F.array(
-        F.when(inside, role(st, held=yes, last=~F.col("_before"))), F.when(~inside & F.col("_before"), role(st + 1, prior=yes)), F.when(~inside & F.col("_after"), role(st, exit=yes))
-    ))
-    near = each.where(inside | F.col("_before") | F.col("_after")).select(*stream, "place", F.when(inside, F.col("_size")).alias("_size"), F.explode(roles).alias("x"))
-    near = near.groupBy(*stream, "place", "x.id").agg(
-        F.count_if("x.held").alias("held"), F.max("_size").alias("size"), F.max("x.last").alias("last"), F.max("x.prior").alias("prior"), F.max("x.exit").alias("exit")
-    )
-    left = near.where("exit AND last AND NOT (prior AND held = size)").groupBy(*by, "place").agg(F.count("*").alias("_left"))
-    rows_of = rows_of.join(left, [*by, "place"], "left").withColumn("false_alarm_episodes", F.col("_fresh") + F.coalesce("_left", F.lit(0)))
-    hits = each.where(inside).groupBy(*stream, "place", "event_id").agg(F.min(ts).alias("ts"), F.min(F.when(ts <= F.col("crossing_ts"), ts)).alias("pre"), F.first("crossing_ts").alias("crossing_ts"))
-    lead = F.when(F.col("pre").isNotNull(), F.col("crossing_ts") - F.col("ts"))
-    found = hits.groupBy(*by, "place", lead.alias("_lead")).agg(F.count("*").alias("_k"))
+    counts = bits.places(rows, by, [(w, None), (bits.names("_begin", k), None), (bits.names("_first", k), F.col("_lead"))])
+    counts = written(counts, "sweep-counts").withColumn("place", F.col("place") - rules.LEADING)
+    sum_of = lambda kind: F.sum(F.when(F.col("_kind") == kind, F.col("_k")))
+    rows_of = counts.groupBy(*by, "place").agg(sum_of(0).alias("total_flagged_rows"), sum_of(1).alias("false_alarm_episodes"))
+    found = counts.where("_kind = 2 AND place >= 0").select(*by, "place", "_lead", "_k")
     events = _leads(found, [*by, "place"], F.sum(F.when(F.col("_lead").isNotNull(), F.col("_k"))).alias("events_detected"), F.sum("_k").alias("events_detected_in_zone"))
-    views = _views(flagged, samples, zones, keys, by)
+    # of the leading bits the first is every row's, the second tells an anomaly
+    leading = counts.where("_kind = 0 AND place < 0").groupBy(*by)
+    anomalies = leading.agg(F.coalesce(F.sum(F.when(F.col("place") == 1 - rules.LEADING, F.col("_k"))), F.lit(0)).alias("data_anomaly_rows"))
+    views = _views(anomalies, samples, zones, keys, by)
     out = views.crossJoin(F.broadcast(configs)).join(rows_of, [*by, "place"], "left").join(events, [*by, "place"], "left")  # views x configurations
     zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
     return out.select(
@@ -178,10 +177,9 @@ def sweep_totals(flagged: DataFrame, samples: DataFrame, zones: DataFrame, keys:
     )
 
 
-def _views(flagged: DataFrame, samples: DataFrame, zones: DataFrame, keys: Sequence[str], by: Sequence[str]) -> DataFrame:
+def _views(anomalies: DataFrame, samples: DataFrame, zones: DataFrame, keys: Sequence[str], by: Sequence[str]) -> DataFrame:
     """A row for each view: its anomalies, events and normal days."""
     stream = [*by, *keys]
-    anomalies = flagged.groupBy(*by).agg(F.count_if(holds(F.col("data_anomaly"))).alias("data_anomaly_rows"))
     events = zones.groupBy(*by).agg(F.count("*").alias("events_total"))
     days = normal_zones(samples, zones, stream).groupBy(*by).agg((F.sum(F.col("span_end") - F.col("span_start")) / 1440.0).alias("normal_days"))
     if not by:

@@ -12,11 +12,13 @@ from collections.abc import Sequence
 from dataclasses import dataclass, field
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridpulse.functions import exprs
-from gridpulse.operators import ranks, scans
+from gridpulse.operators import bits, ranks, scans
 from gridpulse.schema import Channel, holds
 
 FILTER_TYPES = ("rate", "range", "combined", "jump")
@@ -133,6 +135,57 @@ def sweep(df: DataFrame, configs: Sequence[Config], value: str, ts_min: str, cha
     return s.select(*df.columns, on.alias("on"), "data_anomaly")
 
 
+#: Bits before the decisions of a packed sweep: every row's, and an anomaly's.
+LEADING = 2
+
+
+def packed_sweep(df: DataFrame, configs: Sequence[Config], value: str, ts_min: str, channel: Channel, also: Sequence[Column] = ()) -> DataFrame:
+    """sweep() with bits in place of on: every decision as a bit of a few numbers, made array-wise, and data_anomaly. also: decisions to follow the configurations'."""
+    s = state(df, value, ts_min, channel)
+    v, t, before = F.col(value).cast("double"), F.col(ts_min), F.col("prev_t")
+    anomaly = v.isNull() | holds(before.isNotNull() & (t - before <= 0))
+    dt, change = F.when(t > before, t - before).cast("double"), F.when(t > before, F.abs(v - F.col("prev_v"))).cast("double")
+    more, n = len(also), len(configs)
+
+    def run(v: pa.Array, dt: pa.Array, change: pa.Array, flags: pa.Array) -> pa.Array:
+        on = np.zeros((LEADING + n + more, len(v)), bool)
+        on[0] = True
+        flags = bits.booleans(flags, 1 + more)
+        on[1], on[LEADING + n :] = flags[0], flags[1:]
+        decide_all(configs, *[x.to_numpy(zero_copy_only=False) for x in (v, dt, change)], *[~np.asarray(x.is_null()) for x in (v, dt, change)], out=on[LEADING : LEADING + n])
+        return bits.packed(on)
+
+    run.__annotations__ = {**dict.fromkeys(("v", "dt", "change", "flags"), pa.Array), "return": pa.Array}
+    pack = F.arrow_udf(run, bits.struct_of(bits.words(LEADING + n + more)))
+    s = s.select(*df.columns, anomaly.alias("data_anomaly"), dt.alias("_dt"), change.alias("_change"))
+    flags = F.array(F.col("data_anomaly"), *map(holds, also))
+    return s.select(*df.columns, pack(v, F.col("_dt"), F.col("_change"), flags).alias("bits"), "data_anomaly")
+
+
+def decide_all(configs: Sequence[Config], v: np.ndarray, dt: np.ndarray, change: np.ndarray, known: np.ndarray, timed: np.ndarray, moved: np.ndarray, out: np.ndarray) -> None:
+    """decision_of() for all configurations, on arrays; a number that isn't one is greater than any, as in Spark."""
+    with np.errstate(invalid="ignore", divide="ignore", over="ignore"):
+        rate, rated = change / dt, moved & timed
+        tests: dict[tuple, np.ndarray] = {}
+
+        def test(name: str, limit: float) -> np.ndarray:
+            if (name, limit) not in tests:
+                x, there = {"upper": (v, known), "lower": (v, known), "rate": (rate, rated), "jump": (change, moved), "gap": (dt, timed)}[name]
+                tests[name, limit] = there & {"lower": lambda: x < limit, "gap": lambda: x <= limit}.get(name, lambda: (x > limit) | np.isnan(x))()
+            return tests[name, limit]
+
+        for c, on in zip(configs, out):
+            for name in ("rate", "jump"):
+                if (limit := getattr(c, name)) is not None:
+                    on |= test(name, limit)
+            if c.gap_behavior == "reset":
+                on &= test("gap", c.gap_minutes)
+            for name in ("upper", "lower"):
+                if (limit := getattr(c, name)) is not None:
+                    on |= test(name, limit)
+            on &= known
+
+
 def b1_threshold(value: Column, threshold: float) -> Column:
     return holds(value >= threshold)
 

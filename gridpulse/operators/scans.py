@@ -59,6 +59,16 @@ def next_present(value: Column) -> Scan:
     return Scan("next", value)
 
 
+def bits_before(value: Column) -> Scan:
+    """The bits that are set in any row before."""
+    return Scan("or", value)
+
+
+def common_upto(value: Column) -> Scan:
+    """The bits that are set in all rows so far, the row's own included."""
+    return Scan("and", value, True)
+
+
 def position(df: DataFrame, column: str) -> Column:
     """An order column as a number: times in minutes."""
     return exprs.minutes(column) if dict(df.dtypes)[column].startswith("timestamp") else F.col(column).cast("double")
@@ -76,6 +86,7 @@ def _running(s: Scan, value: Column, forwards, backwards) -> Column:
         "max": lambda: F.max(value).over(forwards.rowsBetween(*before)), "sum": lambda: F.sum(value).over(forwards.rowsBetween(*before)),
         "last": lambda: F.last(value, ignorenulls=True).over(forwards.rowsBetween(*before)), "lag": lambda: F.lag(value).over(forwards),
         "next": lambda: F.last(value, ignorenulls=True).over(backwards.rowsBetween(*before)),
+        "or": lambda: F.bit_or(value).over(forwards.rowsBetween(*before)), "and": lambda: F.bit_and(value).over(forwards.rowsBetween(*before)),
     }[s.kind]()
 
 
@@ -95,7 +106,7 @@ def scan(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], want
     there = lambda p: F.when(F.col(p).isNotNull(), where)
     total = {
         "max": lambda p: F.max(p), "sum": lambda p: F.sum(p), "last": lambda p: F.max_by(p, there(p)), "lag": lambda p: F.max_by(p, where),
-        "next": lambda p: F.min_by(p, there(p)),
+        "next": lambda p: F.min_by(p, there(p)), "or": lambda p: F.bit_or(p), "and": lambda p: F.bit_and(p),
     }
     ends = rows.groupBy(*keys, "_segment").agg(*[total[s.kind](places[name]).alias(places[name]) for name, s in wanted.items()])
     forwards, backwards = _windows(keys, ["_segment"])

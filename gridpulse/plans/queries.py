@@ -395,7 +395,7 @@ def _sweep(spark, d) -> DataFrame:
     s = _samples(spark, d)
     z = _zones(s)
     configs = _configs()
-    f = rules.sweep(evaluate.zone_index(s, z, KEYS), configs, "value", "ts_min", IDX)
+    f = rules.packed_sweep(evaluate.zone_index(s, z, KEYS), configs, "value", "ts_min", IDX)
     named = spark.createDataFrame([(i, c.config_id) for i, c in enumerate(configs)], "place int, config_id string")
     return evaluate.sweep_totals(f, s, z, KEYS, named)
 
@@ -437,13 +437,12 @@ def _policy_sweep(spark, d) -> DataFrame:
     s = evaluate.index_samples(views, keys, "t", "event_id", "value")
     z = evaluate.event_zones(evaluate.rising_crossings(s, keys), keys)
     causal = [rules.Config("", "", gap, 1440.0, rate, upper, None, jump) for _, _, gap, _, rate, upper, jump in sweep_configs()]
-    f = rules.sweep(evaluate.zone_index(s, z, keys), causal, "value", "ts_min", Channel("ts_min", "idx", keys))
-    cuts = ranks.quantiles(s, {f"p{i}": (F.col("value"), p / 100) for i, p in enumerate(PERCENTS)}, by)
-    f = f.join(F.broadcast(cuts), list(by))  # a row for each policy
+    cuts = ranks.quantiles(s, {f"p{i}": (F.col("value"), p / 100) for i, p in enumerate(PERCENTS)}, by, few=True)
+    f = evaluate.zone_index(s, z, keys).join(F.broadcast(cuts), list(by))  # a row for each policy
     v = F.col("value")
-    fixed = [rules.b1_threshold(v, TRIVIAL), *[F.coalesce(v > F.col(f"p{i}"), F.lit(False)) for i in range(len(PERCENTS))]]
+    fixed = [rules.b1_threshold(v, TRIVIAL), *[v > F.col(f"p{i}") for i in range(len(PERCENTS))]]
     drawn = [rules.b2_random(p, seed, *[F.col(k) for k in keys], F.col("idx")) for p in CHANCES for seed in SEEDS]
-    f = f.withColumn("on", F.concat("on", F.array(*fixed, *drawn)))
+    f = rules.packed_sweep(f, causal, "value", "ts_min", Channel("ts_min", "idx", keys), [*fixed, *drawn])
     named = [(i, *x[:4], True) for i, x in enumerate(sweep_configs())]
     named += [(len(named) + i, *x, False) for i, x in enumerate(sweep_baselines())]
     configs = spark.createDataFrame(named, "place int, filter_type string, threshold string, gap_policy string, seed long, causal boolean")
