@@ -41,7 +41,8 @@ def coercion_failures(df: DataFrame, sensors: Sequence[str]) -> DataFrame:
 def repeated_groups(df: DataFrame, sensors: Sequence[str], channel: Channel = Channel(), flags: Sequence[str] = ()) -> DataFrame:
     """One row for each time with several records: which sensors disagree, how far, and where the records lie."""
     spread = {c: F.max(c) - F.min(c) for c in sensors}
-    differs = {c: (F.count_distinct(c) + F.max(F.col(c).isNull().cast("int"))) > 1 for c in sensors}
+    # extremes tell whether values differ, a count whether only some are missing: no distinct values are gathered
+    differs = {c: F.coalesce(F.min(c) != F.max(c), F.lit(False)) | ((F.count(c) > 0) & (F.count(c) < F.count("*"))) for c in sensors}
     lines = F.array_sort(F.collect_list(channel.order))
     out = df.groupBy(*channel.instant()).agg(
         F.count("*").alias("n_records"), lines.alias("_lines"), (F.max(channel.order) - F.min(channel.order)).alias("raw_line_span"),

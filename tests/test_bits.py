@@ -3,7 +3,8 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from gridpulse.operators import bits, rules
+from gridpulse.operators import bits, evaluate, quality, rules
+from gridpulse.plans import queries as plans
 from gridpulse.schema import Channel
 
 
@@ -32,3 +33,13 @@ def test_places_are_counted_by_group_and_number(spark):
     assert sorted((str(r["g"]), r["place"], r["_k"]) for r in got if r["_kind"] == 0) == sorted((g, p, k) for g in ("None", "1", "2") for p, k in ((0, 3000), (1, 1500)))
     by = [r for r in got if r["_kind"] == 1]
     assert sum(r["_k"] for r in by) == 13500 and len({(r["g"], r["_lead"], r["place"]) for r in by}) == len(by) and max(r["_k"] for r in by) == 1
+
+
+def test_repeats_are_told_without_gathering_distinct_values(spark):
+    nan = float("nan")
+    groups = {1: [1.0, 1.0], 2: [1.0, 2.0], 3: [None, None], 4: [None, 2.0], 5: [nan, nan], 6: [nan, 1.0], 7: [0.0, -0.0], 8: [5.0]}
+    rows = [(g, i, v, 1.0) for g, vs in groups.items() for i, v in enumerate(vs)]
+    df = spark.createDataFrame(rows, "g int, line long, v double, u double").selectExpr("timestamp_seconds(g) AS timestamp", "line", "v", "u")
+    found = quality.repeated_groups(df, ("v", "u"), Channel("timestamp", "line"), ("u",))
+    assert [r["identical_group"] for r in found.orderBy("timestamp").collect()] == [True, False, True, False, True, False, True]
+    assert "Expand" not in found._jdf.queryExecution().optimizedPlan().toString()
