@@ -43,3 +43,9 @@ def test_repeats_are_told_without_gathering_distinct_values(spark):
     found = quality.repeated_groups(df, ("v", "u"), Channel("timestamp", "line"), ("u",))
     assert [r["identical_group"] for r in found.orderBy("timestamp").collect()] == [True, False, True, False, True, False, True]
     assert "Expand" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_few_groups_do_not_shuffle_their_values(spark):
+    d = "/root/testdata/sf0.001"
+    plan = plans.quantiles(spark, d)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
