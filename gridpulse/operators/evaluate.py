@@ -27,10 +27,13 @@ def index_samples(df: DataFrame, keys: Sequence[str], ts_min: str, order: str, v
 
 def rising_crossings(samples: DataFrame, keys: Sequence[str], band: float = BAND, cut: Cut = Cut()) -> DataFrame:
     """Rows where the value comes to the band from below, later than the row before, and the first later row below it."""
-    below = F.when(F.col("value") < band, F.struct("idx", "ts_min"))
-    rows = scans.scan(samples, keys, ["idx"], {"_p": scans.previous(F.struct("value", "ts_min")), "r": scans.next_present(below)}, cut.steps)
-    rows = rows.where((F.col("ts_min") > F.col("_p.ts_min")) & (F.col("_p.value") < band) & (F.col("value") >= band))
-    rows = scans.scan(rows.drop("_p"), keys, ["idx"], {"_n": scans.sum_upto(F.lit(1))}, cut.steps)
+    rows = scans.scan(samples.select(*keys, "idx", "ts_min", "value"), keys, ["idx"], {"_p": scans.previous(F.struct("value", "ts_min"))}, cut.steps)
+    below, was = holds(F.col("value") < band), holds(F.col("_p.value") < band)
+    crosses = holds((F.col("ts_min") > F.col("_p.ts_min")) & (F.col("value") >= band)) & was
+    # the first later row below the band has none below it before, so only crossings and such rows are searched
+    rows = rows.where(crosses | (below & ~was)).select(*keys, "idx", "ts_min", crosses.alias("_up"))
+    rows = scans.scan(rows, keys, ["idx"], {"r": scans.next_present(F.when(~F.col("_up"), F.struct("idx", "ts_min")))}, cut.steps).where("_up")
+    rows = scans.scan(rows, keys, ["idx"], {"_n": scans.sum_upto(F.lit(1))}, cut.steps)
     return rows.select(
         *keys, F.col("_n").cast("long").alias("event_id"), F.col("idx").alias("crossing_index"), F.col("ts_min").alias("crossing_ts"),
         F.col("r.idx").alias("recovery_index"), F.col("r.ts_min").alias("recovery_ts"),

@@ -49,3 +49,15 @@ def test_few_groups_do_not_shuffle_their_values(spark):
     d = "/root/testdata/sf0.001"
     plan = plans.quantiles(spark, d)._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+
+
+def test_only_crossings_and_falls_look_for_the_next_row_below(spark):
+    values = [50.0, 120.0, None, 130.0, 80.0, 70.0, 101.0, 90.0, 105.0, None, 99.0, 100.0]
+    s = spark.createDataFrame([("a", i, float(i), v) for i, v in enumerate(values)], "k string, idx long, ts_min double, value double")
+    got = evaluate.rising_crossings(s, ["k"])
+    assert [(r["crossing_index"], r["recovery_index"]) for r in got.orderBy("event_id").collect()] == [(1, 4), (6, 7), (8, 10), (11, None)]
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    lines = plan[plan.index("idx#") :].splitlines()
+    back = next(i for i, x in enumerate(lines) if "Window" in x and "DESC" in x)
+    after = next(i for i, x in enumerate(lines) if i > back and "Window" in x)
+    assert any("Filter" in x for x in lines[back:after])
