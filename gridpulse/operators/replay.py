@@ -15,6 +15,7 @@ from gridpulse.operators import evaluate, quality, ranks, scans, timeseries
 from gridpulse.operators.islands import islands
 from gridpulse.operators.timeseries import valid_pairs
 from gridpulse.schema import Channel, Cut, holds
+from gridpulse.sources.scratch import written
 
 #: Quantiles of the calibration's primary and sensitivity thresholds; None is the maximum.
 CAL_RULES = {
@@ -116,9 +117,11 @@ def horizon_study(samples: DataFrame, cutoff: float, keys: Sequence[str], horizo
     normal = evaluate.zone_index(late, zones, keys).where(F.col("event_id").isNull()).select(*samples.columns)
     n_events = zones.agg(F.count("*").alias("n_events"))
     long = lambda found: found.unpivot(["length"], list(FEATURES), "feature", "x")
-    cal = long(timeseries.pane_features(early, "value", horizons, keys=keys))
+    cal = timeseries.pane_features(early, "value", horizons, keys=keys)
     by = ["length", "feature"]
-    limits = ranks.counted_quantiles(cal, "x", {"threshold": q}, by)  # a row for each length and feature
+    # windows are many and made anew from panes for little, so they are passed twice and not shuffled by value
+    limits = ranks.quantiles(cal, {c: (F.col(c), q) for c in FEATURES}, ["length"], few=True).unpivot(["length"], list(FEATURES), "feature", "threshold")
+    limits = written(limits.where("threshold IS NOT NULL"), "limits")  # a row for each length and feature
     met = lambda found: long(found).join(F.broadcast(limits), by).groupBy(*by)
     before = timeseries.horizon_features(_event_windows(samples, zones, keys, horizons), "value", (*keys, "event_id", "length"), "ts_min")
     hits = met(before).agg(F.count_if(F.col("x") > F.col("threshold")).alias("hits"))

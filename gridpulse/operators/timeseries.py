@@ -212,7 +212,8 @@ def pane_features(df: DataFrame, value: str, lengths: Sequence[float], step: flo
     panes = rows.groupBy(*own).agg(
         F.count("*").alias("_n"), F.count("_v").alias("_k"), F.sum("_v").alias("_sum"), F.sum(off).alias("_s"), F.sum(off * off).alias("_q"), F.max("_v").alias("_hi"),
         F.min("_v").alias("_lo"), F.min(F.struct("_t", "_v")).alias("_first"), F.max(F.struct("_t", "_v")).alias("_last"), F.max(F.when(same, gap)).alias("_gap"), F.max(F.when(~same, gap)).alias("_before"),
-    )
+        F.max(F.when(~same, F.col("_p._j"))).alias("_behind"),
+    ).withColumns({"_t": F.col("_first._t"), "_u": F.col("_last._t"), "_x": F.col("_first._v"), "_y": F.col("_last._v")})
     starts = []
     for length, part in zip(lengths, parts[1:]):
         m = int(part / pane)
@@ -223,15 +224,15 @@ def pane_features(df: DataFrame, value: str, lengths: Sequence[float], step: flo
         starts.append(F.transform(known, lambda k: F.struct(named, k.alias("k"))))  # noqa: B023
     held = panes.withColumn("_w", F.explode(F.concat(*starts))).select("*", F.col("_w.length").alias("length"), F.col("_w.k").alias("_at"))
     w = held.groupBy(*keys, "_t0", "length", "_at").agg(
-        *[F.sum(c).alias(c) for c in ("_n", "_k", "_sum", "_s", "_q")], F.max("_hi").alias("_hi"), F.min("_lo").alias("_lo"), F.min("_first").alias("_first"),
-        F.max("_last").alias("_last"), F.max("_gap").alias("_gap"), F.sort_array(F.collect_list(F.struct("_j", "_before"))).alias("_edges"),
+        *[F.sum(c).alias(c) for c in ("_n", "_k", "_sum", "_s", "_q")], F.max("_hi").alias("_hi"), F.min("_lo").alias("_lo"), F.min("_t").alias("_t"), F.max("_u").alias("_u"),
+        F.min_by("_x", "_t").alias("_x"), F.max_by("_y", "_u").alias("_y"), F.max("_gap").alias("_gap"),
+        # the gap before a pane is the window's own if the sample before lies in it: so all sums are numbers, and no window's panes are listed
+        F.max(F.when(F.col("_behind") >= F.col("_at") * every, F.col("_before"))).alias("_across"),
     )
-    # the gap before a window's first pane is none of its own; it has a pane for each part of its length at most
-    across = F.array_max(F.transform(F.slice("_edges", 2, F.greatest(F.size("_edges") - 1, F.lit(0))), lambda e: e["_before"]))
-    length_, rise = F.col("_last._t") - F.col("_first._t"), F.col("_last._v") - F.col("_first._v")
+    length_, rise = F.col("_u") - F.col("_t"), F.col("_y") - F.col("_x")
     spread = F.when(F.col("_lo") == F.col("_hi"), F.lit(0.0)).otherwise(F.sqrt(F.greatest(F.lit(0.0), F.col("_q") / F.col("_k") - F.pow(F.col("_s") / F.col("_k"), 2))))
     return w.select(
-        *keys, "length", (F.col("_t0") + F.col("_at") * step).alias("window_start"), F.col("_last._v").alias("last"), F.col("_hi").alias("maximum"), (F.col("_sum") / F.col("_k")).alias("mean"),
+        *keys, "length", (F.col("_t0") + F.col("_at") * step).alias("window_start"), F.col("_y").alias("last"), F.col("_hi").alias("maximum"), (F.col("_sum") / F.col("_k")).alias("mean"),
         F.when(length_ > 0, rise / length_).otherwise(F.lit(0.0)).alias("slope_per_min"), F.when(F.col("_k") > 0, spread).alias("variability"),
-        F.coalesce(F.greatest("_gap", across), F.lit(0.0)).alias("max_gap_min"), F.greatest(F.lit(0.0), 1 - F.col("_n") / (length_ / cadence + 1)).alias("missing_frac"),
+        F.coalesce(F.greatest("_gap", "_across"), F.lit(0.0)).alias("max_gap_min"), F.greatest(F.lit(0.0), 1 - F.col("_n") / (length_ / cadence + 1)).alias("missing_frac"),
     )

@@ -3,7 +3,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from gridpulse.operators import bits, evaluate, quality, rules
+from gridpulse.operators import bits, evaluate, quality, rules, timeseries
 from gridpulse.plans import queries as plans
 from gridpulse.schema import Channel
 
@@ -61,3 +61,13 @@ def test_only_crossings_and_falls_look_for_the_next_row_below(spark):
     back = next(i for i, x in enumerate(lines) if "Window" in x and "DESC" in x)
     after = next(i for i, x in enumerate(lines) if i > back and "Window" in x)
     assert any("Filter" in x for x in lines[back:after])
+
+
+def test_windows_are_summed_without_lists_or_sorts(spark):
+    rows = [("a", float(t), float(v)) for t, v in ((0, 1), (30, 5), (70, 2), (200, 9), (215, 3), (330, 4), (400, 4))]
+    df = spark.createDataFrame(rows, "k string, ts_min double, value double")
+    found = timeseries.pane_features(df, "value", (120.0, 240.0), keys=["k"])
+    got = {(r["length"], r["window_start"]): (r["last"], r["max_gap_min"]) for r in found.collect()}
+    assert got[120.0, 0.0] == (2.0, 40.0) and got[120.0, 180.0] == (3.0, 15.0) and got[240.0, 60.0] == (3.0, 130.0)
+    plan = found._jdf.queryExecution().executedPlan().toString().lower()
+    assert "collect_list" not in plan and "_at" in plan
