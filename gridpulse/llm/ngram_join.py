@@ -9,10 +9,12 @@ Documents are sets of word shingles; two link when 100 * |intersection| >= 80 *
 2. A set of n must share one of its n - ceil(0.8 n) + 1 rarest shingles with any set it links to. Postings of these
    meet by shingle. Pairs of classes in short lists are counted and dropped when what they share there is too little for
    the overlap; a list that is long has its smallest class as centre, instead of pairs, once for each pair of neighbouring
-   ranges of size, as sets that link differ by one such range at most.
+   ranges of size, as sets that link differ by one such range at most. A set whose place of the shingle is so late that
+   what follows it is too little for the overlap with the least set of the list isn't put there.
 3. The classes of a centre, in blocks of bounded size, are searched for links: each set asks the block's inverted
-   lists for the sets that reach the overlap. The L longest lists are set aside, the short ones are merged by a
-   heap, and what reaches T - L there is probed by binary search in the long ones (DivideSkip). Only links
+   lists for the sets that reach the overlap. The L longest lists are set aside, the short ones are counted by
+   member, and what reaches T - L there is probed by binary search in the long ones (DivideSkip). Sets that are in the
+   largest component by then don't ask: what they link to outside it asks itself. Only links
    that connect something new leave a task, never all pairs of a group.
 4. Links become components. Where a centre had several blocks, its classes outside its largest component meet the
    other blocks in a second search, so no link between components is missed.
@@ -25,7 +27,6 @@ ties don't arise, as the measure is exact. Sets are compared by 64-bit hashes of
 
 from __future__ import annotations
 
-import heapq
 import math
 from collections.abc import Iterator
 
@@ -198,12 +199,45 @@ def may_link(n: np.ndarray, place: np.ndarray, m: np.ndarray, other: np.ndarray)
     return (NUM * np.maximum(n, m) <= DEN * np.minimum(n, m)) & (n - place >= least) & (m - other >= least)
 
 
+def reach(n: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """The largest set that may link with one of n whose first shingle in common has this place."""
+    return (DEN + NUM) * (n - place) // NUM - n
+
+
+def stars(key: np.ndarray, cls: np.ndarray, n: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(class, centre) of the lists of some shingles, one for each pair of neighbouring ranges of size; linked sets are in one or in neighbouring ones.
+
+    Of a list only those stay that can reach its least set, the first shingle in common being this one.
+    """
+    kept, centres = [cls[:0]], [cls[:0]]
+    # a range's list holds the one below, too
+    size = np.floor(np.log(n) / math.log(DEN / NUM)).astype(np.int64)  # below 256 for any number
+    at = np.concatenate([[0], np.cumsum(key[1:] != key[:-1])]) * 256 + size if len(key) else size
+    code, of, own = np.concatenate([at, at + 1]), np.tile(np.arange(len(key)), 2), np.repeat([True, False], len(key))
+    o = np.argsort(code, kind="stable")
+    code, of, own = code[o], of[o], own[o]
+    for last in (False, True):
+        if not len(code):
+            break
+        starts = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]]))
+        length = np.diff(np.append(starts, len(code)))
+        stay = np.repeat(np.logical_or.reduceat(own, starts) & (length > 1), length)
+        if last:
+            kept, centres = [cls[of][stay]], [np.repeat(np.minimum.reduceat(cls[of], starts), length)[stay]]
+        else:
+            stay &= reach(n[of], place[of]) >= np.repeat(np.minimum.reduceat(n[of], starts), length)
+        code, of, own = code[stay], of[stay], own[stay]
+    found = np.unique(np.stack([kept[0], centres[0]]), axis=1)
+    return found[0], found[1]
+
+
 def shared_keys(packed: DataFrame, n: int) -> DataFrame:
-    """Rows (key, cls, n) of long lists, and (cls, other, n, m, first) for each pair of a short list whose sizes allow a link.
+    """Rows (cls, centre) of long lists, (cls, n) of how many of these a class is in, and (cls, other, n, m, first) for each pair of a
+    short list whose sizes allow a link.
 
     first tells whether this shingle's places allow that it is the pair's first common one.
     """
-    names = ["key", "cls", "other", "n", "m", "first"]
+    names = ["centre", "cls", "other", "n", "m", "first"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, owners, sizes, places = [], [], [], []
@@ -224,10 +258,13 @@ def shared_keys(packed: DataFrame, n: int) -> DataFrame:
         starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
         length = np.diff(np.append(starts, len(key)))
         long = np.repeat(length > SHORT_LIST, length)
-        for i in range(0, int(long.sum()), 1 << 16):
-            k, c, m = (x[long][i : i + (1 << 16)] for x in (key, owner, size))
-            none = pa.nulls(len(k), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), pa.array(c), none, pa.array(m), none, pa.nulls(len(k), pa.bool_())], names=names)
+        cls, centre = stars(*(x[long] for x in (key, owner, size, place)))
+        has, count = np.unique(owner[long], return_counts=True)
+        for i in range(0, max(len(cls), len(has)), 1 << 16):
+            (a, b), (c, k) = ([x[i : i + (1 << 16)] for x in y] for y in ((cls, centre), (has, count)))
+            none = [pa.nulls(len(a) + len(c), t) for t in (pa.int64(), pa.int64(), pa.bool_())]
+            centre_, count_ = pa.concat_arrays([pa.array(b), none[0][: len(c)]]), pa.concat_arrays([none[0][: len(a)], pa.array(k)])
+            yield pa.RecordBatch.from_arrays([centre_, pa.array(np.concatenate([a, c])), none[0], count_, *none[1:]], names=names)
         for k in range(2, SHORT_LIST + 1):
             at = starts[length == k]
             if not len(at):
@@ -242,28 +279,25 @@ def shared_keys(packed: DataFrame, n: int) -> DataFrame:
                 data = [pa.nulls(len(x), pa.int64()), *map(pa.array, (owner[x], owner[y], size[x], size[y], first[i : i + (1 << 16)]))]
                 yield pa.RecordBatch.from_arrays(data, names=names)
 
-    return packed.repartition(n, "bucket").mapInArrow(lean(run), "key long, cls long, other long, n long, m long, first boolean")
+    return packed.repartition(n, "bucket").mapInArrow(lean(run), "centre long, cls long, other long, n long, m long, first boolean")
 
 
 def candidates(keys: DataFrame) -> DataFrame:
     """(cls, centre): the classes of each centre; any two classes that link have a centre in common.
 
     A pair of short lists shares, in the rare parts of both sets, what the lists tell; what it can share beyond is at most
-    the larger of the two rests. Pairs that cannot reach the overlap so are dropped (unless a long list joins them).
+    the larger of the two rests, and in long lists the fewer that the two are in. Pairs that cannot reach the overlap so are dropped.
     """
-    longer = keys.where("key IS NOT NULL")
-    # sets that link are in one range of sizes or in neighbouring ones; a range's list holds the one below, too
-    range_ = F.floor(F.log(F.col("n").cast("double")) / math.log(DEN / NUM)).cast("long")
-    longer = longer.select("key", "cls", F.explode(F.array(F.struct(range_.alias("size"), F.lit(True).alias("own")), F.struct((range_ + 1).alias("size"), F.lit(False).alias("own")))).alias("in"))
-    longer = longer.select("key", "cls", "in.*")
-    centre = longer.groupBy("key", "size").agg(F.min("cls").alias("centre"), F.max("own").alias("any")).where("any")
-    stars = longer.join(centre, ["key", "size"]).select("cls", "centre")
+    long = keys.where("centre IS NOT NULL").select("cls", "centre")
     rest = lambda c: F.ceil(F.lit(NUM) * F.col(c) / DEN) - 1
     least = F.ceil(F.lit(NUM) * (F.col("n") + F.col("m")) / (DEN + NUM))
-    pairs = keys.where("key IS NULL").groupBy("cls", "other", "n", "m").agg(F.count("*").alias("shared"), F.max("first").alias("first"))
-    pairs = pairs.where(F.col("first") & (F.col("shared") >= least - F.greatest(rest("n"), rest("m"))))
+    pairs = keys.where("other IS NOT NULL").groupBy("cls", "other", "n", "m").agg(F.count("*").alias("shared"), F.max("first").alias("first"))
+    apart = keys.where("centre IS NULL AND other IS NULL").groupBy("cls").agg(F.sum("n").alias("apart"))
+    pairs = pairs.where("first").join(apart, "cls", "left").join(apart.select(F.col("cls").alias("other"), F.col("apart").alias("apart_")), "other", "left")
+    more = F.least(F.coalesce("apart", F.lit(0)), F.coalesce("apart_", F.lit(0)))
+    pairs = pairs.where(F.col("shared") + more >= least - F.greatest(rest("n"), rest("m")))
     both = F.explode(F.array("cls", "other"))
-    return stars.unionByName(pairs.select(both.alias("cls"), F.col("cls").alias("centre"))).distinct()
+    return long.unionByName(pairs.select(both.alias("cls"), F.col("cls").alias("centre"))).distinct()
 
 
 def divide_skip(lists: list[np.ndarray], t: int) -> Iterator[tuple[int, int, list[int]]]:
@@ -273,19 +307,17 @@ def divide_skip(lists: list[np.ndarray], t: int) -> Iterator[tuple[int, int, lis
     longest = int(size.max(initial=1))
     apart = max(0, min(t - 1, int(t / (MERGE_COST * np.log2(longest + 1) + 1))))
     long, short = order[:apart].tolist(), order[apart:].tolist()
-    need, last, count = t - apart, -1, 0
-    for member in heapq.merge(*(lists[k].tolist() for k in short)):
-        if member != last:
-            if last >= 0 and count >= need:
-                yield last, count, long
-            last, count = member, 0
-        count += 1
-    if last >= 0 and count >= need:
-        yield last, count, long
-
-
-def search(ids: np.ndarray, sets: list[np.ndarray], asks: np.ndarray, group: np.ndarray) -> list[tuple[int, int]]:
-    """Links that join different groups, each joining its groups: enough to connect whatever is linked."""
+    counts = np.bincount(np.concatenate([lists[k] for k in short]))
+    for member in np.flatnonzero(counts >= t - apart).tolist():
+        yield member, int(counts[member]), long
+
+
+def search(ids: np.ndarray, sets: list[np.ndarray], asks: np.ndarray, group: np.ndarray, main: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """Links that join different groups, each joining its groups: enough to connect whatever is linked.
+
+    A set of the largest component doesn't ask, as those that it links to are in that component or ask themselves. Where they
+    may do so in another search, which knows other components, main tells the sets of a group that counts as the largest in all.
+    """
     n = np.array([len(s) for s in sets])
     flat = np.concatenate(sets)
     shingle, which = np.unique(flat, return_inverse=True)
@@ -295,6 +327,11 @@ def search(ids: np.ndarray, sets: list[np.ndarray], asks: np.ndarray, group: np.
     lengths = np.diff(ends)
     starts = np.concatenate([[0], np.cumsum(n)])
     parent = {g: g for g in group.tolist()}
+    weight = dict(zip(*(x.tolist() for x in np.unique(group, return_counts=True))))
+    spared = main is None or bool(main.any())
+    if main is not None and spared:
+        weight[int(group[np.argmax(main)])] += 2 * len(sets)
+    large = max(weight, key=weight.get)
 
     def root(g: int) -> int:
         while parent[g] != g:
@@ -303,22 +340,38 @@ def search(ids: np.ndarray, sets: list[np.ndarray], asks: np.ndarray, group: np.
         return g
 
     found = []
-    for q in np.flatnonzero(asks).tolist():
+
+    def ask(q: int) -> None:
+        nonlocal large
         own = which[starts[q] : starts[q + 1]]
         t = least_overlap(int(n[q]))
         own = own[lengths[own] > 1]  # a list of one holds the asking set alone
         if len(own) < t:
-            continue
+            return
         lists = [member[ends[k] : ends[k + 1]] for k in own.tolist()]
         for c, count, long in divide_skip(lists, t):
-            if c == q or root(int(group[c])) == root(int(group[q])) or not NUM * max(n[q], n[c]) <= DEN * min(n[q], n[c]):
+            here, there = root(int(group[q])), root(int(group[c]))
+            if c == q or here == there or not NUM * max(n[q], n[c]) <= DEN * min(n[q], n[c]):
                 continue
             probes = shingle[own[long]]
             at = np.searchsorted(sets[c], probes)
             count += int((sets[c][np.minimum(at, n[c] - 1)] == probes).sum())
             if linked(count, int(n[q]), int(n[c])):
-                parent[root(int(group[c]))] = root(int(group[q]))
+                parent[there] = here
+                weight[here] += weight[there]
+                large = max(root(large), here, key=weight.get)
                 found.append((int(ids[q]), int(ids[c])))
+
+    later = []
+    for q in np.flatnonzero(asks).tolist():
+        if spared and root(int(group[q])) == large and weight[large] > 1:
+            later.append(q)
+        else:
+            ask(q)
+    # the largest component is another than before: what isn't in it asks after all
+    for q in later:
+        if root(int(group[q])) != root(large):
+            ask(q)
     return found
 
 
@@ -391,7 +444,7 @@ def sets_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(lean(run), "doc_id long, shingles binary")
 
 
-def _searched(groups: DataFrame, by: list[str]) -> DataFrame:
+def _searched(groups: DataFrame, by: list[str], n: int) -> DataFrame:
     def run(t: pa.Table) -> pa.Table:
         t = t.combine_chunks()
         # repeated rows of a document come once
@@ -399,11 +452,12 @@ def _searched(groups: DataFrame, by: list[str]) -> DataFrame:
         asks = t.column("asks").to_numpy()
         raw = [np.frombuffer(x.as_buffer(), np.uint64) for x in t.column("shingles")]
         ids = t.column("doc_id").to_numpy()
-        found = search(ids, raw, asks, t.column("grp").to_numpy()) if len(ids) > 1 and asks.any() else []
+        found = search(ids, raw, asks, t.column("grp").to_numpy(), t.column("main").to_numpy() if "main" in t.column_names else None) if len(ids) > 1 and asks.any() else []
         a, b = ([x[i] for x in found] for i in (0, 1))
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    return groups.groupBy(*by).applyInArrow(run, "a long, b long")
+    # groups are few bytes for their work, so tasks aren't made of bytes
+    return groups.repartition(n, *by).groupBy(*by).applyInArrow(run, "a long, b long")
 
 
 def key_of() -> Column:
@@ -439,7 +493,7 @@ def _classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     first = placed.withColumn("block", F.explode(everywhere)).join(sets, "doc_id").select(
         "centre", "block", "doc_id", "shingles", F.lit(True).alias("asks"), F.col("doc_id").alias("grp")
     )
-    links = durable(_searched(first, ["centre", "block"]), "found")
+    links = durable(_searched(first, ["centre", "block"], n), "found")
     labels = components(links)
 
     large = placed.where("blocks > 1")
@@ -452,19 +506,19 @@ def _classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         )
         count = tagged.groupBy("centre", "grp").agg(F.count("*").alias("k"))
         main = count.groupBy("centre").agg(F.max_by("grp", F.struct("k", "grp")).alias("main"))
-        tagged = tagged.join(main, "centre")
-        rest = tagged.where("grp <> main")
+        tagged = tagged.join(main, "centre").withColumn("main", F.col("grp") == F.col("main"))
+        rest = tagged.where("NOT main")
         size = rest.groupBy("centre").agg(parts.alias("lots"))
         askers = rest.join(size, "centre").withColumn("lot", F.pmod(F.xxhash64("doc_id", F.lit(1)), "lots"))
         askers = askers.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-        names = ["centre", "lot", "block", "doc_id", "grp"]
+        names = ["centre", "lot", "block", "doc_id", "grp", "main"]
         asked = tagged.join(size, "centre").withColumn("lot", F.explode(F.sequence(F.lit(0).cast("long"), F.col("lots") - 1)))
         met = askers.select(*names, F.lit(True).alias("asks")).unionByName(asked.select(*names, F.lit(False).alias("asks")))
         # an asker that is also asked counts once, as an asker
         met = met.groupBy(*names).agg(F.max("asks").alias("asks"))
         met = durable(met, "met")
         sets = sets_of(docs, durable(met.select("doc_id").distinct(), "wanted"))
-        more = durable(_searched(met.join(sets, "doc_id"), ["centre", "lot", "block"]), "found")
+        more = durable(_searched(met.join(sets, "doc_id"), ["centre", "lot", "block"], n), "found")
         if not more.isEmpty():
             labels = components(links.unionByName(more))
 

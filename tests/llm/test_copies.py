@@ -66,6 +66,63 @@ def test_join_of_awkward_rows(docs, no_docs, awkward):
     assert ngram_join.join_components(no_docs).count() == 0
 
 
+@pytest.mark.parametrize("lots", [False, True])
+def test_search_connects_what_is_linked_in_few_asks(lots, monkeypatch):
+    r = np.random.default_rng(11)
+    asked = []
+    skip = ngram_join.divide_skip
+    monkeypatch.setattr(ngram_join, "divide_skip", lambda lists, t: asked.append(t) or skip(lists, t))
+    for near in (0, 4, 12):
+        base = r.integers(0, 1 << 60, 100).astype(np.uint64)
+        sets = []
+        for k in range(300):
+            own = base.copy()
+            gone = r.choice(100, r.integers(0, 2 * near + 1), replace=False)
+            own[gone] = r.integers(0, 1 << 60, len(gone))
+            sets.append(np.unique(own))
+        link = np.array([[ngram_join.linked(len(np.intersect1d(a, b)), len(a), len(b)) for b in sets] for a in sets[:40]])
+        ids, asked[:] = np.arange(300), []
+        if lots:  # as in the second search: the first group's sets don't ask, in this task nor in another
+            main = ids % 3 == 0
+            grp = np.where(main, 0, ids)
+            found = [x for some in (ids % 3 == 1, ids % 3 == 2) for x in ngram_join.search(ids, sets, some, grp, main)] + [(0, int(i)) for i in ids[main]]
+        else:
+            found = ngram_join.search(ids, sets, np.ones(300, bool), ids)
+            assert len(asked) < 150
+        root = ids.copy()
+        for _ in range(300):
+            for a, b in found:
+                root[a] = root[b] = min(root[a], root[b])
+        assert all(root[i] == root[j] for i, j in zip(*np.nonzero(link)))
+
+
+def test_long_lists_hold_no_set_whose_rest_is_too_little():
+    # twenty sets of 100 share a shingle, for ten of which what follows it is under the 89 that two of this size must share
+    key, cls, n = np.zeros(20, np.uint64), np.arange(20), np.full(20, 100)
+    found, centre = ngram_join.stars(key, cls, n, np.repeat([11, 12], 10))
+    assert sorted(found.tolist()) == list(range(10)) and set(centre.tolist()) == {0}
+    # a smaller set needs less
+    found, _ = ngram_join.stars(key, cls, np.where(cls == 0, 97, 100), np.where(cls == 0, 5, np.repeat([11, 12], 10)))
+    assert sorted(found.tolist()) == list(range(20))
+
+
+def test_join_of_large_families_whose_changes_some_share(spark):
+    # the first shingle that two have in common is in a short list, what they share beyond in long ones
+    r, texts = random.Random(5), {}
+    for family in range(3):
+        base = [f"f{family}w{k}" for k in range(60)]
+        for k in range(40):
+            own = list(base)
+            start = r.randrange(0, 50)
+            own[start : start + r.randint(0, 3)] = [f"new{r.randint(0, 3)}" for _ in range(2)]
+            if k % 8 == 0:
+                own[-6 - k // 8 :] = [f"end{family}x{k // 16}"] * 3
+            texts[100 * family + k] = " ".join(own)
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
+    got = {x["doc_id"]: (x["n_shingles"], x["component_id"]) for x in ngram_join.join_components(df).collect()}
+    assert got == brute_components(texts)
+
+
 def test_divide_skip_reaches_the_overlap():
     r = random.Random(4)
     for _ in range(200):
