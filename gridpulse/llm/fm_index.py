@@ -6,27 +6,26 @@ from collections.abc import Iterator
 
 import numpy as np
 
-#: Words of 64 bits to a superblock.
-SUPER = 32
-
-
 class Bits:
-    """A bit vector with rank: a 64-bit count for each superblock and a 16-bit one for each word within it."""
+    """A bit vector with rank, of under 2^32 bits: a 32-bit count for each word of 64."""
 
     def __init__(self, bit: np.ndarray):
         padded = np.zeros((len(bit) // 64 + 1) * 64, np.uint8)
         padded[: len(bit)] = bit
         self.words = np.packbits(padded, bitorder="little").view("<u8")
-        ones = np.concatenate([[0], np.cumsum(np.bitwise_count(self.words).astype(np.int64))])[:-1]
-        self.supers = ones[::SUPER].copy()
-        self.within = (ones - np.repeat(self.supers, SUPER)[: len(ones)]).astype(np.uint16)
+        self.ones = np.concatenate([[0], np.cumsum(np.bitwise_count(self.words), dtype=np.uint32)])[:-1].astype(np.uint32)
         self.zeros = len(bit) - int(np.count_nonzero(bit))
 
     def rank(self, at: np.ndarray) -> np.ndarray:
         """Ones before each place."""
-        word = at >> 6
-        below = (np.uint64(1) << (at & 63).astype(np.uint64)) - np.uint64(1)
-        return self.supers[word // SUPER] + self.within[word] + np.bitwise_count(self.words[word] & below)
+        return self.around(at)[0]
+
+    def around(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ones before each place, and the bit there as the lowest of a word."""
+        word, within = at >> 6, (at & 63).astype(np.uint64)
+        bits = self.words[word]
+        below = bits & ((np.uint64(1) << within) - np.uint64(1))
+        return self.ones[word].astype(np.int64) + np.bitwise_count(below), bits >> within
 
 
 def code_lengths(counts: np.ndarray) -> np.ndarray:
@@ -70,22 +69,28 @@ class WaveletMatrix:
             s = np.concatenate([s[bit == 0], s[bit == 1]])
             s = s[self.length[s] > level + 1]  # those that end here are the last
 
-    def descend(self, symbol: np.ndarray, *at: np.ndarray) -> list[np.ndarray]:
-        """Where places lead that follow the symbol's bits; a place's rank is how far it ends behind where 0 does."""
+    def descend(self, symbol: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where places lead that follow the symbol's bits, and whether the symbol is at the place.
+
+        A place's rank is how far it ends behind where 0 does.
+        """
         code, left = self.code[symbol], self.length[symbol]
-        out = np.stack(at)
-        live = np.arange(len(symbol))
+        out, there = np.empty(len(at), np.int64), np.empty(len(at), bool)
+        live, same = np.arange(len(at)), np.ones(len(at), bool)
         for bits in self.levels:
+            if not len(live):
+                break
             left = left - 1
-            place = out[:, live]
-            ones = bits.rank(place.ravel()).reshape(place.shape)
-            out[:, live] = np.where((code >> left) & 1 == 1, bits.zeros + ones, place - ones)
+            want = (code >> left) & 1
+            ones, bit = bits.around(at)
+            at = np.where(want == 1, bits.zeros + ones, at - ones)
+            same &= (bit & np.uint64(1)).astype(np.int64) == want
             more = left > 0
             if not more.all():
-                live, code, left = live[more], code[more], left[more]
-                if not len(live):
-                    break
-        return list(out)
+                end = live[~more]
+                out[end], there[end] = at[~more], same[~more]
+                live, code, left, at, same = live[more], code[more], left[more], at[more], same[more]
+        return out, there
 
 
 def suffix_order(text: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -98,7 +103,7 @@ def suffix_order(text: np.ndarray, ends: np.ndarray) -> np.ndarray:
     while True:
         key = rank * (n + len(ends) + 1)
         key[: n - step] += rank[step:] + 1
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)  # equal keys get one rank
         k = key[order]
         new = np.empty(n, np.int64)
         new[order] = np.concatenate([[0], np.cumsum(k[1:] != k[:-1])])
@@ -139,7 +144,11 @@ class FMIndex:
 
     def extend(self, symbol: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Backward step: the suffixes that begin with symbol and go on as those in [lo, hi) do."""
-        a, b = self.wavelet.descend(symbol, lo, hi)
+        wide = np.flatnonzero(hi - lo != 1)
+        # one suffix goes on as one or as none
+        to, there = self.wavelet.descend(np.concatenate([symbol, symbol[wide]]), np.concatenate([lo, hi[wide]]))
+        a, b = to[: len(lo)], to[: len(lo)] + there[: len(lo)]
+        b[wide] = to[len(lo) :]
         shift = self.shift[symbol]
         return shift + a, shift + b
 

@@ -37,8 +37,8 @@ from gridpulse.llm.ngram_join import Bits, needed_bits
 from gridpulse.llm.shingles import FACTOR, Powers, inverse, mixed, runs, word_hashes
 
 SIZE, K, MOST = 35, 8, 64
-#: Words of an index, different segments of a minimizer, and texts at once.
-SHARD_WORDS, HOT, ROWS = 1 << 19, 1 << 14, 1024
+#: Words of an index, different segments of a minimizer, texts at once, and segments that are searched in step.
+SHARD_WORDS, HOT, ROWS, TOGETHER = 1 << 19, 1 << 14, 1024, 1 << 14
 
 
 def segments(words: np.ndarray, up: Powers, down: Powers) -> tuple[np.ndarray, ...]:
@@ -148,9 +148,9 @@ def search(contents_: DataFrame, n: int) -> DataFrame:
         ends = np.cumsum([r[3].count(b" ") + 1 for r in rows])
         texts = np.split(word_hashes(b" ".join([r[3] for r in rows])), ends[:-1])
         index = FMIndex(texts, np.array([r[2] > 1 for r in rows]))
-        for i in range(0, len(rows), 4096):
-            marks = index.repeated(texts[i : i + 4096], SIZE)
-            found = [(r[0], r[1], None if m.all() else np.packbits(m).tobytes()) for r, m in zip(rows[i : i + 4096], marks) if m.any()]
+        for i in range(0, len(rows), TOGETHER):
+            marks = index.repeated(texts[i : i + TOGETHER], SIZE)
+            found = [(r[0], r[1], None if m.all() else np.packbits(m).tobytes()) for r, m in zip(rows[i : i + TOGETHER], marks) if m.any()]
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found), (pa.int64(), pa.int64(), pa.binary()))], names=["least", "whole", "mask"])
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from gridpulse.llm import hilbert_ann, ngram_join, quality_mil, segment_topk, substring_dedup
+from gridpulse.llm import fm_index, hilbert_ann, ngram_join, quality_mil, segment_topk, substring_dedup
 from gridpulse.llm.components import components
 from gridpulse.llm.fm_index import FMIndex, code_lengths, codes
 from gridpulse.llm.queries import vocabulary
@@ -153,6 +153,17 @@ def test_index_finds_repeated_windows():
             assert [counts[tuple(s[i : i + size])] > 1 for i in range(max(0, len(s) - size + 1))] == m.tolist()
 
 
+def test_index_looks_a_single_suffix_up_once(monkeypatch):
+    # both ends of an interval were looked up at every level, however narrow
+    r = np.random.default_rng(6)
+    segments = [r.integers(0, 1 << 60, 80).astype(np.uint64) for _ in range(200)]
+    index, asked = FMIndex(segments, np.ones(200, bool)), []
+    around = fm_index.Bits.around
+    monkeypatch.setattr(fm_index.Bits, "around", lambda self, at: asked.append(len(at)) or around(self, at))
+    assert all(m.all() for m in index.repeated(segments, 35))
+    assert sum(asked) < 1.1 * 200 * 80 * index.wavelet.length.max()
+
+
 def test_codes_are_free_of_prefixes_and_short_for_frequent_words():
     r = np.random.default_rng(2)
     for _ in range(30):
